@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import mixing
+from ledgerloom.llm import licences, line_dedup, mixing, secrets, urls
 
 QUERIES = {
+    "op2_licence_digest": licences.op2,
+    "op4_secret_battery": secrets.op4,
+    "op6_redirect_verdict": urls.op6,
     "op9_entropy_mix": mixing.op9,
+    "op10_site_line_dedup": line_dedup.op10,
 }
 
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op2_licence_digest": licences.OP2_SQL,
+    "op6_redirect_verdict": urls.OP6_SQL,
+    "op10_site_line_dedup": line_dedup.OP10_SQL,
+}
