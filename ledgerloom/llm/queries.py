@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import licences, line_dedup, mixing, secrets, urls
+from ledgerloom.llm import knn, licences, line_dedup, mixing, pieces, secrets, urls
 
 QUERIES = {
+    "op1_piece_sampling": pieces.op1,
     "op2_licence_digest": licences.op2,
+    "op3_voronoi_knn": knn.op3,
     "op4_secret_battery": secrets.op4,
     "op6_redirect_verdict": urls.op6,
     "op9_entropy_mix": mixing.op9,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_voronoi_knn": knn.OP3_SQL,
     "op2_licence_digest": licences.OP2_SQL,
     "op6_redirect_verdict": urls.OP6_SQL,
     "op10_site_line_dedup": line_dedup.OP10_SQL,
