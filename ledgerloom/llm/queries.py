@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import knn, licences, line_dedup, mixing, pieces, secrets, urls
+from ledgerloom.llm import gif, knn, licences, line_dedup, mixing, pieces, secrets, urls
 
 QUERIES = {
     "op1_piece_sampling": pieces.op1,
     "op2_licence_digest": licences.op2,
     "op3_voronoi_knn": knn.op3,
     "op4_secret_battery": secrets.op4,
+    "op5_gif_media": gif.op5,
     "op6_redirect_verdict": urls.op6,
     "op9_entropy_mix": mixing.op9,
     "op10_site_line_dedup": line_dedup.op10,
