@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import gif, knn, licences, line_dedup, mixing, pieces, secrets, urls
+from ledgerloom.llm import gif, knn, licences, line_dedup, mixing, pieces, secrets, toxicity, urls
 
 QUERIES = {
     "op1_piece_sampling": pieces.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secret_battery": secrets.op4,
     "op5_gif_media": gif.op5,
     "op6_redirect_verdict": urls.op6,
+    "op7_toxicity_boosted": toxicity.op7,
     "op9_entropy_mix": mixing.op9,
     "op10_site_line_dedup": line_dedup.op10,
 }
