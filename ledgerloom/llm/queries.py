@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import gif, knn, licences, line_dedup, mixing, pieces, secrets, toxicity, urls
+from ledgerloom.llm import gif, knn, licences, line_dedup, mixing, ngram_join, pieces, secrets, toxicity, urls
 
 QUERIES = {
     "op1_piece_sampling": pieces.op1,
@@ -12,11 +12,13 @@ QUERIES = {
     "op5_gif_media": gif.op5,
     "op6_redirect_verdict": urls.op6,
     "op7_toxicity_boosted": toxicity.op7,
+    "op8_token_group_join": ngram_join.op8,
     "op9_entropy_mix": mixing.op9,
     "op10_site_line_dedup": line_dedup.op10,
 }
 
 ORACLE_SQL = {
+    "op8_token_group_join": ngram_join.OP8_SQL,
     "op3_voronoi_knn": knn.OP3_SQL,
     "op2_licence_digest": licences.OP2_SQL,
     "op6_redirect_verdict": urls.OP6_SQL,
