@@ -1,0 +1 @@
+"""Not filled yet."""
