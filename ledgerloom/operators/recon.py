@@ -1 +1,234 @@
-"""Not filled yet."""
+"""Reconciliation of receivables with payments, as joins and windows; rounds are repeated until nothing changes.
+
+Within a counterparty: reversals cancel deposits, references pair payments with items, then equal amounts that are unique
+on both sides, then sums of a few items, then parts of a single item. A choice that isn't unique is left AMBIGUOUS."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ledgerloom.plans import ledger as v
+from ledgerloom.registry import query
+
+BEFORE, AFTER, REVERSAL_DAYS = 7, 400, 31
+MAX_CANDIDATES, MAX_SIZE, MAX_NODES = 24, 6, 200_000
+BUCKET = 5_000_000
+
+
+def in_window(paid, item, before=BEFORE, after=AFTER):
+    """An item without a date fits every payment."""
+    return item.isNull() | F.datediff(paid, item).between(-before, after)
+
+
+def items(spark, d) -> DataFrame:
+    """Invoices with coarse amounts, so that equal ones occur."""
+    coarse = F.expr(f"(amount div {BUCKET} + 1) * {BUCKET}").cast("long")
+    return v.invoices(spark, d).select("id", "counterparty", coarse.alias("amount"), F.col("issued").alias("day"), "reference")
+
+
+def pays(spark, d) -> DataFrame:
+    sign = F.when(F.col("amount") < 0, -1).otherwise(1)
+    coarse = (F.expr(f"(abs(amount) div {BUCKET} + 1) * {BUCKET}") * sign).cast("long")
+    return v.payments(spark, d).filter("counterparty <> ''").select("id", "counterparty", coarse.alias("amount"), F.col("booked").alias("day"), "reference", F.upper(F.regexp_replace("memo", " ", "")).alias("memo"))
+
+
+ITEMS = f"items AS (SELECT id, counterparty, (amount // {BUCKET} + 1) * {BUCKET} AS amount, issued AS day, reference FROM v_invoice)"
+PAYS = f"""pays AS (SELECT id, counterparty, (abs(amount) // {BUCKET} + 1) * {BUCKET} * CASE WHEN amount < 0 THEN -1 ELSE 1 END AS amount, booked AS day, reference, upper(replace(memo, ' ', '')) AS memo
+  FROM v_payment WHERE counterparty <> '')"""
+BASE = v.with_views("invoice", "payment", ITEMS, PAYS)[:-1]
+
+
+def reference_hits(p: DataFrame, i: DataFrame) -> DataFrame:
+    """(pid, iid): a payment's reference is the item's, or its memo contains an item reference of 4 or more characters."""
+    a = p.select(F.col("id").alias("pid"), "counterparty", F.col("reference").alias("pref"), "memo")
+    b = i.select(F.col("id").alias("iid"), "counterparty", F.col("reference").alias("iref"))
+    hit = (F.col("iref") != "") & ((F.col("pref") == F.col("iref")) | ((F.length("iref") >= 4) & F.col("memo").contains(F.col("iref"))))
+    return a.join(b, "counterparty").filter(hit).select("pid", "iid").distinct()
+
+
+def reversals(p: DataFrame, hits: DataFrame) -> DataFrame:
+    """(back, deposit): outgoing payments without a reference hit, and the one deposit of the same amount in the days before;
+    unique in both directions."""
+    out = p.filter("amount < 0").join(hits, p["id"] == hits["pid"], "left_anti").select(F.col("id").alias("back"), "counterparty", (-F.col("amount")).alias("amount"), F.col("day").alias("back_day"))
+    into = p.filter("amount > 0").select(F.col("id").alias("deposit"), "counterparty", "amount", F.col("day").alias("in_day"))
+    x = out.join(into, ["counterparty", "amount"]).filter(F.datediff("back_day", "in_day").between(0, REVERSAL_DAYS))
+    both = x.withColumn("a", F.count("*").over(W.partitionBy("back"))).withColumn("b", F.count("*").over(W.partitionBy("deposit")))
+    return both.filter("a = 1 AND b = 1").select("back", "deposit")
+
+
+def near(p: DataFrame, i: DataFrame) -> DataFrame:
+    """Pairs of one counterparty within the date window."""
+    a = p.select(F.col("id").alias("pid"), "counterparty", F.col("amount").alias("paid"), F.col("day").alias("pday"))
+    b = i.select(F.col("id").alias("iid"), "counterparty", F.col("amount").alias("open"), F.col("day").alias("iday"))
+    return a.join(b, "counterparty").filter(in_window(F.col("pday"), F.col("iday")))
+
+
+def _unique(x: DataFrame) -> DataFrame:
+    x = x.withColumn("np", F.count("*").over(W.partitionBy("pid"))).withColumn("ni", F.count("*").over(W.partitionBy("iid")))
+    return x.withColumn("status", F.when((F.col("np") == 1) & (F.col("ni") == 1), "MATCHED").otherwise("AMBIGUOUS"))
+
+
+def equal_amounts(p: DataFrame, i: DataFrame) -> DataFrame:
+    """(pid, iid, status): MATCHED if the amounts pair only each other, else AMBIGUOUS; an order-free round."""
+    return _unique(near(p, i).filter("paid = open AND paid > 0")).select("pid", "iid", "status")
+
+
+def partial(p: DataFrame, i: DataFrame) -> DataFrame:
+    """(pid, iid, status) of payments below open amounts: PARTIAL if one item is possible, else AMBIGUOUS."""
+    x = near(p, i).filter("paid > 0 AND open > paid").withColumn("n", F.count("*").over(W.partitionBy("pid")))
+    return x.select("pid", "iid", F.when(F.col("n") == 1, "PARTIAL").otherwise("AMBIGUOUS").alias("status"))
+
+
+def subset_of(amounts, target: int, max_size=MAX_SIZE, max_nodes=MAX_NODES):
+    """(positions or None, status): the only set of 2 to max_size amounts with the target sum; small inputs only."""
+    found, nodes = [], 0
+    for size in range(2, max_size + 1):
+        for c in combinations(range(len(amounts)), size):
+            nodes += 1
+            if nodes > max_nodes:
+                return None, "AMBIGUOUS"
+            if sum(amounts[k] for k in c) == target:
+                found.append(c)
+                if len(found) > 1:
+                    return None, "AMBIGUOUS"
+    return (list(found[0]), "MATCHED") if found else (None, "UNMATCHED")
+
+
+def subsets(p: DataFrame, i: DataFrame) -> DataFrame:
+    """(pid, iids, status): sums of several items. Candidates above the payment are dropped first (unless credits are
+    open); more than MAX_CANDIDATES are AMBIGUOUS, so arrays stay short."""
+    x = near(p, i).filter("paid > 0")
+    credit = F.max((F.col("open") < 0).cast("int")).over(W.partitionBy("pid"))
+    x = x.withColumn("credit", credit).filter("credit = 1 OR open <= paid")
+    x = x.withColumn("r", F.row_number().over(W.partitionBy("pid").orderBy("iid"))).filter(F.col("r") <= MAX_CANDIDATES + 1)
+    each = x.groupBy("pid", "paid").agg(F.array_sort(F.collect_list(F.struct("iid", "open"))).alias("c")).filter(F.size("c") >= 2)
+
+    @F.pandas_udf("positions array<int>, status string")
+    def solve(opens: pd.Series, paid: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, "AMBIGUOUS") if len(a) > MAX_CANDIDATES else subset_of([int(y) for y in a], int(t)) for a, t in zip(opens, paid, strict=True)], columns=["positions", "status"])
+
+    s = each.withColumn("s", solve(F.col("c.open"), F.col("paid"))).filter("s.status <> 'UNMATCHED'")
+    return s.select("pid", F.transform("s.positions", lambda k: F.get("c", k)["iid"]).alias("iids"), F.col("s.status").alias("status"))
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    from tempfile import mkdtemp
+
+    sc, spark = df.sparkSession.sparkContext, df.sparkSession
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="ledgerloom-"))
+    return df.checkpoint()
+
+
+def reconcile(p: DataFrame, i: DataFrame, rounds: int = 4) -> DataFrame:
+    """Allocations (pid, iid, amount, method) after all passes. Each pass allocates at most once per payment and item, so
+    no payment and no item is overdrawn; what isn't unique is not allocated."""
+    hits = reference_hits(p, i)
+    gone = reversals(p, hits)
+    out = gone.select(F.explode(F.array("back", "deposit")).alias("id"))
+    p = _cut(p.filter("amount > 0").join(out, "id", "left_anti"))
+    # references: a payment and an item that name only each other; the smaller of both amounts is allocated
+    named = _unique(hits.join(p.select(F.col("id").alias("pid"), F.col("amount").alias("paid")), "pid").join(i.select(F.col("id").alias("iid"), F.col("amount").alias("open")), "iid")).filter("status = 'MATCHED' AND open > 0")
+    done = _cut(named.select("pid", "iid", F.least("paid", "open").alias("amount"), F.lit("reference").alias("method")))
+    for _ in range(rounds):
+        used_i = done.groupBy("iid").agg(F.sum("amount").alias("used"))
+        free_p = p.join(done.select(F.col("pid").alias("id")).distinct(), "id", "left_anti")
+        free_i = i.join(used_i, i["id"] == used_i["iid"], "left").withColumn("amount", F.col("amount") - F.coalesce("used", F.lit(0))).filter("amount <> 0").select(*i.columns)
+        one = equal_amounts(free_p, free_i)
+        exact = one.filter("status = 'MATCHED'").join(free_p.select(F.col("id").alias("pid"), "amount"), "pid").select("pid", "iid", "amount", F.lit("amount").alias("method"))
+        exact = _cut(exact)
+        # payments and items with an ambiguous equal amount wait; the others may be sums or parts
+        busy_p, busy_i = one.select(F.col("pid").alias("id")).distinct(), one.select(F.col("iid").alias("id")).distinct()
+        rest_p, rest_i = free_p.join(busy_p, "id", "left_anti"), free_i.join(busy_i, "id", "left_anti")
+        sums = subsets(rest_p, rest_i).filter("status = 'MATCHED'").select("pid", F.explode("iids").alias("iid"))
+        clash = sums.groupBy("iid").agg(F.count("*").alias("c")).filter("c > 1")
+        bad = sums.join(clash, "iid", "left_semi").select("pid").distinct()
+        good = sums.join(bad, "pid", "left_anti").join(rest_i.select(F.col("id").alias("iid"), "amount"), "iid").select("pid", "iid", "amount", F.lit("sum").alias("method"))
+        good = _cut(good)
+        part = partial(rest_p, rest_i).filter("status = 'PARTIAL'").join(good.select("pid").distinct(), "pid", "left_anti").join(good.select("iid").distinct(), "iid", "left_anti")
+        part = part.withColumn("n", F.count("*").over(W.partitionBy("iid"))).filter("n = 1").join(rest_p.select(F.col("id").alias("pid"), "amount"), "pid").select("pid", "iid", "amount", F.lit("part").alias("method"))
+        new = _cut(exact.unionByName(good).unionByName(part))
+        if new.isEmpty():
+            break
+        done = _cut(done.unionByName(new))
+    return done
+
+
+def statuses(i: DataFrame, allocated: DataFrame) -> DataFrame:
+    """(id, amount, allocated, open, status) of items."""
+    a = allocated.groupBy(F.col("iid").alias("id")).agg(F.sum("amount").alias("allocated"))
+    x = i.select("id", "amount").join(a, "id", "left").fillna(0, ["allocated"]).withColumn("open", F.col("amount") - F.col("allocated"))
+    return x.withColumn("status", F.when(F.col("open") == 0, "MATCHED").when(F.col("allocated") != 0, "PARTIAL").otherwise("UNMATCHED"))
+
+
+def violations(allocated: DataFrame, p: DataFrame, i: DataFrame) -> DataFrame:
+    """(kind, id): unknown ids, zero amounts, wrong signs, repeated pairs, overdrawn payments and items."""
+    a = allocated
+    know_p, know_i = p.select(F.col("id").alias("pid"), F.col("amount").alias("pamount")), i.select(F.col("id").alias("iid"), F.col("amount").alias("iamount"))
+    both = a.join(know_p, "pid", "left").join(know_i, "iid", "left")
+    one = lambda cond, kind, col: both.filter(cond).select(F.lit(kind).alias("kind"), F.col(col).alias("id"))
+    sums = lambda key, amount: both.groupBy(key, amount).agg(F.sum("amount").alias("s")).filter(F.abs("s") > F.abs(F.col(amount))).select(F.lit("over_" + key).alias("kind"), F.col(key).alias("id"))
+    pairs = a.groupBy("pid", "iid").count().filter("count > 1").select(F.lit("pair").alias("kind"), F.col("pid").alias("id"))
+    out = one(F.col("pamount").isNull(), "unknown_payment", "pid").unionByName(one(F.col("iamount").isNull(), "unknown_item", "iid"))
+    out = out.unionByName(one(F.col("amount") == 0, "zero", "pid")).unionByName(one(F.signum("amount") != F.signum("iamount"), "sign", "iid"))
+    return out.unionByName(pairs).unionByName(sums("pid", "pamount")).unionByName(sums("iid", "iamount"))
+
+
+HITS = "hits AS (SELECT DISTINCT p.id AS pid, i.id AS iid FROM pays p JOIN items i USING (counterparty) WHERE p.reference = i.reference OR (length(i.reference) >= 4 AND contains(p.memo, i.reference)))"
+NEAR = f"near AS (SELECT p.id AS pid, i.id AS iid, p.amount AS paid, i.amount AS open FROM pays p JOIN items i USING (counterparty) WHERE i.day IS NULL OR datediff('day', i.day, p.day) BETWEEN -{BEFORE} AND {AFTER})"
+
+
+@query("d03_e03_reference_hits", BASE + "," + HITS + " SELECT * FROM hits")
+def q_hits(spark, d):
+    return reference_hits(pays(spark, d), items(spark, d))
+
+
+@query("e02_reversals", BASE + "," + HITS + f""", x AS (SELECT o.id AS back, i.id AS deposit, count(*) OVER (PARTITION BY o.id) AS a, count(*) OVER (PARTITION BY i.id) AS b FROM pays o JOIN pays i ON o.counterparty = i.counterparty AND i.amount = -o.amount
+  WHERE o.amount < 0 AND datediff('day', i.day, o.day) BETWEEN 0 AND {REVERSAL_DAYS} AND o.id NOT IN (SELECT pid FROM hits))
+SELECT back, deposit FROM x WHERE a = 1 AND b = 1""")
+def q_reversals(spark, d):
+    p = pays(spark, d)
+    return reversals(p, reference_hits(p, items(spark, d)))
+
+
+@query("d04_e04_equal_amounts", BASE + "," + NEAR + """ SELECT pid, iid, CASE WHEN count(*) OVER (PARTITION BY pid) = 1 AND count(*) OVER (PARTITION BY iid) = 1 THEN 'MATCHED' ELSE 'AMBIGUOUS' END AS status FROM near WHERE paid = open AND paid > 0""")
+def q_equal(spark, d):
+    return equal_amounts(pays(spark, d), items(spark, d))
+
+
+@query("e07_partial", BASE + "," + NEAR + """ SELECT pid, iid, CASE WHEN count(*) OVER (PARTITION BY pid) = 1 THEN 'PARTIAL' ELSE 'AMBIGUOUS' END AS status FROM near WHERE paid > 0 AND open > paid""")
+def q_partial(spark, d):
+    return partial(pays(spark, d), items(spark, d))
+
+
+@query("e05_e06_subset_sums")
+def q_subsets(spark, d):
+    return subsets(pays(spark, d), items(spark, d))
+
+
+@query("e01_e08_e09_e14_reconcile")
+def q_reconcile(spark, d):
+    return reconcile(pays(spark, d), items(spark, d))
+
+
+@query("e10_conservation", BASE + "," + NEAR + """, alloc AS (SELECT pid, iid, paid AS amount, paid AS pamount, open AS iamount FROM near WHERE paid >= open - 10000000 AND paid > 0)
+SELECT 'over_pid' AS kind, pid AS id FROM alloc GROUP BY pid, pamount HAVING sum(amount) > pamount UNION ALL SELECT 'over_iid', iid FROM alloc GROUP BY iid, iamount HAVING sum(amount) > iamount""")
+def q_conservation(spark, d):
+    """The checks on allocations that are deliberately too many."""
+    p, i = pays(spark, d), items(spark, d)
+    x = near(p, i).filter("paid >= open - 10000000 AND paid > 0").select("pid", "iid", F.col("paid").alias("amount"))
+    return violations(x, p, i)
+
+
+@query("e12_e13_statuses", BASE + "," + NEAR + """, m AS (SELECT *, count(*) OVER (PARTITION BY pid) AS a, count(*) OVER (PARTITION BY iid) AS b FROM near WHERE paid = open AND paid > 0),
+s AS (SELECT iid, sum(paid) AS allocated FROM m WHERE a = 1 AND b = 1 GROUP BY iid)
+SELECT id, amount, CAST(coalesce(allocated, 0) AS BIGINT) AS allocated, CAST(amount - coalesce(allocated, 0) AS BIGINT) AS open, CASE WHEN amount = coalesce(allocated, 0) THEN 'MATCHED' WHEN coalesce(allocated, 0) <> 0 THEN 'PARTIAL' ELSE 'UNMATCHED' END AS status FROM items LEFT JOIN s ON iid = id""")
+def q_statuses(spark, d):
+    p, i = pays(spark, d), items(spark, d)
+    one = equal_amounts(p, i).filter("status = 'MATCHED'").join(p.select(F.col("id").alias("pid"), "amount"), "pid")
+    return statuses(i, one)
