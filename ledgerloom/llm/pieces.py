@@ -7,7 +7,7 @@ any piece but those already taken there". The region with the greatest perturbed
 member is drawn top down, and what is left of it is divided into regions again, each with a Gumbel variate truncated
 at its parent's. The bounds are exact, so no emitted segmentation repeats and none is missed.
 
-No piece continues over a space or line break, so a text's lattice is a chain of small lattices ("units": spaces and
+No piece continues over a space or line break (nor from a letter to a full stop or comma), so a text's lattice is a chain of small lattices ("units": spaces and
 the word after them); their forward probabilities are computed once for each distinct unit of a batch, with array
 operations over all of them. All random numbers are hashes of (row key, sample, unit, step): results don't depend
 on partitioning, batches or reruns. Rows are independent: no shuffle, memory is bounded by a batch and by the
@@ -29,24 +29,29 @@ import bisect
 import heapq
 import itertools
 import math
+import re
 from random import Random
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA = 2, 5e-4
 #: Characters of text in one step of work; states that the cache of units may hold.
-BATCH_CHARS, CACHE_STATES = 1_500_000, 3_000_000
+BATCH_CHARS, CACHE_STATES = 1_000_000, 2_000_000
 SLOT_BITS = 20
 #: The first pieces of a segmentation are regions of their own; those after are one region until it is opened.
 HEAD = 8
 SPACE, OWN_MARK, SEP = "▁", "\ud800", "\ud801"  # lone surrogates can't be in a text
 
+#: No piece of the usual vocabularies goes on from a letter to one of these marks (it is checked for each model).
+CUT = re.compile(r"(?<=[^\W\d_¹²³])[.,]")
+
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _P = _U(0x100000001B3)
@@ -89,6 +94,7 @@ class Vocabulary:
                 pieces.append((piece, i, score))
                 lowest = min(lowest, score if score > -1e8 else 0.0)
         self.unknown = alpha * lowest - 10.0
+        self.cuts = not any(CUT.search(x[0]) for x in pieces)
         self.by_length = {}
         # by the first bits of a hash: can it be that of a piece, of the beginning of a piece?
         self.maybe, self.prefix = np.zeros(1 << SLOT_BITS, dtype=bool), np.zeros(1 << SLOT_BITS, dtype=bool)
@@ -105,6 +111,16 @@ class Vocabulary:
             self.by_length[length] = (h[order], np.array([x[1] for x in own], dtype=np.int32)[order], scores[order])
         self.longest = max(self.by_length)
 
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes of all ids, one after the other, by array operations."""
+        if not hasattr(self, "flat"):
+            self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+            self.size = np.array(list(map(len, self.bytes)), dtype=np.int64)
+            self.begin = np.cumsum(self.size) - self.size
+        sizes = self.size[ids]
+        shift = self.begin[ids] - (np.cumsum(sizes) - sizes)
+        return self.flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))].tobytes()
+
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode()
 
@@ -121,7 +137,7 @@ class Units:
         self.start = np.zeros(0, dtype=np.int64)  # a unit's first state
         self.ptr = np.zeros(1, dtype=np.int64)  # a state's first edge
         self.to = np.zeros(0, dtype=np.int32)  # the state after an edge, -1 at a unit's end
-        self.piece = np.zeros(0, dtype=np.int32)  # its piece, or -1 - code point
+        self.piece = np.zeros(0, dtype=np.int32)  # its piece (or byte), or -1 - code point of several bytes
         self.logp = np.zeros(0, dtype=np.float32)  # its probability given its state
         self.other = np.zeros(0, dtype=np.float32)  # log probability of its state's other edges together
         self.cum = np.zeros(0, dtype=np.float32)
@@ -156,19 +172,23 @@ class Units:
                     single[at[some]] = True
         lone = np.flatnonzero(~single)
         shown = np.where(codes[lone] == _U(ord(OWN_MARK)), _U(ord(SPACE)), codes[lone])
-        found.append((lone, (-1 - shown.astype(np.int64)).astype(np.int32), np.full(len(lone), v.unknown), 1))
+        shown = shown.astype(np.int64)
+        ascii_ = shown < 128
+        lone_id = np.where(ascii_, v.byte_id[np.where(ascii_, shown, 0)], -1 - shown)
+        found.append((lone, lone_id.astype(np.int32), np.full(len(lone), v.unknown), 1))
         state = np.concatenate([x[0] for x in found[::-1]])
         length = np.concatenate([np.full(len(x[0]), x[3], dtype=np.int64) for x in found[::-1]])
         piece = np.concatenate([x[1] for x in found[::-1]])
         weight = np.concatenate([x[2] for x in found[::-1]])
-        order = np.argsort(state * 32 + (31 - length), kind="stable")  # by state, long pieces first
+        order = np.argsort(state * 32 + (31 - length))  # by state, long pieces first
         state, length, piece, weight = state[order], length[order], piece[order], weight[order]
         ptr = np.searchsorted(state, np.arange(n + 1))
         # total weight of all ways from a state to its unit's end, from the ends backwards
         beta = np.zeros(n + 1)
         ends = state + length == np.repeat(first + lengths, lengths)[state]
-        by_left = np.argsort(left[state], kind="stable")
-        cuts = np.searchsorted(left[state][by_left], np.arange(1, lengths.max(initial=0) + 2))
+        from_end = left[state]
+        by_left = np.argsort(from_end * len(state) + np.arange(len(state)))
+        cuts = np.searchsorted(from_end[by_left], np.arange(1, lengths.max(initial=0) + 2))
         for k in range(len(cuts) - 1):
             e = by_left[cuts[k] : cuts[k + 1]]
             if not len(e):
@@ -243,8 +263,10 @@ class Units:
         return out, counts
 
 
-def split_units(text: str) -> list[str]:
-    """A text's units; together they are the text with a space before it."""
+def split_units(text: str, cuts: bool = False) -> list[str]:
+    """A text's units; together they are the text with a space before it. cuts: marks after letters begin units too."""
+    if cuts:
+        text = CUT.sub(SEP + r"\g<0>", text)
     x = (SPACE + text.replace(SPACE, OWN_MARK).replace(" ", SEP + SPACE)).replace("\n", SEP + "\n" + SEP)
     return [u for u in x.replace(SPACE + SEP, SPACE).split(SEP) if u]
 
@@ -328,7 +350,7 @@ class _Search:
 
 def sample_batch(units: Units, keys: np.ndarray, texts: list[str], k: int):
     """For each text the list of (edges, log probability), and the threshold after them."""
-    lists = [split_units(t) if t else [] for t in texts]
+    lists = [split_units(t, units.v.cuts) if t else [] for t in texts]
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
     ids = units.lookup([u for x in lists for u in x])
     offset = np.concatenate([[0], np.cumsum(sizes)])
@@ -401,10 +423,11 @@ def expand(piece: np.ndarray, byte_id: np.ndarray) -> np.ndarray:
     """Ids; characters without a piece become the ids of their bytes."""
     if not len(piece) or piece.min() >= 0:
         return piece
-    out = []
-    for x in piece.tolist():
-        out.extend([x] if x >= 0 else [int(byte_id[b]) for b in chr(-1 - x).encode()])
-    return np.array(out, dtype=np.int32)
+    out, at = [], 0
+    for i in np.flatnonzero(piece < 0).tolist():
+        out += [piece[at:i], byte_id[list(chr(-1 - int(piece[i])).encode())]]
+        at = i + 1
+    return np.concatenate([*out, piece[at:]]).astype(np.int32)
 
 
 def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, alpha=ALPHA, model=MODEL) -> DataFrame:
@@ -421,14 +444,19 @@ def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, a
                     ids = expand(units.piece[edges], units.v.byte_id)
                     gap = phi - limit
                     inclusion = 0.0 if limit == -math.inf or gap > 5 else gap if gap < -30 else math.log(-math.expm1(-math.exp(gap)))
-                    exact = units.v.decode(ids.tolist()) == t
-                    for c, x in zip(cols, (key_, i, ids, phi, inclusion, exact), strict=True):
+                    for c, x in zip(cols, (key_, i, ids, phi, inclusion, t), strict=True):
                         c.append(x)
             flat = np.concatenate(cols[2]) if cols[2] else np.zeros(0, dtype=np.int32)
             lens = np.concatenate([[0], np.cumsum([len(x) for x in cols[2]])]).astype(np.int32)
+            lens_ = lens.tolist()
+            raw, exact = units.v.spell(flat), []
+            sizes = np.concatenate([[0], np.cumsum(units.v.size[flat])])
+            for i, t in enumerate(cols[5]):
+                a, b = int(sizes[lens_[i]]), int(sizes[lens_[i + 1]])
+                exact.append(raw[a + 1 : b] == t.encode())
             lists = pa.ListArray.from_arrays(pa.array(lens), pa.array(flat.astype(np.int32)))
             return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), lists, pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.bool_())],
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), lists, pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()), pa.array(exact, pa.bool_())],
                 names=["key", "sample", "ids", "log_prob", "log_inclusion", "exact"],
             )
 
@@ -449,7 +477,7 @@ def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, a
 
 
 def decode_ids(df: DataFrame, ids="ids", model=MODEL) -> DataFrame:
-    """df with a column decoded: the texts of its id lists; null for null."""
+    """df with a column decoded (in place of one of that name): the texts of its id lists; null for null."""
 
     def run(batches):
         v = _units(model, ALPHA).v
@@ -457,8 +485,8 @@ def decode_ids(df: DataFrame, ids="ids", model=MODEL) -> DataFrame:
             found = [None if x is None else v.decode(x) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield b.append_column("decoded", pa.array(found, pa.string()))
 
-    schema = df.schema
-    return df.mapInArrow(run, schema.add("decoded", "string") if "decoded" not in schema.names else schema)
+    df = df.drop("decoded")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op1(spark, sf_dir):

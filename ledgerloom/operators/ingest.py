@@ -1 +1,216 @@
-"""Not filled yet."""
+"""Reading inputs of unknown layout: file kinds, tables in HTML, header scores, column mapping, row accounting, stores."""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ledgerloom.functions.values import normalize_header, parse_amount
+from ledgerloom.plans import ledger as v
+from ledgerloom.registry import query
+
+
+def file_kind(content: Column) -> Column:
+    """Kind by first bytes, never by name."""
+    head = F.hex(F.substring(content, 1, 8))
+    text = F.lower(F.ltrim(F.decode(F.substring(content, 1, 512), "ISO-8859-1")))
+    return (
+        F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), "xlsx").when(head.startswith("D0CF11E0A1B11AE1"), "xls")
+        .when(text.rlike("^(<!doctype html|<html|<table)"), "html").when(text.contains(","), "csv").otherwise("unknown")
+    )
+
+
+@query("a01_file_kind", """
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(ltrim(substr(html, 1, 400))), '^(<!doctype html|<html|<table)') THEN 'html' WHEN contains(substr(html, 1, 400), ',') THEN 'csv' ELSE 'unknown' END AS kind FROM pages) GROUP BY kind""")
+def q_kind(spark, d):
+    return v.read(spark, d, "pages").select(file_kind(F.encode("html", "UTF-8")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+class _Cells(HTMLParser):
+    """Rows of cells of every table; spans are filled from their cell."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.out, self.tables = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.tables += 1
+            self.stack.append({"table": self.tables, "row": 0, "taken": {}, "cell": None})
+        elif self.stack and tag == "tr":
+            self.close()
+            self.stack[-1]["row"] += 1
+        elif self.stack and tag in ("td", "th"):
+            self.close()
+            a = dict(attrs)
+            n = lambda k: int(a[k]) if (a.get(k) or "").isdigit() and 0 < int(a[k]) < 1000 else 1
+            self.stack[-1]["cell"] = [n("colspan"), n("rowspan"), ""]
+
+    def handle_data(self, data):
+        if self.stack and self.stack[-1]["cell"]:
+            self.stack[-1]["cell"][2] += data
+
+    def handle_endtag(self, tag):
+        if self.stack and tag in ("td", "th", "tr"):
+            self.close()
+        elif self.stack and tag == "table":
+            self.close()
+            self.stack.pop()
+
+    def close(self):
+        t = self.stack[-1]
+        if t["cell"]:
+            across, down, text = t["cell"]
+            col = next(c for c in range(1, 100_000) if (t["row"], c) not in t["taken"])
+            for r in range(t["row"], t["row"] + down):
+                for c in range(col, col + across):
+                    if (r, c) not in t["taken"]:
+                        t["taken"][r, c] = True
+                        self.out.append((t["table"], r, c, " ".join(text.split())))
+            t["cell"] = None
+
+
+def html_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, tbl, row, col, text) of all tables; nested tables are tables of their own."""
+
+    def run(parts):
+        for pdf in parts:
+            rows = []
+            for k, h in zip(pdf["k"], pdf["h"], strict=True):
+                p = _Cells()
+                p.feed(h or "")
+                rows.extend((k, *c) for c in p.out)
+            yield pd.DataFrame(rows, columns=["k", "tbl", "row", "col", "text"])
+
+    return pages.select(F.col(key).cast("long").alias("k"), F.col(html).alias("h")).mapInPandas(run, "k long, tbl int, row int, col int, text string").withColumnRenamed("k", key)
+
+
+@query("a06_html_tables")
+def q_tables(spark, d):
+    return html_cells(v.read(spark, d, "pages"), "page_id", "html")
+
+
+#: Fields of a settlement table with header synonyms.
+SYNONYMS = (("counterparty", "거래처"), ("counterparty", "업체명"), ("amount", "금액"), ("amount", "매출액"), ("day", "일자"), ("day", "거래일"), ("reference", "번호"))
+HEADERS = ("거래처명", "금액(원)", "거래 일자", "전표번호", "비고", "매출액")
+
+
+def header_scores(headers: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(header, field, score, confidence): equal 100 HIGH, contained 60 + length MEDIUM, part of 30 + length LOW; the best synonym."""
+    h, s = normalize_header(F.col("header")), F.col("synonym")
+    n = F.least(F.length("synonym"), F.lit(20))
+    score = F.when(h == s, 100).when(h.contains(s), 60 + n).when((F.length(h) > 0) & s.contains(h), 30 + F.least(F.length(h), F.lit(20))).otherwise(0)
+    x = headers.crossJoin(F.broadcast(synonyms)).withColumn("score", score).filter("score > 0").groupBy("header", "field").agg(F.max("score").alias("score"))
+    return x.withColumn("confidence", F.when(F.col("score") == 100, "HIGH").when(F.col("score") >= 60, "MEDIUM").otherwise("LOW"))
+
+
+def assign_columns(scores: DataFrame) -> DataFrame:
+    """(header, field): a column for a field where each is the other's best; ties by name. Repeat for what is left."""
+    best_f = F.row_number().over(W.partitionBy("header").orderBy(F.desc("score"), "field"))
+    best_h = F.row_number().over(W.partitionBy("field").orderBy(F.desc("score"), "header"))
+    return scores.withColumn("a", best_f).withColumn("b", best_h).filter("a = 1 AND b = 1").select("header", "field", "score", "confidence")
+
+
+_H = ", ".join(f"('{h}')" for h in HEADERS)
+_S = ", ".join(f"('{f}', '{s}')" for f, s in SYNONYMS)
+
+
+@query("c03_c05_c16_header_mapping", f"""
+WITH h AS (SELECT header, regexp_replace(regexp_replace(lower(trim(header)), '\\((원|krw)\\)', '', 'g'), '[\\s()]+', '', 'g') AS n FROM (VALUES {_H}) t(header)), s AS (SELECT * FROM (VALUES {_S}) t(field, synonym)),
+x AS (SELECT header, field, max(CASE WHEN n = synonym THEN 100 WHEN contains(n, synonym) THEN 60 + least(length(synonym), 20) WHEN length(n) > 0 AND contains(synonym, n) THEN 30 + least(length(n), 20) ELSE 0 END) AS score FROM h, s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY score DESC, field) AS a, row_number() OVER (PARTITION BY field ORDER BY score DESC, header) AS b FROM x WHERE score > 0)
+SELECT header, field, CAST(score AS INTEGER) AS score, CASE WHEN score = 100 THEN 'HIGH' WHEN score >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM r WHERE a = 1 AND b = 1""")
+def q_mapping(spark, d):
+    headers = spark.createDataFrame([(h,) for h in HEADERS], "header string")
+    return assign_columns(header_scores(headers, spark.createDataFrame(list(SYNONYMS), "field string, synonym string")))
+
+
+@query("c02_c04_c12_c13_row_accounting", """
+WITH x AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_partkey % 20 = 0 THEN '합계' WHEN l_partkey % 20 = 1 THEN 'n/a' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS text FROM lineitem)
+SELECT k, count(*) AS source, count(*) FILTER (WHERE text = '합계') AS totals, count(*) FILTER (WHERE text = 'n/a') AS issues, count(*) FILTER (WHERE text NOT IN ('합계', 'n/a')) AS applied,
+  CAST(coalesce(sum(CASE WHEN text NOT IN ('합계', 'n/a') THEN CAST(text AS BIGINT) END), 0) AS BIGINT) AS total FROM x GROUP BY k""")
+def q_accounting(spark, d):
+    """Rows of a table: totals set aside, values with issues, applied rows and their sum; source = totals + issues + applied."""
+    p = F.col("l_partkey") % 20
+    text = F.when(p == 0, "합계").when(p == 1, "n/a").otherwise(F.col("l_quantity").cast("long").cast("string"))
+    x = v.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), text.alias("text"))
+    amount, error = parse_amount(F.col("text"))
+    total = F.col("text").isin("합계", "소계", "총계")
+    x = x.withColumns({"total_row": total, "amount": F.when(~total, amount), "error": F.when(~total, error)})
+    return x.groupBy("k").agg(
+        F.count("*").alias("source"), F.count_if("total_row").alias("totals"), F.count("error").alias("issues"), F.count("amount").alias("applied"), F.coalesce(F.sum("amount"), F.lit(0)).cast("long").alias("total")
+    )
+
+
+@query("c07_format_recognition", """
+SELECT page_id, CAST(2 * CAST(contains(html, '<table') AS INTEGER) + 3 * CAST(contains(html, '<article') AS INTEGER) + CAST(contains(html, '<nav') AS INTEGER) AS INTEGER) AS score FROM pages WHERE 2 * CAST(contains(html, '<table') AS INTEGER) + 3 * CAST(contains(html, '<article') AS INTEGER) + CAST(contains(html, '<nav') AS INTEGER) >= 3""")
+def q_formats(spark, d):
+    """Weighted markers of a format with a least score."""
+    score = sum(F.col("html").contains(m).cast("int") * w for m, w in (("<table", 2), ("<article", 3), ("<nav", 1)))
+    return v.read(spark, d, "pages").select("page_id", score.alias("score")).filter("score >= 3")
+
+
+@query("c11_extract_rows", """
+SELECT conv_id AS k, max(CASE WHEN role = 'user' THEN length(text) END) AS user_chars, max(CASE WHEN role = 'assistant' THEN length(text) END) AS assistant_chars, count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) AS excluded FROM conversations GROUP BY conv_id""")
+def q_extract(spark, d):
+    """Cells pivoted to records."""
+    x = v.read(spark, d, "conversations").select(F.col("conv_id").alias("k"), "role", F.length("text").alias("chars"))
+    n = x.groupBy("k").agg(F.count_if(~F.col("role").isin("user", "assistant")).alias("excluded"))
+    p = x.groupBy("k").pivot("role", ["user", "assistant"]).agg(F.max("chars"))
+    return p.join(n, "k").select("k", F.col("user").alias("user_chars"), F.col("assistant").alias("assistant_chars"), "excluded")
+
+
+@query("c14_mapping_inheritance", """
+WITH h AS (SELECT conv_id AS doc, turn AS col, role AS text FROM conversations), o AS (SELECT doc, text, min(col) AS old_col FROM h GROUP BY ALL HAVING count(*) = 1), n AS (SELECT doc, text, min(col) AS new_col, count(*) AS c FROM h GROUP BY ALL)
+SELECT o.doc, o.text, old_col, CASE WHEN c = 1 THEN new_col END AS new_col, coalesce(c > 1, false) AS blocked FROM o LEFT JOIN n ON n.doc = o.doc + 1 AND n.text = o.text""")
+def q_inherit(spark, d):
+    """Confirmed columns found again by header text in the next version; several of one text block it."""
+    h = v.read(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc"), F.col("role").alias("text")).agg(F.min("turn").alias("col"), F.count("*").alias("c"))
+    old = h.filter("c = 1").select("doc", "text", F.col("col").alias("old_col"))
+    new = h.select((F.col("doc") - 1).alias("doc"), "text", F.col("col").alias("n"), "c")
+    return old.join(new, ["doc", "text"], "left").select("doc", "text", "old_col", F.when(F.col("c") == 1, F.col("n")).alias("new_col"), F.coalesce(F.col("c") > 1, F.lit(False)).alias("blocked"))
+
+
+@query("a16_merged_hits", """
+SELECT l_partkey AS k, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS queries, count(*) AS hits FROM lineitem WHERE l_discount < 0.05 GROUP BY l_partkey""")
+def q_hits(spark, d):
+    x = v.read(spark, d, "lineitem").filter("l_discount < 0.05")
+    return x.groupBy(F.col("l_partkey").alias("k")).agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("queries"), F.count("*").alias("hits"))
+
+
+@query("a19_a20_upsert", "SELECT o_custkey AS k, max(o_orderkey) AS id, arg_max(o_orderstatus, o_orderkey) AS payload FROM orders GROUP BY o_custkey")
+def q_upsert(spark, d):
+    """Latest write of each key wins."""
+    return v.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("id"), F.max_by("o_orderstatus", "o_orderkey").alias("payload"))
+
+
+@query("a21_content_addresses", "SELECT doc_id, sha256(text) AS address, octet_length(encode(text)) AS bytes FROM documents")
+def q_blobs(spark, d):
+    return v.read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("address"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("a23_file_builder", v.with_views("line") + """
+SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT CASE WHEN received IS NULL THEN 'no date' WHEN amount <= 0 THEN 'not positive' WHEN trade_type IS NULL THEN 'no type' END AS reason FROM v_line) GROUP BY ALL""")
+def q_builder(spark, d):
+    reason = F.when(F.col("received").isNull(), "no date").when(F.col("amount") <= 0, "not positive").when(F.col("trade_type").isNull(), "no type").otherwise("kept")
+    return v.lines(spark, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def invariants(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    """(kind, id) of ids that repeat within a table or occur in both; empty for a good snapshot."""
+    twice = lambda df, kind: df.groupBy("id").count().filter("count > 1").select(F.lit(kind).alias("kind"), "id")
+    both = invoices.select("id").join(lines.select("id"), "id", "left_semi").distinct().select(F.lit("both").alias("kind"), "id")
+    return twice(invoices, "invoice").unionByName(twice(lines, "line")).unionByName(both)
+
+
+@query("a24_snapshot_invariants", """
+SELECT 'line' AS kind, id FROM (SELECT l_orderkey || '-' || l_linenumber AS id FROM lineitem) GROUP BY id HAVING count(*) > 1 UNION ALL
+SELECT 'both', id FROM (SELECT DISTINCT o_orderkey || '-1' AS id FROM orders WHERE o_orderkey || '-1' IN (SELECT l_orderkey || '-' || l_linenumber FROM lineitem))""")
+def q_invariants(spark, d):
+    """On natural keys, which do repeat."""
+    i = v.read(spark, d, "orders").select(F.concat("o_orderkey", F.lit("-1")).alias("id"))
+    return invariants(i, v.read(spark, d, "lineitem").select(F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("id")))
