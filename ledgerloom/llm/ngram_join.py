@@ -3,31 +3,37 @@
 Sets: distinct w-word shingles (fewer words: the whole sequence), as 64-bit hashes. Two documents link when
 den * |A n B| >= num * |A u B|. The result is the connected components of all links, exactly.
 
-1. One scan makes for each document its number of shingles, a digest of the set, min-hash bands, and the first
-   hashes in hash order (its head: a prefix-filter prefix and a quarter more). Equal sets become one node.
+1. One scan makes for each document its number of shingles, a digest of the set, min-hash bands, and its tokens: the
+   hash space is cut into m parts, and what a set has in one part is one token (a part without shingles has none).
+   Linked sets of sizes a <= b differ in at most H shingles, so with m = H + 1 + s parts at least s + 1 agree. H depends
+   on sizes, so they form levels of ratio den / num, and a document has tokens for two levels: its own, where it may be
+   the smaller one, and the next lower, where it may be the larger one. Of the s + 1 parts at most the document's empty
+   ones are no tokens: the rest is what any partner must share with it. Where nothing would rest, it also sends the
+   first n - ceil(num * n / den) + 1 shingles by hash, which partners with as many empty parts must meet.
+   Equal sets become one node.
 2. Groups of similar documents: each node proposes one hub, the least node of its min-hash buckets that comes up most
    often; exact overlaps decide. Connected nodes are a family; a group is a family's block of at most ``BLOCK``.
-3. Token-group matrix: (token, group) of the heads. Tokens within one family bound nothing and go at once (a min and a
-   max of family by token, combined before the shuffle). A token of more than ``COMMON`` groups is common.
-   The order "other tokens by hash, then common ones" is a valid order for prefix filters whatever is called common,
-   so no link is lost; documents whose heads hold too few other tokens send all their tokens, and the count is redone
-   until that holds for all. Documents that consist of common tokens use those too.
-4. Bound: of a linked pair, both groups' posted tokens must share as many tokens as the lesser surplus of their prefixes
-   plus one. Only pairs of groups that reach it, and whose sizes fit, are opened: their documents meet in one task, where
-   each one's overlap with the other group's token union is bounded first, and then pairs are compared until one links
-   (a group is one family already, so one link joins it to the other).
+3. Token-group matrix: the union of each group's tokens. Tokens within one family bound nothing and go at once (a min
+   and a max of family by token, combined before the shuffle). A token of more than ``COMMON`` groups is common; common
+   tokens are used only between documents that could share nothing but common ones.
+4. Bound: groups must share as many tokens as the least that any of their documents demands. Only pairs of groups that
+   reach it, and whose sizes fit, are opened: their documents meet in one task, where each one's overlap with the other
+   group's shingle union is bounded first, and then pairs are compared until one links (a group is one family already,
+   so one link joins it to the other).
 5. Components of all links; the class id is the least doc_id.
 
 Nothing is collected; hubs of any number of followers are dealt in parts, groups are blocks, tokens of any frequency
-are combined before the shuffle. Tables that are broadcast are checked for size first, and joined by shuffles beyond.
+are counted by partial aggregates.
 
-Nulls and odd values: null, empty or blank texts have 0 shingles and link with nothing; their component is their id.
+Nulls and odd values: null texts and texts without words have no shingles and link with nothing (component_id doc_id).
 Repeated rows are equal sets: one class. Rows that share an id with different texts are documents of their own. Very
 long texts are whole. Empty tables give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 from functools import reduce
 
@@ -84,9 +90,44 @@ def prefix(n, num=NUM, den=DEN):
     return n - least_overlap(n, num, den) + 1
 
 
-def head_size(n: int, num=NUM, den=DEN) -> int:
-    p = prefix(n, num, den)
-    return min(n, p + p // 4 + 2)
+@functools.cache
+def level_starts(num=NUM, den=DEN) -> list[int]:
+    """The least size of each level; a set's partners are in its level or the next to it."""
+    out = [1]
+    while out[-1] < 2**40:
+        out.append(max(out[-1] + 1, out[-1] * den // num + 1))
+    return out
+
+
+def level_parts(level: int, num=NUM, den=DEN) -> tuple[int, int]:
+    """(m, s): parts of the hash space for links whose smaller set is of this level, and how many agree beyond one; m
+    is 0 if such sets only link when equal."""
+    most = level_starts(num, den)[level + 1] - 1
+    differ = (most + most * den // num) * (den - num) // (den + num)
+    spare = 1 + -(-differ // 50)
+    return (differ + 1 + spare if differ else 0), spare
+
+
+def _tagged(x: np.ndarray, tag: np.ndarray | int, level: int) -> np.ndarray:
+    return mixed(x * _MULT[3] + mixed(np.atleast_1d(np.asarray(tag, dtype=np.uint64)) * _MULT[2] + _U(level + 1))).view(np.int64)
+
+
+def tokens_of(x: np.ndarray, num=NUM, den=DEN) -> list[tuple[int, int, np.ndarray]]:
+    """(level, tokens that any partner must share, tokens) of a set for the levels in which it may link."""
+    n, out = len(x), []
+    own = bisect.bisect_right(level_starts(num, den), n) - 1
+    for level in (own - 1, own):
+        m, spare = level_parts(level, num, den) if level >= 0 else (0, 0)
+        if not m or (level < own and (level_starts(num, den)[own] - 1) * den < n * num):
+            continue
+        part = ((x >> _U(32)) * _U(m)) >> _U(32)
+        start = np.flatnonzero(np.diff(part, prepend=_U(m)))
+        tokens = _tagged(np.add.reduceat(x, start), part[start], level)
+        demand = spare + 1 - (m - len(start))
+        if demand < 1:
+            tokens = np.concatenate([tokens, _tagged(x[: prefix(n, num, den)], m, level)])
+        out.append((level, demand, tokens))
+    return out
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -104,26 +145,31 @@ def _bands(tokens: np.ndarray) -> list[int]:
     return out.view(np.int64).tolist()
 
 
+LEVELS = pa.list_(pa.struct([("level", pa.int32()), ("demand", pa.int32()), ("tokens", pa.list_(pa.int64()))]))
+
+
 def scan(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame:
-    """(doc_id, n, node, bands, head) of docs(doc_id, text)."""
+    """(doc_id, n, node, bands, levels) of docs(doc_id, text)."""
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                b = batch.slice(i, 2000)
-                ns, nodes, bands, heads = [], [], [], []
+            for i in range(0, batch.num_rows, 1000):
+                b = batch.slice(i, 1000)
+                ns, nodes, bands, levels = [], [], [], []
                 for t in b.column(1):
                     x = shingles(t.as_py(), width)
                     ns.append(len(x))
                     nodes.append(node_of(x) if len(x) else 0)
                     bands.append(_bands(x) if len(x) else [])
-                    heads.append(x[: head_size(len(x), num, den)].view(np.int64) if len(x) else x.view(np.int64))
+                    levels.append([{"level": k, "demand": d, "tokens": v} for k, d, v in tokens_of(x, num, den)] if len(x) else [])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "node", "bands", "head"],
+                    [b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(levels, LEVELS)],
+                    names=["doc_id", "n", "node", "bands", "levels"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, bands array<long>, head array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, n long, node long, bands array<long>, levels array<struct<level: int, demand: int, tokens: array<long>>>"
+    )
 
 
 def _texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -161,30 +207,6 @@ def compare(docs: DataFrame, sets: DataFrame, roles: DataFrame, first_only: bool
     return rows.select("task", "side", "node", "text").groupBy("task").applyInPandas(links, "a long, b long")
 
 
-def _rest(docs: DataFrame, sets: DataFrame, nodes: DataFrame, width, num, den) -> DataFrame:
-    """(node, token) after the heads of some nodes."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                b = batch.slice(i, 500)
-                ids, out = [], []
-                for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    x = shingles(t, width)
-                    if node_of(x) == node:
-                        more = x[head_size(len(x), num, den) :].view(np.int64)
-                        ids.append(np.full(len(more), node, dtype=np.int64))
-                        out.append(more)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out))], names=["node", "token"])
-
-    return _texts_of(docs, sets, nodes.select("node")).select("node", "text").mapInArrow(run, "node long, token long")
-
-
-def _prefix_col(n: Column, num, den) -> Column:
-    return n - F.ceil(n * num / den).cast("long") + 1
-
-
 def classes(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     seen = stored(scan(docs, width, num, den))
@@ -210,45 +232,29 @@ def classes(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame:
     )
 
     # the token-group matrix
-    p = _prefix_col(F.col("n"), num, den)
-    heads = nodes.join(small(member.drop("n")), "node").select("node", "family", "grp", F.explode("head").alias("token"))
-    full = None  # nodes that send all their tokens
-    while True:
-        sent = heads
-        if full is not None:
-            rest = _rest(docs, sets, full, width, num, den).join(small(member.drop("n")), "node")
-            sent = heads.unionByName(rest.select(*heads.columns))
-        shared = stored(sent.groupBy("token").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("token"))
-        posted = stored(sent.join(small(shared), "token"))
-        groups = posted.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("c"))
-        common = cut(groups.filter(F.col("c") > COMMON).select("token"))
-        counted = posted.join(small(common), "token").groupBy("node").agg(F.count("*").alias("commons"))
-        head = F.least(F.col("n"), p + F.floor(p / 4).cast("long") + 2)
-        state = member.join(counted, "node", "left")
-        state = state.withColumn("is_full", F.lit(False)) if full is None else state.join(small(full.withColumn("is_full", F.lit(True))), "node", "left")
-        state = state.withColumn("sent", F.when(F.coalesce("is_full", F.lit(False)), F.col("n")).otherwise(head))
-        state = cut(state.withColumn("others", F.col("sent") - F.coalesce("commons", F.lit(0))).select("node", "n", "family", "grp", "sent", "others"))
-        short = state.filter((F.col("others") < p) & (F.col("sent") < F.col("n"))).select("node")
-        if short.isEmpty():
-            break
-        full = cut(short if full is None else full.unionByName(short).distinct())
+    sent = nodes.select("node", F.inline("levels")).join(small(member), "node").select("node", "n", "family", "grp", "level", "demand", F.explode("tokens").alias("token"))
+    shared = stored(sent.groupBy("token").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("token"))
+    posted = stored(sent.join(small(shared), "token"))
+    groups = posted.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("c"))
+    common = cut(groups.filter(F.col("c") > COMMON).select("token", F.lit(1).alias("common")))
+    marked = posted.join(small(common), "token", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    state = marked.groupBy("node", "level").agg(*[F.first(c).alias(c) for c in ("n", "grp", "demand")], F.sum("common").alias("commons"))
+    state = cut(state.withColumn("rest", F.col("demand") - F.col("commons")))  # not common ones that any partner must share
 
     # groups that may hold a link
-    dense = F.col("others") < p  # all tokens are sent, and too few are not common
-    surplus = state.withColumn("surplus", F.when(dense, F.col("n") - p + 1).otherwise(F.col("others") - p + 1))
-    bounds = cut(surplus.groupBy("grp").agg(F.min("surplus").alias("surplus"), F.min("n").alias("lo"), F.max("n").alias("hi")))
-    is_dense = state.filter(dense).select("node")
-    usable = posted.join(small(common), "token", "left_anti").unionByName(posted.join(small(common), "token", "left_semi").join(small(is_dense), "node", "left_semi"))
-    matrix = cut(usable.select("token", "family", "grp").distinct().join(small(bounds), "grp"))
+    bounds = cut(state.groupBy("grp", "level").agg(F.greatest(F.min("rest"), F.lit(1)).alias("least"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+    common_only = state.filter("rest < 1").select("node", "level")
+    usable = marked.filter("common = 0").unionByName(marked.filter("common = 1").join(small(common_only), ["node", "level"], "left_semi"))
+    matrix = cut(usable.select("token", "level", "family", "grp").distinct().join(small(bounds), ["grp", "level"]))
     left, right = matrix.alias("l"), matrix.alias("r")
     fits = (F.col("l.hi") * den >= F.col("r.lo") * num) & (F.col("r.hi") * den >= F.col("l.lo") * num)
     met = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.grp") < F.col("r.grp")) & (F.col("l.family") != F.col("r.family")) & fits)
     opened = cut(
-        met.groupBy(F.col("l.grp").alias("g"), F.col("r.grp").alias("h"))
-        .agg(F.count("*").alias("c"), F.first(F.least("l.surplus", "r.surplus")).alias("least")).filter("c >= least")
-        .select("g", "h", F.xxhash64("g", "h").alias("task"))
+        met.groupBy(F.col("l.grp").alias("g"), F.col("r.grp").alias("h"), F.col("l.level").alias("level"))
+        .agg(F.count("*").alias("c"), F.max(F.greatest("l.least", "r.least")).alias("least")).filter("c >= least")
+        .select("g", "h", F.xxhash64("g", "h").alias("task")).distinct()
     )
-    inside = member.select("node", "grp")
+    inside = state.select("node", "grp").distinct()
     roles = [opened.select("task", F.lit(s).alias("side"), F.col(c).alias("grp")).join(inside, "grp").select("task", "side", "node") for s, c in ((0, "g"), (1, "h"))]
     far = compare(docs, sets, roles[0].unionByName(roles[1]), True, width, num, den)
 
