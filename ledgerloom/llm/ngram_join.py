@@ -7,16 +7,16 @@ den * |A n B| >= num * |A u B|. The result is the connected components of all li
    hash space is cut into m parts, and what a set has in one part is one token (a part without shingles has none).
    Linked sets of sizes a <= b differ in at most H shingles, so with m = H + 1 + s parts at least s + 1 agree. H depends
    on sizes, so they form levels of ratio den / num, and a document has tokens for two levels: its own, where it may be
-   the smaller one, and the next lower, where it may be the larger one. Of the s + 1 parts at most the document's empty
-   ones are no tokens: the rest is what any partner must share with it. Where nothing would rest, it also sends the
-   first n - ceil(num * n / den) + 1 shingles by hash, which partners with as many empty parts must meet.
+   the smaller one, and the next lower, where it may be the larger one. A pair shares at least the tokens of either
+   document less the shingles in which sets of their sizes may differ. A document with more than s empty parts also
+   sends its first n - ceil(num * n / den) + 1 shingles by hash, which partners with as many empty parts must meet.
    Equal sets become one node.
 2. Groups of similar documents: each node proposes one hub, the least node of its min-hash buckets that comes up most
    often; exact overlaps decide. Connected nodes are a family; a group is a family's block of at most ``BLOCK``.
 3. Token-group matrix: the union of each group's tokens. Tokens within one family bound nothing and go at once (a min
    and a max of family by token, combined before the shuffle). A token of more than ``COMMON`` groups is common; common
    tokens are used only between documents that could share nothing but common ones.
-4. Bound: groups must share as many tokens as the least that any of their documents demands. Only pairs of groups that
+4. Bound: groups must share as many tokens as the least that any pair of their documents must share. Only pairs of groups that
    reach it, and whose sizes fit, are opened: their documents meet in one task, where each one's overlap with the other
    group's shingle union is bounded first, and then pairs are compared until one links (a group is one family already,
    so one link joins it to the other).
@@ -90,6 +90,12 @@ def prefix(n, num=NUM, den=DEN):
     return n - least_overlap(n, num, den) + 1
 
 
+def _most_apart(level: int, num, den) -> int:
+    """H: linked sets whose smaller one is of this level differ in at most so many shingles."""
+    most = level_starts(num, den)[level + 1] - 1
+    return (most + most * den // num) * (den - num) // (den + num)
+
+
 @functools.cache
 def level_starts(num=NUM, den=DEN) -> list[int]:
     """The least size of each level; a set's partners are in its level or the next to it."""
@@ -102,9 +108,8 @@ def level_starts(num=NUM, den=DEN) -> list[int]:
 def level_parts(level: int, num=NUM, den=DEN) -> tuple[int, int]:
     """(m, s): parts of the hash space for links whose smaller set is of this level, and how many agree beyond one; m
     is 0 if such sets only link when equal."""
-    most = level_starts(num, den)[level + 1] - 1
-    differ = (most + most * den // num) * (den - num) // (den + num)
-    spare = 1 + -(-differ // 50)
+    differ = _most_apart(level, num, den)
+    spare = 1 + -(-differ // 10)
     return (differ + 1 + spare if differ else 0), spare
 
 
@@ -113,7 +118,7 @@ def _tagged(x: np.ndarray, tag: np.ndarray | int, level: int) -> np.ndarray:
 
 
 def tokens_of(x: np.ndarray, num=NUM, den=DEN) -> list[tuple[int, int, np.ndarray]]:
-    """(level, tokens that any partner must share, tokens) of a set for the levels in which it may link."""
+    """(level, number of parts that aren't empty, tokens) of a set for the levels in which it may link."""
     n, out = len(x), []
     own = bisect.bisect_right(level_starts(num, den), n) - 1
     for level in (own - 1, own):
@@ -123,10 +128,9 @@ def tokens_of(x: np.ndarray, num=NUM, den=DEN) -> list[tuple[int, int, np.ndarra
         part = ((x >> _U(32)) * _U(m)) >> _U(32)
         start = np.flatnonzero(np.diff(part, prepend=_U(m)))
         tokens = _tagged(np.add.reduceat(x, start), part[start], level)
-        demand = spare + 1 - (m - len(start))
-        if demand < 1:
+        if m - len(start) > spare:
             tokens = np.concatenate([tokens, _tagged(x[: prefix(n, num, den)], m, level)])
-        out.append((level, demand, tokens))
+        out.append((level, len(start), tokens))
     return out
 
 
@@ -145,7 +149,7 @@ def _bands(tokens: np.ndarray) -> list[int]:
     return out.view(np.int64).tolist()
 
 
-LEVELS = pa.list_(pa.struct([("level", pa.int32()), ("demand", pa.int32()), ("tokens", pa.list_(pa.int64()))]))
+LEVELS = pa.list_(pa.struct([("level", pa.int32()), ("parts", pa.int32()), ("tokens", pa.list_(pa.int64()))]))
 
 
 def scan(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame:
@@ -161,14 +165,14 @@ def scan(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame:
                     ns.append(len(x))
                     nodes.append(node_of(x) if len(x) else 0)
                     bands.append(_bands(x) if len(x) else [])
-                    levels.append([{"level": k, "demand": d, "tokens": v} for k, d, v in tokens_of(x, num, den)] if len(x) else [])
+                    levels.append([{"level": k, "parts": d, "tokens": v} for k, d, v in tokens_of(x, num, den)] if len(x) else [])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(levels, LEVELS)],
                     names=["doc_id", "n", "node", "bands", "levels"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n long, node long, bands array<long>, levels array<struct<level: int, demand: int, tokens: array<long>>>"
+        run, "doc_id long, n long, node long, bands array<long>, levels array<struct<level: int, parts: int, tokens: array<long>>>"
     )
 
 
@@ -232,26 +236,28 @@ def classes(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame:
     )
 
     # the token-group matrix
-    sent = nodes.select("node", F.inline("levels")).join(small(member), "node").select("node", "n", "family", "grp", "level", "demand", F.explode("tokens").alias("token"))
+    sent = nodes.select("node", F.inline("levels")).join(small(member), "node").select("node", "n", "family", "grp", "level", "parts", F.explode("tokens").alias("token"))
     shared = stored(sent.groupBy("token").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("token"))
     posted = stored(sent.join(small(shared), "token"))
     groups = posted.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("c"))
     common = cut(groups.filter(F.col("c") > COMMON).select("token", F.lit(1).alias("common")))
     marked = posted.join(small(common), "token", "left").withColumn("common", F.coalesce("common", F.lit(0)))
-    state = marked.groupBy("node", "level").agg(*[F.first(c).alias(c) for c in ("n", "grp", "demand")], F.sum("common").alias("commons"))
-    state = cut(state.withColumn("rest", F.col("demand") - F.col("commons")))  # not common ones that any partner must share
+    state = marked.groupBy("node", "level").agg(*[F.first(c).alias(c) for c in ("n", "grp", "parts")], F.sum("common").alias("commons"))
+    state = cut(state.withColumn("rest", F.col("parts") - F.col("commons")))
 
     # groups that may hold a link
-    bounds = cut(state.groupBy("grp", "level").agg(F.greatest(F.min("rest"), F.lit(1)).alias("least"), F.min("n").alias("lo"), F.max("n").alias("hi")))
-    common_only = state.filter("rest < 1").select("node", "level")
+    bounds = cut(state.groupBy("grp", "level").agg(F.min("rest").alias("least"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+    most = F.element_at(F.array(*[F.lit(_most_apart(k, num, den)) for k in range(len(level_starts(num, den)) - 1)]), F.col("level") + 1)
+    common_only = state.filter(F.col("rest") <= most).select("node", "level")
     usable = marked.filter("common = 0").unionByName(marked.filter("common = 1").join(small(common_only), ["node", "level"], "left_semi"))
     matrix = cut(usable.select("token", "level", "family", "grp").distinct().join(small(bounds), ["grp", "level"]))
     left, right = matrix.alias("l"), matrix.alias("r")
     fits = (F.col("l.hi") * den >= F.col("r.lo") * num) & (F.col("r.hi") * den >= F.col("l.lo") * num)
     met = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.grp") < F.col("r.grp")) & (F.col("l.family") != F.col("r.family")) & fits)
+    apart = F.floor((F.col("l.hi") + F.col("r.hi")) * (den - num) / (den + num))
     opened = cut(
         met.groupBy(F.col("l.grp").alias("g"), F.col("r.grp").alias("h"), F.col("l.level").alias("level"))
-        .agg(F.count("*").alias("c"), F.max(F.greatest("l.least", "r.least")).alias("least")).filter("c >= least")
+        .agg(F.count("*").alias("c"), F.max(F.greatest("l.least", "r.least") - apart).alias("least")).filter("c >= least")
         .select("g", "h", F.xxhash64("g", "h").alias("task")).distinct()
     )
     inside = state.select("node", "grp").distinct()
