@@ -23,7 +23,7 @@ from ledgerloom.llm.licence_texts import KNOWN
 COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n(©]*(?:©|\(c\)|copyright[ \t]*(?:\(c\)|©|:|,|[0-9]{4}|[<\[{]))[^\n]*"
 #: Equivalent spellings, written as words of the canonical form.
 SPELLINGS = (
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sublicence", "sublicense"),
     ("non infringement", "noninfringement"), ("merchantibility", "merchantability"), ("organisation", "organization"),
     ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("behaviour", "behavior"), ("https", "http"), ("per cent", "percent"),
 )
