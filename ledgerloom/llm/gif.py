@@ -287,7 +287,7 @@ def decode(df: DataFrame, key: str, media: str = "media", pixels: bool = False)
                 except (ValueError, IndexError, struct.error) as e:
                     rows = [{"error": str(e) or "broken"}]
                 if rows:
-                    out = pd.DataFrame([{"key": k} | r for r in rows]).reindex(columns=names)
+                    out = pd.DataFrame([dict.fromkeys(names) | {"key": k} | r for r in rows], columns=names, dtype=object)
                     for c in ("frame", "start_cs", "delay_cs", "disposal", "transparent", "left", "top", "width", "height"):
                         out[c] = out[c].astype("Int64")
                     yield out
