@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import line_dedup, mixing, ngram_join, pieces, toxicity
 from ledgerloom.llm.common import small, stored, table
 
+#: Near duplicates in the pipeline: five-word shingles, similarity 0.8 or more; ngram_join's own values are those of op8.
+NEAR = {"width": 5, "num": 80, "den": 100}
+
 
 def _rows(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("_row"), *names)
@@ -34,7 +37,7 @@ def drop_boilerplate_lines(spark, docs, sf_dir):
 
 def keep_one_of_a_class(spark, docs, sf_dir):
     """One document of each near-duplicate class, the one of least doc_id, and every document without words."""
-    found = stored(ngram_join.classes(docs))
+    found = stored(ngram_join.classes(docs, **NEAR))
     kept = found.filter("doc_id = component_id OR n_shingles = 0").select("doc_id").distinct()
     out = docs.join(small(kept), "doc_id", "left_semi")
     if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
