@@ -51,10 +51,10 @@ def drop_boilerplate(docs: DataFrame, host="source", ratio=RATIO, min_pages=MIN_
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         marked = docs.withColumn("host_key", F.struct(F.col(host).alias("host"))).join(F.broadcast(by_host), "host_key", "left").drop("host_key")
     else:  # each row's own lines to drop, by a number for the row
-        rows = docs.withColumn("_row", F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)))
-        lines = rows.select("_row", F.struct(F.col(host).alias("host")).alias("host_key"), F.explode(F.array_distinct(F.transform(_lines("text"), _hash))).alias("line"))
-        drops = lines.join(found, ["host_key", "line"], "left_semi").groupBy("_row").agg(F.collect_set("line").alias("_drop"))
-        marked = rows.join(drops, "_row", "left").drop("_row")
+        rows = docs.withColumn("_at", F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)))
+        lines = rows.select("_at", F.struct(F.col(host).alias("host")).alias("host_key"), F.explode(F.array_distinct(F.transform(_lines("text"), _hash))).alias("line"))
+        drops = lines.join(found, ["host_key", "line"], "left_semi").groupBy("_at").agg(F.collect_set("line").alias("_drop"))
+        marked = rows.join(drops, "_at", "left").drop("_at")
     kept = F.filter(_lines("text"), lambda x: ~F.coalesce(F.array_contains("_drop", _hash(x)), F.lit(False)))
     out = marked.withColumn("_text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     gone = F.when(F.col("_drop").isNull() | F.col("text").isNull(), 0).otherwise(F.size(_lines("text")) - F.size(kept))

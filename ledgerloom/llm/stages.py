@@ -14,6 +14,9 @@ from ledgerloom.llm.common import small, stored, table
 #: Near duplicates in the pipeline: five-word shingles, similarity 0.8 or more; ngram_join's own values are those of op8.
 NEAR = {"width": 5, "num": 80, "den": 100}
 
+#: Repeated lines lie above this share of a host's pages, body lines below it (README); line_dedup.RATIO is that of op10.
+LINE_RATIO = 0.01
+
 
 def _rows(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("_row"), *names)
@@ -27,7 +30,7 @@ def drop_toxic(spark, docs, sf_dir):
 
 def drop_boilerplate_lines(spark, docs, sf_dir):
     """Every document, without its site's boilerplate lines; n_chars follows the text."""
-    out = line_dedup.drop_boilerplate(_rows(docs, "source", "text"))
+    out = line_dedup.drop_boilerplate(_rows(docs, "source", "text"), ratio=LINE_RATIO)
     changed = out["lines_dropped"] > 0
     text = F.when(changed, F.col("text")).otherwise(F.col("_row.text"))
     chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))

@@ -7,7 +7,7 @@ import random
 import numpy as np
 from test_operators import docs_of
 
-from ledgerloom.llm import ngram_join, stages
+from ledgerloom.llm import line_dedup, ngram_join, stages
 
 
 def linked(a: str, b: str, width: int, num: int) -> bool:
@@ -63,3 +63,12 @@ def test_every_pair_linked_at_four_fifths_meets_its_bound():
         assert any(len(x[k][1] & y[k][1]) >= max(1, x[k][0] - apart, y[k][0] - apart) for k in set(x) & set(y))
         met += 1
     assert met > 500
+
+
+def test_lines_on_two_pages_of_a_hundred_go(spark, monkeypatch):
+    texts = [f"body {i}\n" + "shared\n" * (i < 8) + "seldom\n" * (i < 4) + f"end {i}" for i in range(400)]
+    want = [t.replace("shared\n", "") for t in texts]
+    for rows in (line_dedup.BROADCAST_ROWS, 0):  # the lines to drop are broadcast, or joined
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", rows)
+        got = stages.drop_boilerplate_lines(spark, docs_of(spark, texts), None).orderBy("doc_id").collect()
+        assert [(r["text"], r["n_chars"]) for r in got] == [(t, len(t)) for t in want]
