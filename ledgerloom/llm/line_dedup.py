@@ -4,6 +4,9 @@ Documents are grouped by host. A line (trimmed of white space, not empty) is boi
 ``min_pages`` documents of the host contain it and their number divided by the host's documents exceeds ``ratio``.
 Boilerplate lines are dropped from the host's documents; the other lines stay as they are, in order.
 
+With ``distinct``, a page is a distinct text of a host: a line counts once for each, and the total is taken alike, so
+that exact copies of a page don't make its lines boilerplate.
+
 Counts are over all documents: one row for each distinct line of a document, counted with partial aggregates, so
 neither a host nor a line of any frequency is gathered in one task. Lines are known by 64-bit hashes. A host has
 fewer than (lines per document) / ratio boilerplate lines, so the result of the count is small; if it is below a
@@ -35,18 +38,21 @@ def _hash(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate(docs: DataFrame, host: str, ratio=RATIO, min_pages=MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str, ratio=RATIO, min_pages=MIN_PAGES, distinct=False) -> DataFrame:
     """(host_key, hashes): the hashes of each host's boilerplate lines."""
     key = F.struct(F.col(host).alias("host")).alias("host_key")  # a struct, so that null equals null
-    pages = docs.groupBy(key).agg(F.count("*").alias("pages"))
-    lines = docs.select(key, F.explode(F.array_distinct(F.transform(_lines("text"), _hash))).alias("line")).filter("line IS NOT NULL")
+    digest = [F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).alias("digest")] if distinct else []
+    pages, lines = docs.select(key, *digest), docs.select(key, *digest, F.explode(F.array_distinct(F.transform(_lines("text"), _hash))).alias("line")).filter("line IS NOT NULL")
+    if distinct:
+        pages, lines = pages.distinct(), lines.distinct()
+    pages = pages.groupBy("host_key").agg(F.count("*").alias("pages"))
     counted = lines.groupBy("host_key", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     return counted.join(pages, "host_key").filter(F.col("n") > F.col("pages") * ratio).select("host_key", "line")
 
 
-def drop_boilerplate(docs: DataFrame, host="source", ratio=RATIO, min_pages=MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host="source", ratio=RATIO, min_pages=MIN_PAGES, distinct=False) -> DataFrame:
     """docs with cleaned text, and columns lines_dropped, chars_dropped."""
-    found = cut(boilerplate(docs, host, ratio, min_pages))
+    found = cut(boilerplate(docs, host, ratio, min_pages, distinct))
     by_host = found.groupBy("host_key").agg(F.collect_list("line").alias("_drop"))
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         marked = docs.withColumn("host_key", F.struct(F.col(host).alias("host"))).join(F.broadcast(by_host), "host_key", "left").drop("host_key")

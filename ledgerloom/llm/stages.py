@@ -30,7 +30,7 @@ def drop_toxic(spark, docs, sf_dir):
 
 def drop_boilerplate_lines(spark, docs, sf_dir):
     """Every document, without its site's boilerplate lines; n_chars follows the text."""
-    out = line_dedup.drop_boilerplate(_rows(docs, "source", "text"), ratio=LINE_RATIO)
+    out = line_dedup.drop_boilerplate(_rows(docs, "source", "text"), ratio=LINE_RATIO, distinct=True)
     changed = out["lines_dropped"] > 0
     text = F.when(changed, F.col("text")).otherwise(F.col("_row.text"))
     chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))

@@ -72,3 +72,12 @@ def test_lines_on_two_pages_of_a_hundred_go(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", rows)
         got = stages.drop_boilerplate_lines(spark, docs_of(spark, texts), None).orderBy("doc_id").collect()
         assert [(r["text"], r["n_chars"]) for r in got] == [(t, len(t)) for t in want]
+
+
+def test_one_of_a_third_of_copies_survives(spark):
+    copied = "first of the copied text\nsecond line of it\nthird line with more words"
+    texts = [copied if i % 3 == 0 else f"menu\nonly {i} {i * i} here\nand {i + 7} {i * 31} there" for i in range(90)]
+    docs = stages.drop_boilerplate_lines(spark, docs_of(spark, texts), None)
+    assert {r["text"] for r in docs.filter("doc_id % 3 = 0").collect()} == {copied}
+    assert docs.filter("text LIKE '%menu%'").isEmpty()
+    assert stages.keep_one_of_a_class(spark, docs, None).filter("doc_id % 3 = 0").select("doc_id").collect() == [(0,)]
