@@ -44,6 +44,30 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that one operator needs on its way; what its result doesn't read goes by clear()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/ledgerloom/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((out, path))
+        return out
+
+    cut = staticmethod(cut)
+
+    def clear(self, keep=()) -> None:
+        """Delete all tables but those in ``keep``."""
+        for df, path in self.kept:
+            if not any(df is x for x in keep):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.kept = [(df, path) for df, path in self.kept if any(df is x for x in keep)]
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, with a broadcast hint if (and only if) it has at most ``rows`` rows. df should be cheap to count."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

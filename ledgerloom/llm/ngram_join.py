@@ -1,290 +1,377 @@
 """N-gram Jaccard join by a token-group matrix: classes of documents that link when their shingle sets are similar.
 
-Sets: distinct w-word shingles (fewer words: the whole sequence), as 64-bit hashes. Two documents link when
-den * |A n B| >= num * |A u B|. The result is the connected components of all links, exactly.
-
-1. One scan makes for each document its number of shingles, a digest of the set, min-hash bands, and its tokens: the
-   hash space is cut into m parts, and what a set has in one part is one token (a part without shingles has none).
-   Linked sets of sizes a <= b differ in at most H shingles, so with m = H + 1 + s parts at least s + 1 agree. H depends
-   on sizes, so they form levels of ratio den / num, and a document has tokens for two levels: its own, where it may be
-   the smaller one, and the next lower, where it may be the larger one. A pair shares at least the tokens of either
-   document less the shingles in which sets of their sizes may differ. A document with more than s empty parts also
-   sends its first n - ceil(num * n / den) + 1 shingles by hash, which partners with as many empty parts must meet.
-   Equal sets become one node.
-2. Groups of similar documents: each node proposes one hub, the least node of its min-hash buckets that comes up most
-   often; exact overlaps decide. Connected nodes are a family; a group is a family's block of at most ``BLOCK``.
-3. Token-group matrix: the union of each group's tokens. Tokens within one family bound nothing and go at once (a min
-   and a max of family by token, combined before the shuffle). A token of more than ``COMMON`` groups is common; common
-   tokens are used only between documents that could share nothing but common ones.
-4. Bound: groups must share as many tokens as the least that any pair of their documents must share. Only pairs of groups that
-   reach it, and whose sizes fit, are opened: their documents meet in one task, where each one's overlap with the other
-   group's shingle union is bounded first, and then pairs are compared until one links (a group is one family already,
-   so one link joins it to the other).
+Sets: distinct w-word shingles (fewer words: the whole sequence), as 64-bit hashes; a shingle is a token. Two documents
+link when den * |A n B| >= num * |A u B|. The result is the connected components of all links, exactly. Equal sets are
+one node. A node of n tokens may miss at most ``allowed`` = n - ceil(num * n / den) of them in any partner.
+
+1. Bound against everything else: all nodes send their tokens in one range of the hash space (a share of 1.45 times what
+   may be missed). A node of which more than ``allowed`` of these occur in no other node links with nothing; mostly nine
+   of ten end here. Only the others' sets are written, once.
+2. Groups of similar documents: in each of a few rounds every node proposes two hubs among the nodes of its min-hash
+   buckets, the one that comes up most often and the one with the fewest tokens of its own; exact overlaps decide, and a
+   node that links with a hub is represented by it from then on. Linked nodes are a group.
+3. Token-group matrix: the tokens of each group. A node whose tokens, but for more than ``allowed``, occur in its own
+   group only is done: first by the tokens of the range, then by all, again while that shuts out many.
+4. Query against group: of a node that is left, the tokens that other groups have too are ordered by how many groups hold
+   them, rarest first. So many of the first must be in the group's union as any partner there shares with it; the
+   sizes must fit, and the tokens that only one of the two sides has may not be more than links allow. Only groups that
+   qualify are opened: their nodes, in blocks of similar numbers of tokens of their own, with the same bounds by block,
+   are compared with the node until one links (a group is linked already, so one is enough).
 5. Components of all links; the class id is the least doc_id.
 
-Nothing is collected; hubs of any number of followers are dealt in parts, groups are blocks, tokens of any frequency
-are counted by partial aggregates.
+Nothing is collected; hubs and blocks with any number of nodes to compare are dealt in parts; tokens of any frequency are
+counted by partial aggregates; no number of partners or candidates is limited.
 
-Nulls and odd values: null texts and texts without words have no shingles and link with nothing (component_id doc_id).
-Repeated rows are equal sets: one class. Rows that share an id with different texts are documents of their own. Very
-long texts are whole. Empty tables give an empty result. Extra columns are ignored.
+Nulls and odd values: null texts and texts without words have no tokens and link with nothing (component_id is doc_id).
+Repeated rows are equal sets: one class. Rows that share an id with different texts are documents of their own. Rows
+without an id take part like others; a class of such rows alone has component_id null. Very long texts are whole. Empty
+tables give an empty result. Extra columns are ignored, but those named in ``carry`` come along.
 """
 
 from __future__ import annotations
 
-import bisect
-import functools
 import hashlib
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ledgerloom.llm.common import SPACE, cut, small, stored, table
+from ledgerloom.llm.common import SPACE, Scratch, small, table
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.pieces import mixed
-
-WIDTH, NUM, DEN = 4, 85, 100
-BANDS, ROWS = 8, 3
-BLOCK, COMMON, FOLLOWERS = 256, 16, 200
+from ledgerloom.llm.shingles import shingle_sets
+
+#: Near duplicates: five words, four fifths. op8's contract has values of its own.
+WIDTH, NUM, DEN = 5, 80, 100
+OP8 = {"width": 4, "num": 85, "den": 100}
+#: Share of the hash space in the first bound, as a multiple of what may be missed.
+RANGE = 1.45
+ROUNDS, BANDS, ROWS = 3, 8, 3
+#: Nodes of one task against a hub or block; nodes of a block; classes of own tokens by which blocks are cut.
+FOLLOWERS, BLOCK, SHADES = 200, 256, 8
+#: Tokens beyond those that may be missed by which a node looks for groups, and most passes over all tokens.
+MORE, PASSES = 4, 4
 
 _U = np.uint64
-_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
-_PERM = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _MULT[0]) | _U(1)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = x = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return x
+def node_of(tokens: np.ndarray) -> int:
+    """The set's 64-bit digest as a signed number."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_WORDS = _WordHash()
+def _set(packed: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(packed.as_buffer(), dtype=np.uint64)
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles; A-Z are lower-cased, words end at ASCII white space only."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
-    w = min(width, len(h))
-    n = len(h) - w + 1
-    x = np.full(n, w, dtype=np.uint64)
-    for j in range(w):
-        x = mixed(x * _MULT[1] + h[j : j + n] + _MULT[2])
-    return np.unique(x)
+def _below(share: float) -> np.uint64:
+    return _U(min(2**64 - 1, int(share * 2**64)))
 
 
-def least_overlap(n, num=NUM, den=DEN):
-    """No set of n tokens links with less overlap than this."""
-    return -(-num * n // den)
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Common elements of sorted arrays without repeats."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
 
 
-def prefix(n, num=NUM, den=DEN):
-    return n - least_overlap(n, num, den) + 1
+def overlaps(x: np.ndarray, tokens: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Common elements of x with each of n sets, given as sorted tokens and the sets that own them."""
+    lo, hi = np.searchsorted(tokens, x), np.searchsorted(tokens, x, "right")
+    many = hi - lo
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+    return np.bincount(owners[at], minlength=n)
 
 
-def _most_apart(level: int, num, den) -> int:
-    """H: linked sets whose smaller one is of this level differ in at most so many shingles."""
-    most = level_starts(num, den)[level + 1] - 1
-    return (most + most * den // num) * (den - num) // (den + num)
+def _allowed(num, den) -> Column:
+    """A node of n tokens may miss at most so many in a partner."""
+    return F.expr(f"n * {den - num} div {den}")
 
 
-@functools.cache
-def level_starts(num=NUM, den=DEN) -> list[int]:
-    """The least size of each level; a set's partners are in its level or the next to it."""
-    out = [1]
-    while out[-1] < 2**40:
-        out.append(max(out[-1] + 1, out[-1] * den // num + 1))
-    return out
+def _apart(num, den, sizes: Column) -> Column:
+    """Linked sets of these sizes in sum differ in at most so many tokens."""
+    return F.floor(sizes * (den - num) / (den + num) + 1e-6)
 
 
-def level_parts(level: int, num=NUM, den=DEN) -> tuple[int, int]:
-    """(m, s): parts of the hash space for links whose smaller set is of this level, and how many agree beyond one; m
-    is 0 if such sets only link when equal."""
-    differ = _most_apart(level, num, den)
-    spare = 1 + -(-differ // 10)
-    return (differ + 1 + spare if differ else 0), spare
+def scan(docs: DataFrame, width: int, share: float, carry=()) -> DataFrame:
+    """(doc_id, carry, n, node, tokens in the range) of docs(doc_id, text)."""
+    limit, k = _below(share), 1 + len(carry)
 
+    def run(batches):
+        for batch in batches:
+            ns, nodes, tokens = [], [], []
+            for x in shingle_sets(batch.column(k), width):
+                ns.append(len(x))
+                nodes.append(node_of(x) if len(x) else None)
+                tokens.append(x[: np.searchsorted(x, limit)].view(np.int64))
+            lengths = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:k], pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), lists], names=[*batch.schema.names[:k], "n", "node", "tokens"]
+            )
 
-def _tagged(x: np.ndarray, tag: np.ndarray | int, level: int) -> np.ndarray:
-    return mixed(x * _MULT[3] + mixed(np.atleast_1d(np.asarray(tag, dtype=np.uint64)) * _MULT[2] + _U(level + 1))).view(np.int64)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{schema}, n long, node long, tokens array<long>")
 
 
-def tokens_of(x: np.ndarray, num=NUM, den=DEN) -> list[tuple[int, int, np.ndarray]]:
-    """(level, number of parts that aren't empty, tokens) of a set for the levels in which it may link."""
-    n, out = len(x), []
-    own = bisect.bisect_right(level_starts(num, den), n) - 1
-    for level in (own - 1, own):
-        m, spare = level_parts(level, num, den) if level >= 0 else (0, 0)
-        if not m or (level < own and (level_starts(num, den)[own] - 1) * den < n * num):
-            continue
-        part = ((x >> _U(32)) * _U(m)) >> _U(32)
-        start = np.flatnonzero(np.diff(part, prepend=_U(m)))
-        tokens = _tagged(np.add.reduceat(x, start), part[start], level)
-        if m - len(start) > spare:
-            tokens = np.concatenate([tokens, _tagged(x[: prefix(n, num, den)], m, level)])
-        out.append((level, len(start), tokens))
-    return out
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """wanted(node, first_id, n, own) with the packed set of each node, from the texts of its first document."""
 
+    def run(batches):
+        for batch in batches:
+            keep, packed = [], []
+            for i, (node, x) in enumerate(zip(batch.column(0).to_pylist(), shingle_sets(batch.column(3), width), strict=True)):
+                if len(x) and node_of(x) == node:  # else another document of the same id
+                    keep.append(i)
+                    packed.append(x.tobytes())
+            own = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(packed, pa.binary())], names=["node", "n", "own", "x"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    rows = texts.join(small(wanted), F.col("_id").eqNullSafe(F.col("first_id")))
+    return rows.select("node", "n", "own", "text").mapInArrow(run, "node long, n long, own long, x binary")
 
-def node_of(tokens: np.ndarray) -> int:
-    """The set's 64-bit digest as a signed number."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
+# groups by hubs
 
-def _bands(tokens: np.ndarray) -> list[int]:
-    low = np.full(len(_PERM), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(tokens), 20_000):
-        low = np.minimum(low, mixed(tokens[None, i : i + 20_000] * _PERM[:, None]).min(axis=1))
-    out = np.arange(BANDS, dtype=np.uint64)
+
+def _band_keys(x: np.ndarray, turn: int) -> list[int]:
+    seeds = mixed(np.arange(turn * BANDS * ROWS + 1, (turn + 1) * BANDS * ROWS + 1, dtype=np.uint64)) | _U(1)
+    low = np.full(len(seeds), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(x), 20_000):
+        low = np.minimum(low, mixed(x[None, i : i + 20_000] * seeds[:, None]).min(axis=1))
+    out = mixed(np.arange(BANDS, dtype=np.uint64) + _U(turn * BANDS))
     for row in low.reshape(BANDS, ROWS).T:
-        out = mixed(out * _MULT[3] + row)
+        out = mixed(out * _U(0x9E3779B97F4A7C15) + row)
     return out.view(np.int64).tolist()
 
 
-LEVELS = pa.list_(pa.struct([("level", pa.int32()), ("parts", pa.int32()), ("tokens", pa.list_(pa.int64()))]))
+def _buckets(sets: DataFrame, turn: int) -> DataFrame:
+    """(node, rank, key): a node's min-hash buckets; rank orders nodes by their share of own tokens."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [k for x in batch.column(2) for k in _band_keys(_set(x), turn)]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.int64())], names=["node", "rank", "key"])
+
+    return sets.select("node", F.expr("own * 1000 div n").alias("rank"), "x").mapInArrow(run, "node long, rank long, key long")
+
 
+def _dealt(pairs: DataFrame, by: str, many: int) -> tuple[DataFrame, DataFrame]:
+    """pairs(node, by) with a part of at most about ``many`` rows, and (by, part) for all parts."""
+    counts = pairs.groupBy(by).agg(F.ceil(F.count("*") / many).cast("int").alias("parts"))
+    dealt = pairs.join(small(counts), by).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    return dealt, counts.select(by, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
-def scan(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame:
-    """(doc_id, n, node, bands, levels) of docs(doc_id, text)."""
+
+def follow_hubs(sets: DataFrame, turn: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of nodes a to hubs b, verified, over sets(node, n, own, x)."""
+    buckets = scratch.stored(_buckets(sets, turn))
+    hubs = buckets.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    votes = buckets.join(hubs, "key").filter("hub.node <> node").groupBy("node", "hub").agg(F.count("*").alias("c"))
+    best = votes.groupBy("node").agg(F.min("hub").alias("least"), F.min_by("hub", F.struct(-F.col("c"), "hub")).alias("most"))
+    pairs = scratch.cut(best.select("node", F.explode(F.array_distinct(F.array("least.node", "most.node"))).alias("hub")))
+    dealt, parts = _dealt(pairs, "hub", FOLLOWERS)
+
+    def run(left, right):
+        hub, out = {}, []
+        for b, y in zip(right.column("hub").to_pylist(), right.column("y"), strict=True):
+            hub[b] = _set(y)
+        for a, b, x in zip(left.column("node").to_pylist(), left.column("hub").to_pylist(), left.column("x"), strict=True):
+            x, y = _set(x), hub[b]
+            if min(len(x), len(y)) * den >= max(len(x), len(y)) * num:
+                both = overlap(x, y)
+                if den * both >= num * (len(x) + len(y) - both):
+                    out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    x = sets.select("node", "x")
+    left = x.join(small(dealt), "node").select("hub", "part", "node", "x")
+    right = sets.select(F.col("node").alias("hub"), F.col("x").alias("y")).join(small(parts), "hub").select("hub", "part", "y")
+    return scratch.cut(left.groupBy("hub", "part").cogroup(right.groupBy("hub", "part")).applyInArrow(run, "a long, b long"))
+
+
+# the token-group matrix
+
+
+def tokens_of(members: DataFrame, share: float | None) -> DataFrame:
+    """(token, node, family) of members(node, family, x), for the tokens of the range or all."""
+    limit = None if share is None else _below(share)
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                b = batch.slice(i, 1000)
-                ns, nodes, bands, levels = [], [], [], []
-                for t in b.column(1):
-                    x = shingles(t.as_py(), width)
-                    ns.append(len(x))
-                    nodes.append(node_of(x) if len(x) else 0)
-                    bands.append(_bands(x) if len(x) else [])
-                    levels.append([{"level": k, "parts": d, "tokens": v} for k, d, v in tokens_of(x, num, den)] if len(x) else [])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(levels, LEVELS)],
-                    names=["doc_id", "n", "node", "bands", "levels"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n long, node long, bands array<long>, levels array<struct<level: int, parts: int, tokens: array<long>>>"
-    )
+            for i in range(0, batch.num_rows, 200):
+                b = batch.slice(i, 200)
+                sets = [_set(x) for x in b.column(2)]
+                sets = sets if limit is None else [x[: np.searchsorted(x, limit)] for x in sets]
+                at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+                tokens = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), b.column(0).take(at), b.column(1).take(at)], names=["token", "node", "family"])
 
+    return members.select("node", "family", "x").mapInArrow(run, "token long, node long, family long")
 
-def _texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (with node) with the text of each node's first document."""
-    where = wanted.join(sets.select("node", F.col("first_id").alias("doc_id")), "node")
-    return docs.select(F.col("doc_id").cast("long"), "text").join(small(where), "doc_id")
-
-
-def compare(docs: DataFrame, sets: DataFrame, roles: DataFrame, first_only: bool, width=WIDTH, num=NUM, den=DEN) -> DataFrame:
-    """Links (a, b) between sides 0 and 1 of each task in roles(task, side, node); of each task the first one, or all."""
-
-    def links(pdf):
-        sides, out = ({}, {}), []
-        for side, node, text in zip(pdf["side"], pdf["node"], pdf["text"], strict=True):
-            if node not in sides[side]:
-                x = shingles(text, width)
-                if node_of(x) == node:  # else another document of the same id
-                    sides[side][node] = x
-        if sides[0] and sides[1]:
-            union = [reduce(np.union1d, s.values()) if len(s) < 8 else np.unique(np.concatenate(list(s.values()))) for s in sides]
-            able = [
-                {k: x for k, x in sides[s].items() if len(np.intersect1d(x, union[1 - s], assume_unique=True)) >= least_overlap(len(x), num, den)} for s in (0, 1)
-            ]
-            for a, x in able[0].items():
-                for b, y in able[1].items():
-                    if min(len(x), len(y)) * den >= max(len(x), len(y)) * num:
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if den * both >= num * (len(x) + len(y) - both):
-                            out.append((a, b))
-                            if first_only:
-                                return pd.DataFrame(out, columns=["a", "b"])
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    rows = _texts_of(docs, sets, roles)
-    return rows.select("task", "side", "node", "text").groupBy("task").applyInPandas(links, "a long, b long")
-
-
-def classes(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
-    seen = stored(scan(docs, width, num, den))
-    sets = stored(seen.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
-    nodes = seen.join(small(sets.select("node", F.col("first_id").alias("doc_id"))), ["node", "doc_id"], "left_semi")
-
-    # families by hubs
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    hubs = buckets.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    votes = buckets.join(hubs, ["band", "key"]).filter("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("c"))
-    pairs = cut(votes.groupBy("node").agg(F.max(F.struct("c", F.col("hub"))).alias("best")).select("node", F.col("best.hub").alias("hub")))
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts"))
-    followers = pairs.join(small(parts), "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("task"), F.lit(0).alias("side"), "node")
-    leaders = parts.select(F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.xxhash64("node", "part").alias("task"), F.lit(1).alias("side"), "node")
-    near = cut(compare(docs, sets, followers.unionByName(leaders), False, width, num, den))
-    family = cut(connected_components(near))
-    sized = family.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = family.join(sized, "component").select("node", F.col("component").alias("family"), F.when(F.col("members") <= BLOCK, F.col("component")).otherwise(F.xxhash64("component", F.pmod(F.xxhash64(F.lit(1), "node"), blocks))).alias("grp"))
-    member = stored(
-        sets.select("node", "n").join(placed, "node", "left")
-        .select("node", "n", F.coalesce("family", "node").alias("family"), F.coalesce("grp", "node").alias("grp"))
-    )
 
-    # the token-group matrix
-    sent = nodes.select("node", F.inline("levels")).join(small(member), "node").select("node", "n", "family", "grp", "level", "parts", F.explode("tokens").alias("token"))
-    shared = stored(sent.groupBy("token").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("token"))
-    posted = stored(sent.join(small(shared), "token"))
-    groups = posted.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("c"))
-    common = cut(groups.filter(F.col("c") > COMMON).select("token", F.lit(1).alias("common")))
-    marked = posted.join(small(common), "token", "left").withColumn("common", F.coalesce("common", F.lit(0)))
-    state = marked.groupBy("node", "level").agg(*[F.first(c).alias(c) for c in ("n", "grp", "parts")], F.sum("common").alias("commons"))
-    state = cut(state.withColumn("rest", F.col("parts") - F.col("commons")))
-
-    # groups that may hold a link
-    bounds = cut(state.groupBy("grp", "level").agg(F.min("rest").alias("least"), F.min("n").alias("lo"), F.max("n").alias("hi")))
-    most = F.element_at(F.array(*[F.lit(_most_apart(k, num, den)) for k in range(len(level_starts(num, den)) - 1)]), F.col("level") + 1)
-    common_only = state.filter(F.col("rest") <= most).select("node", "level")
-    usable = marked.filter("common = 0").unionByName(marked.filter("common = 1").join(small(common_only), ["node", "level"], "left_semi"))
-    matrix = cut(usable.select("token", "level", "family", "grp").distinct().join(small(bounds), ["grp", "level"]))
-    left, right = matrix.alias("l"), matrix.alias("r")
-    fits = (F.col("l.hi") * den >= F.col("r.lo") * num) & (F.col("r.hi") * den >= F.col("l.lo") * num)
-    met = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.grp") < F.col("r.grp")) & (F.col("l.family") != F.col("r.family")) & fits)
-    apart = F.floor((F.col("l.hi") + F.col("r.hi")) * (den - num) / (den + num))
-    opened = cut(
-        met.groupBy(F.col("l.grp").alias("g"), F.col("r.grp").alias("h"), F.col("l.level").alias("level"))
-        .agg(F.count("*").alias("c"), F.max(F.greatest("l.least", "r.least") - apart).alias("least")).filter("c >= least")
-        .select("g", "h", F.xxhash64("g", "h").alias("task")).distinct()
-    )
-    inside = state.select("node", "grp").distinct()
-    roles = [opened.select("task", F.lit(s).alias("side"), F.col(c).alias("grp")).join(inside, "grp").select("task", "side", "node") for s, c in ((0, "g"), (1, "h"))]
-    far = compare(docs, sets, roles[0].unionByName(roles[1]), True, width, num, den)
+def _spanning(tokens: DataFrame) -> DataFrame:
+    """Tokens that more than one group has."""
+    return tokens.groupBy("token").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("token", F.lit(1).alias("shared"))
+
+
+def still_open(members: DataFrame, share: float | None, num: int, den: int) -> DataFrame:
+    """(node, n, family) of the members whose tokens occur in other groups, but for at most those that may be missed."""
+    tokens = tokens_of(members, share)
+    own = tokens.join(_spanning(tokens), "token", "left").groupBy("node").agg((F.count("*") - F.count("shared")).alias("missing"))
+    return members.select("node", "n", "family").join(own, "node", "left").filter(F.coalesce("missing", F.lit(0)) <= _allowed(num, den)).drop("missing")
+
 
-    # classes by least doc_id
-    found = cut(connected_components(near.unionByName(cut(far))))
-    ids = found.join(sets.select("node", "first_id"), "node")
-    least = ids.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = sets.select("node", "first_id").join(found, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = seen.select("doc_id", "n", "node").join(small(known), "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+def open_groups(members: DataFrame, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(opened(node, n, own, grp), state(node, n, own, family)) for members(node, n, family, x)."""
+    tokens = tokens_of(members, None)
+    spread = scratch.stored(tokens.join(_spanning(tokens), "token").drop("shared"))
+    own = F.col("n") - F.col("c")
+    state = scratch.stored(
+        members.select("node", "n", "family").join(spread.groupBy("node").agg(F.count("*").alias("c")), "node")
+        .select("node", "n", "family", own.alias("own"), "c").filter(F.col("own") <= _allowed(num, den))
+    )
+    bounds = state.groupBy("family").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("least"))
+    matrix = spread.select("token", "family").distinct()
+    rare = matrix.groupBy("token").agg(F.count("*").alias("groups"))
+    spare = _allowed(num, den) - F.col("own")
+    order = F.row_number().over(W.partitionBy("node").orderBy("groups", "token"))
+    asked = (
+        spread.drop("family").join(state, "node").join(rare, "token").withColumn("r", order).filter(F.col("r") <= spare + MORE)
+        .select("token", "node", "n", "own", "family", (F.least("c", spare + MORE) - spare).alias("need"))
+    )
+    groups = matrix.join(bounds, "family").select(F.col("token").alias("held"), F.col("family").alias("grp"), "lo", "hi", "least")
+    met = asked.join(groups, (F.col("token") == F.col("held")) & (F.col("grp") != F.col("family")) & _fits(num, den))
+    opened = met.groupBy("node", "n", "own", "grp", "need").agg(F.count("*").alias("c")).filter("c >= need").select("node", "n", "own", "grp")
+    return scratch.cut(opened), state
+
+
+def _fits(num: int, den: int) -> Column:
+    """A node (n, own) may link with a node of at least its size among those within lo, hi and least."""
+    return (F.col("hi") >= F.col("n")) & (F.col("lo") * num <= F.col("n") * den) & (F.col("own") + F.col("least") <= _apart(num, den, F.col("n") + F.least("hi", F.col("n") * den / num)))
+
+
+def compare(sets: DataFrame, opened: DataFrame, state: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between nodes and the groups opened for them, one for each block at most."""
+    wanted = state.join(small(opened.select(F.col("grp").alias("family")).distinct()), "family", "left_semi")
+    shade = F.expr(f"own * {SHADES} div (n * {den - num} div {den} + 1)")
+    shaded = wanted.withColumn("shade", shade)
+    sized = shaded.groupBy("family", "shade").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = shaded.join(small(sized), ["family", "shade"]).withColumn("block", F.xxhash64("family", "shade", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    placed = scratch.stored(placed.select("node", "n", "own", "family", "block"))
+    blocks = placed.groupBy("block").agg(F.first("family").alias("grp"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("least"))
+    pairs = scratch.stored(opened.join(blocks, "grp").filter(_fits(num, den)).select("node", "block"))
+    dealt, parts = _dealt(pairs, "block", FOLLOWERS)
+
+    def run(left, right):
+        out = []
+        if left.num_rows and right.num_rows:
+            nodes, members = right.column("member").to_pylist(), [_set(y) for y in right.column("y")]
+            sizes = np.array([len(y) for y in members])
+            tokens, owners = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owners = tokens[order], owners[order]
+            for a, x in zip(left.column("node").to_pylist(), left.column("x"), strict=True):
+                x = _set(x)
+                both = overlaps(x, tokens, owners, len(members))
+                hit = np.flatnonzero(den * both >= num * (len(x) + sizes - both))
+                if len(hit):
+                    out.append((a, nodes[hit[0]]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    x = sets.select("node", "x")
+    left = x.join(small(dealt), "node").select("block", "part", "node", "x")
+    held = placed.select(F.col("node").alias("member"), "block").join(small(parts), "block")
+    right = sets.select(F.col("node").alias("member"), F.col("x").alias("y")).join(small(held), "member").select("block", "part", "member", "y")
+    return scratch.cut(left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, "a long, b long"))
+
+
+def links(docs: DataFrame, seen: DataFrame, sets: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(node, class) for every node that links with another one; class is the least node of the component."""
+    share = min(1.0, RANGE * (den - num) / den)
+    able = F.col("n") * (den - num) >= num  # smaller sets link with equal ones only
+    sent = seen.filter(able).select("node", F.explode("tokens").alias("token"))
+    lone = sent.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("hi")).filter("node = hi").groupBy("node").agg(F.count("*").alias("own"))
+    alive = scratch.stored(
+        sets.filter(able).join(lone, "node", "left").select("node", "first_id", "n", F.coalesce("own", F.lit(0)).alias("own")).filter(F.col("own") <= _allowed(num, den))
+    )
+    packed = scratch.stored(sets_of(docs, alive, width))
+    if packed.count() > alive.count():  # rows that share an id and a text
+        packed = scratch.stored(packed.dropDuplicates(["node"]))
+
+    near, rest, left = None, packed, packed.count()
+    for turn in range(ROUNDS):
+        found = follow_hubs(rest, turn, num, den, scratch)
+        near = found if near is None else near.unionByName(found)
+        gone = scratch.cut(near.select(F.col("a").alias("node")).distinct())
+        rest = packed.join(small(gone), "node", "left_anti")
+        now = packed.count() - gone.count()
+        if left - now <= left // 100:
+            break
+        left = now
+    family = scratch.cut(connected_components(near))
+
+    def members(chosen: DataFrame) -> DataFrame:
+        return packed.select("node", "x").join(small(chosen), "node")
+
+    chosen = scratch.stored(packed.select("node", "n").join(small(family.withColumnRenamed("component", "family")), "node", "left").withColumn("family", F.coalesce("family", "node")))
+    many = chosen.count()
+    for turn in range(PASSES if many else 0):
+        chosen = scratch.stored(still_open(members(chosen), None if turn else share, num, den))
+        before, many = many, chosen.count()
+        if not many or turn and many > before * 0.9:
+            break
+    out = family
+    if many:
+        opened, state = open_groups(members(chosen), num, den, scratch)
+        far = compare(packed, opened, state, num, den, scratch)
+        # links between groups, by the groups' own names
+        named = far
+        for end in ("a", "b"):
+            named = named.join(small(state.select(F.col("node").alias(end), F.col("family").alias(f"{end}_"))), end)
+        joined = scratch.cut(connected_components(named.select(F.col("a_").alias("a"), F.col("b_").alias("b"))))
+        alone = joined.select("node", F.col("node").alias("component")).join(small(family), "node", "left_anti")
+        out = family.unionByName(alone).join(small(joined.select(F.col("node").alias("component"), F.col("component").alias("to"))), "component", "left")
+        out = out.select("node", F.coalesce("to", "component").alias("component"))
+    return scratch.stored(out.withColumnRenamed("component", "class"))
+
+
+def classes(docs: DataFrame, width=WIDTH, num=NUM, den=DEN, carry=()) -> DataFrame:
+    """doc_id, carry, n_shingles, component_id, class for every row of docs(doc_id, text). class, a number, tells classes
+    apart even where doc_ids don't; it is null for rows without words."""
+    scratch = Scratch(docs.sparkSession)
+    seen = scratch.stored(scan(docs, width, min(1.0, RANGE * (den - num) / den), carry))
+    sets = scratch.stored(seen.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.count("*").alias("rows")))
+    linked = links(docs, seen, sets, width, num, den, scratch)
+    least = linked.join(sets.select("node", "first_id"), "node").groupBy("class").agg(F.min("first_id").alias("component_id"))
+    more = linked.join(least, "class").select("node", "class", "component_id")
+    same = sets.filter("rows > 1").join(small(linked.select("node")), "node", "left_anti").select("node", F.col("node").alias("class"), F.col("first_id").alias("component_id"))
+    known = scratch.stored(more.unionByName(same))
+    out = seen.drop("tokens").join(small(known), "node", "left")
+    scratch.clear(keep=(seen, known))
+    one = F.col("class").isNull()
+    return out.select(
+        "doc_id", *carry, F.col("n").alias("n_shingles"), F.when(one, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("class", "node").alias("class")
+    )
 
 
 def op8(spark, sf_dir):
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"), **OP8).drop("class")
 
 
 OP8_SQL = rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{SPACE}]+') AS w FROM documents),
-sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 2}, least(len(w), 1) + 1))) AS i FROM words)),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {OP8["width"] - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {OP8["width"] - 2}, least(len(w), 1) + 1))) AS i FROM words)),
 sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM inter JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE {DEN} * c >= {NUM} * (x.n + y.n - c)),
+links AS (SELECT a, b FROM inter JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE {OP8["den"]} * c >= {OP8["num"]} * (x.n + y.n - c)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.b)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
