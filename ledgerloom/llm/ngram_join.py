@@ -49,6 +49,7 @@ OP8 = {"width": 4, "num": 85, "den": 100}
 #: Share of the hash space in the first bound, as a multiple of what may be missed.
 RANGE = 1.45
 ROUNDS, BANDS, ROWS = 3, 8, 3
+PIVOT_BANDS, PIVOT_ROWS = 16, 2
 #: Nodes of one task against a hub or block; nodes of a block; classes of own tokens by which blocks are cut.
 FOLLOWERS, BLOCK, SHADES = 200, 256, 8
 #: Tokens beyond those that may be missed by which a node looks for groups, and most passes over all tokens.
@@ -90,11 +91,6 @@ def _allowed(num, den) -> Column:
     return F.expr(f"n * {den - num} div {den}")
 
 
-def _apart(num, den, sizes: Column) -> Column:
-    """Linked sets of these sizes in sum differ in at most so many tokens."""
-    return F.floor(sizes * (den - num) / (den + num) + 1e-6)
-
-
 def scan(docs: DataFrame, width: int, share: float, carry=()) -> DataFrame:
     """(doc_id, carry, n, node, tokens in the range) of docs(doc_id, text)."""
     limit, k = _below(share), 1 + len(carry)
@@ -138,24 +134,24 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 # groups by hubs
 
 
-def _band_keys(x: np.ndarray, turn: int) -> list[int]:
-    seeds = mixed(np.arange(turn * BANDS * ROWS + 1, (turn + 1) * BANDS * ROWS + 1, dtype=np.uint64)) | _U(1)
+def _band_keys(x: np.ndarray, turn: int, bands: int, rows: int) -> list[int]:
+    seeds = mixed(np.arange(bands * rows, dtype=np.uint64) + _U(turn * 1000 + 1)) | _U(1)
     low = np.full(len(seeds), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(x), 20_000):
         low = np.minimum(low, mixed(x[None, i : i + 20_000] * seeds[:, None]).min(axis=1))
-    out = mixed(np.arange(BANDS, dtype=np.uint64) + _U(turn * BANDS))
-    for row in low.reshape(BANDS, ROWS).T:
+    out = mixed(np.arange(bands, dtype=np.uint64) + _U(turn * 1000))
+    for row in low.reshape(bands, rows).T:
         out = mixed(out * _U(0x9E3779B97F4A7C15) + row)
     return out.view(np.int64).tolist()
 
 
-def _buckets(sets: DataFrame, turn: int) -> DataFrame:
+def _buckets(sets: DataFrame, turn: int, bands=BANDS, rows=ROWS) -> DataFrame:
     """(node, rank, key): a node's min-hash buckets; rank orders nodes by their share of own tokens."""
 
     def run(batches):
         for batch in batches:
-            keys = [k for x in batch.column(2) for k in _band_keys(_set(x), turn)]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+            keys = [k for x in batch.column(2) for k in _band_keys(_set(x), turn, bands, rows)]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), bands))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.int64())], names=["node", "rank", "key"])
 
     return sets.select("node", F.expr("own * 1000 div n").alias("rank"), "x").mapInArrow(run, "node long, rank long, key long")
@@ -227,45 +223,74 @@ def still_open(members: DataFrame, share: float | None, num: int, den: int) -> D
     return members.select("node", "n", "family").join(own, "node", "left").filter(F.coalesce("missing", F.lit(0)) <= _allowed(num, den)).drop("missing")
 
 
-def open_groups(members: DataFrame, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(opened(node, n, own, grp), state(node, n, own, family)) for members(node, n, family, x)."""
-    tokens = tokens_of(members, None)
-    spread = scratch.stored(tokens.join(_spanning(tokens), "token").drop("shared"))
-    own = F.col("n") - F.col("c")
-    state = scratch.stored(
-        members.select("node", "n", "family").join(spread.groupBy("node").agg(F.count("*").alias("c")), "node")
-        .select("node", "n", "family", own.alias("own"), "c").filter(F.col("own") <= _allowed(num, den))
+def differences(sets: DataFrame, chosen: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """chosen(node, n, family) with its pivot, the pivot's size, whether both link (near), and diff, the tokens that only
+    one of them has, hashed with the pivot and the side."""
+    own = sets.join(small(chosen.select("node")), "node", "left_semi")
+    buckets = scratch.stored(_buckets(own, ROUNDS, PIVOT_BANDS, PIVOT_ROWS))
+    hubs = buckets.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("hub"))
+    pivots = scratch.cut(buckets.join(hubs, "key").groupBy("node").agg(F.min("hub").alias("hub")).select("node", F.col("hub.node").alias("hub")))
+    dealt, parts = _dealt(pivots, "hub", FOLLOWERS)
+    fields = [("node", pa.int64()), ("hub", pa.int64()), ("hub_n", pa.int64()), ("near", pa.bool_()), ("diff", pa.list_(pa.int64()))]
+
+    def run(left, right):
+        hub = {b: _set(y) for b, y in zip(right.column("hub").to_pylist(), right.column("y"), strict=True)}
+        rows = []
+        for a, b, x in zip(left.column("node").to_pylist(), left.column("hub").to_pylist(), left.column("x"), strict=True):
+            x, y = _set(x), hub[b]
+            sides = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+            both = len(x) - len(sides[0])
+            pivot = np.array([b], dtype=np.int64).view(np.uint64)
+            diff = [mixed(side + mixed(pivot + _U(i)) * _U(0x9E3779B97F4A7C15)) for i, side in enumerate(sides)]
+            rows.append((a, b, len(y), den * both >= num * (len(x) + len(y) - both), np.concatenate(diff).view(np.int64)))
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(fields, columns, strict=True)})
+
+    left = sets.select("node", "x").join(small(dealt), "node").select("hub", "part", "node", "x")
+    right = sets.select(F.col("node").alias("hub"), F.col("x").alias("y")).join(small(parts), "hub").select("hub", "part", "y")
+    found = left.groupBy("hub", "part").cogroup(right.groupBy("hub", "part")).applyInArrow(run, "node long, hub long, hub_n long, near boolean, diff array<long>")
+    return scratch.stored(found.join(small(chosen), "node").withColumnRenamed("hub", "pivot"))
+
+
+def in_blocks(differing: DataFrame, scratch: Scratch) -> DataFrame:
+    """differing without diff, with d, the number of differences, and block: nodes of one family and pivot, of about the
+    same share of differences."""
+    shaded = differing.withColumn("d", F.size("diff").cast("long")).drop("diff").withColumn("shade", F.expr(f"least(d * {2 * SHADES} div (n + 1), {SHADES})"))
+    keys = ["pivot", "family", "shade"]
+    sized = shaded.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.xxhash64(*keys, F.pmod(F.xxhash64("node"), F.col("blocks")))
+    return scratch.stored(shaded.join(small(sized), keys).withColumn("block", block).drop("shade", "blocks"))
+
+
+def open_blocks(tokens: DataFrame, nodes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(node, block): the blocks that a node of nodes(node, n, size, rank, may_miss, family, side, block) must be compared
+    with, by tokens(token, node, family), where family is the nodes' side: only blocks of other sides count.
+
+    Of a node's ``size`` tokens at most may_miss are missing in a partner of at least its rank."""
+    spread = scratch.stored(tokens.join(_spanning(tokens), "token").select("token", "node"))
+    held = spread.groupBy("node").agg(F.count("*").alias("c"))
+    state = scratch.stored(nodes.join(held, "node", "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("own", F.col("size") - F.col("c")))
+    bounds = state.groupBy("block").agg(
+        F.first("family").alias("family_"), F.first("side").alias("side_"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("least"), F.max("rank").alias("top")
     )
-    bounds = state.groupBy("family").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("least"))
-    matrix = spread.select("token", "family").distinct()
+    matrix = scratch.stored(spread.join(small(state.select("node", "block")), "node").select("token", "block").distinct())
     rare = matrix.groupBy("token").agg(F.count("*").alias("groups"))
-    spare = _allowed(num, den) - F.col("own")
+    spare = F.col("may_miss") - F.col("own")
     order = F.row_number().over(W.partitionBy("node").orderBy("groups", "token"))
     asked = (
-        spread.drop("family").join(state, "node").join(rare, "token").withColumn("r", order).filter(F.col("r") <= spare + MORE)
-        .select("token", "node", "n", "own", "family", (F.least("c", spare + MORE) - spare).alias("need"))
+        spread.join(small(state.filter(spare >= 0)), "node").join(rare, "token").withColumn("r", order).filter(F.col("r") <= spare + MORE)
+        .select("token", "node", "n", "rank", "own", "family", "side", (F.least("c", spare + MORE) - spare).alias("need"))
     )
-    groups = matrix.join(bounds, "family").select(F.col("token").alias("held"), F.col("family").alias("grp"), "lo", "hi", "least")
-    met = asked.join(groups, (F.col("token") == F.col("held")) & (F.col("grp") != F.col("family")) & _fits(num, den))
-    opened = met.groupBy("node", "n", "own", "grp", "need").agg(F.count("*").alias("c")).filter("c >= need").select("node", "n", "own", "grp")
-    return scratch.cut(opened), state
-
-
-def _fits(num: int, den: int) -> Column:
-    """A node (n, own) may link with a node of at least its size among those within lo, hi and least."""
-    return (F.col("hi") >= F.col("n")) & (F.col("lo") * num <= F.col("n") * den) & (F.col("own") + F.col("least") <= _apart(num, den, F.col("n") + F.least("hi", F.col("n") * den / num)))
-
-
-def compare(sets: DataFrame, opened: DataFrame, state: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between nodes and the groups opened for them, one for each block at most."""
-    wanted = state.join(small(opened.select(F.col("grp").alias("family")).distinct()), "family", "left_semi")
-    shade = F.expr(f"own * {SHADES} div (n * {den - num} div {den} + 1)")
-    shaded = wanted.withColumn("shade", shade)
-    sized = shaded.groupBy("family", "shade").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = shaded.join(small(sized), ["family", "shade"]).withColumn("block", F.xxhash64("family", "shade", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    placed = scratch.stored(placed.select("node", "n", "own", "family", "block"))
-    blocks = placed.groupBy("block").agg(F.first("family").alias("grp"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("least"))
-    pairs = scratch.stored(opened.join(blocks, "grp").filter(_fits(num, den)).select("node", "block"))
+    groups = matrix.join(small(bounds), "block").withColumnRenamed("token", "held")
+    most = F.floor((F.col("n") + F.least("hi", F.col("n") * den / num)) * (den - num) / (den + num) + 1e-6)
+    sizes = (F.col("top") >= F.col("rank")) & (F.col("lo") * num <= F.col("n") * den) & (F.col("hi") * den >= F.col("n") * num)
+    others = (F.col("family") != F.col("family_")) & (F.col("side") != F.col("side_"))
+    met = asked.join(groups, (F.col("token") == F.col("held")) & others & sizes & (F.col("own") + F.col("least") <= most))
+    return scratch.cut(met.groupBy("node", "block", "need").agg(F.count("*").alias("c")).filter("c >= need").select("node", "block"))
+
+
+def compare(sets: DataFrame, pairs: DataFrame, placed: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between nodes and the blocks opened for them, one for each block at most."""
     dealt, parts = _dealt(pairs, "block", FOLLOWERS)
 
     def run(left, right):
@@ -284,13 +309,36 @@ def compare(sets: DataFrame, opened: DataFrame, state: DataFrame, num: int, den:
                     out.append((a, nodes[hit[0]]))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    x = sets.select("node", "x")
-    left = x.join(small(dealt), "node").select("block", "part", "node", "x")
-    held = placed.select(F.col("node").alias("member"), "block").join(small(parts), "block")
+    left = sets.select("node", "x").join(small(dealt), "node").select("block", "part", "node", "x")
+    held = scratch.cut(placed.select(F.col("node").alias("member"), "block").join(small(parts), "block"))
     right = sets.select(F.col("node").alias("member"), F.col("x").alias("y")).join(small(held), "member").select("block", "part", "member", "y")
     return scratch.cut(left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, "a long, b long"))
 
 
+def links_between(packed: DataFrame, chosen: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between different families of chosen(node, n, family)."""
+    theta = (den - num) / (den + num)
+    differing = differences(packed, chosen, num, den, scratch)
+    placed = in_blocks(differing, scratch)
+    # nodes of one pivot, by their differences from it: of two that link and don't both link with the pivot, the one
+    # with fewer differences shares at least so many of them
+    common = F.when(F.col("near"), (F.col("d") + (F.col("hub_n") - F.col("n")) * theta) / 2).otherwise(F.col("d") - F.col("n") * (theta * (1 + den / num) / 2))
+    shared = F.greatest(F.ceil(common - 1e-6), F.lit(1))
+    nodes = placed.select("node", "n", F.col("d").alias("size"), F.col("d").alias("rank"), (F.col("d") - shared).alias("may_miss"), "family", F.col("node").alias("side"), "block")
+    tokens = differing.select(F.explode("diff").alias("token"), "node", "family")
+    opened = open_blocks(tokens, nodes, num, den, scratch)
+    # nodes of different pivots, by their tokens
+    apart = placed.select("node", "n", F.col("pivot").alias("family"))
+    for turn in range(2):
+        apart = scratch.stored(still_open(packed.select("node", "x").join(small(apart), "node"), None, num, den))
+    chosen_again = placed.join(small(apart.select("node")), "node", "left_semi")
+    nodes = chosen_again.select("node", "n", F.col("n").alias("size"), F.col("n").alias("rank"), _allowed(num, den).alias("may_miss"), "family", F.col("pivot").alias("side"), "block")
+    tokens = tokens_of(packed.select("node", "x").join(small(apart.select("node", "family")), "node"), None)
+    opened = opened.unionByName(open_blocks(tokens, nodes, num, den, scratch)).distinct()
+    far = compare(packed, scratch.cut(opened), placed, num, den, scratch)
+    return far.unionByName(placed.filter("near AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+
+
 def links(docs: DataFrame, seen: DataFrame, sets: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """(node, class) for every node that links with another one; class is the least node of the component."""
     share = min(1.0, RANGE * (den - num) / den)
@@ -328,12 +376,9 @@ def links(docs: DataFrame, seen: DataFrame, sets: DataFrame, width: int, num: in
             break
     out = family
     if many:
-        opened, state = open_groups(members(chosen), num, den, scratch)
-        far = compare(packed, opened, state, num, den, scratch)
-        # links between groups, by the groups' own names
-        named = far
+        named = scratch.cut(links_between(packed, chosen, num, den, scratch))  # then by the names of families
         for end in ("a", "b"):
-            named = named.join(small(state.select(F.col("node").alias(end), F.col("family").alias(f"{end}_"))), end)
+            named = named.join(small(chosen.select(F.col("node").alias(end), F.col("family").alias(f"{end}_"))), end)
         joined = scratch.cut(connected_components(named.select(F.col("a_").alias("a"), F.col("b_").alias("b"))))
         alone = joined.select("node", F.col("node").alias("component")).join(small(family), "node", "left_anti")
         out = family.unionByName(alone).join(small(joined.select(F.col("node").alias("component"), F.col("component").alias("to"))), "component", "left")
