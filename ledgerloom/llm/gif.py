@@ -10,7 +10,9 @@ Frames are rendered as RGBA after palettes, transparency and disposal, and store
 histogram of 64 bins (two bits of each channel; transparent pixels don't count).
 
 The query stores each text as a GIF of 192 columns whose palette indices are the text's bytes, padded by spaces to
-full rows, at most ``ROWS`` rows a frame; equal texts give equal values. Null texts count as empty and give one row of
+full rows, at most ``ROWS`` rows a frame; spaces are transparent and each frame is cleared before the next one, so a frame's
+histogram counts its own letters. ``text_media`` returns the medium and its timed frames as columns; equal texts give equal
+values. Null texts count as empty and give one row of
 spaces. Broken media give a row with an error and no frames. Rows are independent: no shuffle.
 """
 
@@ -27,10 +29,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table
 
-COLUMNS, ROWS, DELAY = 192, 1024, 4
+COLUMNS, ROWS, DELAY = 192, 64, 4
 BINS = 64
-#: The palette of the query's media: byte i is a colour of its own, greys in the order of the bytes.
-GREYS = bytes(x for i in range(256) for x in (i, i, i))
+#: The palette of the query's media: every byte is a colour of its own, and its first six bits are the bin of that colour, so
+#: that the histogram tells bytes apart (in steps of four).
+SPREAD = bytes(x for i in range(256) for x in (i & 0xC0, (i << 2) & 0xC0, ((i << 4) & 0xC0) | (i & 3)))
+#: Space, the byte of the padding, is transparent there.
+BLANK = 32
 
 
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
@@ -172,14 +177,15 @@ def _blocks(stream: bytes) -> bytes:
     return b"".join(bytes([len(stream[i : i + 255])]) + stream[i : i + 255] for i in range(0, len(stream), 255)) + b"\0"
 
 
-def encode(payload: bytes, columns=COLUMNS, rows=ROWS, delay=DELAY, palette=GREYS) -> bytes:
-    """A GIF whose frames' indices are the payload (a positive multiple of columns), at most so many rows a frame."""
+def encode(payload: bytes, columns=COLUMNS, rows=ROWS, delay=DELAY, palette=SPREAD, blank=BLANK) -> bytes:
+    """A GIF whose frames' indices are the payload (a positive multiple of columns), at most so many rows a frame; the index
+    ``blank`` is transparent, and a frame gives way to the background."""
     n = len(payload) // columns
     height = min(n, rows)
     out = [b"GIF89a", struct.pack("<HHBBB", columns, height, 0xF7, 0, 0), palette]
     for r in range(0, n, rows):
         part = payload[r * columns : (r + rows) * columns]
-        out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, delay, 0), b"\0"]
+        out += [b"\x21\xf9\x04", struct.pack("<BHB", 2 << 2 | 1, delay, blank), b"\0"]
         out += [b"\x2c", struct.pack("<HHHHB", 0, 0, columns, len(part) // columns, 0), b"\x08", _blocks(lzw_encode(part))]
     return b"".join([*out, b"\x3b"])
 
@@ -300,35 +306,42 @@ def payload_of(text: str | None) -> bytes:
     return raw + b" " * (-len(raw) % COLUMNS or (0 if raw else COLUMNS))
 
 
-def digest_row(text: str | None) -> tuple:
-    """What the query returns of one text, read back from its medium."""
+def media_row(text: str | None) -> tuple:
+    """Of one text: its medium, the timed frames and digests of what is read back from it."""
     media = encode(payload_of(text))
-    parts, start, last, hist = [], 0, 0, np.zeros(BINS, dtype=np.int64)
+    parts, start, found, total = [], 0, [], np.zeros(BINS, dtype=np.int64)
     for x, _canvas, h in frames(media):
         parts.append(x["index"].tobytes())
-        start, last, hist = start + x["delay"], last + 1, hist + h
+        found.append({"start_cs": start, "delay_cs": x["delay"], "height": len(x["index"]), "histogram": h.tolist()})
+        start, total = start + x["delay"], total + h
     back = b"".join(parts)
-    feature = f"{last}:{start}:" + ",".join(f"{i}={v}" for i, v in enumerate(hist.tolist()) if v)
-    return len((text or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    feature = f"{len(found)}:{start}:" + ",".join(f"{i}={v}" for i, v in enumerate(total.tolist()) if v)
+    return len((text or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, media, found
+
+
+#: The columns of text_media besides doc_id.
+MEDIA = {
+    "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "media": pa.binary(),
+    "frames": pa.list_(pa.struct([("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))])),
+}
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media, frames."""
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                rows = [digest_row(t.as_py()) for t in part.column(1)]
-                cols = [part.column(0).to_pylist(), *(map(list, zip(*rows, strict=True)) if rows else [[]] * 7)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=list(names))
+                columns = zip(*[media_row(t.as_py()) for t in part.column(1)], strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, MEDIA.values(), strict=True))], names=["doc_id", *MEDIA])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+        "media binary, frames array<struct<start_cs: long, delay_cs: int, height: int, histogram: array<long>>>",
     )
 
 
 def op5(spark, sf_dir):
-    return text_media(table(spark, sf_dir, "documents"))
+    return text_media(table(spark, sf_dir, "documents")).drop("media", "frames")

@@ -1,149 +1,191 @@
 """Exact top-k search by a Voronoi kNN join.
 
-Vectors become integers, v = floor(256 * x). The score is the integer inner product. By adding one component,
-sqrt(M^2 - |v|^2) with M the greatest norm (0 for queries), the best inner products are the nearest neighbours:
-|q - v|^2 = |q|^2 + M^2 - 2 q.v, so bounds by the triangle inequality hold.
+Vectors become integers, v = floor(256 * x). The score is the integer inner product.
 
 1. Equal vectors become one (its k + 1 smallest ids, by partial minima), on either side.
-2. Pivots are a bounded sample of data vectors (a parameter). Each vector goes to the cell of its nearest pivot.
-3. Summaries: each query cell's radius, each data cell's radius and its k + 1 smallest distances to the pivot.
-   They bound each query cell's (k + 1)-th nearest distance: theta = min over data cells of
-   radius_q + |p_q - p_d| + (k + 1)-th distance, over cells merged in order.
-4. A data vector goes to a query cell only if its distance to that cell's pivot is at most radius_q + theta_q,
-   and is dealt over ``SALTS`` parts of the cell by a hash of the vector, so no cell is one task.
-5. Each part finds its k + 1 best by blockwise matrix products; the parts' results meet in a window of at most
-   parts x (k + 1) rows for each query. Ties go to smaller ids; the query's own id is left out at the end.
-
-Only pivots and summaries (a bounded number of cells) reach the driver. Vectors that are null, or hold null or
-non-finite components, take no part; so do empty ones. All vectors that take part must have one length. Repeated
-rows count as candidates each (equal ids are told apart only by the id: a query leaves out all rows of its id).
-With fewer than k candidates all are returned; empty tables give an empty result. Extra columns are ignored.
+2. Pivots are a bounded sample of data vectors (at most ``MOST_PIVOTS``, fewer for small tables). Each vector goes to the
+   cell of its nearest pivot p, and there to a shell by its cosine with p; cell and shell are its group.
+3. Summaries of groups: with v = a p/|p| + w, w at right angles to p, the least and greatest a and the greatest |w|. They
+   bound every score of a query with the group: q.v <= max(qa * a) + |qw| * max|w|, where qa and qw are q's own parts.
+4. First pass: each query meets the group of greatest bound that holds k + 1 vectors; its (k + 1)-th score there, theta, is
+   no more than its final one. Second pass: a query goes to those other groups only whose bound reaches its theta. Data are
+   never replicated for that: queries are the smaller side.
+5. A group is dealt in parts of about ``MANY`` vectors by a hash, its queries likewise, so no task grows with the data.
+   Each part finds the k + 1 best by matrix products; the parts' results meet in a window of few rows for each
+   query. Ties go to smaller ids; the query's own id is left out at the end.
+
+Only pivots and summaries (a bounded number of groups) reach the driver. ``replicated`` counts the rows of both passes.
+Where vectors have no clusters (uniform directions), no bound excludes much and every query meets most groups; the result
+is the same.
+
+Vectors that are null, or hold null or non-finite components, take no part; so do empty ones, and those of another length
+than most (ties: the smaller length). Repeated rows count as candidates each (equal ids are told apart only by the id: a
+query leaves out all rows of its id). With fewer than k candidates all are returned; empty tables give an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ledgerloom.llm.common import cut, stored, table
+from ledgerloom.llm.common import stored, table
 
-K, PIVOTS, SALTS, SCALE = 5, 64, 24, 256
+K, SCALE = 5, 256
+MOST_PIVOTS, SHELLS, MANY = 1024, 8, 4096
 
 
 def integer_vectors(df: DataFrame, vector="embedding", scale=SCALE) -> DataFrame:
     """df with an integer array v; rows that take no part are dropped."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(False))).withColumn("v", v)
+    good = df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(False))).withColumn("v", v)
+    sizes = good.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "size").first()
+    return good.filter(F.size("v") == (sizes["size"] if sizes else 0))
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    """(id, x) of (id, v): the vector as bytes of 64-bit integers."""
+
+    def run(batches):
+        for b in batches:
+            flat, size = b.column(1).flatten().to_numpy(zero_copy_only=False), b.num_rows and len(b.column(1)[0])
+            rows = np.ascontiguousarray(flat, dtype=np.int64).reshape(-1, size or 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "x"])
+
+    return df.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(run, "id long, x binary")
 
 
 def _smallest_ids(df: DataFrame, k: int) -> DataFrame:
-    """(v, ids): the k smallest ids of each vector. Ids meet in two steps, so a frequent vector is no hot spot."""
+    """(x, ids): the k smallest ids of each vector. Ids meet in two steps, so a frequent vector is no hot spot."""
     salt = F.pmod(F.xxhash64("id"), F.lit(97))
-    first = W.partitionBy("v", "salt").orderBy("id")
-    few = df.select("v", "id", salt.alias("salt")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k)
-    return few.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k).alias("ids"))
+    few = df.select("x", "id", salt.alias("salt")).withColumn("r", F.row_number().over(W.partitionBy("x", "salt").orderBy("id"))).filter(F.col("r") <= k)
+    return few.groupBy("x").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k).alias("ids"))
+
 
+def _matrix(column, kind=np.float64) -> np.ndarray:
+    rows = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in column]
+    return np.array(rows, dtype=kind) if rows else np.zeros((0, 1), dtype=kind)
 
-def _matrix(column) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
 
+def _parts(m: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row: its parts along each unit vector, and what is left at right angles."""
+    along = m @ unit.T
+    return along, np.sqrt(np.maximum((m * m).sum(axis=1)[:, None] - along * along, 0.0))
 
-def _lift(m: np.ndarray, top: float) -> np.ndarray:
-    return np.column_stack([m, np.sqrt(np.maximum(top - (m * m).sum(axis=1), 0.0))])
 
+def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer rows."""
+    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    return a.astype(np.float64) @ b.astype(np.float64).T if top < 2**52 else a @ b.T
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
-    return np.sqrt(np.maximum(sq, 0.0))
 
+def knn_join(queries: DataFrame, data: DataFrame, k=K, pivots=None, many=MANY, report=None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best other rows of data(id, v) for each row of queries(id, v).
 
-def knn_join(queries: DataFrame, data: DataFrame, k=K, pivots=PIVOTS, salts=SALTS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best other rows of data(id, v) for each row of queries(id, v)."""
+    report, a dictionary, gets the numbers of rows that go to groups."""
     spark, k1 = data.sparkSession, k + 1
-    d = stored(_smallest_ids(data, k1))
-    q = stored(queries.groupBy("v").agg(F.min("id").alias("qid")))
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
-    chosen = [r["v"] for r in d.orderBy(F.xxhash64("v")).select("v").limit(pivots).collect()]  # a bounded sample, the same in every run
-    if not chosen:
+    d = stored(_smallest_ids(_packed(data), k1))
+    asked = stored(_packed(queries))
+    q = asked.groupBy("x").agg(F.min("id").alias("qid"))
+    n = d.count()
+    if not n:
         return queries.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
-    top = float(d.agg(F.max(norm)).first()[0])
-    centres = spark.sparkContext.broadcast(_lift(np.array(chosen, dtype=np.float64), top))
-
-    def to_cells(is_query):
-        def f(parts):
-            for pdf in parts:
-                if len(pdf):
-                    m = _matrix(pdf["v"])
-                    m = np.column_stack([m, np.zeros(len(m))]) if is_query else _lift(m, top)
-                    dist = _distances(m, centres.value)
-                    cell = dist.argmin(axis=1)
-                    yield pdf.assign(cell=cell.astype("int32"), dist=dist[np.arange(len(m)), cell])
-
-        return f
-
-    qc = cut(q.mapInPandas(to_cells(True), "v array<long>, qid long, cell int, dist double"))
-    dc = d.mapInPandas(to_cells(False), "v array<long>, ids array<long>, cell int, dist double")
-    # summaries of cells: at most pivots x (k + 1) rows
-    near = W.partitionBy("cell").orderBy("dist")
-    by_salt = W.partitionBy("cell", "salt").orderBy("dist")
-    small = dc.select("cell", "dist", F.pmod(F.xxhash64("v"), F.lit(97)).alias("salt")).withColumn("r", F.row_number().over(by_salt)).filter(F.col("r") <= k1)
-    small = small.select("cell", "dist").withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k1).select("cell", "dist").toPandas()
-    radius = {r["cell"]: r["radius"] for r in qc.groupBy("cell").agg(F.max("dist").alias("radius")).collect()}
-    c = centres.value
-    between = _distances(c, c)
-    reach = {}
-    for cell, r in radius.items():
-        upper = np.sort(r + between[cell, small["cell"].to_numpy()] + small["dist"].to_numpy())
-        # every query of the cell has k + 1 distinct vectors within theta (or there are no more vectors)
-        theta = upper[k1 - 1] if len(upper) >= k1 else np.inf
-        reach[int(cell)] = float(r + theta) * (1 + 1e-9) + 1e-6
-    cells = sorted(reach)
-    limits = np.array([reach[x] for x in cells])
-
-    def replicate(parts):
-        for pdf in parts:
-            if not len(pdf) or not cells:
-                continue
-            near = _distances(_lift(_matrix(pdf["v"]), top), centres.value[cells]) <= limits
-            for j, cell in enumerate(cells):
-                hit = near[:, j]
-                if hit.any():
-                    yield pdf.loc[hit].assign(cell=np.int32(cell))
-
-    sent = d.mapInPandas(replicate, "v array<long>, ids array<long>, cell int")
-    sent = sent.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
-    asked = qc.select("v", "qid", "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-    def solve(key, left, right):
+    pivots = pivots or min(MOST_PIVOTS, max(8, math.isqrt(n) // 8))
+    chosen = [np.frombuffer(r["x"], dtype=np.int64) for r in d.orderBy(F.xxhash64("x")).select("x").limit(pivots).collect()]  # a bounded sample, the same in every run
+    centre = np.array(chosen, dtype=np.float64)
+    unit = centre / np.maximum(np.sqrt((centre * centre).sum(axis=1)), 1e-300)[:, None]
+    shared = spark.sparkContext.broadcast((centre, unit))
+
+    def place(batches):
+        c, u = shared.value
+        for b in batches:
+            m = _matrix(b.column(0))
+            if len(m):
+                cell = ((c * c).sum(axis=1)[None, :] - 2 * m @ c.T).argmin(axis=1)
+                along = (m * u[cell]).sum(axis=1)
+                whole = (m * m).sum(axis=1)
+                shell = np.minimum((along / np.maximum(np.sqrt(whole), 1e-300) + 1) * (SHELLS / 2), SHELLS - 1).astype(np.int64)
+                rest = np.sqrt(np.maximum(whole - along * along, 0.0))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell * SHELLS + shell, pa.int64()), pa.array(along), pa.array(rest)], names=["x", "ids", "grp", "along", "rest"])
+
+    placed = stored(d.mapInArrow(place, "x binary, ids array<long>, grp long, along double, rest double"))
+    groups = placed.groupBy("grp").agg(F.min("along").alias("lo"), F.max("along").alias("hi"), F.max("rest").alias("rest"), F.count("*").alias("c")).orderBy("grp").collect()  # at most pivots x SHELLS
+    grp, lo, hi, rest, size = (np.array([r[i] for r in groups]) for i in range(5))
+    summary = spark.sparkContext.broadcast((grp, lo, hi, rest, size))
+
+    def bounds(m):
+        grp, lo, hi, rest, _ = summary.value
+        along, aside = _parts(m, shared.value[1])
+        cell = grp // SHELLS
+        most = np.maximum(along[:, cell] * lo, along[:, cell] * hi) + aside[:, cell] * rest
+        return most + 1e-9 * np.abs(most) + 1e-3  # never below the exact bound by rounding
+
+    def first(batches):
+        grp, *_, size = summary.value
+        for b in batches:
+            m = _matrix(b.column(0))
+            if len(m):
+                best = np.where(size >= k1, bounds(m), -np.inf).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(m), -np.inf)), pa.array(grp[best], pa.int64())], names=["x", "qid", "theta", "grp"])
+
+    def others(batches):
+        grp = summary.value[0]
+        for b in batches:
+            m = _matrix(b.column(0))
+            if len(m):
+                theta, was = b.column(2).to_numpy(), b.column(3).to_numpy()
+                row, g = np.nonzero((bounds(m) >= theta[:, None]) & (grp[None, :] != was[:, None]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(theta[row]), pa.array(grp[g], pa.int64())], names=["x", "qid", "theta", "grp"])
+
+    def solve(left, right):
+        a, b = _matrix(left.column("x"), np.int64), _matrix(right.column("y"), np.int64)
+        qid, theta = left.column("qid").to_pylist(), left.column("theta").to_numpy()
+        ids = right.column("ids").to_pylist()
         out = []
-        if len(left) and len(right):
-            a, b = _matrix(left["v"]), _matrix(right["v"])
-            ids = right["ids"].tolist()
-            first = np.array([x[0] for x in ids])
+        if len(a) and len(b):
+            least = np.array([x[0] for x in ids])
             for i in range(0, len(a), 512):
-                score = a[i : i + 512] @ b.T
-                for j, row in enumerate(score):
+                for j, row in enumerate(_scores(a[i : i + 512], b)):
                     # all vectors that may hold one of the k + 1 best rows: score not below the (k + 1)-th
-                    bound = np.partition(row, -k1)[-k1] if len(row) > k1 else -np.inf
+                    bound = max(np.partition(row, -k1)[-k1] if len(row) > k1 else -np.inf, theta[i + j])
                     best = np.flatnonzero(row >= bound)
-                    best = best[np.lexsort((first[best], -row[best]))]
-                    rows = sorted((-int(row[x]), int(y)) for x in best for y in ids[x])[:k1]
-                    out.extend((int(left["qid"].iat[i + j]), y, -s) for s, y in rows)
-        return pd.DataFrame(out, columns=["qid", "vec_id", "score"])
-
-    local = asked.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part")).applyInPandas(solve, "qid long, vec_id long, score long")
-    best = W.partitionBy("qid").orderBy(F.col("score").desc(), "vec_id")
-    merged = local.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k1).select("qid", "vec_id", "score")
+                    best = best[np.lexsort((least[best], -row[best]))][:k1]
+                    out += [(qid[i + j], int(row[x]), ids[x]) for x in best]
+        qids, scores, found = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"qid": pa.array(qids, pa.int64()), "score": pa.array(scores, pa.int64()), "ids": pa.array(found, pa.list_(pa.int64()))})
+
+    def met(sent: DataFrame) -> DataFrame:
+        parts = F.broadcast(sent.groupBy("grp").agg(F.ceil(F.count("*") / many).cast("int").alias("q_parts")))  # at most pivots x SHELLS rows
+        dealt = F.broadcast(spark.createDataFrame([(int(g), -(-int(c) // many)) for g, c in zip(grp, size, strict=True)], "grp long, v_parts int"))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = sent.join(parts, "grp").join(dealt, "grp").select("grp", "x", "qid", "theta", F.pmod(F.xxhash64("qid"), F.col("q_parts")).cast("int").alias("qp"), every("v_parts").alias("vp"))
+        right = placed.join(parts, "grp").join(dealt, "grp").select("grp", F.col("x").alias("y"), "ids", F.pmod(F.xxhash64("x"), F.col("v_parts")).cast("int").alias("vp"), every("q_parts").alias("qp"))
+        keys = ["grp", "qp", "vp"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(solve, "qid long, score long, ids array<long>")
+
+    start = stored(q.select("x", "qid").mapInArrow(first, "x binary, qid long, theta double, grp long"))
+    near = stored(met(start))
+    by_score = W.partitionBy("qid").orderBy(F.desc("score"))
+    theta = near.select("qid", "score", F.row_number().over(by_score).alias("r")).filter(F.col("r") == k1).select("qid", F.col("score").cast("double").alias("at"))
+    known = start.join(theta, "qid", "left").select("x", "qid", F.coalesce("at", F.lit(float("-inf"))).alias("theta"), "grp")
+    sent = stored(known.mapInArrow(others, "x binary, qid long, theta double, grp long"))
+    if report is not None:
+        report.update(rows=n, queries=start.count(), groups=len(groups), replicated=start.count() + sent.count())
+    found = near.unionByName(met(sent)).select("qid", "score", F.explode("ids").alias("vec_id"))
+    best = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    merged = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k1).select("qid", "vec_id", "score")
     # back from distinct query vectors to queries, without their own ids
     lists = merged.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))
-    who = q.select("v", "qid").join(lists, "qid")
+    who = start.select("x", "qid").join(lists, "qid")
     own = F.filter("found", lambda x: x["vec_id"] != F.col("id"))
-    full = queries.join(who, "v").select("id", F.posexplode(F.slice(own, 1, k)).alias("p", "x"))
-    return full.select(F.col("id").alias("query_id"), (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    full = asked.join(who, "x").select("id", F.posexplode(F.slice(own, 1, k)).alias("p", "y"))
+    return full.select(F.col("id").alias("query_id"), (F.col("p") + 1).cast("int").alias("rank"), F.col("y.vec_id").alias("vec_id"), (-F.col("y.s")).alias("score"))
 
 
 def op3(spark, sf_dir):

@@ -14,7 +14,7 @@ checked size it is broadcast and texts don't move, else the lines to drop are br
 
 Nulls and odd values: a null text stays null and counts as a document without lines; a null host is a host of its
 own. Repeated rows each count as a document. A text all of whose lines go becomes empty; the row stays. Extra
-columns stay as they are.
+columns stay as they are, whatever their names, but lines_dropped and chars_dropped are those of this run.
 """
 
 from __future__ import annotations
@@ -51,22 +51,23 @@ def boilerplate(docs: DataFrame, host: str, ratio=RATIO, min_pages=MIN_PAGES, di
 
 
 def drop_boilerplate(docs: DataFrame, host="source", ratio=RATIO, min_pages=MIN_PAGES, distinct=False) -> DataFrame:
-    """docs with cleaned text, and columns lines_dropped, chars_dropped."""
+    """docs with cleaned text, and columns lines_dropped, chars_dropped (in place of columns of these names)."""
+    text, rows = F.col("row.text"), docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(host).alias("host")).alias("host_key"))
     found = cut(boilerplate(docs, host, ratio, min_pages, distinct))
-    by_host = found.groupBy("host_key").agg(F.collect_list("line").alias("_drop"))
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        marked = docs.withColumn("host_key", F.struct(F.col(host).alias("host"))).join(F.broadcast(by_host), "host_key", "left").drop("host_key")
-    else:  # each row's own lines to drop, by a number for the row
-        rows = docs.withColumn("_at", F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)))
-        lines = rows.select("_at", F.struct(F.col(host).alias("host")).alias("host_key"), F.explode(F.array_distinct(F.transform(_lines("text"), _hash))).alias("line"))
-        drops = lines.join(found, ["host_key", "line"], "left_semi").groupBy("_at").agg(F.collect_set("line").alias("_drop"))
-        marked = rows.join(drops, "_at", "left").drop("_at")
-    kept = F.filter(_lines("text"), lambda x: ~F.coalesce(F.array_contains("_drop", _hash(x)), F.lit(False)))
-    out = marked.withColumn("_text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    gone = F.when(F.col("_drop").isNull() | F.col("text").isNull(), 0).otherwise(F.size(_lines("text")) - F.size(kept))
-    return out.withColumns({
-        "lines_dropped": gone.cast("long"), "chars_dropped": F.coalesce(F.length("text") - F.length("_text"), F.lit(0)).cast("long"),
-    }).withColumn("text", F.col("_text")).drop("_text", "_drop")
+        by_host = found.groupBy("host_key").agg(F.collect_list("line").alias("dropped"))
+        marked = rows.join(F.broadcast(by_host), "host_key", "left")
+    else:  # each row's own lines to drop, by a digest of the row
+        rows = rows.withColumn("at", F.struct(F.xxhash64("row"), F.xxhash64(F.lit(1), "row")))
+        lines = rows.select("at", "host_key", F.explode(F.array_distinct(F.transform(_lines(text), _hash))).alias("line"))
+        drops = lines.join(found, ["host_key", "line"], "left_semi").groupBy("at").agg(F.collect_set("line").alias("dropped"))
+        marked = rows.join(drops, "at", "left")
+    kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains("dropped", _hash(x)), F.lit(False)))
+    new = marked.select("row", F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("clean"), F.col("dropped").isNotNull().alias("hit"), F.size(kept).alias("left"))
+    gone = F.when(~F.col("hit") | text.isNull(), 0).otherwise(F.size(_lines(text)) - F.col("left")).cast("long")
+    chars = F.coalesce(F.length(text) - F.length("clean"), F.lit(0)).cast("long")
+    others = [F.col(f"row.`{c}`").alias(c) if c != "text" else F.col("clean").alias(c) for c in docs.columns if c not in ("lines_dropped", "chars_dropped")]
+    return new.select(*others, gone.alias("lines_dropped"), chars.alias("chars_dropped"))
 
 
 def op10(spark, sf_dir):

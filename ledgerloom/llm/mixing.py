@@ -12,8 +12,8 @@ half of its one document at that point; then the one document whose size comes n
 is added or left out. Everything is a function of the rows alone: reruns agree.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order. Documents of size 0 get
-``taken`` 0. Repeated rows (also equal doc_ids) are all kept; rows with equal ids have the same hash and are
-taken or left together. An empty table gives an empty result. Extra columns are ignored.
+``taken`` 0. Repeated rows are all kept; rows with equal ids and texts have the same hash and are taken or left
+together. Rows of one id (or of none) with other texts are documents of their own. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,8 +106,8 @@ def solve_multipliers(sizes: DataFrame, targets: DataFrame, limit=LIMIT) -> Data
 
 
 def round_copies(rated: DataFrame, sources: DataFrame) -> DataFrame:
-    """rated(doc_id, key, size, rate) with a column copies; sources(key, target)."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit("copies"), "doc_id"), 11) / float(1 << 53)
+    """rated(who, key, size, rate) with a column copies; sources(key, target). who, a hash, tells documents apart."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit("copies"), "who"), 11) / float(1 << 53)
     v = rated.withColumns({"whole": F.floor("rate").cast("long"), "v": u - (F.col("rate") - F.floor("rate"))})
     at = small(sources, 100_000)
     lines = cut(
@@ -147,27 +147,28 @@ def round_copies(rated: DataFrame, sources: DataFrame) -> DataFrame:
         taken.groupBy("key").agg(F.sum((F.col("whole") + F.col("extra").cast("long")) * F.col("size")).alias("got")).join(at, "key")
         .select("key", (F.col("target") - F.col("got")).alias("left"))
     )
-    fits = F.struct(F.abs(F.col("size") - F.abs("left")).alias("off"), "doc_id")
+    fits = F.struct(F.abs(F.col("size") - F.abs("left")).alias("off"), "who")
     best = cut(
         taken.join(small(left, 100_000), "key")
         .filter((F.col("size") > 0) & (F.col("rate") > F.col("whole")) & (F.col("extra") == (F.col("left") < 0)) & (F.col("size") < 2 * F.abs("left")))
-        .groupBy("key").agg(F.min(fits).alias("fit")).select("key", F.col("fit.doc_id").alias("flip"))
+        .groupBy("key").agg(F.min(fits).alias("fit")).select("key", F.col("fit.who").alias("flip"))
     )
-    flip = F.coalesce(F.col("doc_id") == F.col("flip"), F.lit(False)) & (F.col("rate") > F.col("whole"))
+    flip = F.coalesce(F.col("who") == F.col("flip"), F.lit(False)) & (F.col("rate") > F.col("whole"))
     out = taken.join(small(left.join(best, "key", "left").select("key", "flip"), 100_000), "key")
     return out.withColumn("copies", F.col("whole") + (F.col("extra") != flip).cast("long")).drop("edge", "v", "whole", "extra", "flip")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken for every row of docs(doc_id, text, source)."""
-    sizes = stored(docs.select("doc_id", "source", _key().alias("key"), word_count(F.col("text")).alias("size")))
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT, carry=()) -> DataFrame:
+    """doc_id, source, carry, size, source_size, target, rate, copies, taken for every row of docs(doc_id, text, source)."""
+    who = F.xxhash64("doc_id", F.xxhash64("text")).alias("who")
+    sizes = stored(docs.select("doc_id", "source", *carry, _key().alias("key"), word_count(F.col("text")).alias("size"), who))
     totals = sizes.groupBy("key").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n"))
     state = solve_multipliers(sizes, source_targets(totals, weights, share, limit), limit)
     known = state.select("key", "source_size", "target", "lam", "mean")
     rated = sizes.join(small(known, 100_000), "key").withColumn("x", F.coalesce(F.col("size") / F.col("mean"), F.lit(0.0)))
     rated = rated.withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("lam"), limit)).otherwise(0.0)).drop("x", "mean", "lam")
     mixed = round_copies(rated, known.select("key", "target"))
-    return mixed.withColumn("taken", F.col("copies") * F.col("size")).drop("key")
+    return mixed.withColumn("taken", F.col("copies") * F.col("size")).drop("key", "who")
 
 
 def op9(spark, sf_dir):

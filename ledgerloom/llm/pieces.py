@@ -19,7 +19,7 @@ nothing is left): weights exp(log_prob - log_inclusion) give unbiased sums over
 
 As in SentencePiece with byte fallback: one space is put before a text, spaces become U+2581, characters without a
 piece become their UTF-8 bytes. A U+2581 of the text itself also becomes bytes, so decoding returns every text
-exactly. Null and empty texts have one segmentation, without pieces. A text with fewer than k segmentations has
+exactly. Null and empty texts have one segmentation, without pieces. A null key stays null; such a row is seeded by its text. A text with fewer than k segmentations has
 fewer rows. Repeated rows (equal keys) give equal results. Very long texts are whole. Extra columns are ignored.
 """
 
@@ -30,6 +30,7 @@ import heapq
 import itertools
 import math
 import re
+import zlib
 from random import Random
 
 import numpy as np
@@ -180,7 +181,7 @@ class Units:
         length = np.concatenate([np.full(len(x[0]), x[3], dtype=np.int64) for x in found[::-1]])
         piece = np.concatenate([x[1] for x in found[::-1]])
         weight = np.concatenate([x[2] for x in found[::-1]])
-        order = np.argsort(state * 32 + (31 - length))  # by state, long pieces first
+        order = np.argsort(state * (v.longest + 1) + (v.longest - length))  # by state, long pieces first
         state, length, piece, weight = state[order], length[order], piece[order], weight[order]
         ptr = np.searchsorted(state, np.arange(n + 1))
         # total weight of all ways from a state to its unit's end, from the ends backwards
@@ -437,7 +438,8 @@ def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, a
         units = _units(model, alpha)
 
         def emit(keys, texts):
-            found = sample_batch(units, np.array(keys, dtype=np.int64), texts, samples)
+            seeds = [zlib.crc32(t.encode()) if k is None else k for k, t in zip(keys, texts, strict=True)]
+            found = sample_batch(units, np.array(seeds, dtype=np.int64), texts, samples)
             cols = ([], [], [], [], [], [])
             for key_, t, (paths, limit) in zip(keys, texts, found, strict=True):
                 for i, (edges, phi) in enumerate(paths):
@@ -463,7 +465,7 @@ def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, a
         keys, texts, chars = [], [], 0
         for batch in batches:
             for k_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(k_ or 0), texts.append(t or "")
+                keys.append(k_), texts.append(t or "")
                 chars += len(texts[-1])
                 if chars > BATCH_CHARS or len(keys) >= 4096:
                     yield emit(keys, texts)

@@ -5,15 +5,21 @@ Fixed kinds (leftmost, non-overlapping matches of each): assign, access, hex. Th
 an encoding is inferred from its characters (hex, base32, base64), its characters become numbers, and three tests
 of "uniform over the encoding's alphabet" give p-values: chi-squared uniformity over eight equal parts of the
 alphabet, the runs test about the alphabet's middle, and lag-one serial correlation. Three times the least p-value
-(at most 1) is the token's. The tokens found not random are those the Benjamini-Hochberg procedure rejects; it runs
-over the whole corpus, apart for each encoding and power-of-two length class, so that short tokens (weak tests)
-and long ones (strong tests) don't set each other's threshold. Tokens that aren't rejected are reported.
+(at most 1) says how well the token passes the battery.
 
-The procedure needs only counts of p-values by encoding, length class and bin of log p: a bounded table, however
-large the corpus. Rejection uses each bin's upper edge, so it is never laxer than the exact procedure.
+A token is reported if it passes better than text does. The null hypothesis is a stretch of running text: the words of a
+document put together, reduced to the encoding's alphabet, from one place of each document of the corpus and for each
+encoding and power-of-two length class with tokens. The share of these stretches that pass at least as well is the token's
+p-value against text, and the Benjamini-Hochberg procedure, apart for each encoding and length class, bounds the share of
+false reports by ``RATE``: short tokens (weak tests) and long ones (strong tests) don't set each other's threshold. A class
+with too few documents to tell anything from text reports nothing.
 
-Nulls and odd values: a null text counts as empty. Repeated rows each give a row. Positions are code points, ends
-exclusive. An empty table gives an empty result. Extra columns are ignored.
+The procedure needs only counts by encoding, length class and bin of log p: a bounded table, however large the corpus.
+
+Nulls and odd values: a null text counts as empty. Repeated rows each give a row, and count each. Ties share a bin and are
+reported together or not at all. Positions are code points, ends exclusive. Very long texts are whole: matches are
+numbered in blocks, so their cost grows in proportion. An empty table gives an empty result. Extra columns, of any name,
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import stored, table
 
 #: Fixed patterns. Short hex and access runs can't hold a match of full length, so their minimum is in the pattern.
 ASSIGN = r"(?:(?i)password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
@@ -40,24 +46,32 @@ ENCODINGS = (
     ("base64", r"^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 PARTS = 8
-#: Rate of false rejections, bins for each halving of p, and the number of bins.
+#: Rate of false reports, bins for each halving of p, and the number of bins; matches of one block.
 RATE, BINS_PER_BIT, MAX_BIN = 0.05, 4, 400
+BLOCK = 256
 
 
 def find(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of all matches."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:long,end:long,hit:string>>")
-    none = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
+    none, zero = F.array().cast("array<struct<start:long,end:long,hit:string>>"), F.lit(0).cast("long")
 
     def add(acc, x):
-        start = acc["at"] + F.length(x["gap"])
+        start = acc["at"] + x["gap"]
         end = start + F.length(x["hit"])
         item = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["hit"].alias("hit"))
         return F.struct(end.cast("long").alias("at"), F.concat(acc["found"], F.array(item)).alias("found"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, none, add)["found"]
+    def numbered(pairs):
+        block = lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK)
+        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(pairs) / BLOCK).cast("int") - 1, F.lit(0)))
+        sums = F.transform(blocks, lambda b: F.aggregate(block(b), zero, lambda a, x: a + x["gap"] + F.length(x["hit"])))
+        begins = F.aggregate(sums, F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        each = lambda begins: F.flatten(F.transform(blocks, lambda b: F.aggregate(block(b), F.struct(begins[b].alias("at"), none.alias("found")), add)["found"]))
+        return F.transform(F.array(begins), each)[0]
+
+    return F.transform(F.array(pairs), numbered)[0]
 
 
 def _tail(z: Column) -> Column:
@@ -71,11 +85,11 @@ def _sum(values: Column, f=lambda x: x) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + f(x))
 
 
-def test_token(hit: Column) -> Column:
-    """struct<enc, cls, bin> of a token: encoding, length class, bin of -log2(p)."""
+def test_token(hit: Column, known: Column | None = None) -> Column:
+    """struct<enc, cls, bin> of a token: encoding (the known one, or inferred), length class, bin of -log2(p)."""
     enc, size, alphabet = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string")
     for name, pattern, letters in reversed(ENCODINGS):
-        fits = hit.rlike(pattern)
+        fits = hit.rlike(pattern) if known is None else known == name
         enc, size, alphabet = F.when(fits, name).otherwise(enc), F.when(fits, len(letters)).otherwise(size), F.when(fits, letters).otherwise(alphabet)
     plain = F.when(enc == "hex", F.lower(hit)).when(enc == "base64", F.translate(hit, "-_", "+/")).otherwise(hit)
     values = F.transform(F.regexp_extract_all(plain, F.lit("."), F.lit(0)), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
@@ -111,7 +125,7 @@ def test_token(hit: Column) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """docs with columns base (sorted fixed spans) and tokens (tested candidates)."""
+    """doc_id, counts of the fixed kinds, base (sorted fixed spans) and tokens (tested candidates)."""
     df = docs.withColumn("text", F.coalesce("text", F.lit("")))
     long_enough = F.filter(find(F.col("text"), ASSIGN), lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN_VALUE, 1)) >= 12)
     df = df.withColumns({"assign": long_enough, "access": find(F.col("text"), ACCESS), "hex": find(F.col("text"), HEX), "token": find(F.col("text"), TOKEN)})
@@ -119,37 +133,61 @@ def spans(docs: DataFrame) -> DataFrame:
     df = df.withColumn("base", F.array_sort(F.concat(*[tag(name, k) for k, name in enumerate(KINDS[:3])])))
     free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     tested = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), test_token(x["hit"]).alias("t"))
-    return df.withColumn("tokens", F.transform(F.filter("token", free), tested)).drop("token", "text")
+    df = df.withColumn("tokens", F.transform(F.filter("token", free), tested))
+    count = lambda c: F.size(c).cast("long")
+    return df.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), "base", "tokens")
 
 
-def rejection_bins(scanned: DataFrame, rate=RATE) -> dict[tuple[str, int], int]:
-    """For each encoding and length class the least bin that Benjamini-Hochberg rejects; classes without one are left out.
+def texts_like(text: Column, enc: str, cls: int) -> Column:
+    """A stretch of a text's words, put together and reduced to the encoding's alphabet; null if the text is too short."""
+    words = F.regexp_replace(text, r"[^A-Za-z0-9+/_-]+", "")
+    if enc == "base32":
+        words = F.regexp_replace(F.upper(words), "[^A-Z2-7]+", "")
+    elif enc == "hex":
+        words = F.regexp_replace(F.lower(words), "[^0-9a-f]+", "")
+    n = max(20, 1 << cls)  # the least length of the class: shorter stretches pass more easily
+    return F.transform(F.array(words), lambda w: F.when(F.length(w) >= n, F.substring(w, F.pmod(F.xxhash64(w), F.length(w) - n + 1).cast("int") + 1, F.lit(n))))[0]
+
+
+def report_bins(scanned: DataFrame, docs: DataFrame, rate=RATE) -> dict[tuple[str, int], int]:
+    """For each encoding and length class the last bin that is reported; classes that report nothing are left out.
 
     At most (encodings x length classes x bins) counts come to the driver, whatever the corpus."""
-    counts = scanned.select(F.explode("tokens.t").alias("t")).groupBy("t.enc", "t.cls", "t.bin").count().collect()
-    classes: dict[tuple[str, int], dict[int, int]] = {}
-    for r in counts:
-        classes.setdefault((r["enc"], r["cls"]), {})[r["bin"]] = r["count"]
+
+    def bins(df):
+        found: dict[tuple[str, int], dict[int, int]] = {}
+        for r in df.groupBy("t.enc", "t.cls", "t.bin").count().collect():
+            found.setdefault((r["enc"], r["cls"]), {})[r["bin"]] = r["count"]
+        return found
+
+    tokens = bins(scanned.select(F.explode("tokens.t").alias("t")))
+    if not tokens:
+        return {}
+    like = [F.struct(F.lit(enc).alias("enc"), F.lit(cls).alias("cls"), texts_like(F.col("text"), enc, cls).alias("s")) for enc, cls in sorted(tokens)]
+    drawn = docs.select(F.explode(F.array(*like)).alias("x")).filter("x.s IS NOT NULL")
+    null = bins(drawn.select("x.enc", "x.cls", test_token(F.col("x.s"), F.col("x.enc"))["bin"].alias("bin")).select(F.struct("enc", "cls", "bin").alias("t")))
     out = {}
-    for key, bins in classes.items():
-        m, below = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):  # the smallest p-values first
-            below += bins[b]
-            if 2 ** (-b / BINS_PER_BIT) <= rate * below / m:
+    for key, own in tokens.items():
+        text, m = null.get(key, {}), sum(own.values())
+        n, passed, better = sum(text.values()), 0, 0
+        for b in range(MAX_BIN + 1):  # those that pass best first
+            passed, better = passed + own.get(b, 0), better + text.get(b, 0)
+            if own.get(b) and (1 + better) / (1 + n) <= rate * passed / m:
                 out[key] = b
     return out
 
 
 def scan(docs: DataFrame, rate=RATE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans for every row of docs(doc_id, text)."""
-    scanned = spans(docs.select("doc_id", "text"))
-    cuts = rejection_bins(scanned, rate)
+    docs = docs.select("doc_id", "text")
+    scanned = stored(spans(docs))
+    cuts = report_bins(scanned, docs, rate)
 
     def random_enough(x):
-        limit = F.lit(MAX_BIN + 1)
+        limit = F.lit(-1)
         for (enc, cls), b in sorted(cuts.items()):
             limit = F.when((x["t"]["enc"] == enc) & (x["t"]["cls"] == cls), b).otherwise(limit)
-        return x["t"]["bin"] < limit
+        return x["t"]["bin"] <= limit
 
     kept = F.filter("tokens", random_enough)
     random = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
@@ -157,7 +195,7 @@ def scan(docs: DataFrame, rate=RATE) -> DataFrame:
     join = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", names[x["kind"]], x["start"], x["end"])), ",")
     count = lambda c: F.size(c).cast("long")
     return scanned.select(
-        "doc_id", count(F.col("assign")).alias("n_assign"), count(F.col("access")).alias("n_access"), count(F.col("hex")).alias("n_hex"),
+        "doc_id", "n_assign", "n_access", "n_hex",
         count(random).alias("n_random"), F.sha2(join(F.col("base")), 256).alias("base_sha256"), join(F.array_sort(F.concat("base", random))).alias("spans"),
     )
 

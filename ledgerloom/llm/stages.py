@@ -5,15 +5,12 @@ extra columns of any name stay as they are."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import line_dedup, mixing, ngram_join, pieces, toxicity
 from ledgerloom.llm.common import small, stored, table
 
-#: Near duplicates in the pipeline: five-word shingles, similarity 0.8 or more; ngram_join's own values are those of op8.
-NEAR = {"width": 5, "num": 80, "den": 100}
-
 #: Repeated lines lie above this share of a host's pages, body lines below it (README); line_dedup.RATIO is that of op10.
 LINE_RATIO = 0.01
 
@@ -38,20 +35,36 @@ def drop_boilerplate_lines(spark, docs, sf_dir):
     return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
+def _key(docs: DataFrame) -> Column:
+    """A 128-bit digest of a whole row: equal for equal rows only, so it tells rows of one id (or of none) apart."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
 def keep_one_of_a_class(spark, docs, sf_dir):
-    """One document of each near-duplicate class, the one of least doc_id, and every document without words."""
-    found = stored(ngram_join.classes(docs, **NEAR))
-    kept = found.filter("doc_id = component_id OR n_shingles = 0").select("doc_id").distinct()
-    out = docs.join(small(kept), "doc_id", "left_semi")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id"])
+    """One row of each near-duplicate class, the one of least doc_id (rows without one last; ties by the row's digest),
+    and every row without words. Of rows that are equal in all columns only one is in a class."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", _key(docs).alias("_key"))
+    found = stored(ngram_join.classes(rows, carry=["_key"]))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
+    chosen = found.filter("class IS NOT NULL").groupBy("class").agg(F.min(first).alias("f"), F.count("*").alias("rows")).select("f._key", "rows")
+    kept = chosen.select("_key").unionByName(found.filter("class IS NULL").select("_key").distinct())
+    out = rows.join(small(kept), "_key", "left_semi")
+    # equal rows share a key: where a class has more rows than one, those of its key may be several
+    repeated = found.filter("class IS NOT NULL").groupBy("_key").agg(F.count("*").alias("c")).filter("c > 1").select("_key").join(chosen, "_key", "left_semi")
+    repeated = stored(repeated)
+    if not repeated.isEmpty():
+        one = out.join(small(repeated), "_key", "left_semi").dropDuplicates(["_key"])
+        out = out.join(small(repeated), "_key", "left_anti").unionByName(one)
+    return out.select("_row.*")
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Each document as many times as the mix takes it."""
-    taken = stored(mixing.mix(docs).select("doc_id", "copies").dropDuplicates(["doc_id"]).filter("copies > 0"))
-    return docs.join(small(taken), "doc_id").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    """Each row as many times as the mix takes it."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source", _key(docs).alias("_key"))
+    taken = stored(mixing.mix(rows, carry=["_key"]).filter("copies > 0").select("_key", "copies").distinct())
+    times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return rows.join(small(taken), "_key").select("_row", times.alias("_copy")).select("_row.*")
 
 
 def encode_pieces(spark, docs, sf_dir):
