@@ -48,12 +48,14 @@ WIDTH, NUM, DEN = 5, 80, 100
 OP8 = {"width": 4, "num": 85, "den": 100}
 #: Share of the hash space in the first bound, as a multiple of what may be missed.
 RANGE = 1.45
-ROUNDS, BANDS, ROWS = 3, 8, 3
+ROUNDS, BANDS, ROWS = 2, 8, 3
 PIVOT_BANDS, PIVOT_ROWS = 16, 2
+#: Differences from its pivot by which a node finds others that share them.
+STAR_KEYS = 16
 #: Nodes of one task against a hub or block; nodes of a block; classes of own tokens by which blocks are cut.
 FOLLOWERS, BLOCK, SHADES = 200, 256, 8
 #: Tokens beyond those that may be missed by which a node looks for groups, and most passes over all tokens.
-MORE, PASSES = 4, 3
+MORE, PASSES = 4, 2
 
 _U = np.uint64
 
@@ -157,21 +159,21 @@ def _buckets(sets: DataFrame, turn: int, bands=BANDS, rows=ROWS) -> DataFrame:
     return sets.select("node", F.expr("own * 1000 div n").alias("rank"), "x").mapInArrow(run, "node long, rank long, key long")
 
 
-def _dealt(pairs: DataFrame, by: str, many: int) -> tuple[DataFrame, DataFrame]:
+def _dealt(pairs: DataFrame, by: str, many: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """pairs(node, by) with a part of at most about ``many`` rows, and (by, part) for all parts."""
-    counts = pairs.groupBy(by).agg(F.ceil(F.count("*") / many).cast("int").alias("parts"))
-    dealt = pairs.join(small(counts), by).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    counts = scratch.cut(pairs.groupBy(by).agg(F.ceil(F.count("*") / many).cast("int").alias("parts")))
+    dealt = scratch.cut(pairs.join(small(counts), by).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"))
     return dealt, counts.select(by, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
 
-def follow_hubs(sets: DataFrame, turn: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of nodes a to hubs b, verified, over sets(node, n, own, x)."""
-    buckets = scratch.stored(_buckets(sets, turn))
+def follow_hubs(sets: DataFrame, buckets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of nodes a to hubs b, verified by sets(node, x), over buckets(node, rank, key): the hub of a bucket is its
+    node of least rank; of its buckets' hubs a node tries that of least rank and the one that comes up most often."""
     hubs = buckets.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
     votes = buckets.join(hubs, "key").filter("hub.node <> node").groupBy("node", "hub").agg(F.count("*").alias("c"))
     best = votes.groupBy("node").agg(F.min("hub").alias("least"), F.min_by("hub", F.struct(-F.col("c"), "hub")).alias("most"))
     pairs = scratch.cut(best.select("node", F.explode(F.array_distinct(F.array("least.node", "most.node"))).alias("hub")))
-    dealt, parts = _dealt(pairs, "hub", FOLLOWERS)
+    dealt, parts = _dealt(pairs, "hub", FOLLOWERS, scratch)
 
     def run(left, right):
         hub, out = {}, []
@@ -217,20 +219,21 @@ def _spanning(tokens: DataFrame) -> DataFrame:
 
 
 def still_open(members: DataFrame, share: float | None, num: int, den: int) -> DataFrame:
-    """(node, n, family) of the members whose tokens occur in other groups, but for at most those that may be missed."""
+    """(node, n, family, missing) of the members whose tokens occur in other groups, but for at most those that may be missed."""
     tokens = tokens_of(members, share)
     own = tokens.join(_spanning(tokens), "token", "left").groupBy("node").agg((F.count("*") - F.count("shared")).alias("missing"))
-    return members.select("node", "n", "family").join(own, "node", "left").filter(F.coalesce("missing", F.lit(0)) <= _allowed(num, den)).drop("missing")
+    return members.select("node", "n", "family").join(own, "node", "left").withColumn("missing", F.coalesce("missing", F.lit(0))).filter(F.col("missing") <= _allowed(num, den))
 
 
 def differences(sets: DataFrame, chosen: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """chosen(node, n, family) with its pivot, the pivot's size, whether both link (near), and diff, the tokens that only
-    one of them has, hashed with the pivot and the side."""
-    own = sets.join(small(chosen.select("node")), "node", "left_semi")
+    """chosen(node, n, family, missing) with its pivot, the pivot's size, whether both link (near), and diff, the tokens that
+    only one of them has, hashed with the pivot and the side. The pivot is, of a node's min-hash buckets, the node that misses
+    the smallest share of its tokens elsewhere: in a cluster of copies the text that the others are made from, if it is there."""
+    own = sets.select("node", "n", "x").join(small(chosen.select("node", F.col("missing").alias("own"))), "node")
     buckets = scratch.stored(_buckets(own, ROUNDS, PIVOT_BANDS, PIVOT_ROWS))
     hubs = buckets.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("hub"))
     pivots = scratch.cut(buckets.join(hubs, "key").groupBy("node").agg(F.min("hub").alias("hub")).select("node", F.col("hub.node").alias("hub")))
-    dealt, parts = _dealt(pivots, "hub", FOLLOWERS)
+    dealt, parts = _dealt(pivots, "hub", FOLLOWERS, scratch)
     fields = [("node", pa.int64()), ("hub", pa.int64()), ("hub_n", pa.int64()), ("near", pa.bool_()), ("diff", pa.list_(pa.int64()))]
 
     def run(left, right):
@@ -249,7 +252,7 @@ def differences(sets: DataFrame, chosen: DataFrame, num: int, den: int, scratch:
     left = sets.select("node", "x").join(small(dealt), "node").select("hub", "part", "node", "x")
     right = sets.select(F.col("node").alias("hub"), F.col("x").alias("y")).join(small(parts), "hub").select("hub", "part", "y")
     found = left.groupBy("hub", "part").cogroup(right.groupBy("hub", "part")).applyInArrow(run, "node long, hub long, hub_n long, near boolean, diff array<long>")
-    return scratch.stored(found.join(small(chosen), "node").withColumnRenamed("hub", "pivot"))
+    return scratch.stored(found.join(small(chosen.drop("missing")), "node").withColumnRenamed("hub", "pivot"))
 
 
 def in_blocks(differing: DataFrame, scratch: Scratch) -> DataFrame:
@@ -271,27 +274,30 @@ def open_blocks(tokens: DataFrame, nodes: DataFrame, num: int, den: int, scratch
     held = spread.groupBy("node").agg(F.count("*").alias("c"))
     state = scratch.stored(nodes.join(held, "node", "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("own", F.col("size") - F.col("c")))
     bounds = state.groupBy("block").agg(
-        F.first("family").alias("family_"), F.first("side").alias("side_"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("least"), F.max("rank").alias("top")
+        F.first("family").alias("family_"), F.first("side").alias("side_"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("least"), F.max("rank").alias("top"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi")
     )
+    bounds = scratch.cut(bounds)
     matrix = scratch.stored(spread.join(small(state.select("node", "block")), "node").select("token", "block").distinct())
     rare = matrix.groupBy("token").agg(F.count("*").alias("groups"))
     spare = F.col("may_miss") - F.col("own")
     order = F.row_number().over(W.partitionBy("node").orderBy("groups", "token"))
     asked = (
         spread.join(small(state.filter(spare >= 0)), "node").join(rare, "token").withColumn("r", order).filter(F.col("r") <= spare + MORE)
-        .select("token", "node", "n", "rank", "own", "family", "side", (F.least("c", spare + MORE) - spare).alias("need"))
+        .select("token", "node", "n", "rank", "own", "c", "family", "side", (F.least("c", spare + MORE) - spare).alias("need"))
     )
     groups = matrix.join(small(bounds), "block").withColumnRenamed("token", "held")
     most = F.floor((F.col("n") + F.least("hi", F.col("n") * den / num)) * (den - num) / (den + num) + 1e-6)
     sizes = (F.col("top") >= F.col("rank")) & (F.col("lo") * num <= F.col("n") * den) & (F.col("hi") * den >= F.col("n") * num)
     others = (F.col("family") != F.col("family_")) & (F.col("side") != F.col("side_"))
-    met = asked.join(groups, (F.col("token") == F.col("held")) & others & sizes & (F.col("own") + F.col("least") <= most))
-    return scratch.cut(met.groupBy("node", "block", "need").agg(F.count("*").alias("c")).filter("c >= need").select("node", "block"))
+    # tokens that only one of the two has: those that no other family has, and by how much the numbers of the others differ
+    apart = F.col("own") + F.col("least") + F.greatest(F.lit(0), F.col("c") - F.col("c_hi"), F.col("c_lo") - F.col("c"))
+    met = asked.join(groups, (F.col("token") == F.col("held")) & others & sizes & (apart <= most))
+    return scratch.cut(met.groupBy("node", "block", "need").agg(F.count("*").alias("met")).filter("met >= need").select("node", "block"))
 
 
 def compare(sets: DataFrame, pairs: DataFrame, placed: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between nodes and the blocks opened for them, one for each block at most."""
-    dealt, parts = _dealt(pairs, "block", FOLLOWERS)
+    dealt, parts = _dealt(pairs, "block", FOLLOWERS, scratch)
 
     def run(left, right):
         out = []
@@ -319,24 +325,42 @@ def links_between(packed: DataFrame, chosen: DataFrame, num: int, den: int, scra
     """Links (a, b) between different families of chosen(node, n, family)."""
     theta = (den - num) / (den + num)
     differing = differences(packed, chosen, num, den, scratch)
+    # stars: nodes of one pivot that share differences follow the one of them that differs least
+    stars = differing.filter("near AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    rest = differing
+    for ascending in (True, False):
+        some = F.slice(F.sort_array("diff", ascending), 1, STAR_KEYS)
+        buckets = scratch.stored(rest.select("node", F.size("diff").cast("long").alias("rank"), F.explode(some).alias("key")))
+        found = follow_hubs(packed.select("node", "x"), buckets, num, den, scratch)
+        stars = stars.unionByName(found)
+        rest = rest.join(small(scratch.cut(found.select(F.col("a").alias("node")).distinct())), "node", "left_anti")
+    stars = scratch.cut(stars)
+    joined = scratch.cut(connected_components(by_family(stars, chosen)).select(F.col("node").alias("family"), F.col("component").alias("to")))
+    differing = scratch.stored(differing.join(small(joined), "family", "left").withColumn("family", F.coalesce("to", "family")).drop("to"))
     placed = in_blocks(differing, scratch)
     # nodes of one pivot, by their differences from it: of two that link and don't both link with the pivot, the one
     # with fewer differences shares at least so many of them
-    common = F.when(F.col("near"), (F.col("d") + (F.col("hub_n") - F.col("n")) * theta) / 2).otherwise(F.col("d") - F.col("n") * (theta * (1 + den / num) / 2))
-    shared = F.greatest(F.ceil(common - 1e-6), F.lit(1))
+    twice = F.when(F.col("near"), F.col("d") + 1 + F.floor((F.col("hub_n") - F.col("n")) * theta - 1e-6)).otherwise(2 * F.col("d") - F.floor(F.col("n") * (theta * (1 + den / num)) + 1e-6))
+    shared = F.greatest(F.ceil(twice / 2), F.lit(1))
     nodes = placed.select("node", "n", F.col("d").alias("size"), F.col("d").alias("rank"), (F.col("d") - shared).alias("may_miss"), "family", F.col("node").alias("side"), "block")
     tokens = differing.select(F.explode("diff").alias("token"), "node", "family")
     opened = open_blocks(tokens, nodes, num, den, scratch)
     # nodes of different pivots, by their tokens
     apart = placed.select("node", "n", F.col("pivot").alias("family"))
-    for turn in range(2):
-        apart = scratch.stored(still_open(packed.select("node", "x").join(small(apart), "node"), None, num, den))
+    apart = scratch.stored(still_open(packed.select("node", "x").join(small(apart), "node"), None, num, den))
     chosen_again = placed.join(small(apart.select("node")), "node", "left_semi")
     nodes = chosen_again.select("node", "n", F.col("n").alias("size"), F.col("n").alias("rank"), _allowed(num, den).alias("may_miss"), "family", F.col("pivot").alias("side"), "block")
     tokens = tokens_of(packed.select("node", "x").join(small(apart.select("node", "family")), "node"), None)
     opened = opened.unionByName(open_blocks(tokens, nodes, num, den, scratch)).distinct()
     far = compare(packed, scratch.cut(opened), placed, num, den, scratch)
-    return far.unionByName(placed.filter("near AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    return far.unionByName(stars)
+
+
+def by_family(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes as links of the families that chosen(node, family) names; others are families of their own."""
+    for end in ("a", "b"):
+        found = found.join(small(chosen.select(F.col("node").alias(end), F.col("family").alias("to"))), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return found
 
 
 def links(docs: DataFrame, seen: DataFrame, sets: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -348,13 +372,15 @@ def links(docs: DataFrame, seen: DataFrame, sets: DataFrame, width: int, num: in
     alive = scratch.stored(
         sets.filter(able).join(lone, "node", "left").select("node", "first_id", "n", F.coalesce("own", F.lit(0)).alias("own")).filter(F.col("own") <= _allowed(num, den))
     )
+    if alive.isEmpty():
+        return scratch.stored(alive.select("node", F.col("node").alias("class")))
     packed = scratch.stored(sets_of(docs, alive, width))
     if packed.count() > alive.count():  # rows that share an id and a text
         packed = scratch.stored(packed.dropDuplicates(["node"]))
 
     near, rest, left = None, packed, packed.count()
     for turn in range(ROUNDS):
-        found = follow_hubs(rest, turn, num, den, scratch)
+        found = follow_hubs(rest, scratch.stored(_buckets(rest, turn)), num, den, scratch)
         near = found if near is None else near.unionByName(found)
         gone = scratch.cut(near.select(F.col("a").alias("node")).distinct())
         rest = packed.join(small(gone), "node", "left_anti")
@@ -376,10 +402,7 @@ def links(docs: DataFrame, seen: DataFrame, sets: DataFrame, width: int, num: in
             break
     out = family
     if many:
-        named = scratch.cut(links_between(packed, chosen, num, den, scratch))  # then by the names of families
-        for end in ("a", "b"):
-            named = named.join(small(chosen.select(F.col("node").alias(end), F.col("family").alias(f"{end}_"))), end)
-        joined = scratch.cut(connected_components(named.select(F.col("a_").alias("a"), F.col("b_").alias("b"))))
+        joined = scratch.cut(connected_components(by_family(links_between(packed, chosen, num, den, scratch), chosen)))
         alone = joined.select("node", F.col("node").alias("component")).join(small(family), "node", "left_anti")
         out = family.unionByName(alone).join(small(joined.select(F.col("node").alias("component"), F.col("component").alias("to"))), "component", "left")
         out = out.select("node", F.coalesce("to", "component").alias("component"))
