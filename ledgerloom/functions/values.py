@@ -22,33 +22,34 @@ FORMULA = r"^ *[=+\-@\t\r\n＝＋－＠]"
 PLAIN_NUMBER = r"^[+-]?\d{1,3}(,\d{3})*(\.\d+)?$|^[+-]?\d+(\.\d+)?$"
 VERDICT_WORDS = ("위법", "불법", "받을 수 있", "받을 수있", "청구할 수 있", "승소")
 
-CURRENCY = r"원|₩|\\|KRW|krw"
-AMOUNT = r"^(\d{1,3}(,\d{3})+|\d+)(\.\d+)?$"
+#: An amount without white space: bracket, currency, sign, currency, digits in groups or alone, fraction, currency, sign, bracket.
+_MONEY = r"(?:원|₩|\\|KRW|krw)*"
+AMOUNT_FORM = rf"^(\(?){_MONEY}\+?([△▲−－-]?){_MONEY}(\d{{1,3}}(?:,\d{{3}})+|\d+)(?:\.(\d+))?{_MONEY}(-?){_MONEY}(\)?)$"
 
 
-def _clean_amount(x: Column) -> tuple[Column, Column]:
-    """Digits of an amount text, and whether it is negative."""
-    s = F.regexp_replace(x, r"[\s\x{00A0}\x{3000}]+", "")
-    bracket = s.rlike(r"^\(.*\)$")
-    s = F.regexp_replace(F.when(bracket, F.regexp_extract(s, r"^\((.*)\)$", 1)).otherwise(s), CURRENCY, "")
-    s = F.regexp_replace(s, r"^\+", "")
-    front = s.rlike("^[△▲−－-]")
-    s = F.regexp_replace(s, "^[△▲−－-]", "")
-    back = s.rlike(r".-$")
-    s = F.regexp_replace(F.regexp_replace(s, r"(.)-$", "$1"), CURRENCY, "")
-    return s, bracket != (front != back)
+def amount_of(x: Column) -> Column:
+    """struct<number, error> of an amount text in whole won; empty text and a lone dash are null without an error.
+
+    One match of one pattern: its parts, joined by a bar, are split and read once."""
+    bare = F.regexp_replace(F.coalesce(x, F.lit("")), r"[\s\x{00A0}\x{3000}]+", "")
+    parts = F.split(F.regexp_replace(bare, AMOUNT_FORM, "=|$1|$2|$3|$4|$5|$6"), r"\|", -1)
+
+    def read(p):
+        good = (p[0] == "=") & (F.size(p) == 7) & ((p[1] == "") == (F.get(p, 6) == ""))
+        digits = F.replace(F.get(p, 3), F.lit(","), F.lit("")).try_cast("bigint")
+        odd = ((p[1] != "").cast("int") + (F.get(p, 2) != "").cast("int") + (F.get(p, 5) != "").cast("int")) % 2 == 1
+        whole = F.translate(F.get(p, 4), "0", "") == ""
+        empty = p[0].isin("", "-", "−") & (F.size(p) == 1)
+        number = F.when(good & whole, F.when(odd, -digits).otherwise(digits))
+        return F.struct(number.alias("number"), F.when(empty, None).when(~good, "not an amount").when(~whole, "fractional").alias("error"))
+
+    return F.transform(F.array(parts), read)[0]
 
 
 def parse_amount(x: Column) -> tuple[Column, Column]:
-    """(whole won or null, error or null) of an amount text; empty text and a lone dash are null without an error."""
-    bare = F.regexp_replace(F.coalesce(x, F.lit("")), r"[\s\x{00A0}\x{3000}]+", "")
-    empty = bare.isin("", "-", "−")
-    s, negative = _clean_amount(F.coalesce(x, F.lit("")))
-    good = s.rlike(AMOUNT)
-    fraction = F.regexp_extract(s, r"\.(\d+)$", 1).rlike("[1-9]")
-    value = F.regexp_replace(F.regexp_replace(s, r"\..*$", ""), ",", "").try_cast("bigint")
-    number = F.when(~empty & good & ~fraction, F.when(negative, -value).otherwise(value))
-    return number, F.when(empty, None).when(~good, "not an amount").when(fraction, "fractional").otherwise(None)
+    """The two columns of amount_of; project the struct instead where both are used."""
+    s = amount_of(x)
+    return s["number"], s["error"]
 
 
 def parse_date(x: Column, serials: bool = True) -> Column:
@@ -192,8 +193,7 @@ def q_amount(spark, d):
     forms = [F.concat(comma, F.lit("원")), F.concat(F.lit("₩ "), comma), F.concat(F.lit("("), comma, F.lit(")")), F.concat(F.lit("△"), n), F.concat(F.lit("▲ "), comma), F.concat(n, F.lit("-")), F.concat(F.lit("+"), n), F.concat(n, F.lit(".00")), F.concat(n, F.lit(".5")), F.lit("-"), F.concat(F.lit("abc"), n)]
     text = F.element_at(F.array(*forms), (F.col("k") % 11 + 1).cast("int"))
     x = v.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), v.cents("o_totalprice").alias("n")).withColumn("text", text)
-    amount, error = parse_amount(F.col("text"))
-    return x.select("k", "text", amount.alias("amount"), error.alias("error"))
+    return x.withColumn("parsed", amount_of(F.col("text"))).select("k", "text", F.col("parsed.number").alias("amount"), "parsed.error")
 
 
 @query("b02_b03_parse_date_time", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -11,13 +11,21 @@ from ledgerloom.plans import ledger as v
 from ledgerloom.registry import query
 
 
+def canonical(*columns: str) -> Column:
+    """The columns as one text in which rows that differ, nulls included, never look alike: each value with its length."""
+    one = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.concat_ws("|", *[one(c) for c in columns])
+
+
 def scope_hash(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(key, n, hash): a hash of each key's set of rows. Row hashes are added, so no group is gathered or sorted."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, 12), 16, 10).cast("long")
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(h).cast("long").alias("hash"))
+    """(key, n, hash): a hash of each key's rows, in any order. 60-bit hashes of rows are added as decimals, which no number
+    of rows overflows, so no group is gathered or sorted."""
+    h = F.conv(F.substring(F.sha2(canonical(*columns), 256), 1, 15), 16, 10).cast("decimal(18,0)")
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(h).cast("decimal(38,0)").cast("string").alias("hash"))
 
 
-SCOPE = "scope AS (SELECT counterparty, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(id || '|' || amount), 1, 12) AS BIGINT)) AS BIGINT) AS hash FROM {0} GROUP BY counterparty)"
+SCOPE = """scope AS (SELECT counterparty, count(*) AS n, CAST(sum(CAST(CAST('0x' || substr(sha256(length(id) || ':' || id || '|' || coalesce(length(CAST(amount AS VARCHAR)) || ':' || amount, '-')), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS hash
+  FROM {0} GROUP BY counterparty)"""
 
 
 @query("f15_f16_scope_hash", v.with_views("invoice", SCOPE.format("v_invoice")) + "SELECT * FROM scope")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ledgerloom.functions.values import normalize_header, parse_amount
+from ledgerloom.functions.values import amount_of, normalize_header
 from ledgerloom.plans import ledger as v
 from ledgerloom.registry import query
 
@@ -138,9 +138,8 @@ def q_accounting(spark, d):
     p = F.col("l_partkey") % 20
     text = F.when(p == 0, "합계").when(p == 1, "n/a").otherwise(F.col("l_quantity").cast("long").cast("string"))
     x = v.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), text.alias("text"))
-    amount, error = parse_amount(F.col("text"))
     total = F.col("text").isin("합계", "소계", "총계")
-    x = x.withColumns({"total_row": total, "amount": F.when(~total, amount), "error": F.when(~total, error)})
+    x = x.select("k", total.alias("total_row"), F.when(~total, amount_of(F.col("text"))).alias("parsed")).select("k", "total_row", F.col("parsed.number").alias("amount"), "parsed.error")
     return x.groupBy("k").agg(
         F.count("*").alias("source"), F.count_if("total_row").alias("totals"), F.count("error").alias("issues"), F.count("amount").alias("applied"), F.coalesce(F.sum("amount"), F.lit(0)).cast("long").alias("total")
     )

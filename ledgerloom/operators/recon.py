@@ -1,12 +1,14 @@
 """Reconciliation of receivables with payments, as joins and windows; rounds are repeated until nothing changes.
 
-Within a counterparty: reversals cancel deposits, references pair payments with items, then equal amounts that are unique
-on both sides, then sums of a few items, then parts of a single item. A choice that isn't unique is left AMBIGUOUS."""
+Reversals cancel deposits; references pair payments with items of any counterparty; then, within a counterparty, amounts
+that are unique on both sides (a difference up to the fee tolerance is written off), then sums of a few items, then parts of
+a single item. What names several readings is AMBIGUOUS, a reference of another counterparty a CONFLICT; both take no
+further part. Each pass decides for all payments at once from the state before it, so results don't depend on the order of
+rows; where two payments of one pass claim one item, references and parts go by (day, id), sums leave both ambiguous.
+Payments or items without a counterparty take part in the reference pass only."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from ledgerloom.plans import ledger as v
 from ledgerloom.registry import query
+from ledgerloom.sources.files import scratch
 
 BEFORE, AFTER, REVERSAL_DAYS = 7, 400, 31
 MAX_CANDIDATES, MAX_SIZE, MAX_NODES = 24, 6, 200_000
@@ -34,21 +37,26 @@ def items(spark, d) -> DataFrame:
 def pays(spark, d) -> DataFrame:
     sign = F.when(F.col("amount") < 0, -1).otherwise(1)
     coarse = (F.expr(f"(abs(amount) div {BUCKET} + 1) * {BUCKET}") * sign).cast("long")
-    return v.payments(spark, d).filter("counterparty <> ''").select("id", "counterparty", coarse.alias("amount"), F.col("booked").alias("day"), "reference", F.upper(F.regexp_replace("memo", " ", "")).alias("memo"))
+    return v.payments(spark, d).select("id", "counterparty", coarse.alias("amount"), F.col("booked").alias("day"), "reference", F.upper(F.regexp_replace("memo", " ", "")).alias("memo"))
 
 
 ITEMS = f"items AS (SELECT id, counterparty, (amount // {BUCKET} + 1) * {BUCKET} AS amount, issued AS day, reference FROM v_invoice)"
 PAYS = f"""pays AS (SELECT id, counterparty, (abs(amount) // {BUCKET} + 1) * {BUCKET} * CASE WHEN amount < 0 THEN -1 ELSE 1 END AS amount, booked AS day, reference, upper(replace(memo, ' ', '')) AS memo
-  FROM v_payment WHERE counterparty <> '')"""
+  FROM v_payment)"""
 BASE = v.with_views("invoice", "payment", ITEMS, PAYS)[:-1]
 
 
 def reference_hits(p: DataFrame, i: DataFrame) -> DataFrame:
-    """(pid, iid): a payment's reference is the item's, or its memo contains an item reference of 4 or more characters."""
-    a = p.select(F.col("id").alias("pid"), "counterparty", F.col("reference").alias("pref"), "memo")
-    b = i.select(F.col("id").alias("iid"), "counterparty", F.col("reference").alias("iref"))
-    hit = (F.col("iref") != "") & ((F.col("pref") == F.col("iref")) | ((F.length("iref") >= 4) & F.col("memo").contains(F.col("iref"))))
-    return a.join(b, "counterparty").filter(hit).select("pid", "iid").distinct()
+    """(pid, iid): a payment's reference is the item's, or its memo contains an item reference of 4 or more characters.
+
+    Memos are cut into their parts of the lengths that references have (few), so both are joins on equal texts."""
+    a = p.select(F.col("id").alias("pid"), F.col("reference").alias("pref"), "memo")
+    b = i.filter("reference <> ''").select(F.col("id").alias("iid"), F.col("reference").alias("ref"))
+    lengths = sorted(r[0] for r in b.select(F.length("ref")).distinct().collect() if r[0] >= 4)  # at most the longest reference
+    n = F.length("memo")
+    parts = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda at, k=k: F.substring("memo", at, F.lit(k)))) for k in lengths]
+    texts = F.flatten(F.array_compact(F.array(F.array("pref"), *parts)))
+    return a.select("pid", F.explode(F.array_distinct(texts)).alias("ref")).join(b, "ref").select("pid", "iid").distinct()
 
 
 def reversals(p: DataFrame, hits: DataFrame) -> DataFrame:
@@ -62,10 +70,15 @@ def reversals(p: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def near(p: DataFrame, i: DataFrame) -> DataFrame:
-    """Pairs of one counterparty within the date window."""
-    a = p.select(F.col("id").alias("pid"), "counterparty", F.col("amount").alias("paid"), F.col("day").alias("pday"))
-    b = i.select(F.col("id").alias("iid"), "counterparty", F.col("amount").alias("open"), F.col("day").alias("iday"))
-    return a.join(b, "counterparty").filter(in_window(F.col("pday"), F.col("iday")))
+    """Pairs of one counterparty within the date window; by stretches of ``AFTER`` days, so that only days that may fit meet."""
+    stretch = BEFORE + AFTER + 1
+    at = F.datediff("pday", F.lit("1970-01-01"))
+    a = p.filter("counterparty <> ''").select(F.col("id").alias("pid"), "counterparty", F.col("amount").alias("paid"), F.col("day").alias("pday"))
+    a = a.withColumn("slot", F.explode(F.array_union(F.array(F.floor((at - AFTER) / stretch), F.floor((at + BEFORE) / stretch)), F.array(F.lit(None).cast("long")))))
+    b = i.filter("counterparty <> ''").select(F.col("id").alias("iid"), "counterparty", F.col("amount").alias("open"), F.col("day").alias("iday"))
+    b = b.withColumn("slot", F.floor(F.datediff("iday", F.lit("1970-01-01")) / stretch))
+    same = (a["counterparty"] == b["counterparty"]) & a["slot"].eqNullSafe(b["slot"])
+    return a.join(b, same).filter(in_window(F.col("pday"), F.col("iday"))).select(a["counterparty"], "pid", "paid", "pday", "iid", "open", "iday")
 
 
 def _unique(x: DataFrame) -> DataFrame:
@@ -81,89 +94,173 @@ def equal_amounts(p: DataFrame, i: DataFrame) -> DataFrame:
 def partial(p: DataFrame, i: DataFrame) -> DataFrame:
     """(pid, iid, status) of payments below open amounts: PARTIAL if one item is possible, else AMBIGUOUS."""
     x = near(p, i).filter("paid > 0 AND open > paid").withColumn("n", F.count("*").over(W.partitionBy("pid")))
-    return x.select("pid", "iid", F.when(F.col("n") == 1, "PARTIAL").otherwise("AMBIGUOUS").alias("status"))
-
-
-def subset_of(amounts, target: int, max_size=MAX_SIZE, max_nodes=MAX_NODES):
-    """(positions or None, status): the only set of 2 to max_size amounts with the target sum; small inputs only."""
-    found, nodes = [], 0
-    for size in range(2, max_size + 1):
-        for c in combinations(range(len(amounts)), size):
-            nodes += 1
-            if nodes > max_nodes:
-                return None, "AMBIGUOUS"
-            if sum(amounts[k] for k in c) == target:
-                found.append(c)
-                if len(found) > 1:
-                    return None, "AMBIGUOUS"
-    return (list(found[0]), "MATCHED") if found else (None, "UNMATCHED")
-
-
-def subsets(p: DataFrame, i: DataFrame) -> DataFrame:
-    """(pid, iids, status): sums of several items. Candidates above the payment are dropped first (unless credits are
-    open); more than MAX_CANDIDATES are AMBIGUOUS, so arrays stay short."""
+    return x.withColumn("status", F.when(F.col("n") == 1, "PARTIAL").otherwise("AMBIGUOUS"))
+
+
+def subset_of(amounts, least: int, most: int, max_size=MAX_SIZE, max_nodes=MAX_NODES):
+    """(sets of positions, exhausted): up to two sets of 2 to max_size amounts whose sum lies in least..most. Sets grow one
+    position at a time; what the rest can still add or take bounds the search, and max_nodes its length."""
+    n, found, nodes = len(amounts), [], 0
+    up, down = [0] * (n + 1), [0] * (n + 1)
+    for k in reversed(range(n)):
+        up[k], down[k] = up[k + 1] + max(amounts[k], 0), down[k + 1] + min(amounts[k], 0)
+    stack = [((), 0)]
+    while stack and len(found) < 2:
+        chosen, total = stack.pop()
+        nodes += 1
+        if nodes > max_nodes:
+            return found, True
+        if len(chosen) >= 2 and least <= total <= most:
+            found.append(chosen)
+        after = chosen[-1] + 1 if chosen else 0
+        if len(chosen) < max_size and total + down[after] <= most and total + up[after] >= least:
+            stack += [((*chosen, k), total + amounts[k]) for k in reversed(range(after, n))]
+    return found, False
+
+
+def subsets(p: DataFrame, i: DataFrame, fee: int = 0) -> DataFrame:
+    """(pid, paid, iids, status): sums of several items. Candidates above the payment are dropped first (unless credits are
+    open); with more than MAX_CANDIDATES, a second solution or a search without end, all of them are AMBIGUOUS. The search gets
+    at most MAX_CANDIDATES amounts."""
     x = near(p, i).filter("paid > 0")
-    credit = F.max((F.col("open") < 0).cast("int")).over(W.partitionBy("pid"))
-    x = x.withColumn("credit", credit).filter("credit = 1 OR open <= paid")
-    x = x.withColumn("r", F.row_number().over(W.partitionBy("pid").orderBy("iid"))).filter(F.col("r") <= MAX_CANDIDATES + 1)
-    each = x.groupBy("pid", "paid").agg(F.array_sort(F.collect_list(F.struct("iid", "open"))).alias("c")).filter(F.size("c") >= 2)
+    w = W.partitionBy("pid")
+    x = x.withColumn("credit", F.max((F.col("open") < 0).cast("int")).over(w)).filter((F.col("credit") == 1) | (F.col("open") <= F.col("paid") + fee))
+    x = x.withColumn("n", F.count("*").over(w)).filter("n >= 2")
+    many = x.filter(F.col("n") > MAX_CANDIDATES).groupBy("pid", "paid").agg(F.collect_list("iid").alias("iids")).withColumn("status", F.lit("AMBIGUOUS"))
+    order = F.struct(F.col("iday").isNull().alias("a"), F.col("iday").alias("b"), "iid", "open")
+    each = x.filter(F.col("n") <= MAX_CANDIDATES).groupBy("pid", "paid").agg(F.array_sort(F.collect_list(order)).alias("c"))
 
     @F.pandas_udf("positions array<int>, status string")
     def solve(opens: pd.Series, paid: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, "AMBIGUOUS") if len(a) > MAX_CANDIDATES else subset_of([int(y) for y in a], int(t)) for a, t in zip(opens, paid, strict=True)], columns=["positions", "status"])
+        rows = []
+        for a, t in zip(opens, paid, strict=True):
+            a, t = [int(y) for y in a], int(t)
+            found, ended = subset_of(a, t, t)
+            if not found and not ended and fee:
+                found, ended = subset_of(a, t, t + fee)
+            one = len(found) == 1 and not ended
+            rows.append((sorted({k for c in found for k in c}) if found and not ended else list(range(len(a))), "MATCHED" if one else "AMBIGUOUS" if found or ended else "UNMATCHED"))
+        return pd.DataFrame(rows, columns=["positions", "status"])
 
     s = each.withColumn("s", solve(F.col("c.open"), F.col("paid"))).filter("s.status <> 'UNMATCHED'")
-    return s.select("pid", F.transform("s.positions", lambda k: F.get("c", k)["iid"]).alias("iids"), F.col("s.status").alias("status"))
+    found = s.select("pid", "paid", F.transform("s.positions", lambda k: F.get("c", k)["iid"]).alias("iids"), F.col("s.status").alias("status"))
+    return found.unionByName(many)
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    from tempfile import mkdtemp
-
     sc, spark = df.sparkSession.sparkContext, df.sparkSession
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="ledgerloom-"))
+        sc.setCheckpointDir(scratch(spark))
     return df.checkpoint()
 
 
-def reconcile(p: DataFrame, i: DataFrame, rounds: int = 4) -> DataFrame:
-    """Allocations (pid, iid, amount, method) after all passes. Each pass allocates at most once per payment and item, so
-    no payment and no item is overdrawn; what isn't unique is not allocated."""
-    hits = reference_hits(p, i)
-    gone = reversals(p, hits)
-    out = gone.select(F.explode(F.array("back", "deposit")).alias("id"))
-    p = _cut(p.filter("amount > 0").join(out, "id", "left_anti"))
-    # references: a payment and an item that name only each other; the smaller of both amounts is allocated
-    named = _unique(hits.join(p.select(F.col("id").alias("pid"), F.col("amount").alias("paid")), "pid").join(i.select(F.col("id").alias("iid"), F.col("amount").alias("open")), "iid")).filter("status = 'MATCHED' AND open > 0")
-    done = _cut(named.select("pid", "iid", F.least("paid", "open").alias("amount"), F.lit("reference").alias("method")))
-    for _ in range(rounds):
-        used_i = done.groupBy("iid").agg(F.sum("amount").alias("used"))
-        free_p = p.join(done.select(F.col("pid").alias("id")).distinct(), "id", "left_anti")
-        free_i = i.join(used_i, i["id"] == used_i["iid"], "left").withColumn("amount", F.col("amount") - F.coalesce("used", F.lit(0))).filter("amount <> 0").select(*i.columns)
-        one = equal_amounts(free_p, free_i)
-        exact = one.filter("status = 'MATCHED'").join(free_p.select(F.col("id").alias("pid"), "amount"), "pid").select("pid", "iid", "amount", F.lit("amount").alias("method"))
-        exact = _cut(exact)
-        # payments and items with an ambiguous equal amount wait; the others may be sums or parts
-        busy_p, busy_i = one.select(F.col("pid").alias("id")).distinct(), one.select(F.col("iid").alias("id")).distinct()
-        rest_p, rest_i = free_p.join(busy_p, "id", "left_anti"), free_i.join(busy_i, "id", "left_anti")
-        sums = subsets(rest_p, rest_i).filter("status = 'MATCHED'").select("pid", F.explode("iids").alias("iid"))
-        clash = sums.groupBy("iid").agg(F.count("*").alias("c")).filter("c > 1")
-        bad = sums.join(clash, "iid", "left_semi").select("pid").distinct()
-        good = sums.join(bad, "pid", "left_anti").join(rest_i.select(F.col("id").alias("iid"), "amount"), "iid").select("pid", "iid", "amount", F.lit("sum").alias("method"))
-        good = _cut(good)
-        part = partial(rest_p, rest_i).filter("status = 'PARTIAL'").join(good.select("pid").distinct(), "pid", "left_anti").join(good.select("iid").distinct(), "iid", "left_anti")
-        part = part.withColumn("n", F.count("*").over(W.partitionBy("iid"))).filter("n = 1").join(rest_p.select(F.col("id").alias("pid"), "amount"), "pid").select("pid", "iid", "amount", F.lit("part").alias("method"))
-        new = _cut(exact.unionByName(good).unionByName(part))
-        if new.isEmpty():
-            break
-        done = _cut(done.unionByName(new))
-    return done
-
-
-def statuses(i: DataFrame, allocated: DataFrame) -> DataFrame:
-    """(id, amount, allocated, open, status) of items."""
-    a = allocated.groupBy(F.col("iid").alias("id")).agg(F.sum("amount").alias("allocated"))
-    x = i.select("id", "amount").join(a, "id", "left").fillna(0, ["allocated"]).withColumn("open", F.col("amount") - F.col("allocated"))
-    return x.withColumn("status", F.when(F.col("open") == 0, "MATCHED").when(F.col("allocated") != 0, "PARTIAL").otherwise("UNMATCHED"))
+def _of(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col(key).alias("id")).distinct()
+
+
+def by_reference(p: DataFrame, i: DataFrame, hits: DataFrame, fee: int) -> tuple[DataFrame, DataFrame]:
+    """(allocations, flags(side, id, flag)) of the reference pass: all items a payment names, in full, if their total fits; with
+    a difference up to ``fee`` written off on the last item that can bear it; part of a single item; else ambiguous. An
+    item goes to the first payment, by (day, id), that names it."""
+    a = p.select(F.col("id").alias("pid"), F.col("counterparty").alias("pc"), F.col("amount").alias("paid"), F.col("day").alias("pday"))
+    b = i.select(F.col("id").alias("iid"), F.col("counterparty").alias("ic"), F.col("amount").alias("open"), F.col("day").alias("iday"))
+    x = hits.join(a, "pid").join(b, "iid")
+    other = (F.col("pc") != "") & (F.col("ic") != "") & (F.col("pc") != F.col("ic"))
+    x = x.withColumn("bad", other).withColumn("conflict", F.max("bad").over(W.partitionBy("pid")))
+    flags = x.filter("bad").select(F.explode(F.array(F.struct(F.lit("p").alias("side"), F.col("pid").alias("id")), F.struct(F.lit("i").alias("side"), F.col("iid").alias("id")))).alias("f"), F.lit("CONFLICT").alias("flag"))
+    busy = _of(x.filter("bad"), "iid").withColumnRenamed("id", "iid")
+    x = x.filter(~F.col("conflict")).join(busy, "iid", "left_anti")
+    x = x.withColumn("first", F.row_number().over(W.partitionBy("iid").orderBy("pday", "pid"))).filter("first = 1")
+    w = W.partitionBy("pid")
+    x = x.withColumns({"total": F.sum("open").over(w), "n": F.count("*").over(w)}).withColumn("short", F.col("total") - F.col("paid"))
+    x = x.filter((F.col("total") != 0) & (F.signum("total") == F.signum("paid")))
+    bears = F.when((F.col("open") > 0) & (F.col("open") >= F.col("short")), F.struct(F.col("iday").isNull(), "iday", "iid"))
+    last = F.max(bears).over(w)
+    whole, with_fee = F.abs("total") <= F.abs("paid"), (F.col("paid") > 0) & (F.col("short") > 0) & (F.col("short") <= fee)
+    x = x.withColumn("last", last["iid"]).withColumn("kind", F.when(whole, "full").when(with_fee & F.col("last").isNotNull(), "fee").when(F.col("n") == 1, "part").otherwise("open"))
+    lost = F.when((F.col("kind") == "fee") & (F.col("iid") == F.col("last")), F.col("short")).otherwise(0).cast("long")
+    amount = F.when(F.col("kind") == "part", F.col("paid")).otherwise(F.col("open") - lost)
+    done = x.filter("kind <> 'open'").select("pid", "iid", amount.cast("long").alias("amount"), lost.alias("fee"), F.lit("reference").alias("method"))
+    unclear = x.filter("kind = 'open'")
+    flags = flags.select("f.*", "flag").unionByName(_flag(_of(unclear, "pid"), "p")).unionByName(_flag(_of(unclear, "iid"), "i"))
+    return done, flags
+
+
+def _flag(ids: DataFrame, side: str) -> DataFrame:
+    return ids.select(F.lit(side).alias("side"), "id", F.lit("AMBIGUOUS").alias("flag"))
+
+
+def reconcile(p: DataFrame, i: DataFrame, fee: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(allocations(pid, iid, amount, fee, method), flags(side, id, flag), reversed(id)) after all passes.
+
+    Payments p(id, counterparty, amount, day, reference, memo), items i(id, counterparty, amount, day, reference). The rounds
+    end when one allocates and flags nothing; each settles or flags a payment at least, so there are few."""
+    hits = _cut(reference_hits(p, i))
+    gone = _cut(reversals(p, hits).select(F.explode(F.array("back", "deposit")).alias("id")))
+    p = _cut(p.join(gone, "id", "left_anti"))
+    done, flags = (_cut(x) for x in by_reference(p, i, hits.join(p.select(F.col("id").alias("pid")), "pid", "left_semi"), fee))
+
+    def free(side: str, rows: DataFrame, key: str) -> DataFrame:
+        used = done.groupBy(F.col(key).alias("id")).agg(F.sum(F.col("amount") + (F.col("fee") if key == "iid" else 0)).alias("used"))
+        x = rows.join(flags.filter(F.col("side") == side), "id", "left_anti").join(used, "id", "left")
+        if side == "p":
+            return x.filter("used IS NULL AND amount > 0").select(*rows.columns)
+        return x.withColumn("amount", F.col("amount") - F.coalesce("used", F.lit(0))).filter("amount <> 0").select(*rows.columns)
+
+    while True:
+        new, said = [], []
+        # equal amounts, else amounts within the fee
+        x = near(free("p", p, "pid"), free("i", i, "iid")).filter(F.col("open").between(F.col("paid"), F.col("paid") + fee))
+        x = x.withColumn("best", F.min(F.col("open") != F.col("paid")).over(W.partitionBy("pid"))).filter((F.col("open") != F.col("paid")) == F.col("best"))
+        x = _cut(_unique(x))
+        new.append(x.filter("status = 'MATCHED'").select("pid", "iid", F.col("paid").alias("amount"), (F.col("open") - F.col("paid")).alias("fee"), F.lit("amount").alias("method")))
+        said += [_flag(_of(x.filter("status = 'AMBIGUOUS'"), k), s) for k, s in (("pid", "p"), ("iid", "i"))]
+        done, flags = _cut(done.unionByName(new[0])), _cut(flags.unionByName(said[0]).unionByName(said[1]))
+        # sums of several items; two payments that claim one item leave both unclear
+        rest_p, rest_i = _cut(free("p", p, "pid")), _cut(free("i", i, "iid"))
+        s = _cut(subsets(rest_p, rest_i, fee))
+        legs = s.filter("status = 'MATCHED'").select("pid", "paid", F.explode("iids").alias("iid")).join(rest_i.select(F.col("id").alias("iid"), F.col("amount").alias("open"), "day"), "iid")
+        clash = legs.withColumn("c", F.count("*").over(W.partitionBy("iid"))).withColumn("c", F.max("c").over(W.partitionBy("pid")))
+        clash = clash.withColumn("short", F.sum("open").over(W.partitionBy("pid")) - F.col("paid"))
+        bears = F.when((F.col("open") > 0) & (F.col("open") >= F.col("short")), F.struct(F.col("day").isNull(), "day", "iid"))
+        clash = _cut(clash.withColumn("last", F.max(bears).over(W.partitionBy("pid"))["iid"]))
+        lost = F.when(F.col("iid") == F.col("last"), F.col("short")).otherwise(0).cast("long")
+        good = clash.filter("c = 1 AND (short = 0 OR last IS NOT NULL)").select("pid", "iid", (F.col("open") - lost).alias("amount"), lost.alias("fee"), F.lit("sum").alias("method"))
+        unclear = s.filter("status = 'AMBIGUOUS'").select("pid", F.explode("iids").alias("iid")).unionByName(clash.filter("c > 1").select("pid", "iid"))
+        sums = [_flag(_of(unclear, k), side) for k, side in (("pid", "p"), ("iid", "i"))]
+        done, flags = _cut(done.unionByName(good)), _cut(flags.unionByName(sums[0]).unionByName(sums[1]).distinct())
+        # parts of one item, in (day, id) order while its open amount lasts
+        part = partial(free("p", p, "pid"), free("i", i, "iid"))
+        one = part.filter("status = 'PARTIAL'").withColumn("upto", F.sum("paid").over(W.partitionBy("iid").orderBy("pday", "pid").rowsBetween(W.unboundedPreceding, W.currentRow)))
+        one = _cut(one.filter("upto < open").select("pid", "iid", F.col("paid").alias("amount"), F.lit(0).cast("long").alias("fee"), F.lit("part").alias("method")))
+        many = _cut(part.filter("status = 'AMBIGUOUS'").select("pid", "iid"))
+        done = _cut(done.unionByName(one))
+        flags = _cut(flags.unionByName(_flag(_of(many, "pid"), "p")).unionByName(_flag(_of(many, "iid"), "i")).distinct())
+        if x.isEmpty() and good.isEmpty() and unclear.isEmpty() and one.isEmpty() and many.isEmpty():
+            return done, flags, gone
+
+
+def statuses(i: DataFrame, allocated: DataFrame, flags: DataFrame | None = None) -> DataFrame:
+    """(id, amount, allocated, open, status) of items; flags(side, id, flag) and fees of the allocations count where given."""
+    fee = F.col("fee") if "fee" in allocated.columns else F.lit(0)
+    a = allocated.groupBy(F.col("iid").alias("id")).agg(F.sum("amount").alias("allocated"), F.sum(fee).alias("fee"))
+    x = i.select("id", "amount").join(a, "id", "left").fillna(0, ["allocated", "fee"]).withColumn("open", F.col("amount") - F.col("allocated") - F.col("fee"))
+    x = x.withColumn("flag", F.lit(None).cast("string")) if flags is None else x.join(_worst(flags, "i"), "id", "left")
+    status = F.when(F.col("flag") == "CONFLICT", "CONFLICT").when((F.col("flag") == "AMBIGUOUS") & (F.col("open") != 0), "AMBIGUOUS").when(F.col("open") == 0, "MATCHED").when((F.col("allocated") != 0) | (F.col("fee") != 0), "PARTIAL")
+    return x.select("id", "amount", "allocated", "open", status.otherwise("UNMATCHED").alias("status"))
+
+
+def _worst(flags: DataFrame, side: str) -> DataFrame:
+    return flags.filter(F.col("side") == side).groupBy("id").agg(F.max("flag").alias("flag"))  # by letters, CONFLICT lies above AMBIGUOUS
+
+
+def payment_statuses(p: DataFrame, allocated: DataFrame, flags: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, amount, used, unapplied, status) of payments; a reversed one, and its reversal, is settled."""
+    a = allocated.groupBy(F.col("pid").alias("id")).agg(F.sum("amount").alias("used"))
+    x = p.select("id", "amount").join(a, "id", "left").fillna(0, ["used"]).join(gone.select("id", F.lit(True).alias("gone")), "id", "left").join(_worst(flags, "p"), "id", "left")
+    left = F.when(F.col("gone"), 0).otherwise(F.col("amount") - F.col("used")).cast("long")
+    status = F.when(F.col("gone"), "MATCHED").when(F.col("flag").isNotNull(), F.col("flag")).when(left == 0, "MATCHED").when(F.col("used") != 0, "PARTIAL").otherwise("UNMATCHED")
+    return x.select("id", "amount", "used", left.alias("unapplied"), status.alias("status"))
 
 
 def violations(allocated: DataFrame, p: DataFrame, i: DataFrame) -> DataFrame:
@@ -179,11 +276,11 @@ def violations(allocated: DataFrame, p: DataFrame, i: DataFrame) -> DataFrame:
     return out.unionByName(pairs).unionByName(sums("pid", "pamount")).unionByName(sums("iid", "iamount"))
 
 
-HITS = "hits AS (SELECT DISTINCT p.id AS pid, i.id AS iid FROM pays p JOIN items i USING (counterparty) WHERE p.reference = i.reference OR (length(i.reference) >= 4 AND contains(p.memo, i.reference)))"
-NEAR = f"near AS (SELECT p.id AS pid, i.id AS iid, p.amount AS paid, i.amount AS open FROM pays p JOIN items i USING (counterparty) WHERE i.day IS NULL OR datediff('day', i.day, p.day) BETWEEN -{BEFORE} AND {AFTER})"
+HITS = "hits AS (SELECT DISTINCT p.id AS pid, i.id AS iid FROM pays p JOIN items i ON p.reference = i.reference OR (length(i.reference) >= 4 AND contains(p.memo, i.reference)))"
+NEAR = f"near AS (SELECT p.id AS pid, i.id AS iid, p.amount AS paid, i.amount AS open FROM pays p JOIN items i USING (counterparty) WHERE counterparty <> '' AND (i.day IS NULL OR datediff('day', i.day, p.day) BETWEEN -{BEFORE} AND {AFTER}))"
 
 
-@query("d03_e03_reference_hits", BASE + "," + HITS + " SELECT * FROM hits")
+@query("d03_reference_hits", BASE + "," + HITS + " SELECT * FROM hits")
 def q_hits(spark, d):
     return reference_hits(pays(spark, d), items(spark, d))
 
@@ -203,17 +300,26 @@ def q_equal(spark, d):
 
 @query("e07_partial", BASE + "," + NEAR + """ SELECT pid, iid, CASE WHEN count(*) OVER (PARTITION BY pid) = 1 THEN 'PARTIAL' ELSE 'AMBIGUOUS' END AS status FROM near WHERE paid > 0 AND open > paid""")
 def q_partial(spark, d):
-    return partial(pays(spark, d), items(spark, d))
+    return partial(pays(spark, d), items(spark, d)).select("pid", "iid", "status")
 
 
 @query("e05_e06_subset_sums")
 def q_subsets(spark, d):
-    return subsets(pays(spark, d), items(spark, d))
+    return subsets(pays(spark, d), items(spark, d)).select("pid", F.array_join(F.array_sort("iids"), ",").alias("iids"), "status")
 
 
 @query("e01_e08_e09_e14_reconcile")
 def q_reconcile(spark, d):
-    return reconcile(pays(spark, d), items(spark, d))
+    return reconcile(pays(spark, d), items(spark, d))[0]
+
+
+@query("e12_e13_reconciled_statuses")
+def q_reconciled(spark, d):
+    """Statuses of all items and payments after all passes."""
+    p, i = pays(spark, d), items(spark, d)
+    done, flags, gone = reconcile(p, i, fee=0)
+    sides = statuses(i, done, flags).select(F.lit("item").alias("side"), "id", "status"), payment_statuses(p, done, flags, gone).select(F.lit("payment").alias("side"), "id", "status")
+    return sides[0].unionByName(sides[1])
 
 
 @query("e10_conservation", BASE + "," + NEAR + """, alloc AS (SELECT pid, iid, paid AS amount, paid AS pamount, open AS iamount FROM near WHERE paid >= open - 10000000 AND paid > 0)
@@ -225,7 +331,7 @@ def q_conservation(spark, d):
     return violations(x, p, i)
 
 
-@query("e12_e13_statuses", BASE + "," + NEAR + """, m AS (SELECT *, count(*) OVER (PARTITION BY pid) AS a, count(*) OVER (PARTITION BY iid) AS b FROM near WHERE paid = open AND paid > 0),
+@query("e12_statuses", BASE + "," + NEAR + """, m AS (SELECT *, count(*) OVER (PARTITION BY pid) AS a, count(*) OVER (PARTITION BY iid) AS b FROM near WHERE paid = open AND paid > 0),
 s AS (SELECT iid, sum(paid) AS allocated FROM m WHERE a = 1 AND b = 1 GROUP BY iid)
 SELECT id, amount, CAST(coalesce(allocated, 0) AS BIGINT) AS allocated, CAST(amount - coalesce(allocated, 0) AS BIGINT) AS open, CASE WHEN amount = coalesce(allocated, 0) THEN 'MATCHED' WHEN coalesce(allocated, 0) <> 0 THEN 'PARTIAL' ELSE 'UNMATCHED' END AS status FROM items LEFT JOIN s ON iid = id""")
 def q_statuses(spark, d):

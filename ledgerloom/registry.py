@@ -21,6 +21,6 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from ledgerloom.functions import values  # noqa: F401
-    from ledgerloom.operators import incremental, ingest, linkage, metrics, recon, rules, textops, windows  # noqa: F401
+    from ledgerloom.operators import claims, incremental, ingest, intake, linkage, metrics, recon, rules, textops, windows  # noqa: F401
     from ledgerloom.sources import files  # noqa: F401
     from ledgerloom.streaming import changes  # noqa: F401

@@ -14,8 +14,12 @@ from ledgerloom.registry import query
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one only where no shared folder is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerloom-")
+    """A new folder that driver and executors share; on one machine a local one where no shared folder is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="ledgerloom-")
     return f"{root}/ledgerloom/{uuid.uuid4().hex}"
 
 
