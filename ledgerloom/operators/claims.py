@@ -139,13 +139,13 @@ def approval_blockers(facts: DataFrame, heads: DataFrame) -> DataFrame:
 
 @query("d18_f25_approval_guards", """
 WITH b AS (SELECT l_orderkey AS decision, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_suppkey % 10 = 3 AND l_suppkey % 4 <> 1 GROUP BY ALL),
-r AS (SELECT o_orderkey AS k FROM orders UNION ALL SELECT -o_orderkey FROM orders WHERE o_orderkey % 50 = 0)
-SELECT k AS decision, k > 0 AND k % 9 <> 0 AND n IS NULL AS accepted, CASE WHEN k < 0 THEN 'unknown' WHEN k % 9 = 0 THEN 'stale' WHEN n IS NOT NULL THEN 'blocked' END AS why FROM r LEFT JOIN b ON decision = k""")
+r AS (SELECT o_orderkey AS k FROM orders UNION ALL SELECT -o_orderkey - 1 FROM orders WHERE o_orderkey % 50 = 0)
+SELECT k AS decision, k >= 0 AND k % 9 <> 0 AND n IS NULL AS accepted, CASE WHEN k < 0 THEN 'unknown' WHEN k % 9 = 0 THEN 'stale' WHEN n IS NOT NULL THEN 'blocked' END AS why FROM r LEFT JOIN b ON decision = k""")
 def q_guards(spark, d):
     k = F.col("o_orderkey")
     orders = v.read(spark, d, "orders").select("o_orderkey", F.sha2(k.cast("string"), 256).alias("hash"))
     requests = orders.select(k.alias("decision"), F.when(k % 9 == 0, "old").otherwise(F.col("hash")).alias("expected_hash"))
-    requests = requests.unionByName(orders.filter(k % 50 == 0).select((-k).alias("decision"), F.col("hash").alias("expected_hash")))
+    requests = requests.unionByName(orders.filter(k % 50 == 0).select((-k - 1).alias("decision"), F.col("hash").alias("expected_hash")))
     facts = v.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("decision"), F.col("l_suppkey").alias("document"))
     s = F.col("document")
     heads = v.read(spark, d, "supplier").select(F.col("s_suppkey").alias("document")).select("document", (s % 10 == 3).alias("needs_ack"), (s % 4 == 1).alias("acked"))

@@ -20,7 +20,7 @@ def canonical(*columns: str) -> Column:
 def scope_hash(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """(key, n, hash): a hash of each key's rows, in any order. 60-bit hashes of rows are added as decimals, which no number
     of rows overflows, so no group is gathered or sorted."""
-    h = F.conv(F.substring(F.sha2(canonical(*columns), 256), 1, 15), 16, 10).cast("decimal(18,0)")
+    h = F.conv(F.substring(F.sha2(canonical(*columns), 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(h).cast("decimal(38,0)").cast("string").alias("hash"))
 
 

@@ -10,7 +10,7 @@ Payments or items without a counterparty take part in the reference pass only.""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -54,8 +54,11 @@ def reference_hits(p: DataFrame, i: DataFrame) -> DataFrame:
     b = i.filter("reference <> ''").select(F.col("id").alias("iid"), F.col("reference").alias("ref"))
     lengths = sorted(r[0] for r in b.select(F.length("ref")).distinct().collect() if r[0] >= 4)  # at most the longest reference
     n = F.length("memo")
-    parts = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda at, k=k: F.substring("memo", at, F.lit(k)))) for k in lengths]
-    texts = F.flatten(F.array_compact(F.array(F.array("pref"), *parts)))
+
+    def parts(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda at: F.substring("memo", at, F.lit(k))))
+
+    texts = F.flatten(F.array_compact(F.array(F.array("pref"), *[parts(k) for k in lengths])))
     return a.select("pid", F.explode(F.array_distinct(texts)).alias("ref")).join(b, "ref").select("pid", "iid").distinct()
 
 
