@@ -23,7 +23,7 @@ def sf_dir() -> str:
 def spark():
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     session = (
-        SparkSession.builder.master("local[8]").appName("tests")
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]")).appName("tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", scratch)
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse").config("spark.ui.showConsoleProgress", "false")
