@@ -8,7 +8,7 @@ alphabet, the runs test about the alphabet's middle, and lag-one serial correlat
 (at most 1) says how well the token passes the battery.
 
 A token is reported if it passes better than text does. The null hypothesis is a stretch of running text: the words of a
-document put together, reduced to the encoding's alphabet, from one place of each document of the corpus and for each
+document that are no candidates put together, reduced to the encoding's alphabet, from one place of each document of the corpus and for each
 encoding and power-of-two length class with tokens. The share of these stretches that pass at least as well is the token's
 p-value against text, and the Benjamini-Hochberg procedure, apart for each encoding and length class, bounds the share of
 false reports by ``RATE``: short tokens (weak tests) and long ones (strong tests) don't set each other's threshold. A class
@@ -139,8 +139,9 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def texts_like(text: Column, enc: str, cls: int) -> Column:
-    """A stretch of a text's words, put together and reduced to the encoding's alphabet; null if the text is too short."""
-    words = F.regexp_replace(text, r"[^A-Za-z0-9+/_-]+", "")
+    """A stretch of a text's words (none of them a candidate token), put together and reduced to the encoding's alphabet;
+    null if the text is too short."""
+    words = F.regexp_replace(F.regexp_replace(text, TOKEN, " "), r"[^A-Za-z0-9+/_-]+", "")
     if enc == "base32":
         words = F.regexp_replace(F.upper(words), "[^A-Z2-7]+", "")
     elif enc == "hex":
