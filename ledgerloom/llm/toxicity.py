@@ -94,8 +94,10 @@ class Features:
         hits = [i for i, w in enumerate(words) if weigh[w]]
         you = [i for i, w in enumerate(words) if w in second]
         weights = [x for i in hits if (x := weigh[words[i]]) > 1e-6]
-        at = np.array(you)
-        near = sum(1 for i in hits if len(at) and np.abs(at - i).min() <= NEAR)
+        near = 0
+        if hits and you:  # hits with a second-person word at most NEAR words before or after
+            at, k = np.array(you), np.array(hits)
+            near = int((np.searchsorted(at, k + NEAR, "right") > np.searchsorted(at, k - NEAR)).sum())
         undone = 0
         if counts[_DIGIT] or counts[_PUNCT]:
             undone = max(0, sum(1 for w in raw.lower().translate(_UNDO).split() if weigh[w]) - len(hits))

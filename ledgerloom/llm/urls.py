@@ -49,8 +49,9 @@ def alias_key(url: Column) -> Column:
 
 
 def html_links(html: Column) -> Column:
-    """Array of the targets of canonical links and refreshes, as written."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<(?:link|meta)\s[^>]*>"), F.lit(0))
+    """Array of the targets of canonical links and refreshes, as written; not of those in comments and scripts."""
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<script\b.*?</script\s*>", " ")
+    tags = F.regexp_extract_all(shown, F.lit(r"(?is)<(?:link|meta)\s[^>]*>"), F.lit(0))
 
     def target(tag):
         canonical = tag.rlike(r"(?is)^<link\s") & tag.rlike(r"(?is)\srel\s*=\s*[\"']?\s*canonical\b")

@@ -249,6 +249,46 @@ def test_verdicts_follow_redirects(spark):
     }
 
 
+def brute_verdicts(pages):
+    """Union of aliases by plain loops: (own verdict or None, alias key) of each url, links as (from, to)."""
+    own, root = {}, {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for url, links in pages:
+        for x in (url, *links):
+            host, path = re.match("http://([^/]*)(.*)", x).groups()
+            own[host + path] = "allow" if (host + path).startswith("example.net/en/") else "block" if host == "net" or host.endswith(".net") else None
+        for x in links:
+            root[find(url[7:])] = find(x[7:])
+    level = {}
+    for key, verdict in own.items():
+        level.setdefault(find(key), set()).add(verdict)
+    return {k: v or ("allow" if "allow" in level[find(k)] else "block" if "block" in level[find(k)] else "allow") for k, v in own.items()}
+
+
+def test_chains_loops_hubs_and_hidden_links(spark):
+    rng = random.Random(16)
+    link = '<link rel="canonical" href="{}">'.format
+    urls_ = [f"http://h{i}.test/p" for i in range(300)] + ["http://bad.net/x", "http://example.net/en/a"]
+    pages = [(u, [rng.choice(urls_)] if rng.random() < 0.4 else []) for u in urls_[:250]]
+    pages += [(urls_[i], [urls_[i + 1]]) for i in range(250, 280)] + [(urls_[280], [urls_[250]])]  # a loop
+    pages += [(f"http://spoke{i}.test/p", ["http://hub.test/p"]) for i in range(500)] + [("http://hub.test/p", ["http://sub.net/q"])]
+    pages += [("http://hidden.test/p", [])]
+    html = [" ".join(map(link, to)) for _, to in pages]
+    html[-1] = f"<!-- {link('http://bad.net/x')} --><script>var a = '{link('http://bad.net/x')}'</script>"
+    rows = [(i, u, h) for i, ((u, _), h) in enumerate(zip(pages, html, strict=True))]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = brute_verdicts(pages)
+    assert {r["page_id"]: r["verdict"] for r in got} == {i: want[u[7:]] for i, u, _ in rows}
+    assert len({r["verdict"] for r in got}) == 2
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert urls.judge(empty).count() == 0
+
+
 # 7: toxicity
 
 
@@ -262,6 +302,16 @@ def test_held_out_ranking(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
+def test_near_second_person_equals_brute_force():
+    rng = random.Random(17)
+    f = toxicity.Features({})
+    words = ["you", "idiot", "fine", "day", "stupid", "your", "tree"]
+    for _ in range(200):
+        w = [rng.choice(words) for _ in range(rng.randrange(30))]
+        hits, you = [i for i, x in enumerate(w) if x in ("idiot", "stupid")], [i for i, x in enumerate(w) if x in ("you", "your")]
+        assert f(" ".join(w))[6] == sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in hits)
+
+
 def test_toxicity_without_labels(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.fit(odd, labels).score(odd).collect()
