@@ -55,7 +55,7 @@ STAR_KEYS = 16
 #: Nodes of one task against a hub or block; nodes of a block; classes of own tokens by which blocks are cut.
 FOLLOWERS, BLOCK, SHADES = 200, 256, 8
 #: Tokens beyond those that may be missed by which a node looks for groups, and most passes over all tokens.
-MORE, PASSES = 4, 2
+MORE, PASSES = 2, 2
 
 _U = np.uint64
 
