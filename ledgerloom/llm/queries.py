@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import gif, knn, licences, line_dedup, mixing, ngram_join, pieces, secrets, toxicity, urls
+from ledgerloom.llm import byte_bpe, gif, importance, knn, licences, line_dedup, mixing, ngram_join, pieces, secrets, spelling, toxicity, urls
 
 QUERIES = {
     "op1_piece_sampling": pieces.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_group_join": ngram_join.op8,
     "op9_entropy_mix": mixing.op9,
     "op10_site_line_dedup": line_dedup.op10,
+    "op11_crc_ring_resampling": importance.op11,
+    "op12_prefix_bpe": byte_bpe.op12,
+    "op13_parity_mask_variants": spelling.op13,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op2_licence_digest": licences.OP2_SQL,
     "op6_redirect_verdict": urls.OP6_SQL,
     "op10_site_line_dedup": line_dedup.OP10_SQL,
+    "op11_crc_ring_resampling": importance.OP11_SQL,
+    "op13_parity_mask_variants": spelling.OP13_SQL,
 }
