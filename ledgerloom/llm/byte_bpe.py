@@ -35,8 +35,8 @@ RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A piece depends on at most so many signs after its end (the longest contraction).
 LOOK = 3
-#: Longest piece that is remembered, and most pieces and token pairs that are, in one Python process.
-PIECE, REMEMBER = 64, 600_000
+#: Longest piece that is remembered, and most pieces (twice) and token pairs that are, in one Python process.
+PIECE, REMEMBER = 64, 300_000
 
 
 class Ranks:
@@ -51,7 +51,7 @@ class Ranks:
         self.split = regex.compile(pattern).findall
         self.spans = regex.compile(pattern).finditer
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Remembered(self)
         # ends of tokens: the rank of those that are tokens and are what the merges make of their own bytes, else -1
         self.ends: dict[bytes, int] = {}
         for spelled in self.rank:
@@ -84,20 +84,21 @@ class Ranks:
 
     def extend(self, raw: bytes, last: array, stop=None) -> None:
         """Append to last, the entries of a prefix of raw, those of the longer prefixes, until all are there or stop(entries) holds."""
-        ends, pairs, follows = self.ends, self.pairs, self.follows
+        ends, pairs, follows, longest = self.ends.get, self.pairs.get, self.follows, self.longest
         for end in range(len(last) + 1, len(raw) + 1):
-            # tokens that end here, from the longest on; the bytes before each are encoded already
-            start, fits = end - 1, []
-            while start >= 0 and (token := ends.get(raw[start:end])) is not None:
-                if token >= 0:
-                    fits.append((start, token))
+            found = ends(raw[:end], -1) if end <= longest else -1  # a prefix that is a token is its own encoding
+            start = end
+            while found < 0:
                 start -= 1
-            for start, token in reversed(fits):
-                if start == 0 or pairs.get(before := last[start - 1] << 32 | token) or (before not in pairs and follows(last[start - 1], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no token of the vocabulary ends at byte {end} of a piece: {raw[max(end - 32, 0):end]!r}")
+                token = ends(raw[start:end]) if start >= 0 else None
+                if token is None:
+                    raise ValueError(f"no token of the vocabulary ends at byte {end} of a piece: {raw[max(end - 32, 0):end]!r}")
+                if token >= 0 and start:
+                    before = last[start - 1]
+                    fits = pairs(before << 32 | token)
+                    if fits or (fits is None and follows(before, token)):
+                        found = token
+            last.append(found)
             if stop and stop(last):
                 break
 
@@ -109,34 +110,39 @@ class Ranks:
             end -= len(self.bytes[last[end - 1]])
         return out[::-1]
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """The ids of one piece. A piece that is a token as a whole is that token, reachable by merges or not."""
-        found = self.known.get(piece)
-        if found is None:
-            raw = piece.encode()
-            whole = self.rank.get(raw)
-            if whole is None:
-                last = array("i")
-                self.extend(raw, last)
-                found = tuple(self.tokens(last))
-            else:
-                found = (whole,)
-            if len(piece) <= PIECE:
-                if len(self.known) >= REMEMBER:
-                    self.known.clear()
-                self.known[piece] = found
-        return found
+    def piece(self, piece: str) -> bytes:
+        """The ids of one piece, as 32-bit numbers. A piece that is a token as a whole is that token, reachable by merges or not."""
+        raw = piece.encode()
+        whole = self.rank.get(raw)
+        if whole is not None:
+            return array("i", [whole]).tobytes()
+        last = array("i")
+        self.extend(raw, last)
+        return array("i", self.tokens(last)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        out: list[int] = []
-        known, more = self.known.get, self.piece
-        for piece in self.split(text):
-            out += known(piece) or more(piece)
-        return np.array(out, dtype=np.int32)
-
-    def decode(self, ids) -> bytes:
-        spelled = self.bytes
-        return b"".join([spelled[i] for i in ids])
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.split(text))), dtype=np.int32)
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
+
+class Remembered(dict):
+    """Ids of pieces by piece. When it is full, what was not asked for since the last time goes."""
+
+    def __init__(self, ranks: Ranks):
+        self.ranks, self.older = ranks, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.ranks.piece(piece)
+        if len(piece) <= PIECE:
+            if len(self) >= REMEMBER:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class Encoded:
