@@ -63,42 +63,41 @@ def _cut(size: Column, j) -> Column:
     return F.floor(size * j / SEGMENTS).cast("int")
 
 
-def _without(word: str, size: Column, extra: int, j: int) -> Column:
+def _without(word: str, size: Column, extra, j: int) -> Column:
     """word(of size + extra letters) without part j, as two strings around a sign that no word has."""
     return F.concat(F.substr(word, F.lit(1), _cut(size, j)), F.lit("|"), F.substr(word, _cut(size, j + 1) + 1 + extra))
 
 
 def _postings(words: DataFrame, extra: int) -> DataFrame:
-    """word, n, bands and one key for each part and band; extra: as the longer word of a pair by so many letters."""
+    """word, n, all bands but the last, and one key for each part and band (slot); extra: as the longer word of a pair by so many letters."""
     size = F.length("word") - extra
     keys = [
-        F.struct(F.lit(j).alias("part"), F.lit(i).alias("at"), F.xxhash64(F.lit(j * BANDS + i), size, F.col(f"b{i}"), _without("word", size, extra, j)).alias("key"))
+        F.struct(F.lit(j * BANDS + i).cast("byte").alias("slot"), F.xxhash64(F.lit(j * BANDS + i), size, F.col(f"b{i}"), _without("word", size, extra, j)).alias("key"))
         for j in range(SEGMENTS) for i in range(BANDS)
     ]
-    return words.select("word", "n", *[f"b{i}" for i in range(BANDS)], F.explode(F.array(*keys)).alias("k")).select("*", "k.part", "k.at", "k.key").drop("k")
+    return words.select("word", "n", *[f"b{i}" for i in range(BANDS - 1)], F.explode(F.array(*keys)).alias("k")).select("*", "k.slot", "k.key").drop("k")
 
 
-def _meet(a: DataFrame, b: DataFrame, extra: int) -> DataFrame:
-    """word, n, near, near_n for pairs of one shared key; the word is the shorter, or the first of two equally long."""
+def _meet(a: DataFrame, b: DataFrame) -> DataFrame:
+    """word, n, near, near_n for pairs that share a key; the word is the shorter, or the first of two equally long."""
     b = b.select(*[F.col(c).alias(f"{c}_") for c in b.columns])
     size = F.length("word")
+    extra = F.length("word_") - size
+    part, at = F.floor(F.col("slot") / BANDS), F.col("slot") % BANDS
     earlier = F.lit(False)  # an earlier part or band that agrees, too
     for j in range(SEGMENTS - 1):
-        earlier |= (F.col("part") > j) & (_without("word", size, 0, j) == _without("word_", size, extra, j))
+        earlier |= (part > j) & (_without("word", size, 0, j) == _without("word_", size, extra, j))
     for i in range(BANDS - 1):
-        earlier |= (F.col("at") > i) & (F.col(f"b{i}") == F.col(f"b{i}_"))
-    on = (F.col("key") == F.col("key_")) & (F.col("part") == F.col("part_")) & (F.col("at") == F.col("at_")) & (F.length("word_") == size + extra)
-    if not extra:
-        on &= F.col("word") < F.col("word_")
-    on &= F.levenshtein("word", "word_", 1) == 1
-    return a.join(b, on & ~earlier).select("word", "n", F.col("word_").alias("near"), F.col("n_").alias("near_n"))
+        earlier |= (at > i) & (F.col(f"b{i}") == F.col(f"b{i}_"))
+    on = (F.col("key") == F.col("key_")) & (F.col("slot") == F.col("slot_")) & ((extra == 1) | ((extra == 0) & (F.col("word") < F.col("word_"))))
+    return a.join(b, on & (F.levenshtein("word", "word_", 1) == 1) & ~earlier).select("word", "n", F.col("word_").alias("near"), F.col("n_").alias("near_n"))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, n, near, near_n: every pair of words(word, n) that one edit parts, once in each direction."""
     banded = words.select("word", "n", *[b.alias(f"b{i}") for i, b in enumerate(_bands(F.col("word")))])
-    a = _postings(banded, 0)
-    pairs = _meet(a, a, 0).unionByName(_meet(a, _postings(banded, 1), 1))
+    shorter = _postings(banded, 0)
+    pairs = _meet(shorter, shorter.unionByName(_postings(banded, 1)))
     both = F.explode(F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))))
     return pairs.select(both.alias("p")).select("p.*")
 
