@@ -91,17 +91,6 @@ def q_recompute(spark, d):
     return recompute(summarize(old), old, changed_invoices(spark, d))
 
 
-@query("f17_f18_closure", v.with_views("line", "invoice") + """
-SELECT decision, count(DISTINCT node) AS n FROM (SELECT 'dec:' || i.id AS decision, 'rec:' || i.id AS node FROM v_invoice i UNION ALL SELECT 'dec:' || i.id, 'rec:' || l.id FROM v_invoice i JOIN v_line l USING (orderkey) UNION ALL SELECT 'dec:' || i.id, 'doc:' || i.counterparty FROM v_invoice i) GROUP BY decision""")
-def closure(spark, d):
-    """Everything upstream of each decision; the graph has a fixed depth, so joins reach all of it."""
-    i, x = v.invoices(spark, d), v.lines(spark, d).select("orderkey", F.col("id").alias("line"))
-    dec = F.concat(F.lit("dec:"), "id").alias("decision")
-    direct = i.select(dec, F.explode(F.array(F.concat(F.lit("rec:"), "id"), F.concat(F.lit("doc:"), "counterparty"))).alias("node"))
-    through = i.join(x, "orderkey").select(dec, F.concat(F.lit("rec:"), "line").alias("node"))
-    return direct.unionByName(through).groupBy("decision").agg(F.count_distinct("node").alias("n"))
-
-
 @query("f24_f25_review_status", """
 SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'SUPERSEDED' WHEN good THEN 'APPROVED' WHEN n > 0 THEN 'REVIEW_REQUIRED' WHEN o_orderkey % 2 = 0 THEN 'VERIFIED' ELSE 'DRAFT' END AS status
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, bool_or(l_partkey % 7 = l_orderkey % 7) AS good FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")

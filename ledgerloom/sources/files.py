@@ -23,6 +23,29 @@ def scratch(spark: SparkSession) -> str:
     return f"{root}/ledgerloom/{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    at, fs = _at(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _at(spark, path)
+    fs.delete(at, True)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file; one that is there already stays."""
+    at, fs = _at(spark, path)
+    fs.createNewFile(at)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path, compression="gzip")
 

@@ -1,10 +1,11 @@
-"""Change feeds as streams: incremental recompute by batches, version heads, duplicate deliveries, windows."""
+"""Change feeds as streams: decisions kept up to date batch by batch, version heads, duplicate deliveries, windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import maintained
 from ledgerloom.plans import ledger as v
 from ledgerloom.registry import query
 from ledgerloom.sources.files import scratch
@@ -57,6 +58,24 @@ def q_changes(spark, d):
     return incremental(stream(spark, d, "orders"), spark, one).groupBy("k").agg(F.sum("n").alias("n"), F.sum("amount").cast("long").alias("amount"))
 
 
+def maintain(changes: DataFrame, kept: maintained.Maintained, snapshot_at) -> None:
+    """Follow a stream of changes(entity, id): each micro-batch brings the stores to snapshot_at(batch), recomputing what it
+    touched. Stores and their log outlive the stream; a micro-batch that is delivered again changes nothing."""
+    drain(changes, lambda df, batch: kept.apply(batch + 2, df, snapshot_at(batch)) and None)
+
+
+@query("k01_maintained_stream", v.with_views(*maintained.VIEWS, maintained.snapshot_sql(maintained.STEPS)) + "SELECT * FROM dec")
+def q_maintained(spark, d):
+    """The change feed as a stream of one file a batch; the SQL computes the last state in full."""
+    path, kept, none = scratch(spark), maintained.Maintained(spark), maintained.feed(spark, d, 1).limit(0)
+    for step in range(1, maintained.STEPS + 1):
+        maintained.feed(spark, d, step).coalesce(1).write.mode("append").parquet(path)
+    kept.apply(1, none, maintained.snapshot(spark, d))
+    changes = spark.readStream.schema(none.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    maintain(changes, kept, lambda batch: maintained.snapshot(spark, d, batch + 1))
+    return kept.decisions.read().drop("inputs")
+
+
 @query("k02_stream_heads", "SELECT o_custkey AS document, max(o_orderkey) AS head FROM orders GROUP BY o_custkey")
 def q_heads(spark, d):
     return version_heads(stream(spark, d, "orders").select(F.col("o_custkey").alias("document"), F.col("o_orderkey").alias("version")), spark)
