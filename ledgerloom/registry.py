@@ -22,5 +22,5 @@ def load() -> None:
     """Import every module that registers queries."""
     from ledgerloom.functions import values  # noqa: F401
     from ledgerloom.operators import claims, incremental, ingest, intake, linkage, maintained, metrics, provenance, recon, rules, textops, windows  # noqa: F401
-    from ledgerloom.sources import files  # noqa: F401
+    from ledgerloom.sources import csvscan, files  # noqa: F401
     from ledgerloom.streaming import changes  # noqa: F401

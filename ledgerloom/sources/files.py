@@ -35,6 +35,17 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
 
 
+def sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of all files below a folder, or of one file; names that Spark's readers pass over are left out."""
+    at, fs = _at(spark, path)
+    found, out = fs.listFiles(at, True), []
+    while found.hasNext():
+        x = found.next()
+        if not x.getPath().getName().startswith(("_", ".")):
+            out.append((x.getPath().toString(), x.getLen()))
+    return sorted(out)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at, fs = _at(spark, path)
     fs.delete(at, True)
