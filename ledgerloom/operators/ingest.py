@@ -7,9 +7,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ledgerloom.functions.values import amount_of, normalize_header
+from ledgerloom.functions.values import amount_of
 from ledgerloom.plans import ledger as v
 from ledgerloom.registry import query
 
@@ -94,41 +93,6 @@ def q_tables(spark, d):
     return html_cells(v.read(spark, d, "pages"), "page_id", "html")
 
 
-#: Fields of a settlement table with header synonyms.
-SYNONYMS = (("counterparty", "거래처"), ("counterparty", "업체명"), ("amount", "금액"), ("amount", "매출액"), ("day", "일자"), ("day", "거래일"), ("reference", "번호"))
-HEADERS = ("거래처명", "금액(원)", "거래 일자", "전표번호", "비고", "매출액")
-
-
-def header_scores(headers: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """(header, field, score, confidence): equal 100 HIGH, contained 60 + length MEDIUM, part of 30 + length LOW; the best synonym."""
-    h, s = normalize_header(F.col("header")), F.col("synonym")
-    n = F.least(F.length("synonym"), F.lit(20))
-    score = F.when(h == s, 100).when(h.contains(s), 60 + n).when((F.length(h) > 0) & s.contains(h), 30 + F.least(F.length(h), F.lit(20))).otherwise(0)
-    x = headers.crossJoin(F.broadcast(synonyms)).withColumn("score", score).filter("score > 0").groupBy("header", "field").agg(F.max("score").alias("score"))
-    return x.withColumn("confidence", F.when(F.col("score") == 100, "HIGH").when(F.col("score") >= 60, "MEDIUM").otherwise("LOW"))
-
-
-def assign_columns(scores: DataFrame) -> DataFrame:
-    """(header, field): a column for a field where each is the other's best; ties by name. Repeat for what is left."""
-    best_f = F.row_number().over(W.partitionBy("header").orderBy(F.desc("score"), "field"))
-    best_h = F.row_number().over(W.partitionBy("field").orderBy(F.desc("score"), "header"))
-    return scores.withColumn("a", best_f).withColumn("b", best_h).filter("a = 1 AND b = 1").select("header", "field", "score", "confidence")
-
-
-_H = ", ".join(f"('{h}')" for h in HEADERS)
-_S = ", ".join(f"('{f}', '{s}')" for f, s in SYNONYMS)
-
-
-@query("c03_c05_c16_header_mapping", f"""
-WITH h AS (SELECT header, regexp_replace(regexp_replace(lower(trim(header)), '\\((원|krw)\\)', '', 'g'), '[\\s()]+', '', 'g') AS n FROM (VALUES {_H}) t(header)), s AS (SELECT * FROM (VALUES {_S}) t(field, synonym)),
-x AS (SELECT header, field, max(CASE WHEN n = synonym THEN 100 WHEN contains(n, synonym) THEN 60 + least(length(synonym), 20) WHEN length(n) > 0 AND contains(synonym, n) THEN 30 + least(length(n), 20) ELSE 0 END) AS score FROM h, s GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY score DESC, field) AS a, row_number() OVER (PARTITION BY field ORDER BY score DESC, header) AS b FROM x WHERE score > 0)
-SELECT header, field, CAST(score AS INTEGER) AS score, CASE WHEN score = 100 THEN 'HIGH' WHEN score >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM r WHERE a = 1 AND b = 1""")
-def q_mapping(spark, d):
-    headers = spark.createDataFrame([(h,) for h in HEADERS], "header string")
-    return assign_columns(header_scores(headers, spark.createDataFrame(list(SYNONYMS), "field string, synonym string")))
-
-
 @query("c02_c04_c12_c13_row_accounting", """
 WITH x AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_partkey % 20 = 0 THEN '합계' WHEN l_partkey % 20 = 1 THEN 'n/a' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS text FROM lineitem)
 SELECT k, count(*) AS source, count(*) FILTER (WHERE text = '합계') AS totals, count(*) FILTER (WHERE text = 'n/a') AS issues, count(*) FILTER (WHERE text NOT IN ('합계', 'n/a')) AS applied,
