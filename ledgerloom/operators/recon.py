@@ -1,14 +1,12 @@
-"""Reconciliation of receivables with payments, as joins and windows; rounds are repeated until nothing changes.
-
-Reversals cancel deposits; references pair payments with items of any counterparty; then, within a counterparty, amounts
-that are unique on both sides (a difference up to the fee tolerance is written off), then sums of a few items, then parts of
-a single item. What names several readings is AMBIGUOUS, a reference of another counterparty a CONFLICT; both take no
-further part. Each pass decides for all payments at once from the state before it, so results don't depend on the order of
-rows; where two payments of one pass claim one item, references and parts go by (day, id), sums leave both ambiguous.
-Payments or items without a counterparty take part in the reference pass only."""
+"""Parts of reconciliation that no order touches, as joins and windows: references, reversals, equal amounts, sums, parts, statuses
+and checks of allocations. ``settle`` decides in order what depends on earlier decisions."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +14,9 @@ from pyspark.sql.window import Window as W
 
 from ledgerloom.plans import ledger as v
 from ledgerloom.registry import query
-from ledgerloom.sources.files import scratch
 
 BEFORE, AFTER, REVERSAL_DAYS = 7, 400, 31
-MAX_CANDIDATES, MAX_SIZE, MAX_NODES = 24, 6, 200_000
+MAX_CANDIDATES, MAX_SIZE = 24, 6
 BUCKET = 5_000_000
 
 
@@ -100,31 +97,27 @@ def partial(p: DataFrame, i: DataFrame) -> DataFrame:
     return x.withColumn("status", F.when(F.col("n") == 1, "PARTIAL").otherwise("AMBIGUOUS"))
 
 
-def subset_of(amounts, least: int, most: int, max_size=MAX_SIZE, max_nodes=MAX_NODES):
-    """(sets of positions, exhausted): up to two sets of 2 to max_size amounts whose sum lies in least..most. Sets grow one
-    position at a time; what the rest can still add or take bounds the search, and max_nodes its length."""
-    n, found, nodes = len(amounts), [], 0
-    up, down = [0] * (n + 1), [0] * (n + 1)
-    for k in reversed(range(n)):
-        up[k], down[k] = up[k + 1] + max(amounts[k], 0), down[k + 1] + min(amounts[k], 0)
-    stack = [((), 0)]
-    while stack and len(found) < 2:
-        chosen, total = stack.pop()
-        nodes += 1
-        if nodes > max_nodes:
-            return found, True
-        if len(chosen) >= 2 and least <= total <= most:
-            found.append(chosen)
-        after = chosen[-1] + 1 if chosen else 0
-        if len(chosen) < max_size and total + down[after] <= most and total + up[after] >= least:
-            stack += [((*chosen, k), total + amounts[k]) for k in reversed(range(after, n))]
-    return found, False
+@lru_cache(maxsize=256)
+def _choices(n: int, size: int) -> np.ndarray:
+    """All sets of ``size`` of n positions, one a row."""
+    return np.array(list(combinations(range(n), size)), dtype=np.int8).reshape(-1, size)
+
+
+def first_sums(amounts, least: int, most: int, max_size: int = MAX_SIZE) -> list[tuple[int, ...]]:
+    """The first two, in order of positions, of all sets of 2 to max_size amounts whose sum lies in least..most.
+
+    The sums of all sets of one size are added up at once; of MAX_CANDIDATES amounts there are 190,000 sets."""
+    values, found = np.array(amounts, dtype=np.int64), []
+    for size in range(2, min(max_size, len(values)) + 1):
+        sets = _choices(len(values), size)
+        sums = values[sets].sum(axis=1)
+        found += [tuple(x) for x in sets[np.flatnonzero((sums >= least) & (sums <= most))].tolist()]
+    return sorted(found)[:2]
 
 
 def subsets(p: DataFrame, i: DataFrame, fee: int = 0) -> DataFrame:
     """(pid, paid, iids, status): sums of several items. Candidates above the payment are dropped first (unless credits are
-    open); with more than MAX_CANDIDATES, a second solution or a search without end, all of them are AMBIGUOUS. The search gets
-    at most MAX_CANDIDATES amounts."""
+    open); with more than MAX_CANDIDATES all of them are AMBIGUOUS, with a second solution those of the first two."""
     x = near(p, i).filter("paid > 0")
     w = W.partitionBy("pid")
     x = x.withColumn("credit", F.max((F.col("open") < 0).cast("int")).over(w)).filter((F.col("credit") == 1) | (F.col("open") <= F.col("paid") + fee))
@@ -138,11 +131,8 @@ def subsets(p: DataFrame, i: DataFrame, fee: int = 0) -> DataFrame:
         rows = []
         for a, t in zip(opens, paid, strict=True):
             a, t = [int(y) for y in a], int(t)
-            found, ended = subset_of(a, t, t)
-            if not found and not ended and fee:
-                found, ended = subset_of(a, t, t + fee)
-            one = len(found) == 1 and not ended
-            rows.append((sorted({k for c in found for k in c}) if found and not ended else list(range(len(a))), "MATCHED" if one else "AMBIGUOUS" if found or ended else "UNMATCHED"))
+            found = first_sums(a, t, t) or (first_sums(a, t, t + fee) if fee else [])
+            rows.append((sorted({k for c in found for k in c}), "MATCHED" if len(found) == 1 else "AMBIGUOUS" if found else "UNMATCHED"))
         return pd.DataFrame(rows, columns=["positions", "status"])
 
     s = each.withColumn("s", solve(F.col("c.open"), F.col("paid"))).filter("s.status <> 'UNMATCHED'")
@@ -150,99 +140,6 @@ def subsets(p: DataFrame, i: DataFrame, fee: int = 0) -> DataFrame:
     return found.unionByName(many)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc, spark = df.sparkSession.sparkContext, df.sparkSession
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(scratch(spark))
-    return df.checkpoint()
-
-
-def _of(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).alias("id")).distinct()
-
-
-def by_reference(p: DataFrame, i: DataFrame, hits: DataFrame, fee: int) -> tuple[DataFrame, DataFrame]:
-    """(allocations, flags(side, id, flag)) of the reference pass: all items a payment names, in full, if their total fits; with
-    a difference up to ``fee`` written off on the last item that can bear it; part of a single item; else ambiguous. An
-    item goes to the first payment, by (day, id), that names it."""
-    a = p.select(F.col("id").alias("pid"), F.col("counterparty").alias("pc"), F.col("amount").alias("paid"), F.col("day").alias("pday"))
-    b = i.select(F.col("id").alias("iid"), F.col("counterparty").alias("ic"), F.col("amount").alias("open"), F.col("day").alias("iday"))
-    x = hits.join(a, "pid").join(b, "iid")
-    other = (F.col("pc") != "") & (F.col("ic") != "") & (F.col("pc") != F.col("ic"))
-    x = x.withColumn("bad", other).withColumn("conflict", F.max("bad").over(W.partitionBy("pid")))
-    flags = x.filter("bad").select(F.explode(F.array(F.struct(F.lit("p").alias("side"), F.col("pid").alias("id")), F.struct(F.lit("i").alias("side"), F.col("iid").alias("id")))).alias("f"), F.lit("CONFLICT").alias("flag"))
-    busy = _of(x.filter("bad"), "iid").withColumnRenamed("id", "iid")
-    x = x.filter(~F.col("conflict")).join(busy, "iid", "left_anti")
-    x = x.withColumn("first", F.row_number().over(W.partitionBy("iid").orderBy("pday", "pid"))).filter("first = 1")
-    w = W.partitionBy("pid")
-    x = x.withColumns({"total": F.sum("open").over(w), "n": F.count("*").over(w)}).withColumn("short", F.col("total") - F.col("paid"))
-    x = x.filter((F.col("total") != 0) & (F.signum("total") == F.signum("paid")))
-    bears = F.when((F.col("open") > 0) & (F.col("open") >= F.col("short")), F.struct(F.col("iday").isNull(), "iday", "iid"))
-    last = F.max(bears).over(w)
-    whole, with_fee = F.abs("total") <= F.abs("paid"), (F.col("paid") > 0) & (F.col("short") > 0) & (F.col("short") <= fee)
-    x = x.withColumn("last", last["iid"]).withColumn("kind", F.when(whole, "full").when(with_fee & F.col("last").isNotNull(), "fee").when(F.col("n") == 1, "part").otherwise("open"))
-    lost = F.when((F.col("kind") == "fee") & (F.col("iid") == F.col("last")), F.col("short")).otherwise(0).cast("long")
-    amount = F.when(F.col("kind") == "part", F.col("paid")).otherwise(F.col("open") - lost)
-    done = x.filter("kind <> 'open'").select("pid", "iid", amount.cast("long").alias("amount"), lost.alias("fee"), F.lit("reference").alias("method"))
-    unclear = x.filter("kind = 'open'")
-    flags = flags.select("f.*", "flag").unionByName(_flag(_of(unclear, "pid"), "p")).unionByName(_flag(_of(unclear, "iid"), "i"))
-    return done, flags
-
-
-def _flag(ids: DataFrame, side: str) -> DataFrame:
-    return ids.select(F.lit(side).alias("side"), "id", F.lit("AMBIGUOUS").alias("flag"))
-
-
-def reconcile(p: DataFrame, i: DataFrame, fee: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(allocations(pid, iid, amount, fee, method), flags(side, id, flag), reversed(id)) after all passes.
-
-    Payments p(id, counterparty, amount, day, reference, memo), items i(id, counterparty, amount, day, reference). The rounds
-    end when one allocates and flags nothing; each settles or flags a payment at least, so there are few."""
-    hits = _cut(reference_hits(p, i))
-    gone = _cut(reversals(p, hits).select(F.explode(F.array("back", "deposit")).alias("id")))
-    p = _cut(p.join(gone, "id", "left_anti"))
-    done, flags = (_cut(x) for x in by_reference(p, i, hits.join(p.select(F.col("id").alias("pid")), "pid", "left_semi"), fee))
-
-    def free(side: str, rows: DataFrame, key: str) -> DataFrame:
-        used = done.groupBy(F.col(key).alias("id")).agg(F.sum(F.col("amount") + (F.col("fee") if key == "iid" else 0)).alias("used"))
-        x = rows.join(flags.filter(F.col("side") == side), "id", "left_anti").join(used, "id", "left")
-        if side == "p":
-            return x.filter("used IS NULL AND amount > 0").select(*rows.columns)
-        return x.withColumn("amount", F.col("amount") - F.coalesce("used", F.lit(0))).filter("amount <> 0").select(*rows.columns)
-
-    while True:
-        new, said = [], []
-        # equal amounts, else amounts within the fee
-        x = near(free("p", p, "pid"), free("i", i, "iid")).filter(F.col("open").between(F.col("paid"), F.col("paid") + fee))
-        x = x.withColumn("best", F.min(F.col("open") != F.col("paid")).over(W.partitionBy("pid"))).filter((F.col("open") != F.col("paid")) == F.col("best"))
-        x = _cut(_unique(x))
-        new.append(x.filter("status = 'MATCHED'").select("pid", "iid", F.col("paid").alias("amount"), (F.col("open") - F.col("paid")).alias("fee"), F.lit("amount").alias("method")))
-        said += [_flag(_of(x.filter("status = 'AMBIGUOUS'"), k), s) for k, s in (("pid", "p"), ("iid", "i"))]
-        done, flags = _cut(done.unionByName(new[0])), _cut(flags.unionByName(said[0]).unionByName(said[1]))
-        # sums of several items; two payments that claim one item leave both unclear
-        rest_p, rest_i = _cut(free("p", p, "pid")), _cut(free("i", i, "iid"))
-        s = _cut(subsets(rest_p, rest_i, fee))
-        legs = s.filter("status = 'MATCHED'").select("pid", "paid", F.explode("iids").alias("iid")).join(rest_i.select(F.col("id").alias("iid"), F.col("amount").alias("open"), "day"), "iid")
-        clash = legs.withColumn("c", F.count("*").over(W.partitionBy("iid"))).withColumn("c", F.max("c").over(W.partitionBy("pid")))
-        clash = clash.withColumn("short", F.sum("open").over(W.partitionBy("pid")) - F.col("paid"))
-        bears = F.when((F.col("open") > 0) & (F.col("open") >= F.col("short")), F.struct(F.col("day").isNull(), "day", "iid"))
-        clash = _cut(clash.withColumn("last", F.max(bears).over(W.partitionBy("pid"))["iid"]))
-        lost = F.when(F.col("iid") == F.col("last"), F.col("short")).otherwise(0).cast("long")
-        good = clash.filter("c = 1 AND (short = 0 OR last IS NOT NULL)").select("pid", "iid", (F.col("open") - lost).alias("amount"), lost.alias("fee"), F.lit("sum").alias("method"))
-        unclear = s.filter("status = 'AMBIGUOUS'").select("pid", F.explode("iids").alias("iid")).unionByName(clash.filter("c > 1").select("pid", "iid"))
-        sums = [_flag(_of(unclear, k), side) for k, side in (("pid", "p"), ("iid", "i"))]
-        done, flags = _cut(done.unionByName(good)), _cut(flags.unionByName(sums[0]).unionByName(sums[1]).distinct())
-        # parts of one item, in (day, id) order while its open amount lasts
-        part = partial(free("p", p, "pid"), free("i", i, "iid"))
-        one = part.filter("status = 'PARTIAL'").withColumn("upto", F.sum("paid").over(W.partitionBy("iid").orderBy("pday", "pid").rowsBetween(W.unboundedPreceding, W.currentRow)))
-        one = _cut(one.filter("upto < open").select("pid", "iid", F.col("paid").alias("amount"), F.lit(0).cast("long").alias("fee"), F.lit("part").alias("method")))
-        many = _cut(part.filter("status = 'AMBIGUOUS'").select("pid", "iid"))
-        done = _cut(done.unionByName(one))
-        flags = _cut(flags.unionByName(_flag(_of(many, "pid"), "p")).unionByName(_flag(_of(many, "iid"), "i")).distinct())
-        if x.isEmpty() and good.isEmpty() and unclear.isEmpty() and one.isEmpty() and many.isEmpty():
-            return done, flags, gone
-
-
 def statuses(i: DataFrame, allocated: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     """(id, amount, allocated, open, status) of items; flags(side, id, flag) and fees of the allocations count where given."""
     fee = F.col("fee") if "fee" in allocated.columns else F.lit(0)
@@ -311,20 +208,6 @@ def q_subsets(spark, d):
     return subsets(pays(spark, d), items(spark, d)).select("pid", F.array_join(F.array_sort("iids"), ",").alias("iids"), "status")
 
 
-@query("e01_e08_e09_e14_reconcile")
-def q_reconcile(spark, d):
-    return reconcile(pays(spark, d), items(spark, d))[0]
-
-
-@query("e12_e13_reconciled_statuses")
-def q_reconciled(spark, d):
-    """Statuses of all items and payments after all passes."""
-    p, i = pays(spark, d), items(spark, d)
-    done, flags, gone = reconcile(p, i, fee=0)
-    sides = statuses(i, done, flags).select(F.lit("item").alias("side"), "id", "status"), payment_statuses(p, done, flags, gone).select(F.lit("payment").alias("side"), "id", "status")
-    return sides[0].unionByName(sides[1])
-
-
 @query("e10_conservation", BASE + "," + NEAR + """, alloc AS (SELECT pid, iid, paid AS amount, paid AS pamount, open AS iamount FROM near WHERE paid >= open - 10000000 AND paid > 0)
 SELECT 'over_pid' AS kind, pid AS id FROM alloc GROUP BY pid, pamount HAVING sum(amount) > pamount UNION ALL SELECT 'over_iid', iid FROM alloc GROUP BY iid, iamount HAVING sum(amount) > iamount""")
 def q_conservation(spark, d):

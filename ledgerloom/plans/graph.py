@@ -72,3 +72,23 @@ def upstream(edges: DataFrame, targets: DataFrame, hot: int = HOT) -> DataFrame:
 def dependents(index: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, target) of an index (target, node): what depends on any of nodes(node)."""
     return index.join(nodes.select("node").distinct(), "node").select("node", "target").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of edges(a, b); component is the least node of its connected component.
+
+    Each round a node takes the least label around it, then the label of that label, so labels travel twice as far each time."""
+    room = Room(edges.sparkSession)
+    pairs = edges.select("a", "b").filter("a <> b")
+    both = room.cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = room.cut(both.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
+        least = room.cut(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "component", F.least("component", "near").alias("to")))
+        jump = least.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        now = room.cut(least.join(jump, "to").select("node", F.col("component").alias("was"), F.least("to", "further").alias("component")))
+        labels = now.select("node", "component")
+        if now.filter("was <> component").isEmpty():
+            labels = room.cut(labels)
+            room.close(but=labels)
+            return labels
