@@ -10,11 +10,13 @@ that exact copies of a page don't make its lines boilerplate.
 Counts are over all documents: one row for each distinct line of a document, counted with partial aggregates, so
 neither a host nor a line of any frequency is gathered in one task. Lines are known by 64-bit hashes. A host has
 fewer than (lines per document) / ratio boilerplate lines, so the result of the count is small; if it is below a
-checked size it is broadcast and texts don't move, else the lines to drop are brought to documents by joins.
+checked size, in all and for each host, it is broadcast and texts don't move, else the lines to drop are brought to
+documents by joins.
 
 Nulls and odd values: a null text stays null and counts as a document without lines; a null host is a host of its
-own. Repeated rows each count as a document. A text all of whose lines go becomes empty; the row stays. Extra
-columns stay as they are, whatever their names, but lines_dropped and chars_dropped are those of this run.
+own. Repeated rows each count as a document. A text all of whose lines go becomes empty; the row stays. Texts of any
+length are read whole. A share equal to the ratio is not above it: the line stays. An empty table gives an empty result. Extra columns
+stay as they are, whatever their names and types, but lines_dropped and chars_dropped are those of this run.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BROADCAST_ROWS, SPACE, cut, table
+from ledgerloom.llm.common import BROADCAST_ROWS, SPACE, cut, row_digest, small, table, whole_row
 
 #: A line is boilerplate if more than this share of its host's documents, and at least so many, contain it.
 RATIO, MIN_PAGES = 0.05, 3
+#: Most lines of one host that are looked up in each of its rows; with more, lines are joined.
+HOST_LINES = 2_000
 
 
 def _lines(text: Column) -> Column:
@@ -45,21 +49,23 @@ def boilerplate(docs: DataFrame, host: str, ratio=RATIO, min_pages=MIN_PAGES, di
     pages, lines = docs.select(key, *digest), docs.select(key, *digest, F.explode(F.array_distinct(F.transform(_lines("text"), _hash))).alias("line")).filter("line IS NOT NULL")
     if distinct:
         pages, lines = pages.distinct(), lines.distinct()
-    pages = pages.groupBy("host_key").agg(F.count("*").alias("pages"))
+    pages = cut(pages.groupBy("host_key").agg(F.count("*").alias("pages")))
     counted = lines.groupBy("host_key", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    return counted.join(pages, "host_key").filter(F.col("n") > F.col("pages") * ratio).select("host_key", "line")
+    return counted.join(small(pages), "host_key").filter(F.col("n") > F.col("pages") * ratio).select("host_key", "line")
 
 
 def drop_boilerplate(docs: DataFrame, host="source", ratio=RATIO, min_pages=MIN_PAGES, distinct=False) -> DataFrame:
     """docs with cleaned text, and columns lines_dropped, chars_dropped (in place of columns of these names)."""
-    text, rows = F.col("row.text"), docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(host).alias("host")).alias("host_key"))
+    text, rows = F.col("row.text"), docs.select(whole_row(docs).alias("row"), F.struct(F.col(host).alias("host")).alias("host_key"), row_digest(docs).alias("at"))
     found = cut(boilerplate(docs, host, ratio, min_pages, distinct))
-    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        by_host = found.groupBy("host_key").agg(F.collect_list("line").alias("dropped"))
-        marked = rows.join(F.broadcast(by_host), "host_key", "left")
+    hashes = F.array_compact(F.array_distinct(F.transform(_lines(text), _hash)))
+    by_host = found.groupBy("host_key").agg(F.count("*").alias("n"))
+    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and by_host.filter(F.col("n") > HOST_LINES).isEmpty():
+        by_host = found.groupBy("host_key").agg(F.collect_list("line").alias("known"))
+        marked = rows.join(F.broadcast(by_host), "host_key", "left").withColumn("dropped", F.array_intersect(hashes, "known"))
+        marked = marked.withColumn("dropped", F.when(F.size("dropped") > 0, F.col("dropped")))
     else:  # each row's own lines to drop, by a digest of the row
-        rows = rows.withColumn("at", F.struct(F.xxhash64("row"), F.xxhash64(F.lit(1), "row")))
-        lines = rows.select("at", "host_key", F.explode(F.array_distinct(F.transform(_lines(text), _hash))).alias("line"))
+        lines = rows.select("at", "host_key", F.explode(hashes).alias("line"))
         drops = lines.join(found, ["host_key", "line"], "left_semi").groupBy("at").agg(F.collect_set("line").alias("dropped"))
         marked = rows.join(drops, "at", "left")
     kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains("dropped", _hash(x)), F.lit(False)))

@@ -1,22 +1,24 @@
 """Pipeline stages: each applies one operator to the documents that its predecessor kept.
 
 A stage takes (spark, docs, sf_dir); all but the last return the columns of docs. Whole rows travel as one struct, so
-extra columns of any name stay as they are."""
+extra columns of any name and type stay as they are. Null texts are empty documents: the scorer accepts them, they hold no
+lines, are in no class and have size 0, so the mix takes none of them. Repeated rows are scored and cleaned alike, of a
+class one stays, and the mix takes equal rows equally often. Ties are told in each stage. Empty tables stay empty."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import line_dedup, mixing, ngram_join, pieces, toxicity
-from ledgerloom.llm.common import small, stored, table
+from ledgerloom.llm.common import row_digest, small, stored, table, whole_row
 
 #: Repeated lines lie above this share of a host's pages, body lines below it (README); line_dedup.RATIO is that of op10.
 LINE_RATIO = 0.01
 
 
 def _rows(docs: DataFrame, *names: str) -> DataFrame:
-    return docs.select(F.struct(*docs.columns).alias("_row"), *names)
+    return docs.select(whole_row(docs).alias("_row"), *names)
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -35,24 +37,17 @@ def drop_boilerplate_lines(spark, docs, sf_dir):
     return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
-def _key(docs: DataFrame) -> Column:
-    """A 128-bit digest of a whole row: equal for equal rows only, so it tells rows of one id (or of none) apart."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
-
-
 def keep_one_of_a_class(spark, docs, sf_dir):
     """One row of each near-duplicate class, the one of least doc_id (rows without one last; ties by the row's digest),
     and every row without words. Of rows that are equal in all columns only one is in a class."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", _key(docs).alias("_key"))
-    found = stored(ngram_join.classes(rows, carry=["_key"]))
+    rows = docs.select(whole_row(docs).alias("_row"), "doc_id", "text", row_digest(docs).alias("_key"))
+    found = stored(ngram_join.classes(rows, carry=["_key"]).filter("class IS NOT NULL").select("class", "doc_id", "_key"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
-    chosen = found.filter("class IS NOT NULL").groupBy("class").agg(F.min(first).alias("f"), F.count("*").alias("rows")).select("f._key", "rows")
-    kept = chosen.select("_key").unionByName(found.filter("class IS NULL").select("_key").distinct())
-    out = rows.join(small(kept), "_key", "left_semi")
+    chosen = found.groupBy("class").agg(F.min(first).alias("f"), F.count("*").alias("rows")).filter("rows > 1").select("class", F.col("f._key").alias("_first"))
+    members = stored(found.join(small(chosen), "class").select("_key", "_first"))
+    out = rows.join(small(members.filter("_key <> _first").select("_key").distinct()), "_key", "left_anti")
     # equal rows share a key: where a class has more rows than one, those of its key may be several
-    repeated = found.filter("class IS NOT NULL").groupBy("_key").agg(F.count("*").alias("c")).filter("c > 1").select("_key").join(chosen, "_key", "left_semi")
-    repeated = stored(repeated)
+    repeated = stored(members.filter("_key = _first").groupBy("_key").agg(F.count("*").alias("c")).filter("c > 1").select("_key"))
     if not repeated.isEmpty():
         one = out.join(small(repeated), "_key", "left_semi").dropDuplicates(["_key"])
         out = out.join(small(repeated), "_key", "left_anti").unionByName(one)
@@ -60,11 +55,10 @@ def keep_one_of_a_class(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Each row as many times as the mix takes it."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source", _key(docs).alias("_key"))
-    taken = stored(mixing.mix(rows, carry=["_key"]).filter("copies > 0").select("_key", "copies").distinct())
-    times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    return rows.join(small(taken), "_key").select("_row", times.alias("_copy")).select("_row.*")
+    """Each row as many times as the mix takes it; rows travel along, only numbers of sources are joined to them."""
+    rows = docs.select(whole_row(docs).alias("_row"), "doc_id", "text", "source")
+    taken = mixing.mix(rows, carry=["_row"]).filter("copies > 0")
+    return taken.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).select("_row.*")
 
 
 def encode_pieces(spark, docs, sf_dir):

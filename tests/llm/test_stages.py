@@ -11,25 +11,22 @@ from test_operators import docs_of
 from ledgerloom.llm import line_dedup, mixing, stages
 
 
-def linked(a: str, b: str, width: int, num: int) -> bool:
-    x, y = ({tuple(t.split()[i : i + width]) for i in range(max(1, len(t.split()) - width + 1))} for t in (a, b))
-    return 100 * len(x & y) >= num * len(x | y)
-
-
 def least_of_classes(texts, width=5, num=80) -> set[int]:
     """The least index of each component of linked texts."""
-    root = list(range(len(texts)))
+    root, words = list(range(len(texts))), [t.split() for t in texts]
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in words]
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, a in enumerate(texts):
+    for i, x in enumerate(sets):
         for j in range(i):
-            if a.split() and texts[j].split() and linked(a, texts[j], width, num):
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
+            y = sets[j]
+            if words[i] and words[j] and 100 * min(len(x), len(y)) >= num * max(len(x), len(y)) and 100 * len(x & y) >= num * len(x | y):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
     return {find(i) for i in root}
 
 
@@ -121,3 +118,23 @@ def test_one_of_a_third_of_copies_survives(spark):
     assert {r["text"] for r in docs.filter("doc_id % 3 = 0").collect()} == {copied}
     assert docs.filter("text LIKE '%menu%'").isEmpty()
     assert stages.keep_one_of_a_class(spark, docs, None).filter("doc_id % 3 = 0").select("doc_id").collect() == [(0,)]
+
+
+def test_columns_of_any_name_and_type_travel_along(spark):
+    """Names with dots, columns of maps and structs: through every stage and the line operator, values and all."""
+    texts = ["one two three four five six seven eight"] * 3 + [f"menu here\nown words {i} of page {i * i}\nlast {i}" for i in range(9)] + [None, ""]
+    docs = docs_of(spark, texts).withColumns({"a.b": F.concat(F.lit("v"), "doc_id"), "tags": F.create_map(F.lit("k"), "doc_id"), "s": F.struct(F.col("doc_id").alias("x.y"), F.array("doc_id").alias("z"))})
+    docs = docs.withColumn("_key", F.lit(1)).withColumn("_place", F.lit(2))
+    for stage in (stages.drop_boilerplate_lines, stages.keep_one_of_a_class, stages.mix_sources):
+        out = stage(spark, docs, None)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r["a.b"] == f"v{r['doc_id']}" and r["tags"] == {"k": r["doc_id"]} and r["s"]["x.y"] == r["doc_id"] for r in rows)
+    for most in (line_dedup.HOST_LINES, 0):  # looked up in each row, or joined
+        line_dedup.HOST_LINES, old = most, line_dedup.HOST_LINES
+        try:
+            out = line_dedup.drop_boilerplate(docs)
+            got = {r["doc_id"]: (r["text"], r["lines_dropped"], r["a.b"]) for r in out.collect()}
+        finally:
+            line_dedup.HOST_LINES = old
+        assert got[5] == (texts[5].split("\n", 1)[1], 1, "v5") and got[12] == (None, 0, "v12") and got[0] == ("", 1, "v0")
