@@ -28,7 +28,8 @@ AMOUNT_FORM = rf"^(\(?){_MONEY}\+?([△▲−－-]?){_MONEY}(\d{{1,3}}(?:,\d{{3}
 
 
 def amount_of(x: Column) -> Column:
-    """struct<number, error> of an amount text in whole won; empty text and a lone dash are null without an error.
+    """struct<number, error> of an amount text in whole won; empty text and a lone dash are null without an error, what 64 bits
+    can't hold is null with one.
 
     One match of one pattern: its parts, joined by a bar, are split and read once."""
     bare = F.regexp_replace(F.coalesce(x, F.lit("")), r"[\s\x{00A0}\x{3000}]+", "")
@@ -41,7 +42,7 @@ def amount_of(x: Column) -> Column:
         whole = F.translate(F.get(p, 4), "0", "") == ""
         empty = p[0].isin("", "-", "−") & (F.size(p) == 1)
         number = F.when(good & whole, F.when(odd, -digits).otherwise(digits))
-        return F.struct(number.alias("number"), F.when(empty, None).when(~good, "not an amount").when(~whole, "fractional").alias("error"))
+        return F.struct(number.alias("number"), F.when(empty, None).when(~good, "not an amount").when(~whole, "fractional").when(digits.isNull(), "out of range").alias("error"))
 
     return F.transform(F.array(parts), read)[0]
 

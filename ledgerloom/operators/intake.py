@@ -115,7 +115,13 @@ def header_rows(cells: DataFrame, words: DataFrame, most=40) -> DataFrame:
     x = cells.filter("trim(text) <> ''").withColumn("bare", F.regexp_replace(F.lower("text"), r"[\s()]+", ""))
     first = x.select("doc", "row").distinct().withColumn("at", F.row_number().over(W.partitionBy("doc").orderBy("row"))).filter(F.col("at") <= most)
     near = x.join(first, ["doc", "row"])
-    known = near.select("bare").distinct().crossJoin(F.broadcast(words.limit(10_000))).groupBy("bare").agg(F.max(F.when(F.col("bare") == F.col("word"), 3).when(F.col("bare").contains(F.col("word")), 1).otherwise(0)).alias("points"))
+    texts = near.select("bare").distinct()
+    lengths = [r[0] for r in words.select(F.length("word").alias("n")).distinct().collect() if r[0]]  # at most the longest word
+    n = F.length("bare")
+    parts = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda at: F.substring("bare", at, F.lit(k))))
+    held = texts.select("bare", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*[parts(k) for k in lengths]))))).alias("word")) if lengths else texts.select("bare", F.lit(None).cast("string").alias("word"))
+    found = held.join(words.select("word").distinct(), "word").groupBy("bare").agg(F.max(F.when(F.col("bare") == F.col("word"), 3).otherwise(1)).alias("points"))
+    known = texts.join(found, "bare", "left").fillna(0, ["points"])
     rows = near.join(known, "bare").groupBy("doc", "row").agg(F.sum("points").cast("int").alias("score"), F.count("*").alias("texts"))
     best = rows.groupBy("doc").agg(F.max_by("row", F.struct("score", -F.col("row"))).alias("best"), F.max("score").alias("score"), F.min(F.when(F.col("texts") >= 2, F.col("row"))).alias("second"))
     sure = F.col("score") >= 3

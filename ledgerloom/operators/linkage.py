@@ -94,15 +94,25 @@ def q_owned(spark, d):
     return mine.groupBy(F.col("l_partkey").alias("part")).agg(F.count("*").alias("n"))
 
 
-@query("d20_h07_candidates", v.with_views("invoice", "payment") + """
-SELECT pid, iid, equal, rank FROM (SELECT p.id AS pid, i.id AS iid, p.amount = i.amount AS equal, CAST(row_number() OVER (PARTITION BY p.id ORDER BY abs(p.amount - i.amount), i.id) AS INTEGER) AS rank
-  FROM v_payment p JOIN v_invoice i USING (counterparty) WHERE datediff('day', i.issued, p.booked) BETWEEN -7 AND 400) WHERE rank <= 3""")
+#: Candidates that are shown for one payment; more are said to be cut.
+SHOWN = 50
+
+
+@query("d20_h07_candidates", v.with_views("invoice", "payment") + f"""
+, x AS (SELECT p.id AS pid, i.id AS iid, p.amount = i.amount AS equal, p.reference <> '' AND p.reference = i.reference AS named, datediff('day', i.issued, p.booked) BETWEEN -7 AND 400 AS near, abs(p.amount - i.amount) AS off
+  FROM v_payment p JOIN v_invoice i USING (counterparty) WHERE counterparty <> '')
+SELECT pid, iid, equal, named, near, CAST(rank AS INTEGER) AS rank, n > {SHOWN} AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY named DESC, near DESC, off, iid) AS rank, count(*) OVER (PARTITION BY pid) AS n FROM x) WHERE rank <= {SHOWN}""".replace("\n, x AS", ", x AS"))
 def q_candidates(spark, d):
-    """The three nearest items of each payment, by amount."""
-    p, i = v.payments(spark, d), v.invoices(spark, d)
-    x = p.select(F.col("id").alias("pid"), "counterparty", F.col("amount").alias("paid"), "booked").join(i.select(F.col("id").alias("iid"), "counterparty", "amount", "issued"), "counterparty")
-    x = x.filter(F.datediff("booked", "issued").between(-7, 400)).withColumn("rank", F.row_number().over(W.partitionBy("pid").orderBy(F.abs(F.col("paid") - F.col("amount")), "iid")))
-    return x.filter("rank <= 3").select("pid", "iid", (F.col("paid") == F.col("amount")).alias("equal"), "rank")
+    """Items that a payment may be for: those of its counterparty, named ones first, then those within the window, then by amount;
+    the first SHOWN with their reasons, and whether there are more."""
+    p, i = v.payments(spark, d).filter("counterparty <> ''"), v.invoices(spark, d)
+    x = p.select(F.col("id").alias("pid"), "counterparty", F.col("amount").alias("paid"), "booked", F.col("reference").alias("ref"))
+    x = x.join(i.select(F.col("id").alias("iid"), "counterparty", "amount", "issued", "reference"), "counterparty")
+    x = x.select("pid", "iid", (F.col("paid") == F.col("amount")).alias("equal"), ((F.col("ref") != "") & (F.col("ref") == F.col("reference"))).alias("named"),
+                 F.datediff("booked", "issued").between(-7, 400).alias("near"), F.abs(F.col("paid") - F.col("amount")).alias("off"))
+    order = F.row_number().over(W.partitionBy("pid").orderBy(F.desc("named"), F.desc("near"), "off", "iid"))
+    x = x.withColumn("rank", order).withColumn("n", F.count("*").over(W.partitionBy("pid")))
+    return x.filter(F.col("rank") <= SHOWN).select("pid", "iid", "equal", "named", "near", "rank", (F.col("n") > SHOWN).alias("truncated"))
 
 
 @query("d21_stated_rate_mode", """

@@ -25,6 +25,7 @@ RULES = (
 SOLAR = ("01-01", "03-01", "05-05", "06-06", "08-15", "10-03", "10-09", "12-25")
 LUNAR = ("2025-01-27", "2025-01-28", "2025-01-29", "2025-01-30", "2025-03-03", "2025-05-06", "2025-10-05", "2025-10-06", "2025-10-07", "2025-10-08")
 FIRST_DAY, LAST_DAY = "2020-01-01", "2032-12-31"
+RUN = 20
 RULE_SCHEMA = "rule string, version string, effective_from date, effective_to date, known_from date, term_days int, monthly_days int, rate_milli int, day_count int"
 
 
@@ -56,7 +57,7 @@ RULES_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(
 def calendar(spark, first=FIRST_DAY, last=LAST_DAY, added=LUNAR, removed=()) -> DataFrame:
     """(day, is_holiday, is_business, next_business_day): removed dates win over added ones, those over yearly ones.
 
-    One window over a bounded number of days; broadcast wherever it is joined."""
+    One window over a bounded number of days; broadcast wherever it is joined. Days outside are rolled by next_business_day."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
     text = F.date_format("day", "yyyy-MM-dd")
     holiday = ~text.isin(*(removed or ("",))) & (text.isin(*added) | F.date_format("day", "MM-dd").isin(*SOLAR))
@@ -72,6 +73,15 @@ CALENDAR_SQL = f"""calendar AS (
       FROM (SELECT CAST(unnest(generate_series(DATE '{FIRST_DAY}', DATE '{LAST_DAY}', INTERVAL 1 DAY)) AS DATE) AS day))))"""
 
 
+def next_business_day(day: Column, added=LUNAR) -> Column:
+    """The same for any day, as an expression: the first business day of the RUN days from it on. No run of holidays and
+    weekends is as long."""
+    def business(x: Column) -> Column:
+        return (F.weekday(x) < 5) & ~F.date_format(x, "MM-dd").isin(*SOLAR) & ~F.date_format(x, "yyyy-MM-dd").isin(*added)
+
+    return F.get(F.filter(F.sequence(day, F.date_add(day, RUN)), business), F.lit(0))
+
+
 def resolve(facts: DataFrame, rules: DataFrame, rule: Column, on: Column, keep: tuple[str, ...], known_at=None, prefix="") -> DataFrame:
     """facts with columns of the rule version that applies on a date: the latest by (effective_from, version) among those
     in force, and known by known_at. An as-of join against a bounded dimension, broadcast."""
@@ -114,7 +124,7 @@ def due(facts: DataFrame, rules: DataFrame, cal: DataFrame, as_of: str | None =
     )
     x = x.withColumn("missing", missing).withColumn("raw_due", F.when(F.col("missing").isNull(), F.expr("date_add(base_date, term_term_days)")))
     days = cal.select(F.col("day").alias("raw_due"), F.col("next_business_day").alias("rolled"))
-    x = x.join(F.broadcast(days), "raw_due", "left")
+    x = x.join(F.broadcast(days), "raw_due", "left").withColumn("rolled", F.coalesce("rolled", F.when(F.col("raw_due").isNotNull(), next_business_day(F.col("raw_due")))))
     off = F.struct(F.lit("rollover_off").alias("variant"), F.col("raw_due").alias("due"))
     on = F.struct(F.lit("rollover_on").alias("variant"), F.col("rolled").alias("due"))
     options = (

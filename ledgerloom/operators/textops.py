@@ -9,6 +9,10 @@ from ledgerloom.plans import ledger as v
 from ledgerloom.registry import query
 
 
+#: Lines whose offsets are added up at once.
+BLOCK = 256
+
+
 def _squeeze(x):
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
@@ -16,12 +20,24 @@ def _squeeze(x):
 @query("d19_citations", """
 SELECT item_id, count(d.doc_id) AS documents, min(d.doc_id) AS first FROM benchmark b LEFT JOIN documents d ON trim(regexp_replace(b.text, '\\s+', ' ', 'g')) <> '' AND contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) GROUP BY item_id""")
 def citations(spark, d):
-    """Passages that occur in documents, white space apart. The passages are a parameter of bounded size (a checked
-    broadcast); each document is squeezed once, and searched for all of them."""
+    """Passages that occur in documents, white space apart.
+
+    Of a passage of seven words or more the second to sixth are whole words wherever it occurs: documents and passages meet on a
+    hash of five words, then the whole passage is looked for. Only shorter ones are looked for in every document."""
     b = v.read(spark, d, "benchmark").select("item_id", _squeeze(F.col("text")).alias("passage"))
     docs = v.read(spark, d, "documents").select("doc_id", _squeeze(F.col("text")).alias("body"))
-    few = F.broadcast(b) if b.count() <= 20_000 else b
-    hits = docs.join(few, (F.col("passage") != "") & F.col("body").contains(F.col("passage"))).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
+    five = lambda words, at: F.xxhash64(F.slice(words, at, 5))
+    words = F.split("passage", " ")
+    long = b.filter((F.size(words) >= 7)).withColumn("key", five(words, F.lit(2)))
+    short = b.filter((F.col("passage") != "") & (F.size(words) < 7))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 4, F.lit(1))), lambda at: five(F.col("words"), at))
+    keyed = docs.withColumn("words", F.split("body", " ")).select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
+    met = keyed.join(long.select("item_id", "key", "passage"), "key").select("doc_id", "item_id", "passage").distinct()
+    found = met.join(docs, "doc_id").filter(F.col("body").contains(F.col("passage"))).select("item_id", "doc_id")
+    if not short.isEmpty():  # passages are a parameter; with many short ones they are worth a shuffle
+        few = F.broadcast(short) if short.count() <= 20_000 else short
+        found = found.unionByName(docs.join(few, F.col("body").contains(F.col("passage"))).select("item_id", "doc_id"))
+    hits = found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
     return b.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first")
 
 
@@ -29,12 +45,18 @@ def citations(spark, d):
 SELECT doc_id, i - 1 AS no, length(p) AS chars, CAST(coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""")
 def paragraphs(spark, d):
-    """Lines as paragraphs with offsets, found within each row: no shuffle."""
-    parts = F.split("text", "\n", -1)
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,chars:int>>").alias("out"))
+    """Lines as paragraphs with offsets, found within each row: no shuffle. Offsets add up by blocks of BLOCK lines, so no array
+    is copied more often than there are blocks or lines in one."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / BLOCK).cast("int")), lambda b: F.slice("parts", b * BLOCK + 1, BLOCK))
+    size = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, p: n + F.length(p) + 1)
+    starts = F.aggregate(F.transform("blocks", size), F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    none = F.struct(F.col("start").alias("at"), F.array().cast("array<struct<start:long,chars:int>>").alias("out"))
     add = lambda a, p: F.struct((a["at"] + F.length(p) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), F.length(p).alias("chars")))).alias("out"))
-    x = v.read(spark, d, "documents").select("doc_id", F.posexplode(F.aggregate(parts, none, add)["out"]).alias("no", "p"))
-    return x.select("doc_id", "no", F.col("p.chars").alias("chars"), F.col("p.start").alias("start"))
+    x = v.read(spark, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("parts")).select("doc_id", blocks.alias("blocks"))
+    x = x.select("doc_id", "blocks", starts.alias("starts")).select("doc_id", F.posexplode("blocks").alias("b", "block"), "starts")
+    x = x.select("doc_id", "b", "block", F.get("starts", F.col("b")).alias("start"))
+    x = x.select("doc_id", "b", F.posexplode(F.aggregate("block", none, add)["out"]).alias("i", "p"))
+    return x.select("doc_id", (F.col("b") * BLOCK + F.col("i")).alias("no"), F.col("p.chars").alias("chars"), F.col("p.start").alias("start"))
 
 
 @query("i02_i06_fact_extraction", r"""
