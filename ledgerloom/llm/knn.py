@@ -8,13 +8,15 @@ Vectors become integers, v = floor(256 * x). The score is the integer inner prod
 3. Summaries of groups: with v = a p/|p| + w, w at right angles to p, the least and greatest a and the greatest |w|. They
    bound every score of a query with the group: q.v <= max(qa * a) + |qw| * max|w|, where qa and qw are q's own parts.
 4. First pass: each query meets the group of greatest bound that holds k + 1 vectors; its (k + 1)-th score there, theta, is
-   no more than its final one. Second pass: a query goes to those other groups only whose bound reaches its theta. Data are
-   never replicated for that: queries are the smaller side.
-5. A group is dealt in parts of about ``MANY`` vectors by a hash, its queries likewise, so no task grows with the data.
-   Each part finds the k + 1 best by matrix products; the parts' results meet in a window of few rows for each
-   query. Ties go to smaller ids; the query's own id is left out at the end.
-
-Only pivots and summaries (a bounded number of groups) reach the driver. ``replicated`` counts the rows of both passes.
+   no more than its final one. Second pass: a query asks those other groups only whose bound reaches its theta.
+5. Neighbouring groups of about ``MANY`` vectors in all travel as one block. A query is sent to a block once, with the groups
+   that it asks there; only these are solved for it. A block of more vectors or queries is dealt in parts of ``MANY`` by a
+   hash, so no task grows with the data; then each part of one side meets each of the other, which sends a row once for
+   every MANY rows of the other side that it must meet. Each part finds the k + 1 best by matrix products; the parts'
+   results meet in a window of few rows for each query. Ties go to smaller ids; the query's own id is left out at the end.
+
+Only pivots and summaries (a bounded number of groups) reach the driver; bounds are computed for SLICE queries at a time.
+The report's ``replicated`` counts asked groups of both passes, ``sent`` the rows that carry them.
 Where vectors have no clusters (uniform directions), no bound excludes much and every query meets most groups; the result
 is the same.
 
@@ -37,7 +39,9 @@ from pyspark.sql.window import Window as W
 from ledgerloom.llm.common import stored, table
 
 K, SCALE = 5, 256
-MOST_PIVOTS, SHELLS, MANY = 1024, 8, 4096
+MOST_PIVOTS, SHELLS, MANY = 1024, 8, 16_384
+#: Queries whose bounds, and queries whose scores, are computed at once.
+SLICE, ROWS = 256, 128
 
 
 def integer_vectors(df: DataFrame, vector="embedding", scale=SCALE) -> DataFrame:
@@ -88,7 +92,7 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def knn_join(queries: DataFrame, data: DataFrame, k=K, pivots=None, many=MANY, report=None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of data(id, v) for each row of queries(id, v).
 
-    report, a dictionary, gets the numbers of rows that go to groups."""
+    report, a dictionary, gets the numbers of groups that are asked and of rows sent."""
     spark, k1 = data.sparkSession, k + 1
     d = stored(_smallest_ids(_packed(data), k1))
     asked = stored(_packed(queries))
@@ -117,66 +121,92 @@ def knn_join(queries: DataFrame, data: DataFrame, k=K, pivots=None, many=MANY, r
     placed = stored(d.mapInArrow(place, "x binary, ids array<long>, grp long, along double, rest double"))
     groups = placed.groupBy("grp").agg(F.min("along").alias("lo"), F.max("along").alias("hi"), F.max("rest").alias("rest"), F.count("*").alias("c")).orderBy("grp").collect()  # at most pivots x SHELLS
     grp, lo, hi, rest, size = (np.array([r[i] for r in groups]) for i in range(5))
-    summary = spark.sparkContext.broadcast((grp, lo, hi, rest, size))
+    ends = np.cumsum(size)
+    block = (ends - size) // many  # neighbouring groups, until they have as many vectors
+    summary = spark.sparkContext.broadcast((grp, lo, hi, rest, size, block))
 
     def bounds(m):
-        grp, lo, hi, rest, _ = summary.value
+        grp, lo, hi, rest, _, _ = summary.value
         along, aside = _parts(m, shared.value[1])
         cell = grp // SHELLS
         most = np.maximum(along[:, cell] * lo, along[:, cell] * hi) + aside[:, cell] * rest
         return most + 1e-9 * np.abs(most) + 1e-3  # never below the exact bound by rounding
 
+    def asked_groups(b, x, qid, theta, wants):
+        """Rows (x, qid, theta, block, groups) of a slice's queries and the places of groups that they want, in order of both."""
+        grp, block = summary.value[0], summary.value[5]
+        row, g = wants
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[g][1:] != block[g][:-1])])) if len(row) else np.zeros(0, np.int64)
+        at = pa.array(row[new])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(row)]]).astype(np.int32)), pa.array(grp[g], pa.int64()))
+        return pa.RecordBatch.from_arrays([x.take(at), qid.take(at), pa.array(theta[row[new]]), pa.array(block[g[new]], pa.int64()), lists], names=["x", "qid", "theta", "block", "groups"])
+
     def first(batches):
-        grp, *_, size = summary.value
-        for b in batches:
-            m = _matrix(b.column(0))
-            if len(m):
-                best = np.where(size >= k1, bounds(m), -np.inf).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(m), -np.inf)), pa.array(grp[best], pa.int64())], names=["x", "qid", "theta", "grp"])
+        size = summary.value[4]
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                best = np.where(size >= k1, bounds(_matrix(b.column(0))), -np.inf).argmax(axis=1)
+                yield asked_groups(b, b.column(0), b.column(1), np.full(len(best), -np.inf), (np.arange(len(best)), best))
 
     def others(batches):
         grp = summary.value[0]
-        for b in batches:
-            m = _matrix(b.column(0))
-            if len(m):
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
                 theta, was = b.column(2).to_numpy(), b.column(3).to_numpy()
-                row, g = np.nonzero((bounds(m) >= theta[:, None]) & (grp[None, :] != was[:, None]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(theta[row]), pa.array(grp[g], pa.int64())], names=["x", "qid", "theta", "grp"])
+                wants = np.nonzero((bounds(_matrix(b.column(0))) >= theta[:, None]) & (grp[None, :] != was[:, None]))
+                yield asked_groups(b, b.column(0), b.column(1), theta, wants)
 
     def solve(left, right):
         a, b = _matrix(left.column("x"), np.int64), _matrix(right.column("y"), np.int64)
-        qid, theta = left.column("qid").to_pylist(), left.column("theta").to_numpy()
+        asked_by = left.column("groups").combine_chunks()
+        who, what = np.repeat(np.arange(len(a)), np.diff(asked_by.offsets.to_numpy())), asked_by.values.to_numpy()[asked_by.offsets[0].as_py() :]
+        theta, held = left.column("theta").to_numpy(), right.column("grp").to_numpy()
         ids = right.column("ids").to_pylist()
-        out = []
-        if len(a) and len(b):
-            least = np.array([x[0] for x in ids])
-            for i in range(0, len(a), 512):
-                for j, row in enumerate(_scores(a[i : i + 512], b)):
-                    # all vectors that may hold one of the k + 1 best rows: score not below the (k + 1)-th
-                    bound = max(np.partition(row, -k1)[-k1] if len(row) > k1 else -np.inf, theta[i + j])
-                    best = np.flatnonzero(row >= bound)
-                    best = best[np.lexsort((least[best], -row[best]))][:k1]
-                    out += [(qid[i + j], int(row[x]), ids[x]) for x in best]
-        qids, scores, found = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"qid": pa.array(qids, pa.int64()), "score": pa.array(scores, pa.int64()), "ids": pa.array(found, pa.list_(pa.int64()))})
+        least = np.array([x[0] for x in ids], dtype=np.int64)
+        found = [(np.zeros(0, np.int64),) * 3]  # query, score, vector
+        for g in np.unique(held):
+            rows, mine = np.flatnonzero(held == g), who[what == g]
+            for i in range(0, len(mine), ROWS):
+                some = mine[i : i + ROWS]
+                scores = _scores(a[some], b[rows])
+                # all vectors that may hold one of the k + 1 best rows: score not below the (k + 1)-th
+                bound = np.partition(scores, -k1, axis=1)[:, -k1] if len(rows) > k1 else np.full(len(some), np.iinfo(np.int64).min)
+                q_at, v_at = np.nonzero((scores >= bound[:, None]) & (scores >= theta[some][:, None]))
+                found.append((some[q_at], scores[q_at, v_at].astype(np.int64), rows[v_at]))
+        query, score, vector = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((least[vector], -score, query))
+        query, score, vector = query[order], score[order], vector[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)  # a query's rows, best first
+        keep = place < k1
+        qid = left.column("qid").to_numpy()[query[keep]]
+        return pa.table({"qid": pa.array(qid, pa.int64()), "score": pa.array(score[keep], pa.int64()), "ids": pa.array([ids[x] for x in vector[keep]], pa.list_(pa.int64()))})
+
+    in_block = F.broadcast(spark.createDataFrame([(int(g), int(x)) for g, x in zip(grp, block, strict=True)], "grp long, block long"))
+    blocked = placed.join(in_block, "grp").select("grp", "block", F.col("x").alias("y"), "ids")
+    dealt = {}
+    for g, c in zip(block.tolist(), size.tolist(), strict=True):
+        dealt[g] = dealt.get(g, 0) + c
+    dealt = F.broadcast(spark.createDataFrame([(g, -(-c // many)) for g, c in dealt.items()], "block long, v_parts int"))
 
     def met(sent: DataFrame) -> DataFrame:
-        parts = F.broadcast(sent.groupBy("grp").agg(F.ceil(F.count("*") / many).cast("int").alias("q_parts")))  # at most pivots x SHELLS rows
-        dealt = F.broadcast(spark.createDataFrame([(int(g), -(-int(c) // many)) for g, c in zip(grp, size, strict=True)], "grp long, v_parts int"))
+        parts = F.broadcast(sent.groupBy("block").agg(F.ceil(F.count("*") / many).cast("int").alias("q_parts")))  # fewer rows than groups
         every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        left = sent.join(parts, "grp").join(dealt, "grp").select("grp", "x", "qid", "theta", F.pmod(F.xxhash64("qid"), F.col("q_parts")).cast("int").alias("qp"), every("v_parts").alias("vp"))
-        right = placed.join(parts, "grp").join(dealt, "grp").select("grp", F.col("x").alias("y"), "ids", F.pmod(F.xxhash64("x"), F.col("v_parts")).cast("int").alias("vp"), every("q_parts").alias("qp"))
-        keys = ["grp", "qp", "vp"]
+        left = sent.join(parts, "block").join(dealt, "block").select("block", "x", "qid", "theta", "groups", F.pmod(F.xxhash64("qid"), F.col("q_parts")).cast("int").alias("qp"), every("v_parts").alias("vp"))
+        right = blocked.join(parts, "block").join(dealt, "block").select("block", "grp", "y", "ids", F.pmod(F.xxhash64("y"), F.col("v_parts")).cast("int").alias("vp"), every("q_parts").alias("qp"))
+        keys = ["block", "qp", "vp"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(solve, "qid long, score long, ids array<long>")
 
-    start = stored(q.select("x", "qid").mapInArrow(first, "x binary, qid long, theta double, grp long"))
+    rows_sent = "x binary, qid long, theta double, block long, groups array<long>"
+    start = stored(q.select("x", "qid").mapInArrow(first, rows_sent))
     near = stored(met(start))
     by_score = W.partitionBy("qid").orderBy(F.desc("score"))
     theta = near.select("qid", "score", F.row_number().over(by_score).alias("r")).filter(F.col("r") == k1).select("qid", F.col("score").cast("double").alias("at"))
-    known = start.join(theta, "qid", "left").select("x", "qid", F.coalesce("at", F.lit(float("-inf"))).alias("theta"), "grp")
-    sent = stored(known.mapInArrow(others, "x binary, qid long, theta double, grp long"))
+    known = start.join(theta, "qid", "left").select("x", "qid", F.coalesce("at", F.lit(float("-inf"))).alias("theta"), F.get("groups", F.lit(0)).alias("grp"))
+    sent = stored(known.mapInArrow(others, rows_sent))
     if report is not None:
-        report.update(rows=n, queries=start.count(), groups=len(groups), replicated=start.count() + sent.count())
+        report.update(rows=n, queries=start.count(), groups=len(groups), replicated=start.count() + (sent.agg(F.sum(F.size("groups"))).first()[0] or 0), sent=start.count() + sent.count())
     found = near.unionByName(met(sent)).select("qid", "score", F.explode("ids").alias("vec_id"))
     best = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     merged = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k1).select("qid", "vec_id", "score")
