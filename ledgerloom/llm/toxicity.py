@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ from ledgerloom.llm.common import stored, table
 
 LABELLED, WORDS, LEAST_G = 20_000, 200, 25.0
 #: Lengths, in bytes, of the beginnings of words in the learned lexicon; distinct words that a task remembers.
-STEMS, REMEMBERED = (4, 5, 6, 7), 300_000
+STEMS, REMEMBERED = (4, 5, 6, 7), 100_000
 TREES, DEPTH = 20, 3
 NEAR = 3
 
@@ -111,10 +111,10 @@ class Features:
 
 
 def feature_column(text: Column, learned: dict[str, float]) -> Column:
-    @F.pandas_udf("array<double>")
-    def f(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def f(texts: pa.Array) -> pa.Array:  # one text at a time leaves Arrow's memory
         one = Features(learned)
-        return texts.map(one)
+        return pa.array([one(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     return f(text)
 
@@ -124,9 +124,9 @@ def held_out(key: Column) -> Column:
 
 
 def mark_column(text: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def f(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [m.hex() for m in marks_of(words_of(t))])
+    @F.arrow_udf("array<string>")
+    def f(texts: pa.Array) -> pa.Array:
+        return pa.array([[m.hex() for m in marks_of(words_of(t.as_py()))] for t in texts], pa.list_(pa.string()))
 
     return f(text)
 
