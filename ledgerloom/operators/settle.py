@@ -15,7 +15,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -25,6 +25,7 @@ from ledgerloom.plans.graph import Room, components
 from ledgerloom.registry import query
 
 FOUND = "kind string, pid string, iid string, amount long, fee long, what string"
+_FOUND = pa.schema([("kind", pa.string()), ("pid", pa.string()), ("iid", pa.string()), ("amount", pa.int64()), ("fee", pa.int64()), ("what", pa.string())])
 
 
 def attributed(p: DataFrame, i: DataFrame, hits: DataFrame) -> DataFrame:
@@ -62,15 +63,15 @@ def reversed_deposits(p: DataFrame, hits: DataFrame) -> DataFrame:
 class _Component:
     """Payments and items of one component in their order, with what is open, left and set aside."""
 
-    def __init__(self, rows: pd.DataFrame, fee: int):
+    def __init__(self, rows: list[dict], fee: int):
         self.fee, self.found = fee, []
-        day = lambda r: None if r.day is None or pd.isna(r.day) else r.day.toordinal()
-        goods = sorted(((day(r), r) for r in rows[rows.side == "i"].itertuples()), key=lambda x: (x[0] is None, x[0] or 0, x[1].id))
-        moneys = sorted(((day(r), r) for r in rows[rows.side == "p"].itertuples()), key=lambda x: (x[0] or 0, x[1].id))
-        self.iid, self.icp, self.open, self.iday = [r.id for _, r in goods], [r.counterparty for _, r in goods], [int(r.amount) for _, r in goods], [d for d, _ in goods]
-        self.pid, self.pcp, self.paid, self.pday = [r.id for _, r in moneys], [r.counterparty for _, r in moneys], [int(r.amount) for _, r in moneys], [d for d, _ in moneys]
+        day = lambda r: None if r["day"] is None else r["day"].toordinal()
+        goods = sorted((r for r in rows if r["side"] == "i"), key=lambda r: (r["day"] is None, day(r) or 0, r["id"]))
+        moneys = sorted((r for r in rows if r["side"] == "p"), key=lambda r: (day(r) or 0, r["id"]))
+        self.iid, self.icp, self.open, self.iday = [r["id"] for r in goods], [r["counterparty"] for r in goods], [r["amount"] for r in goods], [day(r) for r in goods]
+        self.pid, self.pcp, self.paid, self.pday = [r["id"] for r in moneys], [r["counterparty"] for r in moneys], [r["amount"] for r in moneys], [day(r) for r in moneys]
         place = {x: j for j, x in enumerate(self.iid)}
-        self.names = [sorted(place[x] for x in (r.hits if r.hits is not None else ())) for _, r in moneys]
+        self.names = [sorted(place[x] for x in r["hits"] or ()) for r in moneys]
         self.left, self.aside = list(self.paid), ({}, {})  # set aside: payments, items
         self._shelve()
 
@@ -235,10 +236,10 @@ def reconcile(p: DataFrame, i: DataFrame, fee: int = 0) -> tuple[DataFrame, Data
     rows = room.cut(rows)
     both = rows.groupBy("place").agg(F.max((F.col("side") == "p") & (F.col("amount") != 0)).alias("p"), F.max(F.col("side") == "i").alias("i")).filter("p AND i").select("place")
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_Component(part, fee).run(), columns=[c.split()[0] for c in FOUND.split(", ")]).astype({"amount": "Int64", "fee": "Int64"})
+    def solve(part: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([dict(zip(_FOUND.names, r, strict=True)) for r in _Component(part.to_pylist(), fee).run()], schema=_FOUND)
 
-    found = Room(p.sparkSession).cut(rows.join(both, "place", "left_semi").groupBy("place").applyInPandas(solve, FOUND))
+    found = Room(p.sparkSession).cut(rows.join(both, "place", "left_semi").groupBy("place").applyInArrow(solve, FOUND))
     room.close()
     done = found.filter("kind = 'done'").select("pid", "iid", "amount", "fee", F.col("what").alias("method"))
     flags = found.filter("kind <> 'done'").select(F.col("kind").alias("side"), F.coalesce("pid", "iid").alias("id"), F.col("what").alias("flag"))
