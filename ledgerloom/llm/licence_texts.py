@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
@@ -102,6 +104,33 @@ GNU General Public License for more details.
 You should have received a copy of the GNU General Public License
 along with this program. If not, see <http://www.gnu.org/licenses/>."""
 
+#: Whole texts beside this file, by their names.
+WHOLE = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only",
+    "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+#: Creative Commons kinds, as short names and words.
+COMMONS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    folder = Path(__file__).with_name("known_licences")
+    return [(name, (folder / f"{file}.txt").read_text(encoding="utf-8")) for file, name in WHOLE.items()]
+
+
+def commons_notices() -> list[tuple[str, str]]:
+    """The usual one-line notices of each kind and version."""
+    out = []
+    for version, scope in (("3.0", "Unported"), ("4.0", "International")):
+        for kind, words in COMMONS.items():
+            name, title = f"CC-{kind}-{version}", f"Creative Commons {words} {version} {scope} License"
+            out += [(name, f"Licensed under CC {kind} {version}."), (name, f"This work is licensed under a {title}."), (name, f"This work is licensed under the {title}.")]
+    return out
+
+
 KNOWN = (
     ("MIT", _MIT_GRANT),
     ("MIT", "The MIT License (MIT)\n" + _MIT_GRANT),
@@ -118,4 +147,6 @@ KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    *whole_texts(),
+    *commons_notices(),
 )

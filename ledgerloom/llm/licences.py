@@ -7,8 +7,8 @@ text that differs from a known one in case, punctuation, line breaks, copyright
 The known texts are a parameter of bounded size, so their digests are broadcast; the documents don't move.
 
 Nulls and odd values: a null text counts as empty; the empty canonical text is no licence. Repeated rows each give
-a row. Two known texts with one canonical form give the smaller name. An empty table gives an empty result. Extra
-columns are ignored.
+a row. Two known texts with one canonical form give the smaller name. Texts of any length are read whole. An empty
+table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

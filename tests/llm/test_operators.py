@@ -86,6 +86,17 @@ def test_inclusion_weights_sum_to_one(spark):
 # 2: licences
 
 
+def test_whole_licences_and_notices_are_known(spark):
+    from ledgerloom.llm import licence_texts
+
+    known = licence_texts.whole_texts() + licence_texts.commons_notices()
+    assert len(known) > 40 and all(len(t) > 1000 for _, t in licence_texts.whole_texts())
+    changed = [re.sub(r"[ \t]*\n[ \t]*", " \r\n\t", t).replace(",", " ;").upper() for _, t in known]
+    rows = licences.scan(docs_of(spark, [t for _, t in known] + changed + [t[: len(t) // 2] for _, t in known])).orderBy("doc_id").collect()
+    names = [n for n, _ in known]
+    assert [r["licence"] for r in rows] == names + names + [None] * len(names)
+
+
 def test_licence_with_other_case_holder_and_spelling(spark):
     name, text = licences.KNOWN[0]
     changed = "Copyright (c) 2031 Somebody Else\n" + re.sub(r"(?i)license", "licence", text).upper().replace("\n", "\r\n  ")
