@@ -208,12 +208,12 @@ def q_subsets(spark, d):
     return subsets(pays(spark, d), items(spark, d)).select("pid", F.array_join(F.array_sort("iids"), ",").alias("iids"), "status")
 
 
-@query("e10_conservation", BASE + "," + NEAR + """, alloc AS (SELECT pid, iid, paid AS amount, paid AS pamount, open AS iamount FROM near WHERE paid >= open - 10000000 AND paid > 0)
+@query("e10_conservation", BASE + "," + HITS + """, alloc AS (SELECT pid, iid, p.amount, p.amount AS pamount, i.amount AS iamount FROM hits JOIN pays p ON p.id = pid JOIN items i ON i.id = iid WHERE p.amount > 0)
 SELECT 'over_pid' AS kind, pid AS id FROM alloc GROUP BY pid, pamount HAVING sum(amount) > pamount UNION ALL SELECT 'over_iid', iid FROM alloc GROUP BY iid, iamount HAVING sum(amount) > iamount""")
 def q_conservation(spark, d):
-    """The checks on allocations that are deliberately too many."""
+    """The checks on allocations that are deliberately too many: each payment in full to every item that it names."""
     p, i = pays(spark, d), items(spark, d)
-    x = near(p, i).filter("paid >= open - 10000000 AND paid > 0").select("pid", "iid", F.col("paid").alias("amount"))
+    x = reference_hits(p, i).join(p.select(F.col("id").alias("pid"), "amount"), "pid").filter("amount > 0").select("pid", "iid", "amount")
     return violations(x, p, i)
 
 
