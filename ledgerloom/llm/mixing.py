@@ -105,10 +105,22 @@ def solve_multipliers(sizes: DataFrame, targets: DataFrame, limit=LIMIT) -> Data
     return state
 
 
-def round_copies(rated: DataFrame, sources: DataFrame) -> DataFrame:
-    """rated(who, key, size, rate) with a column copies; sources(key, target). who, a hash, tells documents apart."""
+def _placed(rated: DataFrame) -> DataFrame:
+    """rated(who, key, size, rate) with the whole copies of each row and its place v in the order of one copy more."""
     u = F.shiftrightunsigned(F.xxhash64(F.lit("copies"), "who"), 11) / float(1 << 53)
-    v = rated.withColumns({"whole": F.floor("rate").cast("long"), "v": u - (F.col("rate") - F.floor("rate"))})
+    return rated.withColumns({"whole": F.floor("rate").cast("long"), "v": u - (F.col("rate") - F.floor("rate"))})
+
+
+def _beyond(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """placed with extra: whether a row takes one copy more, by edges(key, edge)."""
+    extra = F.coalesce((F.col("v") < F.col("edge")) & (F.col("rate") > F.col("whole")), F.lit(False))
+    return placed.join(small(edges, 100_000), "key").withColumn("extra", extra)
+
+
+def rounding(rated: DataFrame, sources: DataFrame) -> DataFrame:
+    """(key, edge, flip) of each source: where its rows' places end that take one copy more, and the row that does otherwise.
+    rated(who, key, size, rate), sources(key, target); who, a hash, tells documents apart."""
+    v = _placed(rated)
     at = small(sources, 100_000)
     lines = cut(
         v.groupBy("key").agg(F.sum(F.col("whole") * F.col("size")).alias("base")).join(at, "key")
@@ -140,8 +152,7 @@ def round_copies(rated: DataFrame, sources: DataFrame) -> DataFrame:
         lines.join(inside, "key", "left")
         .select("key", (F.col("low") + F.when(F.abs(F.col("words") - F.col("need")) < F.abs("need"), F.col("width")).otherwise(0.0)).alias("edge"))
     )
-    extra = F.coalesce((F.col("v") < F.col("edge")) & (F.col("rate") > F.col("whole")), F.lit(False))
-    taken = v.join(small(edge, 100_000), "key").withColumn("extra", extra)
+    taken = _beyond(v, edge)
     # one document more or less, the one whose size is nearest to what a source still misses
     left = cut(
         taken.groupBy("key").agg(F.sum((F.col("whole") + F.col("extra").cast("long")) * F.col("size")).alias("got")).join(at, "key")
@@ -153,22 +164,48 @@ def round_copies(rated: DataFrame, sources: DataFrame) -> DataFrame:
         .filter((F.col("size") > 0) & (F.col("rate") > F.col("whole")) & (F.col("extra") == (F.col("left") < 0)) & (F.col("size") < 2 * F.abs("left")))
         .groupBy("key").agg(F.min(fits).alias("fit")).select("key", F.col("fit.who").alias("flip"))
     )
+    return cut(edge.join(best, "key", "left").select("key", "edge", "flip"))
+
+
+def with_copies(rated: DataFrame, rounded: DataFrame) -> DataFrame:
+    """rated with a column copies, by rounding(rated)."""
+    out = _beyond(_placed(rated), rounded)
     flip = F.coalesce(F.col("who") == F.col("flip"), F.lit(False)) & (F.col("rate") > F.col("whole"))
-    out = taken.join(small(left.join(best, "key", "left").select("key", "flip"), 100_000), "key")
     return out.withColumn("copies", F.col("whole") + (F.col("extra") != flip).cast("long")).drop("edge", "v", "whole", "extra", "flip")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT, carry=()) -> DataFrame:
-    """doc_id, source, carry, size, source_size, target, rate, copies, taken for every row of docs(doc_id, text, source)."""
+def sized(docs: DataFrame, *carry: str) -> DataFrame:
+    """carry, key, size, who of docs(doc_id, text, source)."""
     who = F.xxhash64("doc_id", F.xxhash64("text")).alias("who")
-    sizes = stored(docs.select("doc_id", "source", *carry, _key().alias("key"), word_count(F.col("text")).alias("size"), who))
+    return docs.select(*carry, _key().alias("key"), word_count(F.col("text")).alias("size"), who)
+
+
+def rated(sizes: DataFrame, known: DataFrame, limit=LIMIT) -> DataFrame:
+    """sizes(key, size) with source_size, target and rate, by known(key, source_size, target, lam, mean)."""
+    x = sizes.join(small(known, 100_000), "key").withColumn("x", F.coalesce(F.col("size") / F.col("mean"), F.lit(0.0)))
+    return x.withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("lam"), limit)).otherwise(0.0)).drop("x", "mean", "lam")
+
+
+def fit(sizes: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT) -> tuple[DataFrame, DataFrame]:
+    """What the mix of sizes(key, size, who) needs of each source: known(key, source_size, target, lam, mean), and its rounding."""
     totals = sizes.groupBy("key").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n"))
     state = solve_multipliers(sizes, source_targets(totals, weights, share, limit), limit)
-    known = state.select("key", "source_size", "target", "lam", "mean")
-    rated = sizes.join(small(known, 100_000), "key").withColumn("x", F.coalesce(F.col("size") / F.col("mean"), F.lit(0.0)))
-    rated = rated.withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("lam"), limit)).otherwise(0.0)).drop("x", "mean", "lam")
-    mixed = round_copies(rated, known.select("key", "target"))
-    return mixed.withColumn("taken", F.col("copies") * F.col("size")).drop("key", "who")
+    known = cut(state.select("key", "source_size", "target", "lam", "mean"))
+    return known, rounding(rated(sizes, known, limit), known.select("key", "target"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT, carry=()) -> DataFrame:
+    """doc_id, source, carry, size, source_size, target, rate, copies, taken for every row of docs(doc_id, text, source)."""
+    sizes = stored(sized(docs, "doc_id", "source", *carry))
+    known, rounded = fit(sizes, weights, share, limit)
+    return with_copies(rated(sizes, known, limit), rounded).withColumn("taken", F.col("copies") * F.col("size")).drop("key", "who")
+
+
+def repeated(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT) -> DataFrame:
+    """Each row of docs(doc_id, text, source) with a column copies. What was learned of the sources is applied in the row: beside
+    sizes no row is stored, and none moves."""
+    known, rounded = fit(stored(sized(docs)), weights, share, limit)
+    return with_copies(rated(sized(docs, *docs.columns), known, limit), rounded).select(*docs.columns, "copies")
 
 
 def op9(spark, sf_dir):
