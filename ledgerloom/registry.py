@@ -21,6 +21,6 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from ledgerloom.functions import values  # noqa: F401
-    from ledgerloom.operators import captions, claims, entry_points, incremental, ingest, intake, linkage, maintained, mapping, metrics, provenance, recon, records, rules, settle, textops, uploads, windows  # noqa: F401
+    from ledgerloom.operators import captions, claims, entry_points, incremental, ingest, intake, linkage, maintained, mapping, metrics, provenance, recon, records, rules, settle, tabular, textops, uploads, windows  # noqa: F401
     from ledgerloom.sources import csvscan, files  # noqa: F401
     from ledgerloom.streaming import changes  # noqa: F401
