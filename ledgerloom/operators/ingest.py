@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ledgerloom.functions.values import amount_of
 from ledgerloom.plans import ledger as v
@@ -29,8 +31,12 @@ def q_kind(spark, d):
     return v.read(spark, d, "pages").select(file_kind(F.encode("html", "UTF-8")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+#: Most columns and rows that one cell may span, as browsers have it.
+ACROSS, DOWN = 1000, 65_534
+
+
 class _Cells(HTMLParser):
-    """Rows of cells of every table; spans are filled from their cell."""
+    """Rows of cells of every table; spans are filled from their cell, as far as the table has rows."""
 
     def __init__(self):
         super().__init__()
@@ -39,15 +45,14 @@ class _Cells(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.tables += 1
-            self.stack.append({"table": self.tables, "row": 0, "taken": {}, "cell": None})
+            self.stack.append({"table": self.tables, "row": 0, "taken": set(), "cell": None, "down": {}})
         elif self.stack and tag == "tr":
-            self.close()
-            self.stack[-1]["row"] += 1
+            self.begin_row(self.stack[-1])
         elif self.stack and tag in ("td", "th"):
             self.close()
             a = dict(attrs)
-            n = lambda k: int(a[k]) if (a.get(k) or "").isdigit() and 0 < int(a[k]) < 1000 else 1
-            self.stack[-1]["cell"] = [n("colspan"), n("rowspan"), ""]
+            span = lambda k, most: min(int(a[k]), most) if (a.get(k) or "").isdigit() and int(a[k]) > 0 else 1
+            self.stack[-1]["cell"] = [span("colspan", ACROSS), span("rowspan", DOWN), ""]
 
     def handle_data(self, data):
         if self.stack and self.stack[-1]["cell"]:
@@ -60,16 +65,25 @@ class _Cells(HTMLParser):
             self.close()
             self.stack.pop()
 
+    def begin_row(self, t):
+        """A new row; columns that cells above reach down to are filled first."""
+        self.close()
+        t["row"] += 1
+        t["taken"] = set(t["down"])
+        self.out += [(t["table"], t["row"], c, text) for c, (_, text) in t["down"].items()]
+        t["down"] = {c: (left - 1, text) for c, (left, text) in t["down"].items() if left > 1}
+
     def close(self):
         t = self.stack[-1]
         if t["cell"]:
             across, down, text = t["cell"]
-            col = next(c for c in range(1, 100_000) if (t["row"], c) not in t["taken"])
-            for r in range(t["row"], t["row"] + down):
-                for c in range(col, col + across):
-                    if (r, c) not in t["taken"]:
-                        t["taken"][r, c] = True
-                        self.out.append((t["table"], r, c, " ".join(text.split())))
+            text, col = " ".join(text.split()), next(c for c in count(1) if c not in t["taken"])
+            for c in range(col, col + across):
+                if c not in t["taken"]:
+                    t["taken"].add(c)
+                    self.out.append((t["table"], t["row"], c, text))
+                    if down > 1:
+                        t["down"][c] = (down - 1, text)
             t["cell"] = None
 
 
@@ -88,9 +102,19 @@ def html_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(F.col(key).cast("long").alias("k"), F.col(html).alias("h")).mapInPandas(run, "k long, tbl int, row int, col int, text string").withColumnRenamed("k", key)
 
 
-@query("a06_html_tables")
+@query("a06_html_tables", """
+WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) + 1 AS row FROM lineitem),
+h AS (SELECT DISTINCT k FROM l)
+SELECT k AS page, 1 AS tbl, 1 AS row, c AS col, CASE WHEN c < 3 THEN 'order ' || k ELSE 'qty & more' END AS text FROM h, (VALUES (1), (2), (3)) t(c)
+UNION ALL SELECT k, 1, CAST(row AS INTEGER), c, CASE c WHEN 1 THEN CAST(k AS VARCHAR) WHEN 2 THEN CAST(p AS VARCHAR) ELSE CAST(q AS VARCHAR) END FROM l, (VALUES (1), (2), (3)) t(c)""")
 def q_tables(spark, d):
-    return html_cells(v.read(spark, d, "pages"), "page_id", "html")
+    """Orders as pages with a table each: a header across two columns, the order's number down all lines. The given pages hold no table."""
+    order = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    x = v.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), order.alias("n"), F.concat(F.lit("<td>"), "l_partkey", F.lit("</td><td> "), F.col("l_quantity").cast("long"), F.lit(" </td></tr>")).alias("h"))
+    x = x.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("rows"))
+    lines = F.array_join(F.transform("rows", lambda r: r["h"]), "<tr>")
+    html = F.concat(F.lit('<p>text</p><table><tr><th colspan="2">order '), "page", F.lit('<th>qty &amp; more</tr><tr><td rowspan="'), F.size("rows"), F.lit('">'), "page", F.lit("</td>"), lines, F.lit("</table>"))
+    return html_cells(x.select("page", html.alias("html")), "page", "html")
 
 
 @query("c02_c04_c12_c13_row_accounting", """

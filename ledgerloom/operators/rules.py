@@ -191,10 +191,24 @@ def rule_asof(spark, d):
     return resolve(x, rule_versions(spark), F.concat("trade_type", F.lit("_term")), F.col("received"), (), "2024-01-01").select("id", "version")
 
 
-@query("f05_f06_rule_activation", v.with_views(RULES_SQL) + """
-SELECT rule, version, CASE WHEN rule = 'direct_term' AND version = '2026-amendment' THEN DATE '2027-01-01' ELSE effective_from END AS effective_from, term_days FROM rules""")
+def register(rules: DataFrame, more: DataFrame) -> DataFrame:
+    """The frame with more versions; a version that is there already is an error."""
+    twice = rules.unionByName(more).groupBy("rule", "version").count().filter("count > 1").first()  # a bounded dimension
+    if twice:
+        raise ValueError(f"{twice['rule']} {twice['version']} is registered already")
+    return rules.unionByName(more)
+
+
+@query("f05_f06_rule_activation", v.with_views("line", RULES_SQL) + """, later AS (SELECT * REPLACE (CASE WHEN rule = 'direct_term' AND version = '2026-amendment' THEN DATE '2024-01-01' ELSE effective_from END AS effective_from) FROM rules
+  UNION ALL SELECT 'subcontract_term', 'own', DATE '2023-06-01', DATE '2023-12-31', DATE '2023-06-01', 30, NULL, NULL, NULL)
+SELECT l.id, r.version, r.term_days FROM v_line l LEFT JOIN later r ON r.rule = l.trade_type || '_term' AND l.received >= r.effective_from AND (r.effective_to IS NULL OR l.received <= r.effective_to)
+QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY r.effective_from DESC NULLS LAST, r.version DESC) = 1""".replace("\n, later", ", later"))
 def rule_activation(spark, d):
-    return activate(rule_versions(spark), "direct_term", "2026-amendment", "2027-01-01").select("rule", "version", "effective_from", "term_days")
+    """Versions of all lines once an amendment is in force and a version of one's own is registered."""
+    own = rule_versions(spark, (("subcontract_term", "own", "2023-06-01", "2023-12-31", "2023-06-01", 30, None, None, None),))
+    rules = activate(register(rule_versions(spark), own), "direct_term", "2026-amendment", "2024-01-01")
+    x = v.lines(spark, d).select("id", "trade_type", "received")
+    return resolve(x, rules, F.concat("trade_type", F.lit("_term")), F.col("received"), ("term_days",)).select("id", "version", "term_days")
 
 
 @query("b12_b13_b14_calendar", v.with_views("line", CALENDAR_SQL) + """

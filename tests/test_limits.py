@@ -37,3 +37,25 @@ def test_due_days_beyond_the_calendar_are_rolled(spark):
     assert [r.n for r in far] == [dt.date(2033, 1, 3), dt.date(2044, 10, 10), dt.date(2025, 10, 10)]
     same = rules.calendar(spark).withColumn("n", rules.next_business_day(F.col("day"))).filter("day < '2032-12-01' AND n <> next_business_day")
     assert same.isEmpty()
+
+
+def test_html_spans_reach_as_far_as_the_table(spark):
+    from ledgerloom.operators.ingest import html_cells
+
+    pages = ['<table><tr><td rowspan=9>a<td>b<tr><td>c</table>', '<table><tr><td colspan="5000">x</td></tr></table>', "<table><tr><td>o<table><tr><td>i</table></td><td>p</td></tr></table>", "no table", None, '<table><tr><td rowspan="2">a</td><td colspan="2">b</td></tr><tr><td>c</td><td>d</td><td>e</td></tr></table>']
+    found = html_cells(spark.createDataFrame(list(enumerate(pages)), "page long, html string"), "page", "html").collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.page, []).append((r.tbl, r.row, r.col, r.text))
+    assert sorted(by[0]) == [(1, 1, 1, "a"), (1, 1, 2, "b"), (1, 2, 1, "a"), (1, 2, 2, "c")]
+    assert len(by[1]) == 1000 and 3 not in by and 4 not in by
+    assert sorted(by[2]) == [(1, 1, 1, "o"), (1, 1, 2, "p"), (2, 1, 1, "i")]
+    assert sorted(by[5]) == [(1, 1, 1, "a"), (1, 1, 2, "b"), (1, 1, 3, "b"), (1, 2, 1, "a"), (1, 2, 2, "c"), (1, 2, 3, "d"), (1, 2, 4, "e")]
+
+
+def test_a_rule_version_is_registered_once(spark):
+    import pytest
+
+    known = rules.rule_versions(spark)
+    with pytest.raises(ValueError, match="already"):
+        rules.register(known, known.limit(1))
