@@ -22,6 +22,20 @@ FORMULA = r"^ *[=+\-@\t\r\n＝＋－＠]"
 PLAIN_NUMBER = r"^[+-]?\d{1,3}(,\d{3})*(\.\d+)?$|^[+-]?\d+(\.\d+)?$"
 VERDICT_WORDS = ("위법", "불법", "받을 수 있", "받을 수있", "청구할 수 있", "승소")
 
+#: Layouts of a date; signs that begin a formula; signs that file names don't hold; what isn't a number though it has digits, and
+#: what is one; the label of a unit note, and units by what they multiply.
+DATE_LAYOUTS = (
+    r"^(\d{4})\s*[-./]\s*(\d{1,2})\s*[-./]\s*(\d{1,2})\.?(?:[ T]+\d{1,2}:\d{2}(?::\d{2})?)?$",
+    r"^(\d{4})(\d{2})(\d{2})(?:\s*\d{4}(?:\d{2})?)?$",
+    r"^(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일?$",
+)
+LEADS = " =+-@\t\r\n＝＋－＠"
+REFUSED = '[\\x00-\\x1f<>:"|?*]'
+NOT_NUMBERS = r"\[[^\]\n]*\]|\b\d{4}-\d{2}-\d{2}\b"
+NUMBER = r"[^\w.](-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)"
+UNIT_LABEL = "단위[:：]"
+UNITS = (("백만원", 1_000_000), ("천원", 1000))
+
 #: An amount without white space: bracket, currency, sign, currency, digits in groups or alone, fraction, currency, sign, bracket.
 _MONEY = r"(?:원|₩|\\|KRW|krw)*"
 AMOUNT_FORM = rf"^(\(?){_MONEY}\+?([△▲−－-]?){_MONEY}(\d{{1,3}}(?:,\d{{3}})+|\d+)(?:\.(\d+))?{_MONEY}(-?){_MONEY}(\)?)$"
@@ -56,11 +70,11 @@ def parse_amount(x: Column) -> tuple[Column, Column]:
 def parse_date(x: Column, serials: bool = True) -> Column:
     """A business date from one of three layouts, or a five-digit spreadsheet serial; null if none is valid."""
     s = F.trim(x)
-    parts = None
-    for pattern in (r"^(\d{4})\s*[-./]\s*(\d{1,2})\s*[-./]\s*(\d{1,2})\.?(?:[ T]+\d{1,2}:\d{2}(?::\d{2})?)?$", r"^(\d{4})(\d{2})(\d{2})(?:\s*\d{4}(?:\d{2})?)?$", r"^(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일?$"):
-        text = F.concat_ws("-", F.regexp_extract(s, pattern, 1), F.lpad(F.regexp_extract(s, pattern, 2), 2, "0"), F.lpad(F.regexp_extract(s, pattern, 3), 2, "0"))
-        found = F.when(s.rlike(pattern), text.try_cast("date"))
-        parts = found if parts is None else F.coalesce(parts, found)
+    found = []
+    for layout in DATE_LAYOUTS:
+        year, month, day = (F.regexp_extract(s, layout, i).try_cast("int") for i in (1, 2, 3))
+        found.append(F.when(s.rlike(layout), F.concat_ws("-", F.format_string("%04d", year), F.format_string("%02d", month), F.format_string("%02d", day)).try_cast("date")))
+    parts = F.coalesce(*found)
     n = s.try_cast("int")
     serial = F.when(s.rlike(r"^\d{5}$") & n.between(20000, 80000), F.date_add(F.lit("1899-12-30").cast("date"), n))
     return F.coalesce(parts, serial) if serials else parts
@@ -130,26 +144,27 @@ def escape_formula(x: Column) -> Column:
 
 
 def strip_formula(x: Column) -> Column:
-    return F.when(x.rlike(PLAIN_NUMBER), x).otherwise(F.regexp_replace(x, r"^[ =+\-@\t\r\n＝＋－＠]+", ""))
+    return F.when(x.rlike(PLAIN_NUMBER), x).otherwise(F.ltrim(x, F.lit(LEADS)))
 
 
 def safe_filename(x: Column) -> Column:
-    base = F.regexp_extract(F.replace(x, F.lit("\\"), F.lit("/")), r"([^/]*)/*$", 1)
-    clean = F.regexp_replace(F.regexp_replace(base, '[\\x00-\\x1f<>:"|?*]', "_"), r"^[ .]+|[ .]+$", "")
+    """The last part of a path that has a name, without signs that file systems refuse."""
+    named = F.filter(F.split(x, r"[/\\]"), lambda part: part != "")
+    clean = F.btrim(F.regexp_replace(F.coalesce(F.element_at(F.when(F.size(named) > 0, named), -1), F.lit("")), REFUSED, "_"), F.lit(" ."))
     return F.when(clean == "", "upload").otherwise(clean)
 
 
 def numbers_in(x: Column) -> Column:
     """Numbers of a text as plain texts; bracketed identifiers and ISO dates don't count."""
-    s = F.regexp_replace(F.regexp_replace(x, r"\[[^\]\n]*\]", " "), r"\b\d{4}-\d{2}-\d{2}\b", " ")
-    found = F.regexp_extract_all(F.concat(F.lit(" "), s), F.lit(r"[^\w.](-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)"), F.lit(1))
-    return F.transform(found, lambda t: F.replace(t, F.lit(","), F.lit("")))
+    bare = F.regexp_replace(x, NOT_NUMBERS, " ")
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(" "), bare), F.lit(NUMBER), F.lit(1)), lambda t: F.translate(t, ",", ""))
 
 
 def unit_multiplier(x: Column) -> Column:
-    inner = F.regexp_extract(x, r"단위\s*[:：]\s*([^,)]*)", 1)
-    unit = F.regexp_replace(F.when(x.rlike(r"단위\s*[:：]"), inner).otherwise(x), r"\s+", "")
-    return F.when(unit.startswith("백만원"), 1_000_000).when(unit.startswith("천원"), 1000).otherwise(1)
+    """What a unit note multiplies amounts by: the unit that the text after its label, or the text itself, begins with."""
+    parts = F.split(F.regexp_replace(x, r"\s", ""), UNIT_LABEL, 2)
+    unit = F.element_at(parts, -1)
+    return F.coalesce(*[F.when(unit.startswith(name), F.lit(n)) for name, n in UNITS], F.lit(1))
 
 
 def masked_number(x: Column) -> tuple[Column, Column]:
@@ -249,14 +264,20 @@ def q_missing(spark, d):
     return x.select("id", F.array_join(missing_base_fields(F.col("trade_type"), F.col("received"), F.col("closed")), ",").alias("missing"))
 
 
+def canonical(*columns: str) -> Column:
+    """The columns as one text in which rows that differ, nulls included, never look alike: each value with its length."""
+    one = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.concat_ws("|", *[one(c) for c in columns])
+
+
 @query("b15_b24_canonical_hash", """
-SELECT l_orderkey AS k, l_linenumber AS n, sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey) AS row_key,
+SELECT l_orderkey AS k, l_linenumber AS n, sha256(length(CAST(l_orderkey AS VARCHAR)) || ':' || l_orderkey || '|' || length(CAST(l_linenumber AS VARCHAR)) || ':' || l_linenumber || '|' || length(CAST(l_partkey AS VARCHAR)) || ':' || l_partkey) AS row_key,
   CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) AS INTEGER) AS occurrence FROM lineitem""")
 def q_hash(spark, d):
     from pyspark.sql.window import Window as W
 
     w = W.partitionBy("l_orderkey", "l_linenumber", "l_partkey").orderBy("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    key = F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey"), 256)
+    key = F.sha2(canonical("l_orderkey", "l_linenumber", "l_partkey"), 256)
     return v.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), key.alias("row_key"), F.row_number().over(w).alias("occurrence"))
 
 

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ledgerloom.functions.values import canonical
 from ledgerloom.operators import rules
 from ledgerloom.plans import ledger as v
 from ledgerloom.registry import query
 
 
-def canonical(*columns: str) -> Column:
-    """The columns as one text in which rows that differ, nulls included, never look alike: each value with its length."""
-    one = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
-    return F.concat_ws("|", *[one(c) for c in columns])
-
-
 def scope_hash(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """(key, n, hash): a hash of each key's rows, in any order. 60-bit hashes of rows are added as decimals, which no number
     of rows overflows, so no group is gathered or sorted."""

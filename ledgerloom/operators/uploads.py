@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ledgerloom.operators.incremental import canonical
+from ledgerloom.functions.values import canonical
 from ledgerloom.plans import ledger as v
 from ledgerloom.registry import query
 
