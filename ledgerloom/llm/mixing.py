@@ -201,11 +201,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT, carry=()) ->
     return with_copies(rated(sizes, known, limit), rounded).withColumn("taken", F.col("copies") * F.col("size")).drop("key", "who")
 
 
-def repeated(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT) -> DataFrame:
-    """Each row of docs(doc_id, text, source) with a column copies. What was learned of the sources is applied in the row: beside
+def repeated(docs: DataFrame, *carry: str, weights=WEIGHTS, share=SHARE, limit=LIMIT) -> DataFrame:
+    """carry and copies of each row of docs(doc_id, text, source). What was learned of the sources is applied in the row: beside
     sizes no row is stored, and none moves."""
     known, rounded = fit(stored(sized(docs)), weights, share, limit)
-    return with_copies(rated(sized(docs, *docs.columns), known, limit), rounded).select(*docs.columns, "copies")
+    return with_copies(rated(sized(docs, *carry), known, limit), rounded).select(*carry, "copies")
 
 
 def op9(spark, sf_dir):

@@ -109,6 +109,7 @@ def scan(docs: DataFrame, width: int, share: float, carry=()) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:k], pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), lists], names=[*batch.schema.names[:k], "n", "node", "tokens"]
             )
+            pa.default_memory_pool().release_unused()  # the process lives on beside other stages
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

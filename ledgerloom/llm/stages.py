@@ -56,7 +56,7 @@ def keep_one_of_a_class(spark, docs, sf_dir):
 
 def mix_sources(spark, docs, sf_dir):
     """Each row as many times as the mix takes it; only numbers of sources are joined to rows."""
-    taken = mixing.repeated(docs.select(whole_row(docs).alias("_row"), "doc_id", "text", "source")).filter("copies > 0")
+    taken = mixing.repeated(docs.select(whole_row(docs).alias("_row"), "doc_id", "text", "source"), "_row").filter("copies > 0")
     return taken.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).select("_row.*")
 
 

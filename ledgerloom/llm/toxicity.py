@@ -114,6 +114,7 @@ def feature_column(text: Column, learned: dict[str, float]) -> Column:
     @F.arrow_udf("array<double>")
     def f(texts: pa.Array) -> pa.Array:  # one text at a time leaves Arrow's memory
         one = Features(learned)
+        pa.default_memory_pool().release_unused()  # the process lives on beside other stages
         return pa.array([one(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     return f(text)
