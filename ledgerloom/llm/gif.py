@@ -13,7 +13,8 @@ The query stores each text as a GIF of 192 columns whose palette indices are the
 full rows, at most ``ROWS`` rows a frame; spaces are transparent and each frame is cleared before the next one, so a frame's
 histogram counts its own letters. ``text_media`` returns the medium and its timed frames as columns; equal texts give equal
 values. Null texts count as empty and give one row of
-spaces. Broken media give a row with an error and no frames. Rows are independent: no shuffle.
+spaces. Broken media give a row with an error and no frames. Repeated rows each give a row; texts of any length are stored
+whole, a frame at a time. An empty table gives an empty result. Extra columns are ignored. Rows are independent: no shuffle.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ is one pass without a shuffle. The score is 99.9 % the calibrated one and 0.1 %
 
 Nulls and odd values: a null text counts as empty; empty texts get a score too. A null label is no label; several
 labels of an id count as toxic if any is. Without labels of both kinds every score is the share of toxic labels
-(0 without any). Repeated rows each give a row with equal scores. An empty table gives an empty result.
+(0 without any). Repeated rows each give a row with equal scores. Texts of any length are read whole, one at a time. An empty
+table gives an empty result. Extra columns stay as they are, but for score and predicted and names with a leading underscore
+that the scorer uses itself (_features, _raw, _probability, _class, _p, _calibrated): pass such rows as one struct.
 """
 
 from __future__ import annotations

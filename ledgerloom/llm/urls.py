@@ -8,7 +8,8 @@ among the pages. Classes are connected components over an edge table; only urls
 
 Nulls and odd values: a null url, or one without ``://``, has empty host and path, no rule and no aliases: allow.
 A null or empty HTML has no links. Repeated rows each give a row. Links that are empty, or neither http(s) nor
-relative, are ignored. An empty table gives an empty result. Extra columns are ignored.
+relative, are ignored. Urls and pages of any length are read whole. An empty table gives an empty result. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
