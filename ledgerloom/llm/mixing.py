@@ -13,7 +13,9 @@ is added or left out. Everything is a function of the rows alone: reruns agree.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order. Documents of size 0 get
 ``taken`` 0. Repeated rows are all kept; rows with equal ids and texts have the same hash and are taken or left
-together. Rows of one id (or of none) with other texts are documents of their own. An empty table gives an empty result. Extra columns are ignored.
+together. Rows of one id (or of none) with other texts are documents of their own. Rows of equal hash are a
+tie: all of them or none takes the copy more. Texts of any length are counted whole. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -450,7 +450,7 @@ def test_mix_meets_targets(spark):
         full |= over
     for s in order:
         assert target[s] == pytest.approx(want[s])
-        assert abs(taken[s] - want[s]) <= 0.01 * want[s] + 300
+        assert abs(taken[s] - want[s]) <= 150  # half of the largest document
 
 
 # 10: lines
