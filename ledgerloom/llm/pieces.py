@@ -129,8 +129,8 @@ class Vocabulary:
 class Units:
     """Lattices of the distinct units seen so far: states (a unit's positions) with edges in compressed rows."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, most: int = CACHE_STATES):
+        self.v, self.most = vocabulary, most
         self.clear()
 
     def clear(self):
@@ -227,7 +227,7 @@ class Units:
         found = np.fromiter(map(self.index.get, units, itertools.repeat(-1)), dtype=np.int64, count=len(units))
         new = np.flatnonzero(found < 0)
         if len(new):
-            if len(self.ptr) > CACHE_STATES:
+            if len(self.ptr) > self.most:
                 self.clear()
                 new = np.arange(len(units))
             names = [units[i] for i in new.tolist()]
@@ -431,11 +431,12 @@ def expand(piece: np.ndarray, byte_id: np.ndarray) -> np.ndarray:
     return np.concatenate([*out, piece[at:]]).astype(np.int32)
 
 
-def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, alpha=ALPHA, model=MODEL) -> DataFrame:
+def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, alpha=ALPHA, model=MODEL, states=CACHE_STATES, chars_at_once=BATCH_CHARS) -> DataFrame:
     """(key, sample, ids, log_prob, log_inclusion, exact) for each row; exact: decoding the ids gave the text."""
 
     def run(batches):
         units = _units(model, alpha)
+        units.most = states
 
         def emit(keys, texts):
             seeds = [zlib.crc32(t.encode()) if k is None else k for k, t in zip(keys, texts, strict=True)]
@@ -467,7 +468,7 @@ def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, a
             for k_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys.append(k_), texts.append(t or "")
                 chars += len(texts[-1])
-                if chars > BATCH_CHARS or len(keys) >= 4096:
+                if chars > chars_at_once or len(keys) >= 4096:
                     yield emit(keys, texts)
                     keys, texts, chars = [], [], 0
         if keys:

@@ -15,6 +15,8 @@ from ledgerloom.llm.common import row_digest, small, stored, table, whole_row
 
 #: Repeated lines lie above this share of a host's pages, body lines below it (README); line_dedup.RATIO is that of op10.
 LINE_RATIO = 0.01
+#: States and characters that the last stage holds in memory at once.
+STATES, CHARS = 400_000, 300_000
 
 
 def _rows(docs: DataFrame, *names: str) -> DataFrame:
@@ -61,5 +63,6 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def encode_pieces(spark, docs, sf_dir):
-    """Sampled segmentations of every document."""
-    return pieces.segmentations(docs)
+    """Sampled segmentations of every document. Python processes of earlier stages may live on beside this one's, so it
+    remembers fewer units and takes fewer characters at once than the operator does alone; the results are the same."""
+    return pieces.segmentations(docs, states=STATES, chars_at_once=CHARS)
