@@ -65,6 +65,15 @@ def missing_evidence(decisions: DataFrame) -> DataFrame:
     return decisions.select("decision", "grp", wanted.alias("wanted")).filter("wanted IS NOT NULL")
 
 
+def explain(decisions: DataFrame) -> DataFrame:
+    """(decision, text): what was decided and why, line by line in a fixed order; what isn't known has no line."""
+    line = lambda label, column: F.concat(F.lit(f"{label}: "), F.col(column).cast("string"))
+    late = F.when(F.col("delay_days") > 0, F.concat(line("days late", "delay_days"), F.lit(", interest "), F.coalesce(F.col("interest").cast("string"), F.lit("unknown"))))
+    lines = [line("status", "status"), line("due", "due"), F.when(F.col("paid") > 0, line("paid", "paid")), F.when(F.col("open") != 0, line("open", "open")), late]
+    lines.append(F.when(F.col("status") == "CONFLICT", "agreements name different terms").when(F.col("status") == "INSUFFICIENT", "needs the date of issue"))
+    return decisions.select("decision", F.concat_ws("\n", *lines).alias("text"))
+
+
 def _decided(spark, d) -> DataFrame:
     return m.decide(m.snapshot(spark, d), Room(spark))[0]
 
@@ -115,6 +124,12 @@ def q_conditions(spark, d):
     return agreement_conditions(m.snapshot(spark, d))
 
 
+@query("b26_explanations", DEC + """ SELECT decision, concat_ws(chr(10), 'status: ' || status, 'due: ' || CAST(due AS VARCHAR), CASE WHEN paid > 0 THEN 'paid: ' || paid END, CASE WHEN open <> 0 THEN 'open: ' || open END,
+  CASE WHEN delay_days > 0 THEN 'days late: ' || delay_days || ', interest ' || coalesce(CAST(interest AS VARCHAR), 'unknown') END, CASE status WHEN 'CONFLICT' THEN 'agreements name different terms' WHEN 'INSUFFICIENT' THEN 'needs the date of issue' END) AS text FROM dec""")
+def q_explain(spark, d):
+    return explain(_decided(spark, d))
+
+
 @query("j_report_export", DEC + " SELECT decision, status, open FROM dec")
 def q_export(spark, d):
     """Decisions as a report, read back."""

@@ -28,6 +28,18 @@ def q_scope(spark, d):
     return scope_hash(v.invoices(spark, d), "counterparty", "id", "amount")
 
 
+def snapshot_hash(scopes: DataFrame, key: str) -> DataFrame:
+    """(groups, rows, hash): one hash of all scopes' hashes, in any order; equal for equal snapshots only."""
+    h = F.conv(F.substring(F.sha2(canonical(key, "n", "hash"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return scopes.agg(F.count("*").alias("groups"), F.sum("n").alias("rows"), F.sha2(F.sum(h).cast("decimal(38,0)").cast("string"), 256).alias("hash"))
+
+
+@query("f16_snapshot_hash", v.with_views("invoice", SCOPE.format("v_invoice")) + """SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows,
+  sha256(CAST(sum(CAST(CAST('0x' || substr(sha256(length(counterparty) || ':' || counterparty || '|' || length(CAST(n AS VARCHAR)) || ':' || n || '|' || length(hash) || ':' || hash), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)) AS hash FROM scope""")
+def q_snapshot(spark, d):
+    return snapshot_hash(scope_hash(v.invoices(spark, d), "counterparty", "id", "amount"), "counterparty")
+
+
 CHANGED = """new_invoice AS (SELECT id, counterparty, CASE WHEN orderkey % 97 = 0 THEN amount + 1 ELSE amount END AS amount, issued FROM v_invoice WHERE orderkey % 101 <> 0
   UNION ALL SELECT id || 'n', counterparty, amount, issued FROM v_invoice WHERE orderkey % 103 = 0)"""
 
