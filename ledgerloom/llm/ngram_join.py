@@ -54,6 +54,8 @@ PIVOT_BANDS, PIVOT_ROWS = 16, 2
 STAR_KEYS = 16
 #: Nodes of one task against a hub or block; nodes of a block; classes of own tokens by which blocks are cut.
 FOLLOWERS, BLOCK, SHADES = 200, 256, 8
+#: Texts whose sets are made at once.
+AT_ONCE = 1000
 #: Tokens beyond those that may be missed by which a node looks for groups, and most passes over all tokens.
 MORE, PASSES = 2, 2
 
@@ -98,7 +100,7 @@ def scan(docs: DataFrame, width: int, share: float, carry=()) -> DataFrame:
     limit, k = _below(share), 1 + len(carry)
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, whole.num_rows, AT_ONCE)):
             ns, nodes, tokens = [], [], []
             for x in shingle_sets(batch.column(k), width):
                 ns.append(len(x))
@@ -109,7 +111,7 @@ def scan(docs: DataFrame, width: int, share: float, carry=()) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:k], pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), lists], names=[*batch.schema.names[:k], "n", "node", "tokens"]
             )
-            pa.default_memory_pool().release_unused()  # the process lives on beside other stages
+        pa.default_memory_pool().release_unused()  # the process lives on beside other stages
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

@@ -431,8 +431,10 @@ def expand(piece: np.ndarray, byte_id: np.ndarray) -> np.ndarray:
     return np.concatenate([*out, piece[at:]]).astype(np.int32)
 
 
-def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, alpha=ALPHA, model=MODEL, states=CACHE_STATES, chars_at_once=BATCH_CHARS) -> DataFrame:
-    """(key, sample, ids, log_prob, log_inclusion, exact) for each row; exact: decoding the ids gave the text."""
+def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, alpha=ALPHA, model=MODEL, states=CACHE_STATES, chars_at_once=BATCH_CHARS, keep=True) -> DataFrame:
+    """(key, sample, ids, log_prob, log_inclusion, exact) for each row; exact: decoding the ids gave the text.
+
+    keep: whether a Python process remembers units from one task to the next; that costs memory beside other work."""
 
     def run(batches):
         units = _units(model, alpha)
@@ -473,6 +475,8 @@ def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, a
                     keys, texts, chars = [], [], 0
         if keys:
             yield emit(keys, texts)
+        if not keep:
+            units.clear()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     out = rows.mapInArrow(run, "key long, sample int, ids array<int>, log_prob double, log_inclusion double, exact boolean")

@@ -65,4 +65,4 @@ def mix_sources(spark, docs, sf_dir):
 def encode_pieces(spark, docs, sf_dir):
     """Sampled segmentations of every document. Python processes of earlier stages may live on beside this one's, so it
     remembers fewer units and takes fewer characters at once than the operator does alone; the results are the same."""
-    return pieces.segmentations(docs, states=STATES, chars_at_once=CHARS)
+    return pieces.segmentations(docs, states=STATES, chars_at_once=CHARS, keep=False)
