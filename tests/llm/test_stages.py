@@ -138,3 +138,14 @@ def test_columns_of_any_name_and_type_travel_along(spark):
         finally:
             line_dedup.HOST_LINES = old
         assert got[5] == (texts[5].split("\n", 1)[1], 1, "v5") and got[12] == (None, 0, "v12") and got[0] == ("", 1, "v0")
+
+
+def test_sets_of_slices_are_those_of_the_whole_column():
+    import pyarrow as pa
+
+    from ledgerloom.llm.shingles import shingle_sets
+
+    rng = random.Random(4)
+    texts = pa.array([None if i % 50 == 0 else " ".join(rng.choice(["a", "é", "word", "日本"]) for _ in range(rng.randrange(12))) for i in range(2500)])
+    whole = [x.tolist() for x in shingle_sets(texts, 5)]
+    assert [x.tolist() for i in range(0, len(texts), 1000) for x in shingle_sets(texts.slice(i, 1000), 5)] == whole
