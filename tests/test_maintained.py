@@ -48,6 +48,19 @@ def test_upstream_of_a_long_chain_takes_few_rounds(spark):
     assert graph.upstream(chain.limit(0), chain.select("dst")).count() == 0
 
 
+def test_upstream_writes_each_found_pair_few_times(spark, monkeypatch):
+    """Rounds add to what was found and don't write it again; edges to nodes that lead no further are kept for one round only."""
+    written, cut = [], Room.cut
+    monkeypatch.setattr(Room, "cut", lambda self, df: (out := cut(self, df), written.append((sorted(out.columns), out.count())))[0])
+    chain = spark.range(1, 33).selectExpr("id AS src", "id + 1 AS dst")
+    leaves = spark.range(1, 34).selectExpr("id AS src", "id + 1000 AS dst")
+    found = graph.upstream(chain.unionByName(leaves), leaves.select("dst"))
+    pairs = 33 * 34 // 2
+    assert found.count() == pairs
+    assert sum(n for c, n in written if c == ["node", "target"]) <= 3 * pairs  # 2550 before
+    assert sum(n for c, n in written if c == ["dst", "src"]) <= 65 + 6 * 32  # 276 before
+
+
 def test_spread_join_keeps_every_pair_of_a_hot_key(spark):
     left = spark.range(900).selectExpr("if(id % 3 = 0, 5, id) AS k", "id AS a")
     right = spark.createDataFrame([(5, "x"), (5, "y"), (7, "z")], "k long, b string")
