@@ -6,7 +6,8 @@ changes asks for the groups that it can have touched and no others:
 1. changed records and documents reach decisions through the index, the closure of their provenance edges;
 2. each group's scopes (its receivables, payments, agreements; the settings) are hashed on the new snapshot and compared
    with the hashes that the decisions saw, which finds inserted and vanished records and whatever a feed left out;
-3. groups that are new or gone.
+3. groups that are new or gone;
+4. groups that the feed names, if it does: a record that no decision has seen, or that is gone already, reaches none by the index.
 
 What cannot be reasoned about asks for everything: a change of an unknown entity, or a decision without index rows.
 Results, index and scopes are stored by group; a batch replaces the groups it recomputed, in all three, and a batch that is
@@ -51,6 +52,10 @@ class Snapshot:
         """The rows of groups(grp)."""
         return replace(self, **{n: getattr(self, n).join(groups, "grp", "left_semi") for n in ("receivables", "payments", "agreements")})
 
+    def written(self, room: Room) -> Snapshot:
+        """The same rows, computed once."""
+        return replace(self, **{n: room.cut(getattr(self, n)) for n in ("receivables", "payments", "agreements")})
+
     def config(self) -> str:
         return f"{self.rate_milli}|{self.as_of}"
 
@@ -120,7 +125,7 @@ def scopes(s: Snapshot) -> DataFrame:
 
 
 class Maintained:
-    """Decisions of a snapshot that moves on by batches of changes(entity, id)."""
+    """Decisions of a snapshot that moves on by batches of changes(entity, id), with the record's grp where the feed knows it."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, path = spark, path or scratch(spark)
@@ -139,6 +144,8 @@ class Maintained:
         moved = gone_or_other.filter("NOT a <=> b").select("grp", F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "gone").otherwise("scope").alias("reason"))
         if full:
             return room.cut(moved.unionByName(fresh.select("grp", F.lit("all").alias("reason")))), fresh, True
+        if "grp" in changes.columns:
+            moved = moved.unionByName(changes.select("grp", F.lit("feed").alias("reason")).join(fresh, "grp", "left_semi"))
         nodes = changes.select(F.concat_ws(":", "entity", "id").alias("node"))
         direct = index.join(dependents(index.select("target", "node"), nodes), ["target", "node"], "left_semi").select("grp", F.lit("edge").alias("reason"))
         return room.cut(moved.unionByName(direct).distinct()), fresh, False
@@ -146,9 +153,10 @@ class Maintained:
     def apply(self, batch: int, changes: DataFrame, s: Snapshot) -> dict:
         """Bring the stores to snapshot s; changes are what a feed says. Counts of groups and decisions, and whether it was all."""
         room = Room(self.spark)
+        s = s.written(room)
         affected, fresh, full = self.plan(changes, s, room)
         groups = room.cut(affected.select("grp").distinct())
-        found, edges = decide(s.of(groups), room)
+        found, edges = decide(s.of(groups).written(room), room)
         found, edges = room.cut(found), room.cut(edges)
         closure = upstream(edges.select("src", "dst"), found.select(F.concat(F.lit("dec:"), "decision")))
         owner = found.select("grp", F.concat(F.lit("dec:"), "decision").alias("target"))
@@ -180,10 +188,12 @@ def snapshot(spark, d, step: int = 0) -> Snapshot:
 
 
 def feed(spark, d, step: int) -> DataFrame:
-    """changes(entity, id) of one batch; added payments are left to the scopes."""
-    k = v.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
-    c = v.read(spark, d, "customer").filter(F.col("c_custkey") % 89 == step).select(F.lit("agreement").alias("entity"), F.concat(F.lit("A"), "c_custkey", F.lit("-0")).alias("id"))
-    return k.filter((F.col("k") % 997 == step) | (F.col("k") % 991 == step)).select(F.lit("receivable").alias("entity"), F.concat(F.lit("I"), "k").alias("id")).unionByName(c)
+    """changes(entity, id, grp) of one batch; added payments are left to the scopes."""
+    k, c = v.read(spark, d, "orders"), v.read(spark, d, "customer")
+    k = k.filter((F.col("o_orderkey") % 997 == step) | (F.col("o_orderkey") % 991 == step)).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    k = k.select(F.lit("receivable").alias("entity"), F.concat(F.lit("I"), "o_orderkey").alias("id"), F.col("c_name").alias("grp"))
+    c = c.filter(F.col("c_custkey") % 89 == step).select(F.lit("agreement").alias("entity"), F.concat(F.lit("A"), "c_custkey", F.lit("-0")).alias("id"), F.col("c_name").alias("grp"))
+    return k.unionByName(c)
 
 
 STEPS = 3
