@@ -73,6 +73,8 @@ def write_report(df: DataFrame, path: str) -> None:
     df.select(*safe).write.csv(path, header=True, escape='"', quote='"')
 
 
+#: About as many events go into a file of a log.
+FILE_EVENTS = 200_000
 #: An event log's layout: attributes are elements named by their type, with a key and a value.
 _PAIR = "array<struct<_key: string, _value: string>>"
 _LOG = f"string {_PAIR}, event array<struct<string: {_PAIR}, date: {_PAIR}>>"
@@ -133,8 +135,9 @@ def q_event_log(spark, d):
 def q_event_log_stream(spark, d):
     """The same read as a stream of files; what each batch brings is appended."""
     path, out = scratch(spark), scratch(spark)
-    write_event_log(_user_events(spark, d).repartition(3, "trace"), path)
-    q = stream_event_log(spark, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+    n = max(3, v.read(spark, d, "events").count() // FILE_EVENTS)  # files, read in about three batches
+    write_event_log(_user_events(spark, d).repartition(n, "trace"), path)
+    q = stream_event_log(spark, path, -(-n // 3)).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out)
 

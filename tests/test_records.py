@@ -60,3 +60,16 @@ def test_event_logs_with_escapes_and_missing_values(spark, tmp_path):
     path = str(tmp_path / "log")
     files.write_event_log(df, path)
     assert spark_rows(files.read_event_log(spark, path)) == spark_rows(df)
+
+
+def test_a_longer_event_log_has_more_files(spark, sf_dir, monkeypatch):
+    from compare import spark_rows
+
+    from ledgerloom.sources import files
+
+    paths, write = [], files.write_event_log
+    monkeypatch.setattr(files, "write_event_log", lambda df, path: (write(df, path), paths.append(path)))
+    monkeypatch.setattr(files, "FILE_EVENTS", 100, raising=False)
+    got = spark_rows(files.q_event_log_stream(spark, sf_dir))
+    assert got == spark_rows(files._user_events(spark, sf_dir).select("trace", "no", "activity", "at", "amount").withColumn("trace", files.F.col("trace").cast("string")))
+    assert len([n for n in files.listed(spark, paths[0]) if n.startswith("part-")]) > 3  # 3 of any length before
