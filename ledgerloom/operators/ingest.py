@@ -187,10 +187,11 @@ def q_builder(spark, d):
     return v.lines(spark, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-def invariants(invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    """(kind, id) of ids that repeat within a table or occur in both; empty for a good snapshot."""
+def invariants(invoices: DataFrame, lines: DataFrame, parts: int | None = None) -> DataFrame:
+    """(kind, id) of ids that repeat within a table or occur in both; empty for a good snapshot. parts: tasks for them."""
+    invoices, lines = (v.dealt(x.select("id"), parts, "id") for x in (invoices, lines))
     twice = lambda df, kind: df.groupBy("id").count().filter("count > 1").select(F.lit(kind).alias("kind"), "id")
-    both = invoices.select("id").join(lines.select("id"), "id", "left_semi").distinct().select(F.lit("both").alias("kind"), "id")
+    both = invoices.join(lines, "id", "left_semi").distinct().select(F.lit("both").alias("kind"), "id")
     return twice(invoices, "invoice").unionByName(twice(lines, "line")).unionByName(both)
 
 
@@ -200,4 +201,5 @@ SELECT 'both', id FROM (SELECT DISTINCT o_orderkey || '-1' AS id FROM orders WHE
 def q_invariants(spark, d):
     """On natural keys, which do repeat."""
     i = v.read(spark, d, "orders").select(F.concat("o_orderkey", F.lit("-1")).alias("id"))
-    return invariants(i, v.read(spark, d, "lineitem").select(F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("id")))
+    x = v.read(spark, d, "lineitem")
+    return invariants(i, x.select(F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("id")), v.tasks(x.count()))
