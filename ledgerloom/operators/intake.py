@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ledgerloom.plans import ledger as v
+from ledgerloom.plans.graph import Room, spread_join
 from ledgerloom.registry import query
+from ledgerloom.sources.csvscan import SMALL
 
 IN_WORD, OUT_WORD = "입금", "출금"
 SALES, PURCHASE = "매출", "매입"
@@ -108,21 +110,26 @@ def q_delimiter(spark, d):
     return sniff_delimiter(x.select("k", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")), "k")
 
 
-def header_rows(cells: DataFrame, words: DataFrame, most=40) -> DataFrame:
+def header_rows(cells: DataFrame, words: DataFrame, most=40, parts: int | None = None) -> DataFrame:
     """(doc, row, score, sure): the header row of each table of cells(doc, row, col, text): among the first non-empty rows the
     one with most points (3 for a cell that is a word of words(word), 1 for one that contains one; earlier rows win ties);
-    with fewer than 3 points the first row of two texts or more, not sure."""
-    x = cells.filter("trim(text) <> ''").withColumn("bare", F.regexp_replace(F.lower("text"), r"[\s()]+", ""))
-    first = x.select("doc", "row").distinct().withColumn("at", F.row_number().over(W.partitionBy("doc").orderBy("row"))).filter(F.col("at") <= most)
-    near = x.join(first, ["doc", "row"])
-    texts = near.select("bare").distinct()
+    with fewer than 3 points the first row of two texts or more, not sure.
+
+    parts: tasks that many small tables are dealt to, each whole; without it a table may be of any size, since Spark leaves its
+    first rows only before it shuffles. Texts that hold a word are broadcast if they are few; else hot ones are dealt out."""
+    x = v.dealt(cells.filter("trim(text) <> ''").select("doc", "row", F.regexp_replace(F.lower("text"), r"[\s()]+", "").alias("bare")), parts, "doc")
+    near = x.withColumn("at", F.dense_rank().over(W.partitionBy("doc").orderBy("row"))).filter(F.col("at") <= most).drop("at")
+    texts = v.dealt(near.select("bare"), parts, "bare").distinct()
     lengths = [r[0] for r in words.select(F.length("word").alias("n")).distinct().collect() if r[0]]  # at most the longest word
     n = F.length("bare")
     parts = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda at: F.substring("bare", at, F.lit(k))))
     held = texts.select("bare", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*[parts(k) for k in lengths]))))).alias("word")) if lengths else texts.select("bare", F.lit(None).cast("string").alias("word"))
-    found = held.join(words.select("word").distinct(), "word").groupBy("bare").agg(F.max(F.when(F.col("bare") == F.col("word"), 3).otherwise(1)).alias("points"))
-    known = texts.join(found, "bare", "left").fillna(0, ["points"])
-    rows = near.join(known, "bare").groupBy("doc", "row").agg(F.sum("points").cast("int").alias("score"), F.count("*").alias("texts"))
+    found = Room(cells.sparkSession).cut(held.join(words.select("word").distinct(), "word").groupBy("bare").agg(F.max(F.when(F.col("bare") == F.col("word"), 3).otherwise(1)).alias("points")))
+    if found.limit(SMALL + 1).count() <= SMALL:
+        near = near.join(F.broadcast(found), "bare", "left").fillna(0, ["points"])
+    else:
+        near = v.dealt(spread_join(near, texts.join(found, "bare", "left").fillna(0, ["points"]), "bare"), parts, "doc")
+    rows = near.groupBy("doc", "row").agg(F.sum("points").cast("int").alias("score"), F.count("*").alias("texts"))
     best = rows.groupBy("doc").agg(F.max_by("row", F.struct("score", -F.col("row"))).alias("best"), F.max("score").alias("score"), F.min(F.when(F.col("texts") >= 2, F.col("row"))).alias("second"))
     sure = F.col("score") >= 3
     return best.select("doc", F.when(sure, F.col("best")).otherwise(F.col("second")).cast("int").alias("row"), "score", sure.alias("sure"))
@@ -145,8 +152,9 @@ def q_header_rows(spark, d):
     kind = lambda a, b, c: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in (a, b, c)])
     number = F.when(s % 2 == 0, F.col("l_quantity").cast("int").cast("string")).otherwise(F.lit(" "))
     texts = F.when(p == 0, kind("Quantity", "(Price)", "other")).when(p == 1, kind("unit price", "x", "")).otherwise(kind(s.cast("string"), number, ""))
-    cells = v.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("int").alias("row"), F.posexplode(texts).alias("col", "text"))
-    return header_rows(cells, spark.createDataFrame([(w,) for w in HEADER_WORDS], "word string"))
+    x = v.read(spark, d, "lineitem")
+    cells = x.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("int").alias("row"), F.posexplode(texts).alias("col", "text"))
+    return header_rows(cells, spark.createDataFrame([(w,) for w in HEADER_WORDS], "word string"), parts=v.tasks(x.count()))
 
 
 def confirm_mapping(proposed: DataFrame, overrides: DataFrame) -> DataFrame:
