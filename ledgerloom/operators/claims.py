@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.plans import ledger as v
+from ledgerloom.plans.graph import Room
 from ledgerloom.registry import query
 
 SEPARATE, SAME = "separate_sale", "same_sale"
@@ -18,28 +19,35 @@ def confirmed(links: DataFrame) -> DataFrame:
     return x.select("doc", "one.relation", "one.target", "n_links", (F.col("one") != F.col("other")).alias("conflicting"))
 
 
-def resolve_duplicates(sales: DataFrame, duplicates: DataFrame, links: DataFrame) -> DataFrame:
+def resolve_duplicates(sales: DataFrame, duplicates: DataFrame, links: DataFrame, parts: int | None = None) -> DataFrame:
     """(id, state, target) of sale lines (id): own, attached to an earlier line, or pending. duplicates(id): the lines that
-    repeat one of another document; a confirmation attaches only to a sale line that is no duplicate itself."""
-    dup = duplicates.select("id", F.lit(True).alias("dup"))
-    good = sales.join(duplicates, "id", "left_anti").select(F.col("id").alias("target"), F.lit(True).alias("good"))
-    x = sales.select("id").join(dup, "id", "left").join(confirmed(links).withColumnRenamed("doc", "id"), "id", "left").join(good, "target", "left")
+    repeat one of another document; a confirmation attaches only to a sale line that is no duplicate itself. Only what was
+    confirmed is looked up by its target, so lines without one meet in no task. parts: tasks for the lines."""
+    deal = lambda df, key: v.dealt(df, parts, key)
+    sales, duplicates, c = deal(sales.select("id"), "id"), deal(duplicates.select("id"), "id"), confirmed(deal(links, "doc")).withColumnRenamed("doc", "id")
+    target = deal(sales.join(duplicates, "id", "left_anti").select(F.col("id").alias("target")), "target")
+    good = deal(c.filter(F.col("relation") == SAME).select("id", "target"), "target").join(target, "target", "left_semi").select("id", F.lit(True).alias("good"))
+    x = sales.join(duplicates.withColumn("dup", F.lit(True)), "id", "left").join(c, "id", "left").join(deal(good, "id"), "id", "left")
     attached = (F.col("relation") == SAME) & F.coalesce("good", F.lit(False))
     state = F.when(F.col("dup").isNull(), "own").when(F.col("n_links").isNull() | F.col("conflicting"), "pending").when(F.col("relation") == SEPARATE, "own").when(attached, "attached").otherwise("pending")
     return x.select("id", state.alias("state"), F.when(state == "attached", F.col("target")).alias("target"))
 
 
-def resolve_invoices(invoices: DataFrame, own_sales: DataFrame, links: DataFrame) -> DataFrame:
+def resolve_invoices(invoices: DataFrame, own_sales: DataFrame, links: DataFrame, parts: int | None = None) -> DataFrame:
     """(id, state, why) of invoices(id, counterparty, reference, direction) against own_sales(id, counterparty, reference).
 
     In this order: an unknown direction or counterparty is pending, whatever was confirmed; confirmations that contradict each
     other are pending, separate ones make it its own, others attach it to that line or leave it pending; then the reference:
-    one line of it attaches, several are pending; without one it is pending if its counterparty has sale lines, else its own."""
-    c = confirmed(links).withColumnRenamed("doc", "id")
-    target = own_sales.select(F.col("id").alias("target"), F.col("counterparty").alias("target_of"))
-    hits = own_sales.filter("reference <> ''").groupBy("counterparty", "reference").agg(F.count("*").alias("hits"))
-    some = own_sales.select("counterparty", F.lit(True).alias("some")).distinct()
-    x = invoices.join(c, "id", "left").join(target, "target", "left").join(hits, ["counterparty", "reference"], "left").join(some, "counterparty", "left")
+    one line of it attaches, several are pending; without one it is pending if its counterparty has sale lines, else its own.
+    Only what was confirmed is looked up by its target. parts: tasks for the tables."""
+    deal = lambda df, *keys: v.dealt(df, parts, *keys)
+    c = confirmed(deal(links, "doc")).withColumnRenamed("doc", "id")
+    target = deal(own_sales.select(F.col("id").alias("target"), F.col("counterparty").alias("target_of")), "target")
+    hits = deal(own_sales.filter("reference <> ''").select("counterparty", "reference"), "counterparty", "reference").groupBy("counterparty", "reference").agg(F.count("*").alias("hits"))
+    some = deal(own_sales.select("counterparty").distinct(), "counterparty").distinct().withColumn("some", F.lit(True))
+    of = deal(c.filter("relation <> '%s'" % SEPARATE).select("id", "target"), "target").join(target, "target").select("id", "target_of")
+    x = deal(invoices, "id").join(c, "id", "left").join(deal(of, "id"), "id", "left")
+    x = deal(deal(x, "counterparty", "reference").join(hits, ["counterparty", "reference"], "left"), "counterparty").join(some, "counterparty", "left")
     said, fits = F.col("n_links").isNotNull(), F.coalesce(F.col("target_of") == F.col("counterparty"), F.lit(False))
     n = F.coalesce("hits", F.lit(0))
     out = [
@@ -57,10 +65,9 @@ def _sales(spark, d) -> DataFrame:
     return v.lines(spark, d).filter("line_kind = 'sale'").select("id", "orderkey", "counterparty", "reference", "amount")
 
 
-def _line_links(spark, d) -> DataFrame:
-    """Confirmations of sale lines: separate, the same as the order's first line, or both."""
+def _line_links(x: DataFrame) -> DataFrame:
+    """Confirmations of sale lines x: separate, the same as the order's first line, or both."""
     k, first = F.col("orderkey"), F.concat(F.lit("L"), F.col("orderkey"), F.lit("-1"))
-    x = _sales(spark, d)
     same = x.filter(k % 5 < 3).select(F.col("id").alias("doc"), F.lit(SAME).alias("relation"), first.alias("target"))
     return same.unionByName(x.filter(k % 5 == 2).select(F.col("id").alias("doc"), F.lit(SEPARATE).alias("relation"), F.lit("").alias("target"))).unionByName(
         x.filter(k % 5 == 3).select(F.col("id").alias("doc"), F.lit(SEPARATE).alias("relation"), F.lit("").alias("target"))
@@ -75,8 +82,8 @@ state AS (SELECT s.id, s.counterparty, s.reference, CASE WHEN s.id NOT IN (SELEC
 
 @query("d08_duplicate_resolution", v.with_views("line", CLAIMS) + "SELECT id, state, CASE WHEN state = 'attached' THEN 'L' || orderkey || '-1' END AS target FROM state")
 def q_duplicate_resolution(spark, d):
-    x = _sales(spark, d)
-    return resolve_duplicates(x, x.filter("amount % 3 = 0").select("id"), _line_links(spark, d))
+    x, parts = Room(spark).cut(_sales(spark, d)), v.tasks(v.read(spark, d, "lineitem").count())
+    return resolve_duplicates(x, x.filter("amount % 3 = 0").select("id"), _line_links(x), parts)
 
 
 @query("d06_d09_d11_invoice_links", v.with_views("line", "invoice", CLAIMS) + """, own AS (SELECT * FROM state WHERE state = 'own'),
@@ -86,13 +93,14 @@ x AS (SELECT i.id, i.orderkey AS k, coalesce(n, 0) AS n, i.counterparty IN (SELE
 SELECT id, CASE WHEN k % 13 = 0 THEN 'pending' WHEN k % 11 = 1 THEN 'pending' WHEN k % 11 = 2 THEN 'own' WHEN k % 11 = 0 AND fits THEN 'attached' WHEN k % 11 = 0 THEN 'pending' WHEN n = 1 THEN 'attached' WHEN n > 1 OR has_own THEN 'pending' ELSE 'own' END AS state,
   CASE WHEN k % 13 = 0 THEN 'direction' WHEN k % 11 = 1 THEN 'confirmations' WHEN k % 11 = 2 THEN 'confirmed' WHEN k % 11 = 0 AND fits THEN 'confirmed' WHEN k % 11 = 0 THEN 'target' WHEN n > 0 THEN 'reference' WHEN has_own THEN 'candidates' ELSE 'no_line' END AS why FROM x""")
 def q_invoice_links(spark, d):
-    x, k = _sales(spark, d), F.col("orderkey")
-    own = resolve_duplicates(x, x.filter("amount % 3 = 0").select("id"), _line_links(spark, d)).filter("state = 'own'").select("id").join(x, "id")
-    i = v.invoices(spark, d).withColumn("direction", F.when(k % 13 == 0, "unknown").otherwise("sales"))
+    room, k, parts = Room(spark), F.col("orderkey"), v.tasks(v.read(spark, d, "lineitem").count())
+    x = room.cut(_sales(spark, d))
+    own = room.cut(resolve_duplicates(x, x.filter("amount % 3 = 0").select("id"), _line_links(x), parts).filter("state = 'own'").select("id").join(v.dealt(x, parts, "id"), "id"))
+    i = room.cut(v.invoices(spark, d)).withColumn("direction", F.when(k % 13 == 0, "unknown").otherwise("sales"))
     first = F.concat(F.lit("L"), k, F.lit("-1"))
     link = lambda cond, relation, target: i.filter(cond).select(F.col("id").alias("doc"), F.lit(relation).alias("relation"), target.alias("target"))
     links = link(k % 11 < 2, SAME, first).unionByName(link(k % 11 == 1, SEPARATE, F.lit(""))).unionByName(link(k % 11 == 2, SEPARATE, F.lit("")))
-    return resolve_invoices(i, own, links)
+    return resolve_invoices(i, own, links, parts)
 
 
 def decision_parts(receivables: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ DEALT = [
     "a24_snapshot_invariants",
     "d07_d10_h03_duplicate_lines",
     "d22_fact_table_links",
+    "d06_d09_d11_invoice_links",
 ]
 
 
