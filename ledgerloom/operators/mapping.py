@@ -1,21 +1,21 @@
 """Columns of many tables mapped to fields at once: header scores, checks of sample values, greedy assignment, confidence.
 
 The assignment is the one that goes through all pairs of a column and a field in order (best score, required fields, column,
-name) and takes each whose column and field are still free. Pairs that come first both in their column and in their field are
-taken whatever happens elsewhere, so each round takes all of these in all tables, then drops what shares a column or a field
-with them; the rounds end with the pairs. A table's pairs stay in one partition throughout."""
+name) and takes each whose column and field are still free. Spark sorts the pairs of a table within one task; the pass streams
+them and holds what one table has taken."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ledgerloom.functions.values import normalize_header, parse_amount, parse_brn, parse_date, parse_int, parse_time
 from ledgerloom.plans import ledger as v
 from ledgerloom.plans.graph import Room
+from ledgerloom.sources.csvscan import SMALL
 from ledgerloom.registry import query
 
 #: Least share of sample values that must look like the field's kind.
@@ -58,8 +58,8 @@ def scores(headers: DataFrame, specs: DataFrame) -> DataFrame:
     known = headers.select("header").distinct().withColumn("bare", normalize_header(F.coalesce("header", F.lit(""))))
     lit = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     found = F.array(*[F.struct(F.lit(f.field).alias("field"), F.lit(f.kind).alias("kind"), F.lit(f.required).alias("required"), score_of(F.col("bare"), lit(f.synonyms), lit(f.excluded)).alias("score")) for f in all_fields])
-    known = known.select("header", F.explode(F.filter(found, lambda s: s["score"] > 0)).alias("s")).select("header", "s.*")
-    x = headers.join(known, "header")
+    known = Room(headers.sparkSession).cut(known.select("header", F.explode(F.filter(found, lambda s: s["score"] > 0)).alias("s")).select("header", "s.*"))
+    x = headers.join(F.broadcast(known) if known.limit(SMALL + 1).count() <= SMALL else known, "header")
     return x.withColumn("confidence", F.when(F.col("score") == 100, "HIGH").when(F.col("score") >= 60, "MEDIUM").otherwise("LOW"))
 
 
@@ -70,51 +70,61 @@ def looks_like(kind: Column, text: Column) -> Column:
     return F.coalesce(good.when(kind == "int", parse_int(text).isNotNull()).when(kind == "brn", brn.rlike("[0-9]")).otherwise(True), F.lit(False))
 
 
-def checked(pairs: DataFrame, samples: DataFrame) -> DataFrame:
+KINDS = ("date", "amount", "time", "int", "brn", "text")
+
+
+def checked(pairs: DataFrame, samples: DataFrame, parts: int | None = None) -> DataFrame:
     """pairs without those of LOW confidence whose column's samples(doc, col, text) mostly don't look like the field's kind; the
     confidence of others is one step lower then. share is null for columns without values."""
-    kinds = F.array(*[F.lit(k) for k in ("date", "amount", "time", "int", "brn", "text")])
-    shares = samples.filter("trim(text) <> ''").select("doc", "col", F.explode(F.transform(kinds, lambda k: F.struct(k.alias("kind"), looks_like(k, F.col("text")).alias("good")))).alias("k"))
-    shares = shares.groupBy("doc", "col", "k.kind").agg(F.avg(F.col("k.good").cast("int")).alias("share"))
-    x = pairs.join(shares, ["doc", "col", "kind"], "left").withColumn("weak", F.coalesce(F.col("share") < SHARE, F.lit(False)))
+    shares = v.dealt(samples.filter("trim(text) <> ''"), parts, "doc", "col").groupBy("doc", "col").agg(*[F.avg(looks_like(F.lit(k), F.col("text")).cast("int")).alias(f"_{k}") for k in KINDS])
+    share = reduce(lambda acc, k: acc.when(F.col("kind") == k, F.col(f"_{k}")), KINDS, F.when(F.lit(False), F.lit(None).cast("double")))
+    x = v.dealt(pairs, parts, "doc", "col").join(shares, ["doc", "col"], "left").withColumn("share", share).drop(*[f"_{k}" for k in KINDS])
+    x = x.withColumn("weak", F.coalesce(F.col("share") < SHARE, F.lit(False)))
     lower = F.when(F.col("confidence") == "HIGH", "MEDIUM").otherwise("LOW")
     return x.filter("NOT (weak AND confidence = 'LOW')").withColumn("confidence", F.when(F.col("weak"), lower).otherwise(F.col("confidence"))).drop("weak")
 
 
-def greedy(pairs: DataFrame, group: str, left: str, right: str, order: list[Column]) -> DataFrame:
+def greedy(pairs: DataFrame, group: str, left: str, right: str, order: list[Column], parts: int | None = None) -> DataFrame:
     """The rows of pairs that a pass in ``order`` (then left and right) would take, each left and right of a group at most once.
 
-    (group, left, right) must be unique. One shuffle by group; each round's rows are at most half of a table's pairs in
-    practice, and never more rounds are needed than a group has lefts or rights."""
-    room = Room(pairs.sparkSession)
-    rest = room.cut(pairs.withColumn("_at", F.struct(*order, F.col(left), F.col(right))).repartition(group))
-    by_left, by_right, taken = W.partitionBy(group, left), W.partitionBy(group, right), None
-    while not rest.isEmpty():
-        first = (F.col("_at") == F.min("_at").over(by_left)) & (F.col("_at") == F.min("_at").over(by_right))
-        now = rest.withColumn("_first", first)
-        now = room.cut(now.withColumn("_gone", F.max("_first").over(by_left) | F.max("_first").over(by_right)))
-        good = now.filter("_first").select(*pairs.columns)
-        taken = good if taken is None else taken.unionByName(good)
-        rest = now.filter("NOT _gone").drop("_first", "_gone")
-    out = room.cut(pairs.limit(0) if taken is None else taken)
-    room.close(but=out)
-    return out
-
-
-def suggest(headers: DataFrame, samples: DataFrame, specs: DataFrame) -> DataFrame:
-    """(doc, col, header, field, required, score, confidence, share): the suggested mapping of every table."""
-    pairs = checked(scores(headers, specs), samples)
+    (group, left, right) must be unique. One shuffle by group and a sort, which spills; the pass holds the lefts and rights that
+    one group has taken."""
+    at = [pairs.columns.index(c) for c in (group, left, right)]
+
+    def run(batches):
+        now, lefts, rights = object(), set(), set()
+        for b in batches:
+            free = []
+            for g, x, y in zip(*(b.column(i).to_pylist() for i in at), strict=True):
+                if g != now:
+                    now, lefts, rights = g, set(), set()
+                good = x not in lefts and y not in rights
+                if good:
+                    lefts.add(x), rights.add(y)
+                free.append(good)
+            yield b.filter(pa.array(free, pa.bool_()))
+
+    keys = [f"_o{i}" for i in range(len(order))]
+    x = pairs.withColumns(dict(zip(keys, order, strict=True)))
+    x = x.repartition(group) if parts is None else x.repartition(parts, group)
+    return x.sortWithinPartitions(group, *keys, left, right).select(*pairs.columns).mapInArrow(run, pairs.schema)
+
+
+def suggest(headers: DataFrame, samples: DataFrame, specs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(doc, col, header, field, required, score, confidence, share): the suggested mapping of every table; parts: tasks that
+    the tables are dealt to (None: as the session has them)."""
+    pairs = checked(scores(headers, specs), samples, parts)
     order = [(-F.col("score")).alias("a"), (~F.col("required")).alias("b")]
-    return greedy(pairs, "doc", "col", "field", order).select("doc", "col", "header", "field", "required", "score", "confidence", "share")
+    return greedy(pairs, "doc", "col", "field", order, parts).select("doc", "col", "header", "field", "required", "score", "confidence", "share")
 
 
-def overview(docs: DataFrame, matches: DataFrame, specs: DataFrame) -> DataFrame:
+def overview(docs: DataFrame, matches: DataFrame, specs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc, matched, unmapped_required, overall, needs_confirmation) for every row of docs(doc): overall is the least confidence
     of the required fields, LOW where one is missing, NONE without a match."""
     required = [r.field for r in specs.filter("required").select("field").collect()]  # a format's few fields
     rank = reduce(lambda acc, kv: acc.when(F.col("confidence") == kv[0], kv[1]), RANK.items(), F.when(F.lit(False), 0))
-    x = matches.groupBy("doc").agg(F.count("*").alias("matched"), F.sort_array(F.collect_set(F.when(F.col("required"), F.col("field")))).alias("have"), F.min(F.when(F.col("required"), rank)).alias("least"))
-    x = docs.select("doc").join(x, "doc", "left").fillna(0, ["matched"])
+    x = v.dealt(matches, parts, "doc").groupBy("doc").agg(F.count("*").alias("matched"), F.sort_array(F.collect_set(F.when(F.col("required"), F.col("field")))).alias("have"), F.min(F.when(F.col("required"), rank)).alias("least"))
+    x = v.dealt(docs.select("doc"), parts, "doc").join(x, "doc", "left").fillna(0, ["matched"])
     missing = F.array_except(F.array(*[F.lit(n) for n in sorted(required)]).cast("array<string>"), F.coalesce("have", F.array().cast("array<string>")))
     x = x.withColumn("missing", missing)
     name = reduce(lambda acc, kv: acc.when(F.col("least") == kv[1], kv[0]), RANK.items(), F.when(F.lit(False), ""))
@@ -129,12 +139,15 @@ def overview(docs: DataFrame, matches: DataFrame, specs: DataFrame) -> DataFrame
 HEADERS = ("금액(원)", "거래처명", "거래 일자", "전표번호", "비고", "매출액", "Amount", "supplier name", "date", "수량", "사업자 번호", "할인 비율 금액", "일", "no", "")
 
 
-def tables(spark, d) -> tuple[DataFrame, DataFrame]:
-    """headers(doc, col, header), samples(doc, col, text)."""
-    x = v.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("int").alias("col")).agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+def tables(spark, d) -> tuple[DataFrame, DataFrame, int]:
+    """headers(doc, col, header), samples(doc, col, text), and the tasks for them."""
+    x = v.read(spark, d, "lineitem")
+    parts = v.tasks(x.count())
+    x = x.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("int").alias("col"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    x = v.dealt(x, parts, "doc", "col").groupBy("doc", "col").agg(F.max("p").alias("p"), F.max("s").alias("s"))
     names = F.array(*[F.lit(h) for h in HEADERS])
     texts = F.when(F.col("s") % 4 == 0, F.array(F.lit("1,234"), F.lit("99"))).when(F.col("s") % 4 == 1, F.array(F.lit("2025-01-02"), F.lit("2025-03-04"))).when(F.col("s") % 4 == 2, F.array(F.lit("12"), F.lit("x"))).otherwise(F.array(F.lit(""), F.lit(" ")))
-    return x.select("doc", "col", F.get(names, (F.col("p") % len(HEADERS)).cast("int")).alias("header")), x.select("doc", "col", F.explode(texts).alias("text"))
+    return x.select("doc", "col", F.get(names, (F.col("p") % len(HEADERS)).cast("int")).alias("header")), x.select("doc", "col", F.explode(texts).alias("text")), parts
 
 
 def _sql() -> str:
@@ -161,8 +174,8 @@ m AS (SELECT r.* FROM fold JOIN ranked r ON r.doc = fold.doc AND r.k = fold.took
 @query("c03_c04_c05_suggested_mapping", _sql() + " SELECT doc, col, field, CAST(score AS INTEGER) AS score, confidence, CAST(share AS DOUBLE) AS share FROM m")
 def q_suggest(spark, d):
     """Columns of each order's table mapped to fields."""
-    headers, samples = tables(spark, d)
-    return suggest(headers, samples, field_specs(spark)).select("doc", "col", "field", F.col("score").cast("int").alias("score"), "confidence", "share")
+    headers, samples, parts = tables(spark, d)
+    return suggest(headers, samples, field_specs(spark), parts).select("doc", "col", "field", F.col("score").cast("int").alias("score"), "confidence", "share")
 
 
 @query("c16_mapping_confidence", _sql() + """, o AS (SELECT doc, count(*) AS matched, count(*) FILTER (WHERE required) AS n, min(CASE WHEN required THEN CASE confidence WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END END) AS least,
@@ -170,6 +183,7 @@ def q_suggest(spark, d):
 SELECT d.doc, coalesce(matched, 0) AS matched, coalesce(missing, 'amount,counterparty,day') AS unmapped_required, CASE WHEN matched IS NULL THEN 'NONE' WHEN n < 3 THEN 'LOW' ELSE ['LOW', 'MEDIUM', 'HIGH'][least] END AS overall, coalesce(n < 3 OR least < 3, true) AS needs_confirmation
 FROM (SELECT DISTINCT doc FROM x) d LEFT JOIN o USING (doc)""")
 def q_confidence(spark, d):
-    headers, samples = tables(spark, d)
+    headers, samples, parts = tables(spark, d)
     specs = field_specs(spark)
-    return overview(headers.select("doc").distinct(), suggest(headers, samples, specs), specs)
+    docs = v.dealt(v.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc")), parts, "doc").distinct()
+    return overview(docs, suggest(headers, samples, specs, parts), specs, parts)

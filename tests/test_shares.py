@@ -10,6 +10,7 @@ from ledgerloom.plans import ledger as v
 
 registry.load()
 DEALT = [
+    "c16_mapping_confidence",
     "c01_header_rows",
     "a24_snapshot_invariants",
     "d07_d10_h03_duplicate_lines",
