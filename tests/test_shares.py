@@ -11,6 +11,7 @@ from ledgerloom.plans import ledger as v
 registry.load()
 DEALT = [
     "c16_mapping_confidence",
+    "c03_c04_c05_suggested_mapping",
     "c01_header_rows",
     "a24_snapshot_invariants",
     "d07_d10_h03_duplicate_lines",
