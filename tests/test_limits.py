@@ -59,3 +59,20 @@ def test_a_rule_version_is_registered_once(spark):
     known = rules.rule_versions(spark)
     with pytest.raises(ValueError, match="already"):
         rules.register(known, known.limit(1))
+
+
+def test_plain_pages_give_what_the_parser_gives():
+    import random
+
+    from ledgerloom.operators.ingest import _PAGE, _Cells
+
+    rnd, quick = random.Random(7), 0
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "<TD rowspan=\"2\">", '<th colspan="3" class="x y">', "</td>", "</th>", "a", " b &amp; &lt;c ", "&notit; &#65", "x\n y", "<p>", "</p>", "<br>"]
+    odd = ["<!-- <td>z -->", "<td rowspan=2>", "<br/>", "<script>'<td>'</script>", "<", "<td", "</td >", '<td title="&quot;">', "<textarea><td></textarea>", "<?x>", ">", "&"]
+    for n in range(3000):
+        page = "".join(rnd.choice(bits if n % 2 or rnd.random() < 0.9 else odd) for _ in range(rnd.randint(1, 25))) + rnd.choice(["</table>", "</td></tr></table>", "", "end"])
+        slow = _Cells()
+        slow.feed(page)
+        assert _Cells().read(page) == slow.out, page
+        quick += bool(_PAGE.fullmatch(page))
+    assert quick > 1000

@@ -13,6 +13,7 @@ DEALT = [
     "c16_mapping_confidence",
     "c03_c04_c05_suggested_mapping",
     "c01_header_rows",
+    "a06_html_tables",
     "a24_snapshot_invariants",
     "d07_d10_h03_duplicate_lines",
     "d22_fact_table_links",
