@@ -51,7 +51,7 @@ HEAD = 8
 SPACE, OWN_MARK, SEP = "▁", "\ud800", "\ud801"  # lone surrogates can't be in a text
 
 #: No piece of the usual vocabularies goes on from a letter to one of these marks (it is checked for each model).
-CUT = re.compile(r"(?<=[^\W\d_¹²³])[.,]")
+CUT = re.compile(r"[.,](?<=[^\W\d_¹²³][.,])")
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -171,25 +171,27 @@ class Units:
                 found.append((at[some], ids[j], scores[j], length))
                 if length == 1:
                     single[at[some]] = True
+        found.reverse()
         lone = np.flatnonzero(~single)
         shown = np.where(codes[lone] == _U(ord(OWN_MARK)), _U(ord(SPACE)), codes[lone])
         shown = shown.astype(np.int64)
         ascii_ = shown < 128
         lone_id = np.where(ascii_, v.byte_id[np.where(ascii_, shown, 0)], -1 - shown)
         found.append((lone, lone_id.astype(np.int32), np.full(len(lone), v.unknown), 1))
-        state = np.concatenate([x[0] for x in found[::-1]])
-        length = np.concatenate([np.full(len(x[0]), x[3], dtype=np.int64) for x in found[::-1]])
-        piece = np.concatenate([x[1] for x in found[::-1]])
-        weight = np.concatenate([x[2] for x in found[::-1]])
-        order = np.argsort(state * (v.longest + 1) + (v.longest - length))  # by state, long pieces first
+        state = np.concatenate([x[0] for x in found])
+        length = np.concatenate([np.full(len(x[0]), x[3], dtype=np.int64) for x in found])
+        piece = np.concatenate([x[1] for x in found])
+        weight = np.concatenate([x[2] for x in found])
+        order = np.argsort(state, kind="stable")  # long pieces first, as they come
         state, length, piece, weight = state[order], length[order], piece[order], weight[order]
         ptr = np.searchsorted(state, np.arange(n + 1))
         # total weight of all ways from a state to its unit's end, from the ends backwards
         beta = np.zeros(n + 1)
         ends = state + length == np.repeat(first + lengths, lengths)[state]
         from_end = left[state]
-        by_left = np.argsort(from_end * len(state) + np.arange(len(state)))
-        cuts = np.searchsorted(from_end[by_left], np.arange(1, lengths.max(initial=0) + 2))
+        furthest = int(lengths.max(initial=0))
+        by_left = np.argsort(from_end.astype(np.uint16) if furthest < 1 << 16 else from_end, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(from_end, minlength=furthest + 1))])[1:]
         for k in range(len(cuts) - 1):
             e = by_left[cuts[k] : cuts[k + 1]]
             if not len(e):
