@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ledgerloom.llm.common import SPACE, Scratch, small, table
+from ledgerloom.llm.common import SPACE, Scratch, give_back, small, table
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.pieces import mixed
 from ledgerloom.llm.shingles import shingle_sets
@@ -95,6 +95,17 @@ def _allowed(num, den) -> Column:
     return F.expr(f"n * {den - num} div {den}")
 
 
+def _tidy(run):
+    """run of two tables, after which free memory goes back to the system."""
+
+    def tidy(left, right):
+        out = run(left, right)
+        give_back(every=0.2)
+        return out
+
+    return tidy
+
+
 def scan(docs: DataFrame, width: int, share: float, carry=()) -> DataFrame:
     """(doc_id, carry, n, node, tokens in the range) of docs(doc_id, text)."""
     limit, k = _below(share), 1 + len(carry)
@@ -111,7 +122,8 @@ def scan(docs: DataFrame, width: int, share: float, carry=()) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:k], pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), lists], names=[*batch.schema.names[:k], "n", "node", "tokens"]
             )
-        pa.default_memory_pool().release_unused()  # the process lives on beside other stages
+            del x, ns, nodes, tokens, lengths, lists
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -130,6 +142,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     packed.append(x.tobytes())
             own = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(packed, pa.binary())], names=["node", "n", "own", "x"])
+            del keep, packed, own
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
     rows = texts.join(small(wanted), F.col("_id").eqNullSafe(F.col("first_id")))
@@ -158,6 +172,7 @@ def _buckets(sets: DataFrame, turn: int, bands=BANDS, rows=ROWS) -> DataFrame:
             keys = [k for x in batch.column(2) for k in _band_keys(_set(x), turn, bands, rows)]
             at = pa.array(np.repeat(np.arange(batch.num_rows), bands))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.int64())], names=["node", "rank", "key"])
+        give_back()
 
     return sets.select("node", F.expr("own * 1000 div n").alias("rank"), "x").mapInArrow(run, "node long, rank long, key long")
 
@@ -193,7 +208,7 @@ def follow_hubs(sets: DataFrame, buckets: DataFrame, num: int, den: int, scratch
     x = sets.select("node", "x")
     left = x.join(small(dealt), "node").select("hub", "part", "node", "x")
     right = sets.select(F.col("node").alias("hub"), F.col("x").alias("y")).join(small(parts), "hub").select("hub", "part", "y")
-    return scratch.cut(left.groupBy("hub", "part").cogroup(right.groupBy("hub", "part")).applyInArrow(run, "a long, b long"))
+    return scratch.cut(left.groupBy("hub", "part").cogroup(right.groupBy("hub", "part")).applyInArrow(_tidy(run), "a long, b long"))
 
 
 # the token-group matrix
@@ -212,6 +227,8 @@ def tokens_of(members: DataFrame, share: float | None) -> DataFrame:
                 at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
                 tokens = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), b.column(0).take(at), b.column(1).take(at)], names=["token", "node", "family"])
+                del sets, at, tokens
+        give_back()
 
     return members.select("node", "family", "x").mapInArrow(run, "token long, node long, family long")
 
@@ -254,7 +271,7 @@ def differences(sets: DataFrame, chosen: DataFrame, num: int, den: int, scratch:
 
     left = sets.select("node", "x").join(small(dealt), "node").select("hub", "part", "node", "x")
     right = sets.select(F.col("node").alias("hub"), F.col("x").alias("y")).join(small(parts), "hub").select("hub", "part", "y")
-    found = left.groupBy("hub", "part").cogroup(right.groupBy("hub", "part")).applyInArrow(run, "node long, hub long, hub_n long, near boolean, diff array<long>")
+    found = left.groupBy("hub", "part").cogroup(right.groupBy("hub", "part")).applyInArrow(_tidy(run), "node long, hub long, hub_n long, near boolean, diff array<long>")
     return scratch.stored(found.join(small(chosen.drop("missing")), "node").withColumnRenamed("hub", "pivot"))
 
 
@@ -321,7 +338,7 @@ def compare(sets: DataFrame, pairs: DataFrame, placed: DataFrame, num: int, den:
     left = sets.select("node", "x").join(small(dealt), "node").select("block", "part", "node", "x")
     held = scratch.cut(placed.select(F.col("node").alias("member"), "block").join(small(parts), "block"))
     right = sets.select(F.col("node").alias("member"), F.col("x").alias("y")).join(small(held), "member").select("block", "part", "member", "y")
-    return scratch.cut(left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, "a long, b long"))
+    return scratch.cut(left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_tidy(run), "a long, b long"))
 
 
 def links_between(packed: DataFrame, chosen: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:

@@ -39,12 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import give_back, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA = 2, 5e-4
 #: Characters of text in one step of work; states that the cache of units may hold.
 BATCH_CHARS, CACHE_STATES = 1_000_000, 2_000_000
+#: Rows whose texts are Python strings at once, beside those of a step.
+ROWS_AT_ONCE = 256
 SLOT_BITS = 20
 #: The first pieces of a segmentation are regions of their own; those after are one region until it is opened.
 HEAD = 8
@@ -468,7 +470,7 @@ def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, a
             )
 
         keys, texts, chars = [], [], 0
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS_AT_ONCE) for whole in batches for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
             for k_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys.append(k_), texts.append(t or "")
                 chars += len(texts[-1])
@@ -477,8 +479,10 @@ def segmentations(docs: DataFrame, key="doc_id", text="text", samples=SAMPLES, a
                     keys, texts, chars = [], [], 0
         if keys:
             yield emit(keys, texts)
+        keys, texts, batch = [], [], None
         if not keep:
             units.clear()
+        give_back()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     out = rows.mapInArrow(run, "key long, sample int, ids array<int>, log_prob double, log_inclusion double, exact boolean")

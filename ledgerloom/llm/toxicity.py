@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stored, table
+from ledgerloom.llm.common import give_back, stored, table
 
 LABELLED, WORDS, LEAST_G = 20_000, 200, 25.0
 #: Lengths, in bytes, of the beginnings of words in the learned lexicon; distinct words that a task remembers.
@@ -116,8 +116,9 @@ def feature_column(text: Column, learned: dict[str, float]) -> Column:
     @F.arrow_udf("array<double>")
     def f(texts: pa.Array) -> pa.Array:  # one text at a time leaves Arrow's memory
         one = Features(learned)
-        pa.default_memory_pool().release_unused()  # the process lives on beside other stages
-        return pa.array([one(t.as_py()) for t in texts], pa.list_(pa.float64()))
+        out = pa.array([one(t.as_py()) for t in texts], pa.list_(pa.float64()))
+        give_back()
+        return out
 
     return f(text)
 
@@ -129,7 +130,9 @@ def held_out(key: Column) -> Column:
 def mark_column(text: Column) -> Column:
     @F.arrow_udf("array<string>")
     def f(texts: pa.Array) -> pa.Array:
-        return pa.array([[m.hex() for m in marks_of(words_of(t.as_py()))] for t in texts], pa.list_(pa.string()))
+        out = pa.array([[m.hex() for m in marks_of(words_of(t.as_py()))] for t in texts], pa.list_(pa.string()))
+        give_back()
+        return out
 
     return f(text)
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_operators import docs_of
 
-from ledgerloom.llm import line_dedup, mixing, stages
+from ledgerloom.llm import line_dedup, mixing, pieces, stages
 
 
 def least_of_classes(texts, width=5, num=80) -> set[int]:
@@ -149,3 +151,32 @@ def test_sets_of_slices_are_those_of_the_whole_column():
     texts = pa.array([None if i % 50 == 0 else " ".join(rng.choice(["a", "é", "word", "日本"]) for _ in range(rng.randrange(12))) for i in range(2500)])
     whole = [x.tolist() for x in shingle_sets(texts, 5)]
     assert [x.tolist() for i in range(0, len(texts), 1000) for x in shingle_sets(texts.slice(i, 1000), 5)] == whole
+
+
+def test_an_encoder_gives_its_memory_back(spark):
+    """What a Python process holds after a task is missing to the stages that run beside it later."""
+    words = random.Random(5)
+    texts = [" ".join(f"{words.getrandbits(40):x}" for _ in range(150)) for _ in range(6000)]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": texts})
+    del texts
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+        def withColumnRenamed(self, *_):  # noqa: N802
+            return self
+
+    def held() -> float:
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1e3
+
+    run = pieces.segmentations(Rows(), states=400_000, chars_at_once=300_000, keep=False).run
+    assert sum(b.num_rows for b in run([batch.slice(0, 10)])) == 20  # the vocabulary is loaded
+    before = held()
+    assert sum(b.num_rows for b in run([batch])) == 12_000
+    assert held() - before < 40
