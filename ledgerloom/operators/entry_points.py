@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +39,12 @@ def list_decisions(decisions: DataFrame, status: str | None = None, grp: str | N
 
 
 def decision_detail(s: m.Snapshot, wanted: DataFrame) -> DataFrame:
-    """Decisions of wanted(decision) with the nodes that they rest on, computed for their groups only."""
+    """Decisions of wanted(decision) with the nodes that they rest on. A receivable's decision rests on no other receivable, so
+    only the wanted ones are decided again, and only their edges are followed."""
     room = Room(wanted.sparkSession)
-    groups = s.receivables.join(wanted.select(F.col("decision").alias("id")), "id", "left_semi").select("grp").distinct()
-    found, edges = m.decide(s.of(room.cut(groups)), room)
-    found = room.cut(found.join(wanted, "decision", "left_semi"))
+    own = room.cut(s.receivables.join(wanted.select(F.col("decision").alias("id")), "id", "left_semi"))
+    found, edges = m.decide(replace(s, receivables=own), room)
+    found, edges = room.cut(found), room.cut(edges)
     nodes = upstream(edges.select("src", "dst"), found.select(F.concat(F.lit("dec:"), "decision")))
     rest = nodes.filter(~F.col("node").startswith("comp:")).groupBy(F.expr("substring(target, 5)").alias("decision")).agg(F.array_join(F.array_sort(F.collect_list("node")), " ").alias("evidence"))
     return found.join(rest, "decision", "left").select("decision", "grp", "status", "due", "paid", "open", "delay_days", "interest", "evidence")

@@ -192,3 +192,17 @@ def test_a_change_of_a_record_that_is_gone_asks_for_its_group(spark, tmp_path):
     for name, sql in rows.items():
         con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
     assert assert_same(m.q_equality(spark, str(tmp_path)), connect(str(tmp_path)), registry.ORACLE_SQL["g16_recompute_equality"]) == m.STEPS
+
+
+def test_detail_follows_only_what_the_wanted_decisions_rest_on(spark, monkeypatch):
+    from ledgerloom.operators import entry_points as e
+
+    day = dt.date(2025, 1, 1)
+    r = [(f"I{n}", "a", f"D{n // 8}", 100 + n, day, f"ORD{n}") for n in range(40)] + [("I99", None, None, 5, None, "")]
+    p = [(f"P{n}", "a", 50, day, f"ORD{n}") for n in range(40)]
+    s = m.Snapshot(spark.createDataFrame(r, m.RECEIVABLES), spark.createDataFrame(p, m.PAYMENTS), spark.createDataFrame([("A1", "a", None, None, 30)], m.AGREEMENTS))
+    followed, closure = [], e.upstream
+    monkeypatch.setattr(e, "upstream", lambda edges, targets: followed.append(edges.count()) or closure(edges, targets))
+    found = {x.decision: (x.status, x.paid, x.evidence) for x in e.decision_detail(s, spark.createDataFrame([("I3",), ("I99",), ("I500",)], "decision string")).collect()}
+    assert found == {"I3": ("PARTIAL", 50, "agreement:A1 document:D0 payment:P3 receivable:I3"), "I99": ("INSUFFICIENT", 0, "receivable:I99")}
+    assert followed == [7]
