@@ -17,9 +17,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,10 +69,29 @@ def cut_line(line: str, inside: bool, delimiter: str) -> tuple[list[tuple[int, i
         record += found.group() == "\r"
 
 
+@lru_cache
+def _patterns(delimiter: str) -> tuple:
+    """For lines of one record: all of them is closed fields, as many closed fields as there are, one of those, the end of an open field."""
+    d = re.escape(delimiter)
+    field = f'(?:"(?:[^"]++|"")*+"[^{d}]*+|(?!")[^{d}]*+)'
+    return re.compile(rf"{field}(?:{d}{field})*+\Z").match, re.compile(f"(?:{field}{d})*+").match, re.compile(f"{field}{d}").findall, re.compile(rf'(?:[^"]++|"")*+"[^{d}]*+').match
+
+
 def line_map(line: str, inside: bool, delimiter: str) -> tuple[bool, int, bool, int]:
     """(inside, records that end here, whether one does, fields closed since the last one or since the line's beginning)."""
     if '"' not in line:
         return (True, 0, False, 0) if inside else (False, 1 + line.count("\r", 0, max(len(line) - 1, 0)), True, 0)
+    if "\r" not in line:
+        whole, upto, closed, close = _patterns(delimiter)
+        at = 0
+        if inside:
+            found = close(line)
+            if found is None:
+                return True, 0, False, 0
+            at = found.end() + 1
+        if at > len(line) or whole(line, at):
+            return False, 1, True, 0
+        return True, 0, False, inside + len(closed(line, at, upto(line, at).end()))
     fields, after = cut_line(line, inside, delimiter)
     last = fields[-1][0]
     if not after:
@@ -107,10 +128,9 @@ def _scan(text: DataFrame, delimiters: dict) -> DataFrame:
 
     def run(batches):
         at = None  # file, block, delimiter, number, bytes, characters in either encoding, validity, NUL, states
-        names = ("inside", "records", "breaks", "known", "col")
 
         def row(raw):
-            return (*at[:2], at[3] if raw is not None else -1, raw, *at[4:10], *[dict(zip(names, s, strict=True)) for s in at[10:]])
+            return (*at[:2], at[3] if raw is not None else -1, raw, *at[4:])
 
         for batch in batches:
             out = []
@@ -134,8 +154,16 @@ def _scan(text: DataFrame, delimiters: dict) -> DataFrame:
 
 
 def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of tuples; structs are tuples as well."""
     columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def array(c, kind):
+        if not pa.types.is_struct(kind):
+            return pa.array(c, kind)
+        parts = list(zip(*c, strict=True)) or [()] * kind.num_fields
+        return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, kind, strict=True)], fields=list(kind))
+
+    return pa.RecordBatch.from_arrays([array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 BEGIN = "file string, block long, inside boolean, records long, breaks long, col long, chars long, encoding string"
@@ -168,6 +196,8 @@ def heads(text: DataFrame, size: int = HEAD) -> DataFrame:
     def run(batches):
         file, left = None, 0
         for batch in batches:
+            if file is not None and left <= 0 and pc.all(pc.equal(batch.column(0), file)).as_py():
+                continue  # more of a file whose beginning is known
             out = []
             for f, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if f != file:
@@ -225,7 +255,7 @@ def _cells(lines: DataFrame, delimiters: dict) -> DataFrame:
             for file, raw, encoding, inside, records, breaks, col, chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 line = raw.decode(encoding)
                 fields, _ = cut_line(line, inside, delimiters[file])
-                sizes = Counter(f[0] for f in fields)
+                sizes = Counter(f[0] for f in fields) if fields[-1][0] else (len(fields),)
                 record, column = 0, col
                 for k, start, end, began, ended, quoted in fields:
                     record, column = k, column + 1 if k == record else 1

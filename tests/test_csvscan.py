@@ -139,3 +139,21 @@ def test_broken_oversized_and_unknown_files_come_back_as_rows(spark, tmp_path):
         "big.csv": ("rejected", "size"), "rows.csv": ("rejected", "rows"), "cols.csv": ("rejected", "cols"), "none.csv": ("empty", None),
     }
     assert {c[0] for c in cells} == {"good.csv"} and files["cols.csv"].message == "row 2: too many columns"
+
+
+def test_lines_of_closed_fields_give_the_same_map_without_a_cut(monkeypatch):
+    """Lines of one record are mapped by patterns: what was cut field by field, under both assumptions, before."""
+    rnd, cut, cuts = random.Random(3), csvscan.cut_line, []
+
+    def by_fields(line, inside, d):
+        fields, after = cut(line, inside, d)
+        last = fields[-1][0]
+        return (True, last, last > 0, sum(f[0] == last for f in fields) - 1) if after else (False, last + 1, True, 0)
+
+    lines = [("".join(rnd.choice(['"', '""', ",", ";", "a", " ", "b" if n % 8 else "\r"]) for _ in range(rnd.randint(1, 14))), rnd.choice(",;")) for n in range(8000)]
+    monkeypatch.setattr(csvscan, "cut_line", lambda *a: cuts.append(a) or cut(*a))
+    for line, d in lines:
+        if '"' in line:
+            for inside in (False, True):
+                assert csvscan.line_map(line, inside, d) == by_fields(line, inside, d), (line, d)
+    assert cuts and all("\r" in a[0] for a in cuts)
