@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +43,9 @@ def row_kinds(cells: DataFrame, heads: DataFrame) -> DataFrame:
     names = x.filter("row = head").select("doc", "col", F.col("text").alias("name"))
     n = names.groupBy("doc").agg(F.count("*").alias("n"))
     below = x.filter("row > head").join(names, ["doc", "col"], "left")
-    total = normalize_header(F.col("text")).isin(*TOTALS)
+    low = F.lower("text")
+    may = reduce(or_, [reduce(and_, [low.contains(c) for c in dict.fromkeys(w)]) for w in TOTALS])  # spares most texts the patterns
+    total = may & normalize_header(F.col("text")).isin(*TOTALS)
     ordered = F.slice(F.array_sort(F.collect_list(F.struct("col", total.alias("t")))), 1, FIRST)  # one row's cells, bounded by the columns
     rows = below.groupBy("doc", "row").agg(F.exists(ordered, lambda c: c["t"]).alias("total"), F.count_if(F.col("text") == F.col("name")).alias("same")).join(F.broadcast(n), "doc")
     kind = F.when(F.col("total"), "total").when(F.col("same") >= F.greatest(F.lit(2), F.col("n") / 2), "header").otherwise("data")
