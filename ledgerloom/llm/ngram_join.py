@@ -290,20 +290,25 @@ def open_blocks(tokens: DataFrame, nodes: DataFrame, num: int, den: int, scratch
     with, by tokens(token, node, family), where family is the nodes' side: only blocks of other sides count.
 
     Of a node's ``size`` tokens at most may_miss are missing in a partner of at least its rank."""
-    spread = scratch.stored(tokens.join(_spanning(tokens), "token").select("token", "node"))
-    held = spread.groupBy("node").agg(F.count("*").alias("c"))
-    state = scratch.stored(nodes.join(held, "node", "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("own", F.col("size") - F.col("c")))
+    held = tokens.join(small(nodes.select("node", "block")), "node")
+    rare = held.groupBy("token", "block").agg(F.first("family").alias("family")).groupBy("token")
+    rare = rare.agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.count("*").alias("groups")).filter("lo <> hi").select("token", "groups")
+    spread = scratch.stored(held.join(rare, "token").select("token", "node", "block", "groups"))
+    counts = spread.groupBy("node").agg(F.count("*").alias("c"))
+    state = nodes.join(counts, "node", "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("own", F.col("size") - F.col("c"))
+    # tokens that only one of two linked nodes has are at most n * (den - num) / num
+    state = scratch.stored(state.filter(F.col("own") * num <= F.col("n") * (den - num)))
     bounds = state.groupBy("block").agg(
-        F.first("family").alias("family_"), F.first("side").alias("side_"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("least"), F.max("rank").alias("top"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi")
+        F.first("family").alias("family_"), F.first("side").alias("side_"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("own").alias("least"),
+        F.max("rank").alias("top"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.min("size").alias("size_lo"),
     )
     bounds = scratch.cut(bounds)
-    matrix = scratch.stored(spread.join(small(state.select("node", "block")), "node").select("token", "block").distinct())
-    rare = matrix.groupBy("token").agg(F.count("*").alias("groups"))
+    matrix = spread.join(small(state.select("node")), "node", "left_semi").select("token", "block").distinct()
     spare = F.col("may_miss") - F.col("own")
     order = F.row_number().over(W.partitionBy("node").orderBy("groups", "token"))
     asked = (
-        spread.join(small(state.filter(spare >= 0)), "node").join(rare, "token").withColumn("r", order).filter(F.col("r") <= spare + MORE)
-        .select("token", "node", "n", "rank", "own", "c", "family", "side", (F.least("c", spare + MORE) - spare).alias("need"))
+        spread.drop("block").join(small(state.filter(spare >= 0)), "node").withColumn("r", order).filter(F.col("r") <= spare + MORE)
+        .select("token", "node", "n", "rank", "size", "own", "c", "family", "side", F.least("c", spare + MORE).alias("sent"), (F.least("c", spare + MORE) - spare).alias("need"))
     )
     groups = matrix.join(small(bounds), "block").withColumnRenamed("token", "held")
     most = F.floor((F.col("n") + F.least("hi", F.col("n") * den / num)) * (den - num) / (den + num) + 1e-6)
@@ -312,7 +317,10 @@ def open_blocks(tokens: DataFrame, nodes: DataFrame, num: int, den: int, scratch
     # tokens that only one of the two has: those that no other family has, and by how much the numbers of the others differ
     apart = F.col("own") + F.col("least") + F.greatest(F.lit(0), F.col("c") - F.col("c_hi"), F.col("c_lo") - F.col("c"))
     met = asked.join(groups, (F.col("token") == F.col("held")) & others & sizes & (apart <= most))
-    return scratch.cut(met.groupBy("node", "block", "need").agg(F.count("*").alias("met")).filter("met >= need").select("node", "block"))
+    # of the tokens sent, all but those that the node may miss in the block: both have at least (size + size_lo - most) / 2
+    here = F.col("sent") - F.col("c") + F.ceil((F.col("size") + F.col("size_lo") - most) / 2)
+    met = met.groupBy("node", "block", F.greatest("need", here).alias("need")).agg(F.count("*").alias("met"))
+    return scratch.cut(met.filter("met >= need").select("node", "block"))
 
 
 def compare(sets: DataFrame, pairs: DataFrame, placed: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:

@@ -404,6 +404,25 @@ def test_a_large_cluster_and_a_passage_in_every_document(spark):
     assert all(r["component_id"] == r["doc_id"] for r in rows if r["doc_id"] >= 2000) and len(rows) == 2500
 
 
+def test_few_blocks_are_opened_in_a_group_of_near_copies(spark):
+    """300 copies of one text that mostly don't link: no link is lost, and under a quarter of all pairs are opened."""
+    rng, num, den = random.Random(38), 80, 100
+    sets, rows, tokens = {}, [], []
+    for i in range(300):
+        edits = [(p, rng.randrange(2)) for p in rng.sample(range(12), rng.randrange(3, 6))]
+        lost, more = [5 * p + k for p, _ in edits for k in range(5)], [1000 + 50 * p + 5 * v + k for p, v in edits for k in range(5)]
+        sets[i] = set(range(130)) - set(lost) | set(more)
+        n, d = len(sets[i]), len(lost) + len(more)
+        shared = max(1, -((int(n * (den - num) / num + 1e-6) - 2 * d) // 2))
+        rows.append((i, n, d, d, d - shared, i, i, i))
+        tokens += [(t, i, i) for t in lost + more]
+    nodes = spark.createDataFrame(rows, "node long, n long, size long, rank long, may_miss long, family long, side long, block long")
+    opened = ngram_join.open_blocks(spark.createDataFrame(tokens, "token long, node long, family long"), nodes, num, den, ngram_join.Scratch(spark))
+    opened = {(min(r), max(r)) for r in opened.collect()}
+    links = {(i, j) for i in range(300) for j in range(i + 1, 300) if den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])}
+    assert len(links) > 100 and links <= opened and 4 * len(opened) <= 300 * 299 / 2
+
+
 def test_classes_of_rows_without_and_with_repeated_ids(spark):
     long = " ".join(f"a{i}" for i in range(60))
     rows = [(None, long), (None, long + " b"), (None, "x y z"), (3, long + " c"), (3, "p q r s t u"), (4, "p q r s t u"), (4, "p q r s t u"), (None, None)]
