@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ledgerloom.operators import rules
-from ledgerloom.operators.incremental import scope_hash
 from ledgerloom.plans import ledger as v
-from ledgerloom.plans.graph import Room, dependents, upstream
+from ledgerloom.plans.graph import Room
 from ledgerloom.registry import query
 from ledgerloom.sources.files import scratch
 from ledgerloom.sources.store import Batches
@@ -47,14 +46,15 @@ class Snapshot:
     agreements: DataFrame
     rate_milli: int = 155
     as_of: str = v.AS_OF
+    stored: bool = False
 
     def of(self, groups: DataFrame) -> Snapshot:
         """The rows of groups(grp)."""
-        return replace(self, **{n: getattr(self, n).join(groups, "grp", "left_semi") for n in ("receivables", "payments", "agreements")})
+        return replace(self, stored=False, **{n: getattr(self, n).join(groups, "grp", "left_semi") for n in ("receivables", "payments", "agreements")})
 
     def written(self, room: Room) -> Snapshot:
-        """The same rows, computed once."""
-        return replace(self, **{n: room.cut(getattr(self, n)) for n in ("receivables", "payments", "agreements")})
+        """The same rows, computed once; those that are written already are left."""
+        return self if self.stored else replace(self, stored=True, **{n: room.cut(getattr(self, n)) for n in ("receivables", "payments", "agreements")})
 
     def config(self) -> str:
         return f"{self.rate_milli}|{self.as_of}"
@@ -77,12 +77,11 @@ def terms(s: Snapshot) -> DataFrame:
     return s.receivables.select("grp", F.col("id").alias("rid"), "issued").join(a, "grp").filter(F.col("issued").isNull() | inside).select("grp", "rid", "aid", "term_days")
 
 
-def decide(s: Snapshot, room: Room) -> tuple[DataFrame, DataFrame]:
-    """(decisions, edges(grp, src, dst)) of a snapshot, group by group.
+def decided(s: Snapshot, legs: DataFrame, agreed: DataFrame) -> DataFrame:
+    """DECISIONS of a snapshot with its allocations and terms, group by group.
 
     Each allocation is a tranche with interest from the due date to its day, what is left open one to ``as_of``. Agreements with
     different terms are a CONFLICT, a receivable without a date is INSUFFICIENT; neither has a due date."""
-    legs, agreed = room.cut(allocations(s)), room.cut(terms(s))
     term = agreed.groupBy(F.col("rid").alias("id")).agg(F.count_distinct("term_days").alias("n_terms"), F.min("term_days").alias("term"), F.sum(F.xxhash64("aid", "term_days").cast("decimal(38,0)")).alias("a_hash"))
     x = s.receivables.join(term, "id", "left").withColumn("conflict", F.coalesce(F.col("n_terms") > 1, F.lit(False)))
     x = x.withColumn("due", F.when(~F.col("conflict"), F.date_add("issued", F.coalesce("term", F.lit(TERM)))))
@@ -99,29 +98,52 @@ def decide(s: Snapshot, room: Room) -> tuple[DataFrame, DataFrame]:
     total = F.when(F.col("due").isNotNull(), F.coalesce("leg_interest", F.lit(0)) + cost("open", rest))
     status = F.when(F.col("conflict"), "CONFLICT").when(F.col("issued").isNull(), "INSUFFICIENT").when(F.col("open") <= 0, "MATCHED").when(F.col("paid") > 0, "PARTIAL").otherwise("UNMATCHED")
     seen = F.sha2(F.concat_ws("|", "id", "amount", F.coalesce(F.col("issued").cast("string"), F.lit("-")), F.coalesce(F.col("a_hash").cast("string"), F.lit("-")), F.coalesce(F.col("p_hash").cast("string"), F.lit("-")), F.lit(s.config())), 256)
-    decisions = x.select("grp", F.col("id").alias("decision"), status.alias("status"), "due", "paid", "open", delay.cast("int").alias("delay_days"), total.cast("long").alias("interest"), seen.alias("inputs"))
-    name = lambda kind, col: F.concat(F.lit(f"{kind}:"), F.col(col))
-    edge = lambda df, a, b: df.select("grp", a.alias("src"), b.alias("dst"))
-    edges = (
+    return x.select("grp", F.col("id").alias("decision"), status.alias("status"), "due", "paid", "open", delay.cast("int").alias("delay_days"), total.cast("long").alias("interest"), seen.alias("inputs"))
+
+
+def _name(kind: str, col: str):
+    return F.concat(F.lit(f"{kind}:"), F.col(col))
+
+
+def _edges(s: Snapshot, legs: DataFrame, agreed: DataFrame) -> DataFrame:
+    """(grp, src, dst): documents lead to receivables, these, payments and agreements to computations, and those to decisions."""
+    name, edge = _name, lambda df, a, b: df.select("grp", a.alias("src"), b.alias("dst"))
+    return (
         edge(s.receivables.filter("document IS NOT NULL"), name("document", "document"), name("receivable", "id"))
         .unionByName(edge(s.receivables, name("receivable", "id"), name("comp", "id"))).unionByName(edge(s.receivables, name("comp", "id"), name("dec", "id")))
         .unionByName(edge(legs, name("payment", "pid"), name("comp", "rid"))).unionByName(edge(agreed, name("agreement", "aid"), name("comp", "rid")))
     )
-    return decisions, edges
+
+
+def rests(s: Snapshot, legs: DataFrame, agreed: DataFrame) -> DataFrame:
+    """(grp, target, node) of each decision: the closure of its edges. No walk has more than three steps, and each node's place is
+    known, so it takes no rounds: a receivable's decision rests on its own computation, record and document, and its legs and terms."""
+    own = s.receivables.select("grp", "id", F.explode(F.array_compact(F.array(_name("comp", "id"), _name("receivable", "id"), _name("document", "document")))).alias("node"))
+    own = own.unionByName(legs.select("grp", F.col("rid").alias("id"), _name("payment", "pid").alias("node"))).unionByName(agreed.select("grp", F.col("rid").alias("id"), _name("agreement", "aid").alias("node")))
+    return own.select("grp", _name("dec", "id").alias("target"), "node")
+
+
+def decide(s: Snapshot, room: Room) -> tuple[DataFrame, DataFrame]:
+    """(decisions, edges(grp, src, dst)) of a snapshot, with what both need computed once."""
+    legs, agreed = room.cut(allocations(s)), room.cut(terms(s))
+    return decided(s, legs, agreed), _edges(s, legs, agreed)
 
 
 def scopes(s: Snapshot) -> DataFrame:
-    """(grp, scope): what each group's rows and the settings look like; in no order, so nothing is gathered or sorted."""
-    parts = [
-        scope_hash(s.receivables, "grp", "id", "document", "amount", "issued", "reference"), scope_hash(s.payments, "grp", "id", "amount", "day", "reference"),
-        scope_hash(s.agreements, "grp", "id", "valid_from", "valid_to", "term_days"),
-    ]
+    """(grp, scope): what each group's rows and the settings look like; in no order, so nothing is gathered or sorted.
+
+    Two 64-bit hashes of each row (nulls marked, the table named) are added up by halves, which no number of rows overflows; all
+    three tables go through one grouping."""
     rows = None
-    for i, part in enumerate(parts):
-        one = part.select("grp", F.lit(i).alias("i"), F.concat_ws(":", F.lit(i), "n", "hash").alias("h"))
+    for i, (part, columns) in enumerate(((s.receivables, ("id", "document", "amount", "issued", "reference")), (s.payments, ("id", "amount", "day", "reference")), (s.agreements, ("id", "valid_from", "valid_to", "term_days")))):
+        marked = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+        one = part.select("grp", F.lit(i).alias("i"), *[F.xxhash64(F.lit(i * 2 + k), *marked).alias(f"h{k}") for k in range(2)])
         rows = one if rows is None else rows.unionByName(one)
-    x = rows.groupBy("grp").agg(*[F.max(F.when(F.col("i") == i, F.col("h"))).alias(f"h{i}") for i in range(3)])
-    return x.filter("h0 IS NOT NULL").select("grp", F.concat_ws("/", "h0", "h1", "h2", F.lit(s.config())).alias("scope"))  # a group is one that has receivables
+    low, high = lambda k: F.col(f"h{k}").bitwiseAND(F.lit(0xFFFFFFFF)), lambda k: F.shiftrightunsigned(f"h{k}", 32)
+    counts = [F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(3)]
+    x = rows.groupBy("grp").agg(*counts, *[F.sum(half(k)).alias(f"{name}{k}") for k in range(2) for name, half in (("low", low), ("high", high))])
+    x = x.filter("n0 > 0")  # a group is one that has receivables
+    return x.select("grp", F.concat_ws("/", *x.columns[1:], F.lit(s.config())).alias("scope"))
 
 
 class Maintained:
@@ -135,35 +157,42 @@ class Maintained:
 
     def plan(self, changes: DataFrame, s: Snapshot, room: Room) -> tuple[DataFrame, DataFrame, bool]:
         """(affected(grp, reason), new scopes(grp, scope), whether all groups are asked for)."""
-        fresh, old, index = room.cut(scopes(s)), self.scopes.read(), self.index.read()
-        have = self.decisions.read().select("grp", F.concat(F.lit("dec:"), "decision").alias("target"))
-        unknown = changes.filter(~F.coalesce(F.col("entity").isin(*TRACKED), F.lit(False))).limit(1)
-        bare = have.join(index.select("target").distinct(), "target", "left_anti").limit(1)
-        full = not (unknown.isEmpty() and bare.isEmpty())
+        fresh, changes = room.cut(scopes(s)), room.cut(changes)
+        unknown = changes.filter(~F.coalesce(F.col("entity").isin(*TRACKED), F.lit(False))).select(F.lit(1))
+        if self.empty():
+            return fresh.select("grp", F.lit("new").alias("reason")), fresh, not unknown.isEmpty()
+        old, index = self.scopes.read(), self.index.read()
+        have = self.decisions.read().select("grp", _name("dec", "decision").alias("target"))
+        own = index.filter(F.col("node") == F.concat(F.lit("comp:"), F.expr("substring(target, 5)"))).select("target")  # one row a decision
+        bare = have.join(own, "target", "left_anti").select(F.lit(1))
+        full = not unknown.unionAll(bare).limit(1).isEmpty()
         gone_or_other = fresh.withColumnRenamed("scope", "b").join(old.withColumnRenamed("scope", "a"), "grp", "full_outer")
         moved = gone_or_other.filter("NOT a <=> b").select("grp", F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "gone").otherwise("scope").alias("reason"))
         if full:
-            return room.cut(moved.unionByName(fresh.select("grp", F.lit("all").alias("reason")))), fresh, True
+            return moved.unionByName(fresh.select("grp", F.lit("all").alias("reason"))), fresh, True
         if "grp" in changes.columns:
             moved = moved.unionByName(changes.select("grp", F.lit("feed").alias("reason")).join(fresh, "grp", "left_semi"))
-        nodes = changes.select(F.concat_ws(":", "entity", "id").alias("node"))
-        direct = index.join(dependents(index.select("target", "node"), nodes), ["target", "node"], "left_semi").select("grp", F.lit("edge").alias("reason"))
-        return room.cut(moved.unionByName(direct).distinct()), fresh, False
+        nodes = changes.select(F.concat_ws(":", "entity", "id").alias("node")).distinct()
+        direct = index.join(nodes, "node", "left_semi").select("grp", F.lit("edge").alias("reason"))
+        return moved.unionByName(direct), fresh, False
+
+    def empty(self) -> bool:
+        """No batch has left anything yet, an unfinished one included."""
+        return not any(base or parts for base, parts in (x.batches() for x in (self.decisions, self.index, self.scopes)))
 
     def apply(self, batch: int, changes: DataFrame, s: Snapshot) -> dict:
         """Bring the stores to snapshot s; changes are what a feed says. Counts of groups and decisions, and whether it was all."""
         room = Room(self.spark)
-        s = s.written(room)
+        s, first = s.written(room), self.empty()
         affected, fresh, full = self.plan(changes, s, room)
         groups = room.cut(affected.select("grp").distinct())
-        found, edges = decide(s.of(groups).written(room), room)
-        found, edges = room.cut(found), room.cut(edges)
-        closure = upstream(edges.select("src", "dst"), found.select(F.concat(F.lit("dec:"), "decision")))
-        owner = found.select("grp", F.concat(F.lit("dec:"), "decision").alias("target"))
-        self.index.commit(batch, closure.join(owner, "target"), groups)
-        self.decisions.commit(batch, found, groups)
+        s = replace(s, receivables=s.receivables.filter("grp IS NOT NULL")) if first else s.of(groups)  # the first batch has all groups
+        s = s if first else replace(s, receivables=room.cut(s.receivables))
+        legs, agreed = room.cut(allocations(s)), room.cut(terms(s))
+        self.index.commit(batch, rests(s, legs, agreed), groups)
+        self.decisions.commit(batch, decided(s, legs, agreed), groups)
         self.scopes.commit(batch, fresh.join(groups, "grp", "left_semi"), groups)  # last: an unfinished batch is planned again
-        out = {"groups": groups.count(), "recomputed": found.count(), "full": full}
+        out = {"groups": groups.count(), "recomputed": s.receivables.count(), "full": full}  # one decision a receivable
         room.close()
         return out | {"decisions": self.decisions.read().count()}
 
@@ -172,9 +201,15 @@ class Maintained:
             store.compact()
 
 
-def snapshot(spark, d, step: int = 0) -> Snapshot:
-    """The ledger after ``step`` batches: amounts changed, receivables gone, payments added, terms moved, each by residues of keys."""
-    i, p, a = v.invoices(spark, d), v.payments(spark, d), v.agreements(spark, d)
+def ledger(spark, d, room: Room) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Invoices, payments and agreements, joined and written once."""
+    return room.cut(v.invoices(spark, d)), room.cut(v.payments(spark, d)), room.cut(v.agreements(spark, d))
+
+
+def snapshot(spark, d, step: int = 0, known: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> Snapshot:
+    """The ledger after ``step`` batches: amounts changed, receivables gone, payments added, terms moved, each by residues of keys.
+    Where the ledger is written already (known), a snapshot of it takes no joins and isn't written again."""
+    i, p, a = known or (v.invoices(spark, d), v.payments(spark, d), v.agreements(spark, d))
     hit = lambda col, m: (F.expr(col) % m).between(1, step)
     r = i.filter(~hit("orderkey", 991)).select(
         "id", F.col("counterparty").alias("grp"), F.concat(F.lit("D"), F.expr("orderkey div 8")).alias("document"),
@@ -184,7 +219,7 @@ def snapshot(spark, d, step: int = 0) -> Snapshot:
     more = p.filter(hit("orderkey", 97) & (F.col("amount") > 0)).select(F.concat(F.lit("N"), "id").alias("id"), "grp", F.expr("amount div 3").alias("amount"), F.date_add("day", 30).alias("day"), F.concat(F.lit("ORD"), "orderkey").alias("reference"))
     c = F.regexp_extract("id", "A([0-9]+)-", 1).cast("long")
     a = a.withColumn("c", c).select("id", F.col("counterparty").alias("grp"), "valid_from", "valid_to", (F.col("term_days") + F.when(hit("c", 89), 15).otherwise(0)).cast("int").alias("term_days"))
-    return Snapshot(r, p.drop("orderkey").unionByName(more), a)
+    return Snapshot(r, p.drop("orderkey").unionByName(more), a, stored=known is not None)
 
 
 def feed(spark, d, step: int) -> DataFrame:
@@ -224,16 +259,19 @@ VIEWS = ("invoice", "payment", "agreement")
 @query("f19_f21_maintained_decisions", v.with_views(*VIEWS, snapshot_sql(STEPS)) + "SELECT * FROM dec")
 def q_maintained(spark, d):
     """Decisions after three batches, each recomputing what it touched; the SQL recomputes everything."""
-    kept = Maintained(spark)
+    kept, room = Maintained(spark), Room(spark)
+    known = ledger(spark, d, room)
     for step in range(STEPS + 1):
-        kept.apply(step + 1, feed(spark, d, step) if step else feed(spark, d, 1).limit(0), snapshot(spark, d, step))
+        kept.apply(step + 1, feed(spark, d, step) if step else feed(spark, d, 1).limit(0), snapshot(spark, d, step, known))
     kept.compact()
+    room.close()
     return kept.decisions.read().drop("inputs")
 
 
 def differing(a: DataFrame, b: DataFrame) -> int:
-    """Rows that are in one of two tables only, repeats counted."""
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).count()
+    """Rows that are in one of two tables only, repeats counted: each is counted up in one and down in the other, in one pass."""
+    x = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1))).groupBy(*a.columns).agg(F.abs(F.sum("_n")).alias("_n"))
+    return x.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long")).first()[0]
 
 
 def _touched(step: int) -> str:
@@ -248,11 +286,12 @@ def _touched(step: int) -> str:
 ))
 def q_equality(spark, d):
     """After each batch: decisions, how many of them were computed anew, and rows that differ from a full computation."""
-    kept, rows = Maintained(spark), []
-    kept.apply(1, feed(spark, d, 1).limit(0), snapshot(spark, d, 0))
+    kept, room, rows = Maintained(spark), Room(spark), []
+    known = ledger(spark, d, room)
+    kept.apply(1, feed(spark, d, 1).limit(0), snapshot(spark, d, 0, known))
     for step in range(1, STEPS + 1):
-        now, room = snapshot(spark, d, step), Room(spark)
+        now = snapshot(spark, d, step, known)
         did = kept.apply(step + 1, feed(spark, d, step), now)
-        rows.append((step, did["decisions"], did["recomputed"], differing(kept.decisions.read(), decide(now, room)[0]), did["full"]))
-        room.close()
+        rows.append((step, did["decisions"], did["recomputed"], differing(kept.decisions.read(), decided(now, allocations(now), terms(now))), did["full"]))
+    room.close()
     return spark.createDataFrame(rows, "step int, decisions long, recomputed long, differing long, full boolean")

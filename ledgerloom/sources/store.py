@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +43,11 @@ class Batches:
 
     def _of(self, kind: str, batches: list[int], schema: str) -> DataFrame:
         """The batches' rows with their number; batch folders hold nothing but committed files."""
-        out = self.spark.createDataFrame([], schema).withColumn("_batch", F.lit(0))
-        if batches:
-            paths = [f"{self.path}/{kind}/{b:09d}" for b in batches]
-            at = F.regexp_extract(F.col("_metadata.file_path"), f"/{kind}/([0-9]{{9}})/", 1).cast("int")
-            out = self.spark.read.schema(schema).parquet(*paths).withColumn("_batch", at)
-        return out
+        if not batches:
+            return self.spark.createDataFrame([], schema).withColumn("_batch", F.lit(0))
+        paths = [f"{self.path}/{kind}/{b:09d}" for b in batches]
+        at = F.regexp_extract(F.col("_metadata.file_path"), f"/{kind}/([0-9]{{9}})/", 1).cast("int")
+        return self.spark.read.schema(schema).parquet(*paths).withColumn("_batch", at)
 
     def read(self, as_of: int | None = None) -> DataFrame:
         """The rows after the last batch, or after batch ``as_of`` (one that is not before the last compacted one)."""
@@ -55,12 +56,14 @@ class Batches:
             if as_of < base:
                 raise ValueError(f"batch {as_of} was compacted into {base}")
             parts = [b for b in parts if b <= as_of]
-        old = self._of("all", [base] if base else [], self.schema).drop("_batch")
-        if not parts:
-            return old
-        last = self._of("keys", parts, self.key_schema).groupBy(self.key).agg(F.max("_batch").alias("_batch"))
-        new = self._of("rows", parts, self.schema).join(last, [self.key, "_batch"], "left_semi").drop("_batch")
-        return old.join(last, self.key, "left_anti").unionByName(new) if base else new
+        known = ([("all", base)] if base else []) + [("rows", b) for b in parts]
+        if not known:
+            return self._of("rows", [], self.schema).drop("_batch")
+        rows = reduce(DataFrame.unionByName, [self._of(kind, [b], self.schema).withColumn("_batch", F.lit(b)) for kind, b in known]).filter(F.col(self.key).isNotNull())
+        if len(known) > 1:  # what no later batch has named; their keys are few beside the rows of the first
+            last = self._of("keys", [b for _, b in known[1:]], self.key_schema).groupBy(F.col(self.key).alias("_key")).agg(F.max("_batch").alias("_last"))
+            rows = rows.join(last, (F.col(self.key) == F.col("_key")) & (F.col("_batch") < F.col("_last")), "left_anti")
+        return rows.drop("_batch")
 
     def history(self) -> DataFrame:
         """Every committed row since the last compaction with the number of its batch."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import maintained
 from ledgerloom.plans import ledger as v
+from ledgerloom.plans.graph import Room
 from ledgerloom.registry import query
 from ledgerloom.sources.files import scratch
 
@@ -67,12 +68,14 @@ def maintain(changes: DataFrame, kept: maintained.Maintained, snapshot_at) -> No
 @query("k01_maintained_stream", v.with_views(*maintained.VIEWS, maintained.snapshot_sql(maintained.STEPS)) + "SELECT * FROM dec")
 def q_maintained(spark, d):
     """The change feed as a stream of one file a batch; the SQL computes the last state in full."""
-    path, kept, none = scratch(spark), maintained.Maintained(spark), maintained.feed(spark, d, 1).limit(0)
+    path, kept, none, room = scratch(spark), maintained.Maintained(spark), maintained.feed(spark, d, 1).limit(0), Room(spark)
+    known = maintained.ledger(spark, d, room)
     for step in range(1, maintained.STEPS + 1):
         maintained.feed(spark, d, step).coalesce(1).write.mode("append").parquet(path)
-    kept.apply(1, none, maintained.snapshot(spark, d))
+    kept.apply(1, none, maintained.snapshot(spark, d, 0, known))
     changes = spark.readStream.schema(none.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    maintain(changes, kept, lambda batch: maintained.snapshot(spark, d, batch + 1))
+    maintain(changes, kept, lambda batch: maintained.snapshot(spark, d, batch + 1, known))
+    room.close()
     return kept.decisions.read().drop("inputs")
 
 

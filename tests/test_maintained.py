@@ -7,6 +7,7 @@ import random
 
 import pytest
 from compare import assert_same, connect, spark_rows
+from pyspark.sql import functions as F
 
 from ledgerloom import registry
 from ledgerloom.operators import maintained as m
@@ -171,6 +172,36 @@ def test_decisions_after_each_of_many_changes_equal_a_full_computation(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_a_batch_writes_few_tables_and_its_index_is_the_closure(spark, monkeypatch):
+    world, kept, none, written, cut = World(spark, 8), m.Maintained(spark), spark.createDataFrame([], "entity string, id string"), [], Room.cut
+    monkeypatch.setattr(Room, "cut", lambda self, df: (written.append(df), cut(self, df))[1])
+    kept.apply(1, none, world.snapshot())
+    for _ in range(12):
+        world.change()
+    kept.apply(2, none, world.snapshot())
+    assert len(written) <= 20  # 43 before
+    monkeypatch.undo()
+    found, edges = m.decide(world.snapshot(), Room(spark))
+    closure = graph.upstream(edges.select("src", "dst"), found.select(F.concat(F.lit("dec:"), "decision")))
+    assert spark_rows(kept.index.read().select("target", "node").distinct()) == spark_rows(closure)
+
+
+def test_scopes_tell_values_from_their_place(spark):
+    """A day that moves from the beginning to the end, a repeated row, a row that changes its table: each is another scope."""
+    day = dt.date(2025, 1, 1)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema).coalesce(1)
+    r = [("x", "a", None, 5, None, "")]
+    states = [(r, [], [("x", "a", day, None, 1)]), (r, [], [("x", "a", None, day, 1)]), (r, [], [("x", "a", None, day, 1)] * 2), (r * 2, [], [("x", "a", None, day, 1)]), (r, [("x", "a", 1, day, "")], []), (r, [("x", "a", 1, None, "")], [])]
+    found = [m.scopes(m.Snapshot(frame(a, m.RECEIVABLES), frame(b, m.PAYMENTS), frame(c, m.AGREEMENTS))).collect() for a, b, c in states]
+    assert all(len(x) == 1 and x[0].grp == "a" for x in found) and len({x[0].scope for x in found}) == len(states)
+
+
+def test_rows_in_one_table_only_are_counted_with_repeats(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, x int")
+    a, b = rows(("a", 1), ("a", 1), ("b", None), ("c", 2)), rows(("a", 1), ("b", None), ("c", 3), ("d", 4), ("d", 4))
+    assert m.differing(a, b) == 5 and m.differing(a, a) == 0 and m.differing(a.limit(0), a.limit(0)) == 0
+
+
 def test_a_wrong_index_is_found_out(spark):
     """Without index rows a decision isn't tracked: the plan asks for all groups."""
     world, kept, room = World(spark, 5), m.Maintained(spark), Room(spark)
