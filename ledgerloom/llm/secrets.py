@@ -35,6 +35,7 @@ from ledgerloom.llm.common import stored, table
 #: Fixed patterns. Short hex and access runs can't hold a match of full length, so their minimum is in the pattern.
 ASSIGN = r"(?:(?i)password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
 ASSIGN_VALUE = r"(?s)^(?:(?i)password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ASSIGN_WORDS = ["password", "passwd", "secret", "token", "api_key", "apikey"]
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
@@ -74,11 +75,28 @@ def find(text: Column, pattern: str) -> Column:
     return F.transform(F.array(pairs), numbered)[0]
 
 
+def found(text: Column, pattern: str, may=None) -> Column:
+    """``find``, which reads a text twice, only where one of the words ``may`` is in the text, if given, and the pattern in it."""
+    there = text.rlike(pattern)
+    if may:
+        low = F.lower(text)
+        there = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in may]) & there
+    return F.when(there, find(text, pattern)).otherwise(F.array().cast("array<struct<start:long,end:long,hit:string>>"))
+
+
+def bound(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f has it: within lambdas Spark computes an expression anew at each place."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _tail(z: Column) -> Column:
     """P(normal > z) for z >= 0 by the polynomial of Abramowitz and Stegun, 26.2.17; never below 1e-300."""
-    t = 1 / (1 + 0.2316419 * z)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.greatest(F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly, F.lit(1e-300))
+
+    def at(z):
+        poly = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.greatest(F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * bound(1 / (1 + 0.2316419 * z), poly), F.lit(1e-300))
+
+    return bound(z, at)
 
 
 def _sum(values: Column, f=lambda x: x) -> Column:
@@ -87,48 +105,50 @@ def _sum(values: Column, f=lambda x: x) -> Column:
 
 def test_token(hit: Column, known: Column | None = None) -> Column:
     """struct<enc, cls, bin> of a token: encoding (the known one, or inferred), length class, bin of -log2(p)."""
-    enc, size, alphabet = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string")
+    enc, alphabet, part = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, pattern, letters in reversed(ENCODINGS):
         fits = hit.rlike(pattern) if known is None else known == name
-        enc, size, alphabet = F.when(fits, name).otherwise(enc), F.when(fits, len(letters)).otherwise(size), F.when(fits, letters).otherwise(alphabet)
+        enc, alphabet = F.when(fits, name).otherwise(enc), F.when(fits, letters).otherwise(alphabet)
     plain = F.when(enc == "hex", F.lower(hit)).when(enc == "base64", F.translate(hit, "-_", "+/")).otherwise(hit)
+    for name, _, letters in ENCODINGS:  # each character's part of the alphabet, as a text of digits: counted without a step for each
+        part = F.when(enc == name, F.translate(plain, letters, "".join(str(x * PARTS // len(letters)) for x in range(len(letters))))).otherwise(part)
     values = F.transform(F.regexp_extract_all(plain, F.lit("."), F.lit(0)), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    head = F.struct(enc.alias("enc"), size.alias("size"), F.length(hit).cast("double").alias("n"), values.alias("v"))
+    head = F.struct(enc.alias("enc"), F.length(hit).cast("double").alias("n"), values.alias("v"), part.alias("part"))
+
+    def counted(h):
+        without = lambda text, what: F.length(F.replace(text, F.lit(what), F.lit(""))).cast("double")
+        high = F.translate(h["part"], "01234567", "00001111")
+        runs = 1 + (h["n"] - without(high, "01")) / 2 + (h["n"] - without(high, "10")) / 2
+        return F.struct(h.alias("h"), *[(h["n"] - without(h["part"], str(k))).alias(f"c{k}") for k in range(PARTS)], runs.alias("runs"), (_sum(h["v"]) / h["n"]).alias("mid"))
 
-    def stats(h):
-        n, size, v = h["n"], h["size"].cast("double"), h["v"]
-        part = F.transform(v, lambda x: F.floor(x * PARTS / size))
-        counts = [(n - F.size(F.array_remove(part, F.lit(k)))).cast("double") for k in range(PARTS)]
+    def stats(s):
+        h, n, v, mid, runs = s["h"], s["h"]["n"], s["h"]["v"], s["mid"], s["runs"]
+        counts = [s[f"c{k}"] for k in range(PARTS)]
         chi = functools.reduce(lambda a, b: a + b, [c * c for c in counts]) * PARTS / n - n
         df = PARTS - 1
         z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-        p_chi = F.when(z_chi >= 0, _tail(F.abs(z_chi))).otherwise(1 - _tail(F.abs(z_chi)))
-        high = F.transform(v, lambda x: F.when(x * 2 >= size, 1.0).otherwise(0.0))
-        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        n1 = _sum(high)
+        p_chi = bound(z_chi, lambda z: F.when(z >= 0, _tail(F.abs(z))).otherwise(1 - _tail(F.abs(z))))
+        n1 = functools.reduce(lambda a, b: a + b, counts[PARTS // 2 :])
         n2 = n - n1
-        runs = 1 + _sum(pairs, lambda x: F.when((x["a"] * 2 >= size) != (x["b"] * 2 >= size), 1.0).otherwise(0.0))
         mean = 2 * n1 * n2 / n + 1
         var = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
         p_runs = F.when((n1 == 0) | (n2 == 0), 1e-300).otherwise(2 * _tail(F.abs(runs - mean) / F.sqrt(var)))
-        mid = _sum(v) / n
-        spread = _sum(v, lambda x: (x - mid) * (x - mid))
-        corr = _sum(pairs, lambda x: (x["a"] - mid) * (x["b"] - mid)) / spread
-        p_corr = F.when(spread == 0, 1e-300).otherwise(2 * _tail(F.abs((corr + 1 / n) * F.sqrt(n))))
+        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda a, b: (a - mid) * (b - mid))
+        p_corr = bound(_sum(v, lambda x: (x - mid) * (x - mid)), lambda spread: F.when(spread == 0, 1e-300).otherwise(2 * _tail(F.abs((_sum(pairs) / spread + 1 / n) * F.sqrt(n)))))
         p = F.least(3 * F.least(p_chi, p_runs, p_corr), F.lit(1.0))
         return F.struct(
             h["enc"].alias("enc"), F.floor(F.log2(n)).cast("int").alias("cls"),
             F.least(F.floor(-F.log2(p) * BINS_PER_BIT), F.lit(MAX_BIN)).cast("int").alias("bin"),
         )
 
-    return F.transform(F.array(head), stats)[0]
+    return bound(bound(head, counted), stats)
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the fixed kinds, base (sorted fixed spans) and tokens (tested candidates)."""
     df = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    long_enough = F.filter(find(F.col("text"), ASSIGN), lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN_VALUE, 1)) >= 12)
-    df = df.withColumns({"assign": long_enough, "access": find(F.col("text"), ACCESS), "hex": find(F.col("text"), HEX), "token": find(F.col("text"), TOKEN)})
+    long_enough = F.filter(found(F.col("text"), ASSIGN, ASSIGN_WORDS), lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN_VALUE, 1)) >= 12)
+    df = df.withColumns({"assign": long_enough, "access": found(F.col("text"), ACCESS, ["akia"]), "hex": found(F.col("text"), HEX), "token": found(F.col("text"), TOKEN)})
     tag = lambda c, k: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
     df = df.withColumn("base", F.array_sort(F.concat(*[tag(name, k) for k, name in enumerate(KINDS[:3])])))
     free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
@@ -138,16 +158,22 @@ def spans(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), "base", "tokens")
 
 
-def texts_like(text: Column, enc: str, cls: int) -> Column:
-    """A stretch of a text's words (none of them a candidate token), put together and reduced to the encoding's alphabet;
-    null if the text is too short."""
+def texts_like(text: Column, classes: list[tuple[str, int]]) -> Column:
+    """array<struct<enc, cls, s>>: for each (encoding, length class) a stretch of a text's words (none of them a candidate token),
+    put together and reduced to the encoding's alphabet; null if the text is too short. Words are reduced once for each encoding,
+    however many classes it has."""
     words = F.regexp_replace(F.regexp_replace(text, TOKEN, " "), r"[^A-Za-z0-9+/_-]+", "")
-    if enc == "base32":
-        words = F.regexp_replace(F.upper(words), "[^A-Z2-7]+", "")
-    elif enc == "hex":
-        words = F.regexp_replace(F.lower(words), "[^0-9a-f]+", "")
-    n = max(20, 1 << cls)  # the least length of the class: shorter stretches pass more easily
-    return F.transform(F.array(words), lambda w: F.when(F.length(w) >= n, F.substring(w, F.pmod(F.xxhash64(w), F.length(w) - n + 1).cast("int") + 1, F.lit(n))))[0]
+    reduced = {"base64": lambda w: w, "base32": lambda w: F.regexp_replace(F.upper(w), "[^A-Z2-7]+", ""), "hex": lambda w: F.regexp_replace(F.lower(w), "[^0-9a-f]+", "")}
+
+    def stretches(enc):
+        least = [(cls, max(20, 1 << cls)) for e, cls in classes if e == enc]  # shorter stretches pass more easily
+        cut = lambda w, n: F.when(w["n"] >= n, F.substring(w["w"], F.pmod(w["h"], w["n"] - n + 1).cast("int") + 1, F.lit(n)))
+        each = lambda w: F.array(*[F.struct(F.lit(enc).alias("enc"), F.lit(cls).alias("cls"), cut(w, n).alias("s")) for cls, n in least])
+        measured = lambda w: F.struct(w.alias("w"), F.length(w).alias("n"), F.xxhash64(w).alias("h"))
+        return lambda w: F.transform(F.transform(F.array(reduced[enc](w)), measured), each)[0]
+
+    of = [stretches(enc) for enc in sorted({e for e, _ in classes})]
+    return F.transform(F.array(words), lambda w: F.concat(*[f(w) for f in of]))[0]
 
 
 def report_bins(scanned: DataFrame, docs: DataFrame, rate=RATE) -> dict[tuple[str, int], int]:
@@ -164,8 +190,8 @@ def report_bins(scanned: DataFrame, docs: DataFrame, rate=RATE) -> dict[tuple[st
     tokens = bins(scanned.select(F.explode("tokens.t").alias("t")))
     if not tokens:
         return {}
-    like = [F.struct(F.lit(enc).alias("enc"), F.lit(cls).alias("cls"), texts_like(F.col("text"), enc, cls).alias("s")) for enc, cls in sorted(tokens)]
-    drawn = docs.select(F.explode(F.array(*like)).alias("x")).filter("x.s IS NOT NULL")
+    # written once: filters that Spark derives from an explode would compute the stretches again
+    drawn = stored(docs.select(texts_like(F.col("text"), sorted(tokens)).alias("x"))).select(F.explode("x").alias("x")).filter("x.s IS NOT NULL")
     null = bins(drawn.select("x.enc", "x.cls", test_token(F.col("x.s"), F.col("x.enc"))["bin"].alias("bin")).select(F.struct("enc", "cls", "bin").alias("t")))
     out = {}
     for key, own in tokens.items():

@@ -487,3 +487,17 @@ def test_site_relative_lines(spark, monkeypatch):
     rows = line_dedup.drop_boilerplate(d, ratio=0.5).orderBy("doc_id").collect()
     assert [r["text"] for r in rows] == ["body %d\n" % i for i in range(40)] + ["other %d" % i for i in range(3)]
     assert line_dedup.drop_boilerplate(d, ratio=1.0).filter("lines_dropped > 0").isEmpty()
+
+
+def test_op4_reduces_words_once_an_encoding(spark, monkeypatch):
+    """However many length classes: four replacements for three encodings (32 before for 12 classes); equal to each class alone."""
+    classes = [(enc, cls) for enc in ("base32", "base64", "hex") for cls in (4, 5, 6, 7)]
+    replaced, replace = [], F.regexp_replace
+    monkeypatch.setattr(F, "regexp_replace", lambda *a: replaced.append(a) or replace(*a))
+    all_at_once = secrets.texts_like(F.col("text"), classes)
+    assert len(replaced) == 4
+    alone = [secrets.texts_like(F.col("text"), [c]) for c in classes]
+    docs = spark.createDataFrame([("the quick brown fox " * n + "a" * 30,) for n in (0, 1, 3, 12, 40)], "text string")
+    for r in docs.select(all_at_once.alias("x"), F.concat(*alone).alias("y")).collect():
+        assert r.x == r.y and len(r.x) == len(classes)
+    assert sum(x.s is not None for r in docs.select(all_at_once.alias("x")).collect() for x in r.x) > 20
