@@ -179,7 +179,7 @@ def test_a_batch_writes_few_tables_and_its_index_is_the_closure(spark, monkeypat
     for _ in range(12):
         world.change()
     kept.apply(2, none, world.snapshot())
-    assert len(written) <= 20  # 43 before
+    assert len(written) <= 20  # 42 before
     monkeypatch.undo()
     found, edges = m.decide(world.snapshot(), Room(spark))
     closure = graph.upstream(edges.select("src", "dst"), found.select(F.concat(F.lit("dec:"), "decision")))
